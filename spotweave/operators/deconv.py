@@ -14,7 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.operators.spatial import AT, neighbor_sums, radius_edges
-from spotweave.session import cut_lineage
+from spotweave.session import stored
 
 SPOT = ("sample", "spot")
 
@@ -123,30 +123,24 @@ def refine_props(
     params: dict | Sequence[dict] | None = None,
     tolerance: float = 1e-4,
     max_iterations: int = 20,
-    check_every: int = 5,
 ) -> DataFrame:
     """Spatially fine-tuned proportions (wide), for one or many parameter points.
 
-    Edges are written once. Every ``check_every`` steps the state is
-    checkpointed to the shared folder, which cuts the lineage and survives lost
-    executors, and the largest change of the last step decides whether to stop.
-    Parameter points that have settled are frozen, so each one ends at the same
-    state as in a run of its own.
+    Edges are written once. Each step reads the state twice, so it is written
+    to the shared folder after the step: plans stay short and lost executors
+    cost one step. The largest change decides whether to stop. Parameter points
+    that have settled are set aside, so each one ends at the same state as in a
+    run of its own.
     """
     params = params or {"lam": 0.001, "alpha": 0.7, "cap": 0.2}
     k = len(types)
     keys = ["sample"] if isinstance(params, dict) else ["run_id", "sample"]
-    edges = cut_lineage(radius_edges(spots, radius))
-    live = start_state(global_props, spots, params, k)
+    edges = stored(radius_edges(spots, radius), "edges")
+    live = stored(start_state(global_props, spots, params, k), "state")
     columns = [*keys, "spot", *[_p(i) for i in range(k)]]
     done: list[DataFrame] = []
-    steps = 0
-    while steps < max_iterations:
-        block = min(check_every, max_iterations - steps)
-        for _ in range(block):
-            live = refine_step(live, edges, k, keys)
-        steps += block
-        live = cut_lineage(live)
+    for _ in range(max_iterations):
+        live = stored(refine_step(live, edges, k, keys), "state")
         if isinstance(params, dict):
             if live.agg(F.max("delta")).first()[0] < tolerance:
                 break

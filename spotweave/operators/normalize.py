@@ -56,7 +56,8 @@ def winsor_bounds(
     within = list(within)
     n_spots = spots.groupBy(*within).agg(F.count(F.lit(1)).alias("_spots"))
     seen = protein.groupBy(*within, "protein").agg(F.count(F.lit(1)).alias("_seen"))
-    zeros = complete(seen, n_spots, proteins, "protein", "_seen", 0).select(
+    every = complete(seen, n_spots.select(*within), proteins, "protein", "_seen", 0)
+    zeros = every.join(n_spots, within).select(
         *within, "protein", F.lit(0.0).alias("value"), (F.col("_spots") - F.col("_seen")).alias("_n")
     )
     weighted = protein.select(*within, "protein", "value", F.lit(1).cast("bigint").alias("_n")).unionByName(zeros)

@@ -1,10 +1,11 @@
 """Exact quantiles of groups of any size.
 
 The built-in ``percentile`` keeps every distinct value of a group in one task,
-which fails once a group holds a third of a large table. Here a mergeable
-sketch only proposes cut points; counts per interval are exact, so the
-interval that holds a wanted rank is known exactly, and just that narrow
-interval is sorted. A poor sketch costs time, never correctness.
+which fails once a group holds a third of a large table. It is used only
+after counting the distinct values. Beyond that size a mergeable sketch
+proposes cut points; counts per interval are exact, so the interval that holds
+a wanted rank is known exactly, and just that narrow interval is sorted. A
+poor sketch costs time, never correctness.
 """
 
 from __future__ import annotations
@@ -13,6 +14,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from spotweave.session import stored
+
+# distinct values, over all groups, that one aggregation may hold in memory
+_IN_MEMORY = 2_000_000
 _MARGIN = 0.001
 _ACCURACY = 20000
 
@@ -25,6 +30,7 @@ def exact_quantiles(
     names: Sequence[str],
     weight: str | None = None,
     nan_result: bool = False,
+    in_memory: int = _IN_MEMORY,
 ) -> DataFrame:
     """Quantiles by linear interpolation (numpy's default), one row per group.
 
@@ -32,18 +38,36 @@ def exact_quantiles(
     ``nan_result``, where one NaN makes the quantiles of its group NaN.
     ``weight`` is a column of repeat counts, e.g. to add implicit zeros.
     Groups with no usable value are absent, except NaN groups under
-    ``nan_result``.
+    ``nan_result``. Values are counted and stored at once; up to ``in_memory``
+    distinct ones take the built-in aggregate.
     """
     keys = list(keys)
     repeat = F.count(F.lit(1)) if weight is None else F.sum(weight)
-    counted = (
+    counted = stored(
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).alias("_v"))
+        .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(repeat.cast("bigint").alias("_n"))
-        .where(F.col("_n") > 0)
+        .where(F.col("_n") > 0),
+        "counted",
     )
     finite = counted.where(~F.isnan("_v"))
-    group = keys or [F.lit(0).alias("_all")]
+    if counted.count() <= in_memory:
+        got = finite.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs], F.col("_n")).alias("_q"))
+        out = got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+    else:
+        out = _ranked_quantiles(finite, keys, probs, names)
+    if not keys:
+        return out
+    if nan_result:
+        broken = counted.groupBy(*keys).agg(F.max(F.isnan("_v").cast("int")).alias("_nan"))
+        out = broken.join(out, keys, "left").select(
+            *keys, *[F.when(F.col("_nan") == 1, F.lit(float("nan"))).otherwise(F.col(n)).alias(n) for n in names]
+        )
+    return out
+
+
+def _ranked_quantiles(finite: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Quantiles of counted values by exact ranks within narrow intervals."""
     ids = keys or ["_all"]
     finite = finite if keys else finite.withColumn("_all", F.lit(0))
 
@@ -95,11 +119,6 @@ def exact_quantiles(
             for i, n in enumerate(names)
         ],
     )
-    if nan_result:
-        broken = counted.groupBy(*group).agg(F.max(F.isnan("_v").cast("int")).alias("_nan"))
-        out = broken.join(out, ids, "left").select(
-            *ids, *[F.when(F.col("_nan") == 1, F.lit(float("nan"))).otherwise(F.col(n)).alias(n) for n in names]
-        )
     return out if keys else out.drop("_all")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotweave.functions.scalar import entropy_term, safe_ratio
 from spotweave.operators.order_stats import exact_quantiles
+from spotweave.session import stored
 
 ID = ("method", "sample")
 
@@ -127,7 +128,7 @@ def prop_metrics(
     truth: DataFrame, pred: DataFrame, group: Sequence[str] = ID, zero_rule_on: str = "truth"
 ) -> DataFrame:
     """The whole proportion benchmark, one row per group."""
-    pairs = pair_rows(truth, pred, group)
+    pairs = stored(pair_rows(truth, pred, group), "pairs")
     median = jsd_quantiles(jsd_spot(pairs, group, zero_rule_on), group).select(
         *group, F.col("jsd_median").alias("jsd")
     )

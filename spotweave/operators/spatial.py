@@ -20,12 +20,8 @@ def _near(left: DataFrame, right: DataFrame, radius: float, within: Sequence[str
     """Pairs (a*, b*) within ``radius``: equality join on grid cells of side ``radius``."""
     r = float(radius)
     cell = [F.floor(F.col(c) / r) for c in AT]
-    steps = F.array(*[F.lit(i) for i in (-1, 0, 1)])
-    a = (
-        left.withColumns({"_cx": cell[0], "_cy": cell[1]})
-        .withColumn("_cx", F.col("_cx") + F.explode(steps))
-        .withColumn("_cy", F.col("_cy") + F.explode(steps))
-    )
+    reach = [F.explode(F.array(c - 1, c, c + 1)) for c in cell]
+    a = left.withColumn("_cx", reach[0]).withColumn("_cy", reach[1])
     a = a.withColumnsRenamed({c: f"a_{c}" for c in left.columns if c not in within})
     b = right.withColumns({"_cx": cell[0], "_cy": cell[1]})
     b = b.withColumnsRenamed({c: f"b_{c}" for c in right.columns if c not in within})

@@ -119,12 +119,10 @@ def name_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "data_checks",
-    """SELECT l_orderkey % 5 AS sample, count(*) AS n_rows, count_if(v < 0) AS n_negative, count_if(isnan(v)) AS n_nan,
-       count_if(v IS NULL) AS n_null, count_if(v = 0) AS n_zero
+    """SELECT l_orderkey % 5 AS sample, count(*) AS n_rows, count(*) FILTER (v < 0) AS n_negative,
+       count(*) FILTER (isnan(v)) AS n_nan, count(*) FILTER (v IS NULL) AS n_null, count(*) FILTER (v = 0) AS n_zero
 FROM (SELECT l_orderkey, CASE WHEN l_discount = 0.01 THEN NULL WHEN l_discount = 0.02 THEN 'nan'::DOUBLE
-             ELSE round(l_discount - 0.05, 4) END AS v FROM lineitem) GROUP BY 1""".replace(
-        "count_if(isnan(v))", "count_if(coalesce(isnan(v), false))"
-    ).replace("count_if(v < 0)", "count_if(coalesce(v < 0, false))").replace("count_if(v = 0)", "count_if(coalesce(v = 0, false))"),
+             ELSE round(l_discount - 0.05, 4) END AS v FROM lineitem) GROUP BY 1""",
 )
 def data_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Discounts around their middle, with two of them turned into NULL and NaN."""
@@ -297,7 +295,7 @@ def refine_props(spark: SparkSession, sf: str) -> DataFrame:
 
 def _expr_props(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(expression, truth proportions, the same wide)."""
-    prop = inp.truth(inp.cells(spark, sf))
+    prop = inp.truth(inp.counts(spark, sf))
     return inp.expr(spark, sf), prop, deconv.to_wide(prop, inp.TYPES)
 
 
@@ -467,7 +465,7 @@ RANK_SQL = inp.with_sql(inp.CELLS_SQL, inp.TRUTH_SQL, inp.EXPR_SQL).rstrip() + "
 
 
 def ranked_markers(spark: SparkSession, sf: str) -> DataFrame:
-    labels = spatial.dominant_type(inp.truth(inp.cells(spark, sf)))
+    labels = spatial.dominant_type(inp.truth(inp.counts(spark, sf)))
     return markers.rank_markers(inp.expr(spark, sf), labels, 100, ("sample", "spot"))
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotweave.operators.composition import spot_prop
+from spotweave.session import stored
 
 # fixed values: the cell types, antibodies and neighbourhood radius of the derived data
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -96,24 +97,38 @@ def proteins(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select(F.col("p_brand").alias("protein")).distinct()
 
 
-def truth(cell_rows: DataFrame) -> DataFrame:
-    return spot_prop(cell_rows)
+def counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Cells, quantity and restricted cells per (sample, spot, cell_type), stored.
+
+    One pass over the line items; truth and predictions both come from it.
+    """
+    return stored(
+        cells(spark, sf)
+        .groupBy("sample", "spot", "cell_type")
+        .agg(
+            F.count(F.lit(1)).cast("double").alias("cells"),
+            F.sum("qty").alias("quantity"),
+            F.count_if("restricted").cast("double").alias("restricted"),
+        ),
+        "counts",
+    )
+
+
+def truth(counted: DataFrame) -> DataFrame:
+    return spot_prop(counted, weight="cells")
 
 
 TRUTH_SQL = """counted AS (SELECT sample, spot, cell_type, CAST(count(*) AS DOUBLE) AS n FROM cells GROUP BY 1, 2, 3),
 truth AS (SELECT sample, spot, cell_type, n / sum(n) OVER (PARTITION BY sample, spot) AS p FROM counted)"""
 
 
-def predictions(cell_rows: DataFrame) -> DataFrame:
+def predictions(counted: DataFrame) -> DataFrame:
     """Two methods: share of the quantity, and share among first returned lines.
 
-    The second one has gaps. Both are computed in one pass.
+    The second one has gaps.
     """
-    sums = cell_rows.groupBy("sample", "spot", "cell_type").agg(
-        F.sum("qty").alias("quantity"), F.count_if("restricted").cast("double").alias("restricted")
-    )
-    long = sums.unpivot(["sample", "spot", "cell_type"], ["quantity", "restricted"], "method", "n").where(F.col("n") > 0)
-    return spot_prop(long, ("method", "sample", "spot"), "n")
+    long = counted.unpivot(["sample", "spot", "cell_type"], ["quantity", "restricted"], "method", "n")
+    return spot_prop(long.where(F.col("n") > 0), ("method", "sample", "spot"), "n")
 
 
 PRED_SQL = """pred_counts AS (

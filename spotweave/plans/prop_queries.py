@@ -4,8 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from spotweave.operators import joins, prop_metrics as pm
-from spotweave.operators.composition import gt_layers
+from spotweave.operators import composition, joins, prop_metrics as pm
 from spotweave.operators.normalize import normalize_rows
 from spotweave.operators.spatial import append_props, dominant_type, natural_order, spatial_wide
 from spotweave.plans import inputs as inp
@@ -19,12 +18,12 @@ def rounded(df: DataFrame, *cols: str, digits: int = 8) -> DataFrame:
 
 
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inp.cells(spark, sf)
+    rows = inp.counts(spark, sf)
     return pm.pair_rows(inp.truth(rows), inp.predictions(rows))
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inp.cells(spark, sf)
+    rows = inp.counts(spark, sf)
     return pm.prop_metrics(inp.truth(rows), inp.predictions(rows), zero_rule_on="pred")
 
 
@@ -85,7 +84,7 @@ def jsd_quantiles(spark: SparkSession, sf: str) -> DataFrame:
     inp.with_sql(inp.CELLS_SQL, inp.TRUTH_SQL) + "SELECT sample, spot, cell_type, round(p, 8) AS p FROM truth",
 )
 def spot_prop(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(inp.truth(inp.cells(spark, sf)), "p")
+    return rounded(composition.spot_prop(inp.cells(spark, sf)), "p")
 
 
 @query(
@@ -96,7 +95,7 @@ FROM spots CROSS JOIN (SELECT DISTINCT o_orderpriority AS cell_type FROM orders)
 LEFT JOIN (SELECT * FROM pred WHERE method = 'restricted') USING (sample, spot, cell_type)""",
 )
 def complete_prop(spark: SparkSession, sf: str) -> DataFrame:
-    pred = inp.predictions(inp.cells(spark, sf)).where(F.col("method") == "restricted")
+    pred = inp.predictions(inp.counts(spark, sf)).where(F.col("method") == "restricted")
     types = inp.table(spark, sf, "orders").select(F.col("o_orderpriority").alias("cell_type"))
     spots = inp.spots(spark, sf).select("sample", "spot")
     return rounded(joins.complete(pred, spots, types, "cell_type", "p"), "p")
@@ -110,11 +109,7 @@ SELECT sample, spot, cell_type,
        round(coalesce(p / nullif(sum(p) OVER (PARTITION BY sample, spot), 0), 0), 8) AS p FROM amounts""",
 )
 def normalize_rows_query(spark: SparkSession, sf: str) -> DataFrame:
-    amounts = (
-        inp.cells(spark, sf)
-        .groupBy("sample", "spot", "cell_type")
-        .agg(F.count_if("restricted").cast("double").alias("p"))
-    )
+    amounts = inp.counts(spark, sf).select("sample", "spot", "cell_type", F.col("restricted").alias("p"))
     return rounded(normalize_rows(amounts), "p")
 
 
@@ -125,7 +120,7 @@ def normalize_rows_query(spark: SparkSession, sf: str) -> DataFrame:
 QUALIFY row_number() OVER (PARTITION BY sample, spot ORDER BY p DESC, cell_type) = 1""",
 )
 def dominant(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(dominant_type(inp.truth(inp.cells(spark, sf))), "p")
+    return rounded(dominant_type(inp.truth(inp.counts(spark, sf))), "p")
 
 
 @query(
@@ -149,7 +144,7 @@ def gt_layers_query(spark: SparkSession, sf: str) -> DataFrame:
         .groupBy(F.col("l_orderkey").alias("cell"), F.col("l_partkey").alias("gene"))
         .agg(F.log1p(F.sum("l_quantity")).alias("value"))
     )
-    return gt_layers(index, cell_expr)
+    return composition.gt_layers(index, cell_expr)
 
 
 @query(
@@ -190,7 +185,7 @@ def key_mismatch(spark: SparkSession, sf: str) -> DataFrame:
 FROM truth LEFT JOIN spots USING (sample, spot)""",
 )
 def attach(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(joins.attach_coords(inp.truth(inp.cells(spark, sf)), inp.spots(spark, sf)), "p")
+    return rounded(joins.attach_coords(inp.truth(inp.counts(spark, sf)), inp.spots(spark, sf)), "p")
 
 
 @query(
@@ -224,7 +219,7 @@ SELECT method, sample, spot, spot_x, spot_y, {", ".join(f'round(t{i}, 8) AS "{t}
 FROM wide LEFT JOIN spots USING (sample, spot)""",
 )
 def spatial(spark: SparkSession, sf: str) -> DataFrame:
-    rows = inp.cells(spark, sf)
+    rows = inp.counts(spark, sf)
     every = inp.truth(rows).withColumn("method", F.lit("truth")).unionByName(inp.predictions(rows))
     return rounded(spatial_wide(every, inp.spots(spark, sf), inp.TYPES), *inp.TYPES)
 
@@ -238,7 +233,7 @@ SELECT sample, spot, spot_x, spot_y, {", ".join(f'round(t{i}, 8) AS "{t}"' for i
 FROM spots LEFT JOIN wide USING (sample, spot)""",
 )
 def append(spark: SparkSession, sf: str) -> DataFrame:
-    pred = inp.predictions(inp.cells(spark, sf)).where(F.col("method") == "restricted")
+    pred = inp.predictions(inp.counts(spark, sf)).where(F.col("method") == "restricted")
     return rounded(append_props(inp.spots(spark, sf), pred, inp.TYPES), *inp.TYPES)
 
 

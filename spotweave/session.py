@@ -47,7 +47,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/spotweave-{uuid.uuid4().hex}/{label}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: survives the loss of executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Write a result that later steps read more than once, and read it back.
+
+    A written table survives lost executors, is computed once, and starts a
+    short new plan. Its file size is known, so Spark can judge joins with it.
+    """
+    path = scratch_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
