@@ -181,17 +181,20 @@ def profiles(expr_p: DataFrame, props: DataFrame, k: int) -> DataFrame:
     )
 
 
-def _split(expr_pm: DataFrame, types: Sequence[str]) -> DataFrame:
-    """Share out each value by ``p_i * m_i``; the parts sum to the value.
+def _parts(k: int) -> list[Column]:
+    """A value shared out by ``p_i * m_i``; the parts sum to the value.
 
     Where no type has weight, the shares ``p_i`` alone decide.
     """
-    k = len(types)
-    parts = [F.col(_p(i)) * F.col(f"m_{i}") for i in range(k)]
-    shares = _share(parts, _share([F.col(_p(i)) for i in range(k)], [F.lit(0.0)] * k))
-    rows = F.array(
-        *[F.struct(F.lit(t).alias("cell_type"), (F.col("value") * s).alias("value")) for t, s in zip(types, shares)]
-    )
+    weights = [F.col(_p(i)) * F.col(f"m_{i}") for i in range(k)]
+    shares = _share(weights, _share([F.col(_p(i)) for i in range(k)], [F.lit(0.0)] * k))
+    return [F.col("value") * s for s in shares]
+
+
+def _split(expr_pm: DataFrame, types: Sequence[str]) -> DataFrame:
+    """One row per (spot, gene, type) with its part of the value."""
+    parts = _parts(len(types))
+    rows = F.array(*[F.struct(F.lit(t).alias("cell_type"), p.alias("value")) for t, p in zip(types, parts)])
     return (
         expr_pm.select("sample", "spot", "gene", F.inline(rows))
         .where(F.col("value") != 0)
@@ -257,20 +260,45 @@ def expr_prior(layers: DataFrame, prop: DataFrame) -> DataFrame:
     )
 
 
+def _wide_prior(expr_pm: DataFrame, props: DataFrame, k: int) -> DataFrame:
+    """The prior as columns ``r_i`` per (sample, gene), without spreading types over rows."""
+    weight = props.groupBy("sample").agg(*[F.sum(_p(i)).alias(f"w_{i}") for i in range(k)])
+    sums = expr_pm.groupBy("sample", "gene").agg(
+        *[F.sum(part * F.col(_p(i))).alias(f"x_{i}") for i, part in enumerate(_parts(k))]
+    )
+    return sums.join(weight, "sample").select(
+        "sample",
+        "gene",
+        *[F.when(F.col(f"w_{i}") > 0, F.col(f"x_{i}") / F.col(f"w_{i}")).otherwise(0.0).alias(f"r_{i}") for i in range(k)],
+    )
+
+
 def expr_pass2(
-    expr: DataFrame, props: DataFrame, prior: DataFrame, types: Sequence[str], prior_weight: float = 0.5
+    expr: DataFrame,
+    props: DataFrame,
+    types: Sequence[str],
+    prior_weight: float = 0.5,
+    prior: DataFrame | None = None,
 ) -> DataFrame:
-    """Pass 1 with profiles mixed with the prior: ``(1 - w) * profile + w * prior``."""
+    """Pass 1 with profiles mixed with the prior: ``(1 - w) * profile + w * prior``.
+
+    ``prior`` is the long result of ``expr_prior``; without it the prior of
+    pass 1 is computed here.
+    """
     k = len(types)
     with_p = _with_props(expr, props, k)
-    prior_wide = prior.groupBy("sample", "gene").agg(
-        *[
-            F.sum(F.when(F.col("cell_type") == t, F.col("prior")).otherwise(0.0)).alias(f"r_{i}")
-            for i, t in enumerate(types)
-        ]
-    )
+    own = profiles(with_p, props, k)
+    if prior is None:
+        wide = _wide_prior(with_p.join(own, ["sample", "gene"]), props, k)
+    else:
+        wide = prior.groupBy("sample", "gene").agg(
+            *[
+                F.sum(F.when(F.col("cell_type") == t, F.col("prior")).otherwise(0.0)).alias(f"r_{i}")
+                for i, t in enumerate(types)
+            ]
+        )
     w = float(prior_weight)
-    mixed = profiles(with_p, props, k).join(prior_wide, ["sample", "gene"], "left").select(
+    mixed = own.join(wide, ["sample", "gene"], "left").select(
         "sample",
         "gene",
         *[

@@ -22,13 +22,16 @@ def layer_metrics(
     sizes: DataFrame,
     group: Sequence[str] = ID,
     normalize: str = "range",
+    methods: Sequence[str] | None = None,
 ) -> DataFrame:
     """RMSE, NRMSE and MAE of log1p values per (group, cell type).
 
     ``sizes`` holds the number of shared genes and spots: columns ``n_genes``
     and ``n_spots`` plus any of the group columns or ``cell_type``. Both fact
-    tables must already be restricted to the shared keys. Types without
-    predictions are skipped. ``normalize`` is "range" or "mean" of the truth.
+    tables must already be restricted to the shared keys. Types without truth
+    or without predictions are skipped. ``normalize`` is "range" or "mean" of
+    the truth. Naming the ``methods`` saves a pass over the predictions to
+    learn which truth rows each of them needs.
     """
     if normalize not in ("range", "mean"):
         raise ValueError("normalize must be 'range' or 'mean'")
@@ -36,20 +39,33 @@ def layer_metrics(
     layer = [*group, "cell_type"]
     shared = [c for c in layer if c in truth.columns]
     cells = [*layer, "spot", "gene"]
-    runs = pred.select(*layer).distinct()
-    t = truth.join(runs, shared).select(*cells, F.log1p("value").alias("t"), F.lit(0.0).alias("q"))
-    q = pred.join(truth.select(*shared).distinct(), shared, "left_semi").select(
-        *cells, F.lit(0.0).alias("t"), F.log1p("value").alias("q")
+    if len(shared) == len(layer):
+        repeated = truth
+    elif methods is not None and set(layer) - set(shared) == {"method"}:
+        repeated = truth.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    else:
+        repeated = truth.join(pred.select(*layer).distinct(), shared)
+    t = repeated.select(*cells, F.log1p("value").alias("t"), F.lit(0.0).alias("q"), F.lit(1).alias("_side"))
+    q = pred.select(*cells, F.lit(0.0).alias("t"), F.log1p("value").alias("q"), F.lit(2).alias("_side"))
+    pairs = (
+        t.unionByName(q)
+        .groupBy(*cells)
+        .agg(F.sum("t").alias("t"), F.sum("q").alias("q"), F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
     )
-    pairs = t.unionByName(q).groupBy(*cells).agg(F.sum("t").alias("t"), F.sum("q").alias("q"))
     d = F.col("t") - F.col("q")
-    sums = pairs.groupBy(*layer).agg(
-        F.sum(d * d).alias("_dd"),
-        F.sum(F.abs(d)).alias("_d"),
-        F.sum("t").alias("_t"),
-        F.max("t").alias("_max"),
-        F.min("t").alias("_min"),
-        F.count(F.lit(1)).alias("_seen"),
+    sums = (
+        pairs.groupBy(*layer)
+        .agg(
+            F.sum(d * d).alias("_dd"),
+            F.sum(F.abs(d)).alias("_d"),
+            F.sum("t").alias("_t"),
+            F.max("t").alias("_max"),
+            F.min("t").alias("_min"),
+            F.count(F.lit(1)).alias("_seen"),
+            F.min("_lo").alias("_lo"),
+            F.max("_hi").alias("_hi"),
+        )
+        .where((F.col("_lo") == 1) & (F.col("_hi") == 2))
     )
     by = [c for c in layer if c in sizes.columns]
     size = F.col("n_genes").cast("double") * F.col("n_spots")

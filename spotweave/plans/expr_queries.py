@@ -360,9 +360,8 @@ SELECT sample, cell_type, spot, gene,
 FROM expr JOIN truth USING (sample, spot) JOIN mixed USING (sample, cell_type, gene)""",
 )
 def expr_pass2(spark: SparkSession, sf: str) -> DataFrame:
-    expr, prop, wide = _expr_props(spark, sf)
-    prior = deconv.expr_prior(deconv.expr_pass1(expr, wide, inp.TYPES), prop)
-    return rounded(deconv.expr_pass2(expr, wide, prior, inp.TYPES, 0.5), "value", digits=6)
+    expr, _, wide = _expr_props(spark, sf)
+    return rounded(deconv.expr_pass2(expr, wide, inp.TYPES, 0.5), "value", digits=6)
 
 
 @query(
@@ -422,7 +421,7 @@ def scores(spark: SparkSession, sf: str) -> DataFrame:
     sizes = inp.table(spark, sf, "part").agg(F.count(F.lit(1)).alias("n_genes")).withColumn(
         "n_spots", inp.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
     )
-    return lm.layer_metrics(inp.layers_truth(rows), pred, sizes)
+    return lm.layer_metrics(inp.layers_truth(rows), pred, sizes, methods=["weighted", "pass1"])
 
 
 @query(
