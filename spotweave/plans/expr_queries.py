@@ -524,3 +524,17 @@ FROM expr JOIN moments USING (sample, gene)""",
 )
 def scale_genes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(markers.scale_genes(inp.expr(spark, sf), _sizes(spark, sf)), "value", "zero_value", digits=6)
+
+
+@query("model_scores")
+def model_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Whole run of the model: global and fine-tuned proportions scored against the truth."""
+    from spotweave.benchmark import benchmark_proportions
+    from spotweave.model import SpotModel
+    from spotweave.operators.reshape import union_methods
+
+    model = SpotModel(inp.expr(spark, sf), inp.protein(spark, sf), inp.spots(spark, sf))
+    model.load_profile(inp.profile())
+    model.preprocess_antibody(proteins=inp.proteins(spark, sf))
+    rough, fine = model.run_proportions(inp.RADIUS, 1.0, 0.7, 0.2, n_markers=2)
+    return benchmark_proportions(inp.truth(inp.counts(spark, sf)), union_methods({"global": rough, "finetuned": fine}))
