@@ -61,9 +61,12 @@ class SpotModel:
         self.expr = normalize.normalize_total(self.expr, target_sum, log=False)
         return self.expr
 
-    def preprocess_antibody(self, lower: float = 0.05, upper: float = 0.95, proteins: DataFrame | None = None) -> DataFrame:
+    def preprocess_antibody(
+        self, lower: float = 0.05, upper: float = 0.95, proteins: DataFrame | None = None
+    ) -> normalize.ClrParts:
+        """Winsorised centred log ratio, kept sparse; ``antibody_clr`` gives it as a dense table."""
         panel = self.protein.select("protein").distinct() if proteins is None else proteins
-        self.clr = normalize.antibody_clr(self.protein, self.spots, panel, lower, upper)
+        self.clr = normalize.clr_parts(self.protein, self.spots, panel, lower, upper)
         return self.clr
 
     def run_proportions(
@@ -78,7 +81,9 @@ class SpotModel:
     ) -> tuple[DataFrame, DataFrame]:
         """(global, fine-tuned) proportions, long."""
         marker = marker_table(self.spark, self.profile, n_markers)
-        self.global_props = stored(deconv.marker_props(self.clr, marker, self.types), "global_props")
+        self.global_props = stored(
+            deconv.marker_props_sparse(self.clr, marker, self.types), "global_props"
+        )
         self.fine_props = deconv.refine_props(
             self.global_props,
             self.spots,

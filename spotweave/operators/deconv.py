@@ -13,6 +13,7 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotweave.operators.normalize import ClrParts
 from spotweave.operators.spatial import AT, neighbor_sums, radius_edges
 from spotweave.session import stored
 
@@ -45,12 +46,17 @@ def _share(cols: Sequence[Column], otherwise: Sequence[Column]) -> list[Column]:
     return [F.when(total > 0, c / total).otherwise(o) for c, o in zip(cols, otherwise)]
 
 
+def _even_share(signal: DataFrame, k: int, by: Sequence[str]) -> DataFrame:
+    """Signals ``p_i`` scaled to sum 1; a spot with no signal gets equal shares."""
+    cols = [F.col(_p(i)) for i in range(k)]
+    return signal.select(*by, *[c.alias(_p(i)) for i, c in enumerate(_share(cols, [F.lit(1.0 / k)] * k))])
+
+
 def marker_props(clr: DataFrame, marker: DataFrame, types: Sequence[str], by: Sequence[str] = SPOT) -> DataFrame:
     """Global proportions: mean marker signal per type, cut at 0, scaled to sum 1.
 
-    A spot with no signal gets equal shares. The result is wide.
+    ``clr`` is dense. The result is wide.
     """
-    k = len(types)
     means = [
         F.greatest(
             F.coalesce(F.avg(F.when(F.col("cell_type") == t, F.col("value"))), F.lit(0.0)), F.lit(0.0)
@@ -58,9 +64,40 @@ def marker_props(clr: DataFrame, marker: DataFrame, types: Sequence[str], by: Se
         for i, t in enumerate(types)
     ]
     signal = clr.join(marker.select("protein", "cell_type"), "protein").groupBy(*by).agg(*means)
-    cols = [F.col(_p(i)) for i in range(k)]
-    even = [F.lit(1.0 / k)] * k
-    return signal.select(*by, *[c.alias(_p(i)) for i, c in enumerate(_share(cols, even))])
+    return _even_share(signal, len(types), by)
+
+
+def marker_props_sparse(parts: ClrParts, marker: DataFrame, types: Sequence[str], by: Sequence[str] = SPOT) -> DataFrame:
+    """The same from the parts of a sparse antibody table.
+
+    The mean over the markers of a type is that of their zeros, plus what the
+    nonzero rows add, less the centre of the spot. Only nonzero rows of
+    markers are shuffled, once.
+    """
+    k = len(types)
+    named = marker.select("protein", "cell_type")
+    within = [c for c in by if c != "spot"]
+
+    def per_type(value: Column, name: str) -> list[Column]:
+        return [
+            F.sum(F.when(F.col("cell_type") == t, value).otherwise(0.0)).alias(f"{name}_{i}") for i, t in enumerate(types)
+        ]
+
+    added = parts.facts.join(named, "protein").groupBy(*by).agg(*per_type(F.col("a") - F.col("b"), "a"))
+    zeros = parts.base.join(named, "protein").groupBy(*within).agg(*per_type(F.col("b"), "b"), *per_type(F.lit(1.0), "n"))
+    rows = parts.centre.join(added, list(by), "left").join(zeros, within)
+    signal = [
+        F.when(
+            F.col(f"n_{i}") > 0,
+            F.greatest(
+                (F.coalesce(F.col(f"a_{i}"), F.lit(0.0)) + F.col(f"b_{i}")) / F.col(f"n_{i}") - F.col("centre"), F.lit(0.0)
+            ),
+        )
+        .otherwise(0.0)
+        .alias(_p(i))
+        for i in range(k)
+    ]
+    return _even_share(rows.select(*by, *signal), k, by)
 
 
 def refine_step(

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotweave.functions.scalar import safe_ratio
 from spotweave.operators.joins import complete
 from spotweave.operators.order_stats import exact_quantiles
+from spotweave.session import stored
 
 
 def normalize_rows(
@@ -64,6 +66,56 @@ def winsor_bounds(
     return exact_quantiles(weighted, [*within, "protein"], "value", [lower, upper], ["low", "high"], weight="_n")
 
 
+@dataclass(frozen=True)
+class ClrParts:
+    """What the centred log ratio of a sparse antibody table is made of.
+
+    ``facts``: logged value ``a`` of each nonzero row and ``b``, that of a zero
+    of the same protein. ``base``: ``b`` of every protein. ``centre``: mean
+    logged value of every spot over all proteins.
+    """
+
+    facts: DataFrame
+    base: DataFrame
+    centre: DataFrame
+
+
+def clr_parts(
+    protein: DataFrame,
+    spots: DataFrame,
+    proteins: DataFrame,
+    lower: float = 0.05,
+    upper: float = 0.95,
+    within: Sequence[str] = ("sample",),
+) -> ClrParts:
+    """Winsorised and logged values without making the table dense.
+
+    A zero turns into a constant of its protein, so the mean over all proteins
+    is that of the constants plus what the nonzero rows add to them.
+    """
+    within = list(within)
+    bounds = winsor_bounds(protein, spots, proteins, lower, upper, within)
+    zero = F.log1p(F.greatest(F.col("low"), F.least(F.col("high"), F.lit(0.0))))
+    base = stored(bounds.withColumn("b", zero), "antibody_bounds")
+    facts = protein.join(base, [*within, "protein"]).select(
+        *within,
+        "spot",
+        "protein",
+        F.log1p(F.greatest(F.col("low"), F.least(F.col("high"), F.col("value")))).alias("a"),
+        "b",
+    )
+    added = facts.groupBy(*within, "spot").agg(F.sum(F.col("a") - F.col("b")).alias("_add"))
+    panel = base.groupBy(*within).agg(F.sum("b").alias("_sum"), F.count(F.lit(1)).alias("_size"))
+    mean = (F.coalesce(F.col("_add"), F.lit(0.0)) + F.col("_sum")) / F.col("_size")
+    centre = (
+        spots.select(*within, "spot")
+        .join(added, [*within, "spot"], "left")
+        .join(panel, within)
+        .select(*within, "spot", mean.alias("centre"))
+    )
+    return ClrParts(facts, base.select(*within, "protein", "b"), centre)
+
+
 def antibody_clr(
     protein: DataFrame,
     spots: DataFrame,
@@ -75,13 +127,21 @@ def antibody_clr(
     """Winsorise each protein, then centred log ratio within each spot.
 
     The result is dense over ``spots`` x ``proteins`` as the transformed zero
-    is not zero.
+    is not zero. Spots are spread over the proteins only at the end.
     """
     within = list(within)
-    bounds = winsor_bounds(protein, spots, proteins, lower, upper, within)
-    dense = complete(protein, spots.select(*within, "spot"), proteins, "protein", "value")
-    logged = dense.join(bounds, [*within, "protein"]).withColumn(
-        "_log", F.log1p(F.greatest(F.col("low"), F.least(F.col("high"), F.col("value"))))
+    spot = [*within, "spot"]
+    parts = clr_parts(protein, spots, proteins, lower, upper, within)
+    # one list per spot, no longer than the antibody panel
+    seen = parts.facts.groupBy(*spot).agg(F.collect_list(F.struct("protein", "a")).alias("_seen"))
+    panel = parts.base.groupBy(*within).agg(F.collect_list(F.struct("protein", F.col("b").alias("a"))).alias("_panel"))
+    rows = parts.centre.join(seen, spot, "left").join(panel, within)
+    names = F.coalesce(F.col("_seen.protein"), F.array().cast("array<string>"))
+    rest = F.filter("_panel", lambda p: ~F.array_contains(F.col("_names"), p["protein"]))
+    every = F.concat(F.coalesce(F.col("_seen"), F.slice("_panel", 1, 0)), F.col("_rest"))
+    return (
+        rows.withColumn("_names", names)
+        .withColumn("_rest", rest)
+        .select(*spot, "centre", F.inline(every))
+        .select(*spot, "protein", (F.col("a") - F.col("centre")).alias("value"))
     )
-    centre = F.avg("_log").over(W.partitionBy(*within, "spot"))
-    return logged.select(*within, "spot", "protein", (F.col("_log") - centre).alias("value"))

@@ -217,7 +217,8 @@ def marker_table_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def global_props(spark: SparkSession, sf: str) -> DataFrame:
     marker = marker_table(spark, inp.profile(), 2)
-    return deconv.marker_props(clr(spark, sf), marker, inp.TYPES)
+    parts = normalize.clr_parts(inp.protein(spark, sf), inp.spots(spark, sf), inp.proteins(spark, sf))
+    return deconv.marker_props_sparse(parts, marker, inp.TYPES)
 
 
 @query("marker_props", GLOBAL_SQL + "SELECT sample, spot, cell_type, round(p, 6) AS p FROM markers_p")

@@ -55,11 +55,6 @@ def assemble_spots(
 
 
 def write_tables(tables: dict[str, DataFrame], path: str) -> None:
-    """Parquet per table, partitioned by sample; ranges split large samples evenly."""
+    """Parquet per table, partitioned by sample; rebalancing splits large samples."""
     for name, df in tables.items():
-        (
-            df.repartitionByRange("sample", *[c for c in ("spot", "gene") if c in df.columns])
-            .write.mode("overwrite")
-            .partitionBy("sample")
-            .parquet(f"{path}/{name}")
-        )
+        df.hint("rebalance", "sample").write.mode("overwrite").partitionBy("sample").parquet(f"{path}/{name}")

@@ -12,6 +12,10 @@ def path_field(pattern: str, group: int = 1) -> Column:
     return F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, group), F.lit(""))
 
 
+def _first_cell(sep: str) -> Column:
+    return F.trim(F.translate(F.substring_index("value", sep, 1), '"', ""))
+
+
 def _split_line(sep: str) -> Column:
     plain = F.split(F.col("value"), sep if sep != "\t" else "\\t")
     return F.transform(plain, lambda c: F.trim(F.translate(c, '"', "")))
@@ -39,12 +43,15 @@ def scan_wide(
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
         *[path_field(p).alias(n) for n, p in fields.items()],
-        _split_line(sep).alias("_cells"),
+        "value",
+        _first_cell(sep).alias(row_name),
+    )
+    # the first cell alone tells headers from data, before any line is split
+    header = lines.where(F.col(row_name) == index_label).select(
+        "_file", F.slice(_split_line(sep), 2, 1 << 30).alias("_names")
     )
-    is_header = F.element_at("_cells", 1) == index_label
-    header = lines.where(is_header).select("_file", F.slice("_cells", 2, 1 << 30).alias("_names"))
-    body = lines.where(~is_header & (F.element_at("_cells", 1) != "")).select(
-        "_file", *fields, F.element_at("_cells", 1).alias(row_name), F.slice("_cells", 2, 1 << 30).alias("_values")
+    body = lines.where((F.col(row_name) != index_label) & (F.col(row_name) != "")).select(
+        "_file", *fields, row_name, F.slice(_split_line(sep), 2, 1 << 30).alias("_values")
     )
     pairs = F.zip_with(
         "_names",
@@ -72,7 +79,7 @@ def wide_keys(
     """Dense key tables (rows, columns) of wide files, zeros included."""
     fields = fields or {}
     lines = spark.read.text(path).select(*[path_field(p).alias(n) for n, p in fields.items()], "value")
-    first = F.trim(F.translate(F.substring_index("value", sep, 1), '"', ""))
+    first = _first_cell(sep)
     rows = lines.where((first != index_label) & (first != "")).select(*fields, first.alias(row_name)).distinct()
     cols = (
         lines.where(first == index_label)

@@ -13,15 +13,13 @@ from spotweave.functions.scalar import underscored
 def write_layers(layers: DataFrame, path: str, upper_genes: bool = False, mode: str = "overwrite") -> None:
     """Long layers in folders by sample and cell type.
 
-    Folder names have underscores for spaces. Rows are split by ranges of
-    (sample, type, spot), so one large type is written by many tasks.
+    Folder names have underscores for spaces. Rebalancing gathers small
+    folders and lets Spark split a large one over many tasks.
     """
     out = layers.withColumn("cell_type", underscored(F.col("cell_type")))
     if upper_genes:
         out = out.withColumn("gene", F.upper("gene"))
-    out.repartitionByRange("sample", "cell_type", "spot").write.mode(mode).partitionBy("sample", "cell_type").parquet(
-        path
-    )
+    out.hint("rebalance", "sample", "cell_type").write.mode(mode).partitionBy("sample", "cell_type").parquet(path)
 
 
 def write_wide_layers(layers: DataFrame, path: str, genes: Sequence[str]) -> None:
@@ -72,7 +70,7 @@ def run_stage(
     result = step(todo)
     if not runs.isEmpty():
         (
-            result
+            result.hint("rebalance", *keys)
             .write.mode("overwrite")
             .option("partitionOverwriteMode", "dynamic")
             .partitionBy(*keys)

@@ -175,6 +175,9 @@ def test_clr_and_marker_props(spark):
     e = np.maximum(np.stack([want[:, i::3].mean(1) for i in range(3)], 1), 0)
     s = e.sum(1, keepdims=True)
     assert np.allclose(props, np.where(s > 0, e / np.where(s > 0, s, 1), 1 / 3))
+    parts = normalize.clr_parts(protein, spots, panel, 0.1, 0.9)
+    sparse = to_matrix(deconv.marker_props_sparse(parts, marker_table(spark, profile), TYPES))
+    assert np.allclose(sparse, props)
 
 
 def test_model_run_and_resume(spark, spots, tissue, tmp_path):
