@@ -14,7 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.operators.normalize import ClrParts
-from spotweave.operators.spatial import AT, neighbor_sums, radius_edges
+from spotweave.operators.spatial import AT, hot_cells, neighbor_sums
 from spotweave.session import stored
 
 SPOT = ("sample", "spot")
@@ -101,7 +101,11 @@ def marker_props_sparse(parts: ClrParts, marker: DataFrame, types: Sequence[str]
 
 
 def refine_step(
-    state: DataFrame, edges: DataFrame, k: int, run_keys: Sequence[str] = ("sample",)
+    state: DataFrame,
+    radius: float,
+    k: int,
+    run_keys: Sequence[str] = ("sample",),
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """One smoothing step of the proportions.
 
@@ -109,17 +113,15 @@ def refine_step(
     and the parameters ``lam``, ``alpha``, ``cap`` as columns, so that one job
     can carry many parameter points. Adds ``delta``, the largest change.
     """
-    pos = [*run_keys, *AT]
-    around = neighbor_sums(edges, state, [_p(i) for i in range(k)], run_keys)
-    around = around.withColumnsRenamed({_p(i): f"s_{i}" for i in range(k)})
-    joined = state.drop("delta").join(around, pos)
+    current = state.drop("delta")
+    joined = neighbor_sums(current, current, radius, [_p(i) for i in range(k)], run_keys, hot=hot, prefix="s_")
     pull = F.col("lam") * (1 - F.col("alpha"))
-    others = F.col("_n") - 1
+    others = F.col("s_n") - 1
     threshold = F.col("lam") * F.col("alpha") / (k * (1 + pull))
     moved = []
     for i in range(k):
         p, e = F.col(_p(i)), F.col(f"e_{i}")
-        mean = F.when(others > 0, (F.col(f"s_{i}") - p) / others).otherwise(e)
+        mean = F.when(others > 0, (F.col(f"s_{_p(i)}") - p) / others).otherwise(e)
         z = F.greatest((e + pull * mean) / (1 + pull) - threshold, F.lit(0.0))
         step = F.least(F.greatest(z - p, -F.col("cap")), F.col("cap"))
         moved.append(F.greatest(p + step, F.lit(0.0)).alias(f"z_{i}"))
@@ -163,21 +165,21 @@ def refine_props(
 ) -> DataFrame:
     """Spatially fine-tuned proportions (wide), for one or many parameter points.
 
-    Edges are written once. Each step reads the state twice, so it is written
-    to the shared folder after the step: plans stay short and lost executors
-    cost one step. The largest change decides whether to stop. Parameter points
+    Each step reads the state twice, so it is written to the shared folder
+    after the step: plans stay short and lost executors cost one step. The largest change decides whether to stop. Parameter points
     that have settled are set aside, so each one ends at the same state as in a
     run of its own.
     """
     params = params or {"lam": 0.001, "alpha": 0.7, "cap": 0.2}
     k = len(types)
     keys = ["sample"] if isinstance(params, dict) else ["run_id", "sample"]
-    edges = stored(radius_edges(spots, radius), "edges")
+    hot = hot_cells(spots, radius)
+    hot = None if hot is None else stored(hot, "hot_cells")
     live = stored(start_state(global_props, spots, params, k), "state")
     columns = [*keys, "spot", *[_p(i) for i in range(k)]]
     done: list[DataFrame] = []
     for _ in range(max_iterations):
-        live = stored(refine_step(live, edges, k, keys), "state")
+        live = stored(refine_step(live, radius, k, keys, hot), "state")
         if isinstance(params, dict):
             if live.agg(F.max("delta")).first()[0] < tolerance:
                 break
@@ -258,31 +260,29 @@ def expr_pass1(expr: DataFrame, props: DataFrame, types: Sequence[str]) -> DataF
 def expr_pass1_local(
     expr: DataFrame, props: DataFrame, spots: DataFrame, types: Sequence[str], radius: float
 ) -> DataFrame:
-    """Pass 1 with profiles from the spots within ``radius`` only, own spot included."""
+    """Pass 1 with profiles from the spots within ``radius`` only, own spot included.
+
+    A profile is needed only for genes found in the spot itself, so rows meet
+    on (grid cell, gene).
+    """
     k = len(types)
     cols = [_p(i) for i in range(k)]
     place = spots.select(*SPOT, *AT)
-    edges = radius_edges(spots, radius).select("sample", *AT, "near_x", "near_y")
-    placed_props = props.select(*SPOT, *cols).join(place, list(SPOT))
-    weight = neighbor_sums(edges, placed_props, cols).drop("_n")
-    weight = weight.withColumnsRenamed({c: f"w_{i}" for i, c in enumerate(cols)})
-    with_p = _with_props(expr, props, k).join(place, list(SPOT))
-    piles = with_p.groupBy("sample", *AT, "gene").agg(
-        *[F.sum(F.col("value") * F.col(c)).alias(f"x_{i}") for i, c in enumerate(cols)]
+    placed = props.select(*SPOT, *cols).join(place, list(SPOT))
+    hot = hot_cells(place, radius)
+    weighted = neighbor_sums(placed, placed, radius, cols, hot=hot, prefix="w_")
+    targets = expr.select("sample", "spot", "gene", "value").join(weighted.drop("w_n"), list(SPOT))
+    products = targets.select(
+        "sample", "gene", *AT, *[(F.col("value") * F.col(c)).alias(f"x_{i}") for i, c in enumerate(cols)]
     )
-    near = piles.withColumnsRenamed({"spot_x": "near_x", "spot_y": "near_y"})
-    sums = (
-        edges.join(near, ["sample", "near_x", "near_y"])
-        .groupBy("sample", *AT, "gene")
-        .agg(*[F.sum(f"x_{i}").alias(f"x_{i}") for i in range(k)])
+    sums = neighbor_sums(
+        targets, products, radius, [f"x_{i}" for i in range(k)], ["sample", "gene"], hot=hot, prefix="n_"
     )
-    local = sums.join(weight, ["sample", *AT]).select(
-        "sample",
-        *AT,
-        "gene",
-        *[F.when(F.col(f"w_{i}") > 0, F.col(f"x_{i}") / F.col(f"w_{i}")).otherwise(0.0).alias(f"m_{i}") for i in range(k)],
-    )
-    return _split(with_p.join(local, ["sample", *AT, "gene"]), types)
+    local = [
+        F.when(F.col(f"w_{c}") > 0, F.col(f"n_x_{i}") / F.col(f"w_{c}")).otherwise(0.0).alias(f"m_{i}")
+        for i, c in enumerate(cols)
+    ]
+    return _split(sums.select("sample", "spot", "gene", "value", *cols, *local), types)
 
 
 def expr_prior(layers: DataFrame, prop: DataFrame) -> DataFrame:

@@ -11,86 +11,126 @@ from spotweave.operators.joins import attach_coords
 AT = ("spot_x", "spot_y")
 
 
-def positions(spots: DataFrame, within: Sequence[str] = ("sample",)) -> DataFrame:
-    """Distinct coordinates with the number of spots on each."""
-    return spots.groupBy(*within, *AT).agg(F.count(F.lit(1)).alias("n_at"))
-
-
-def _near(left: DataFrame, right: DataFrame, radius: float, within: Sequence[str]) -> DataFrame:
-    """Pairs (a*, b*) within ``radius``: equality join on grid cells of side ``radius``."""
-    r = float(radius)
-    cell = [F.floor(F.col(c) / r) for c in AT]
-    reach = [F.explode(F.array(c - 1, c, c + 1)) for c in cell]
-    a = left.withColumn("_cx", reach[0]).withColumn("_cy", reach[1])
-    a = a.withColumnsRenamed({c: f"a_{c}" for c in left.columns if c not in within})
-    b = right.withColumns({"_cx": cell[0], "_cy": cell[1]})
-    b = b.withColumnsRenamed({c: f"b_{c}" for c in right.columns if c not in within})
-    dx, dy = F.col("a_spot_x") - F.col("b_spot_x"), F.col("a_spot_y") - F.col("b_spot_y")
-    joined = a.join(b, [*within, "_cx", "_cy"]).withColumn("d2", dx * dx + dy * dy)
-    return joined.where(F.col("d2") <= r * r).drop("_cx", "_cy")
-
-
-def radius_edges(spots: DataFrame, radius: float, within: Sequence[str] = ("sample",)) -> DataFrame:
-    """Neighbouring *positions*, each with itself, and the spots on the far one.
-
-    Spots on one position share all neighbours, so a pile of copies counts as
-    one row here and sums over neighbours stay linear in the spots.
-    """
-    at = positions(spots, within)
-    return _near(at, at, radius, within).select(
-        *within,
-        F.col("a_spot_x").alias("spot_x"),
-        F.col("a_spot_y").alias("spot_y"),
-        F.col("b_spot_x").alias("near_x"),
-        F.col("b_spot_y").alias("near_y"),
-        F.col("b_n_at").alias("n_near"),
+def _side(radius: float) -> float:
+    return 2.0 * float(radius)
+
+
+def _home(df: DataFrame, radius: float) -> DataFrame:
+    """Grid cell ``_cx, _cy`` that holds each row."""
+    return df.withColumns({k: F.floor(F.col(c) / _side(radius)) for k, c in zip(("_cx", "_cy"), AT)})
+
+
+def _reach(df: DataFrame, radius: float) -> DataFrame:
+    """Each row in every grid cell that its circle may touch: about four."""
+
+    def cells(c: str):
+        # a little wider than the radius, so that rounding never loses a neighbour
+        margin = F.lit(radius * (1 + 1e-9)) + F.abs(F.col(c)) * 1e-15
+        low, high = (F.floor((F.col(c) + m) / _side(radius)) for m in (-margin, margin))
+        return F.explode(F.sequence(low, high))
+
+    return df.withColumn("_cx", cells(AT[0])).withColumn("_cy", cells(AT[1]))
+
+
+def hot_cells(
+    spots: DataFrame, radius: float, within: Sequence[str] = ("sample",), limit: int = 50_000
+) -> DataFrame | None:
+    """Grid cells with more than ``limit`` spots, and the parts to split them into."""
+    hot = (
+        _home(spots, radius)
+        .groupBy(*within, "_cx", "_cy")
+        .agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_parts"))
+        .where(F.col("_parts") > 1)
     )
+    return None if hot.isEmpty() else hot
+
+
+def _near(
+    targets: DataFrame,
+    sources: DataFrame,
+    radius: float,
+    keys: Sequence[str],
+    hot: DataFrame | None,
+    spread: Sequence[str],
+) -> tuple[DataFrame, list[str]]:
+    """Targets ``spot_x, spot_y`` joined with sources ``near_x, near_y`` in range.
+
+    An equality join on grid cells twice the radius wide, then the distance.
+    Targets stay in their own cell, sources go to the cells around them.
+    Targets of hot cells are split by the hash of ``spread`` into parts, each
+    of which meets all sources of the cell. Also returns the join keys.
+    """
+    a = _home(targets, radius)
+    b = _reach(sources.withColumnsRenamed({"near_x": AT[0], "near_y": AT[1]}), radius)
+    on = [*keys, "_cx", "_cy"]
+    if hot is not None:
+        at = [c for c in hot.columns if c != "_parts"]
+        parts = F.coalesce(F.col("_parts"), F.lit(1))
+        a = a.join(hot, at, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts)).drop("_parts")
+        b = b.join(hot, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
+        b = b.withColumn("_part", F.col("_part").cast("bigint"))
+        on.append("_part")
+    b = b.withColumnsRenamed({AT[0]: "near_x", AT[1]: "near_y"})
+    dx, dy = F.col(AT[0]) - F.col("near_x"), F.col(AT[1]) - F.col("near_y")
+    joined = a.join(b, on).withColumn("_d2", dx * dx + dy * dy)
+    return joined.where(F.col("_d2") <= float(radius) ** 2), on
 
 
 def radius_neighbors(spots: DataFrame, radius: float, within: Sequence[str] = ("sample",)) -> DataFrame:
     """Pairs of different spots within ``radius``; the output is these pairs.
 
-    For sums or means over neighbours use ``neighbor_sums``, which does not
-    list pairs of spots.
+    For sums or means over neighbours use ``neighbor_sums``, which lists no
+    pairs of spots.
     """
     s = spots.select(*within, "spot", *AT)
-    return (
-        _near(s, s, radius, within)
-        .where(F.col("a_spot") != F.col("b_spot"))
-        .select(
-            *within,
-            F.col("a_spot").alias("spot"),
-            F.col("b_spot").alias("neighbor"),
-            F.sqrt("d2").alias("distance"),
-        )
+    other = s.withColumnsRenamed({"spot": "neighbor", AT[0]: "near_x", AT[1]: "near_y"})
+    pairs, _ = _near(s, other, radius, within, hot_cells(s, radius, within), ["spot"])
+    return pairs.where(F.col("spot") != F.col("neighbor")).select(
+        *within, "spot", "neighbor", F.sqrt("_d2").alias("distance")
     )
 
 
 def neighbor_sums(
-    edges: DataFrame, state: DataFrame, columns: Sequence[str], within: Sequence[str] = ("sample",)
+    targets: DataFrame,
+    sources: DataFrame,
+    radius: float,
+    columns: Sequence[str],
+    keys: Sequence[str] = ("sample",),
+    row: Sequence[str] = ("spot",),
+    hot: DataFrame | None = None,
+    prefix: str = "near_",
 ) -> DataFrame:
-    """Sums of ``columns`` over the neighbourhood of each position, own one included.
+    """Targets with sums of source ``columns`` over all sources within ``radius``.
 
-    ``state`` has one row per spot with its coordinates. Spots are summed by
-    position first, then carried along the position edges. ``_n`` counts spots.
+    Sources are summed by position (and ``keys``) first: a pile of copies on one
+    position is one row, so sums stay linear in the rows. ``row`` names, with
+    ``keys``, one target. ``<prefix>n`` counts source rows; a target is its own
+    neighbour. A target never leaves its grid cell, so its sums need no shuffle
+    after the join. Targets without any source in range are dropped.
     """
-    pos = [*within, *AT]
-    piles = state.groupBy(*pos).agg(F.count(F.lit(1)).alias("_n"), *[F.sum(c).alias(c) for c in columns])
-    near = piles.withColumnsRenamed({"spot_x": "near_x", "spot_y": "near_y"})
-    keyed = [c for c in within if c in edges.columns]
+    keys = list(keys)
+    piles = (
+        sources.groupBy(*keys, F.col(AT[0]).alias("near_x"), F.col(AT[1]).alias("near_y"))
+        .agg(F.count(F.lit(1)).alias(f"{prefix}n"), *[F.sum(c).alias(f"{prefix}{c}") for c in columns])
+    )
+    pairs, on = _near(targets, piles, radius, keys, hot, [*keys, *row])
+    carried = [c for c in targets.columns if c not in {*keys, *row}]
     return (
-        edges.select(*keyed, *AT, "near_x", "near_y")
-        .join(near, [*keyed, "near_x", "near_y"])
-        .groupBy(*pos)
-        .agg(F.sum("_n").alias("_n"), *[F.sum(c).alias(c) for c in columns])
+        pairs.groupBy(*on, *row)
+        .agg(
+            *[F.any_value(c).alias(c) for c in carried],
+            F.sum(f"{prefix}n").alias(f"{prefix}n"),
+            *[F.sum(f"{prefix}{c}").alias(f"{prefix}{c}") for c in columns],
+        )
+        .drop("_cx", "_cy", "_part")
     )
 
 
 def neighbor_counts(spots: DataFrame, radius: float, within: Sequence[str] = ("sample",)) -> DataFrame:
     """Number of other spots within ``radius`` of each spot."""
-    edges = radius_edges(spots, radius, within)
-    sums = edges.groupBy(*within, *AT).agg((F.sum("n_near") - 1).alias("n_neighbors"))
-    return spots.join(sums, [*within, *AT]).select(*within, "spot", "n_neighbors")
+    s = spots.select(*within, "spot", *AT)
+    sums = neighbor_sums(s, s, radius, [], within, hot=hot_cells(s, radius, within))
+    return sums.select(*within, "spot", (F.col("near_n") - 1).alias("n_neighbors"))
 
 
 def dominant_type(prop: DataFrame, by: Sequence[str] = ("sample", "spot")) -> DataFrame:

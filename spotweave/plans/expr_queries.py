@@ -280,7 +280,7 @@ def refine_step(spark: SparkSession, sf: str) -> DataFrame:
     state = deconv.start_state(
         global_props(spark, sf), spots, {"lam": LAM, "alpha": ALPHA, "cap": CAP}, K
     )
-    stepped = deconv.refine_step(state, spatial.radius_edges(spots, inp.RADIUS), K)
+    stepped = deconv.refine_step(state, inp.RADIUS, K)
     return rounded(deconv.to_long(stepped, inp.TYPES), "p", digits=6)
 
 

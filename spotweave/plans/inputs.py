@@ -54,6 +54,8 @@ def expr(spark: SparkSession, sf: str) -> DataFrame:
         table(spark, sf, "lineitem")
         .groupBy((F.col("l_orderkey") % 5).alias("sample"), F.col("l_suppkey").alias("spot"), F.col("l_partkey").alias("gene"))
         .agg(F.sum("l_quantity").alias("value"))
+        # stated here so that every use of the table has the same filters and shares one exchange
+        .where(F.col("sample").isNotNull() & F.col("spot").isNotNull() & F.col("gene").isNotNull())
     )
 
 

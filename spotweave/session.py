@@ -42,9 +42,20 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def scratch_root(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/spotweave-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A fresh path below the shared folder, never reused between runs."""
-    return f"{shared_dir(spark)}/spotweave-{uuid.uuid4().hex}/{label}"
+    """A fresh path in the shared folder of this application, never reused."""
+    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{label}"
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application stored, once no result of it is in use."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(conf).delete(root, True)
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:

@@ -45,6 +45,18 @@ def test_radius_neighbors(spots, slide, radius):
     assert [counts[i] for i in range(60)] == m.sum(1).tolist()
 
 
+@pytest.mark.parametrize("radius", [2.5])
+def test_hot_cells_are_split_exactly(spots, slide, radius):
+    m = near(slide, radius)
+    hot = spatial.hot_cells(spots, radius, limit=7)
+    assert hot is not None and hot.agg(F.max("_parts")).first()[0] >= 3
+    out = spatial.neighbor_sums(spots, spots.withColumn("v", F.col("spot") * 1.0), radius, ["v"], hot=hot).collect()
+    got = {r.spot: (r.near_n, r.near_v) for r in out}
+    full = m + np.eye(60, dtype=bool)
+    assert [got[i][0] for i in range(60)] == full.sum(1).tolist()
+    assert [got[i][1] for i in range(60)] == (full @ np.arange(60.0)).tolist()
+
+
 def step(e, p, m, lam, alpha, cap):
     k = e.shape[1]
     n = m.sum(1, keepdims=True)
