@@ -250,11 +250,14 @@ def _with_props(expr: DataFrame, props: DataFrame, k: int) -> DataFrame:
 def expr_pass1(expr: DataFrame, props: DataFrame, types: Sequence[str]) -> DataFrame:
     """Expression per type with one profile per (sample, type).
 
-    ``props`` is wide. Rows stay one per nonzero until the final split.
+    ``props`` is wide. Rows stay one per nonzero until the final split. The
+    profiles are stored first, so that Spark knows their size and shuffles the
+    expression by gene only if they are too large to broadcast.
     """
     k = len(types)
     with_p = _with_props(expr, props, k)
-    return _split(with_p.join(profiles(with_p, props, k), ["sample", "gene"]), types)
+    own = stored(profiles(with_p, props, k), "profiles")
+    return _split(with_p.join(own, ["sample", "gene"]), types)
 
 
 def expr_pass1_local(
@@ -324,7 +327,7 @@ def expr_pass2(
     """
     k = len(types)
     with_p = _with_props(expr, props, k)
-    own = profiles(with_p, props, k)
+    own = stored(profiles(with_p, props, k), "profiles")
     if prior is None:
         wide = _wide_prior(with_p.join(own, ["sample", "gene"]), props, k)
     else:
@@ -335,7 +338,8 @@ def expr_pass2(
             ]
         )
     w = float(prior_weight)
-    mixed = own.join(wide, ["sample", "gene"], "left").select(
+    mixed = own.join(wide, ["sample", "gene"], "left")
+    mixed = mixed.select(
         "sample",
         "gene",
         *[
@@ -343,4 +347,4 @@ def expr_pass2(
             for i in range(k)
         ],
     )
-    return _split(with_p.join(mixed, ["sample", "gene"]), types)
+    return _split(with_p.join(stored(mixed, "mixed_profiles"), ["sample", "gene"]), types)

@@ -1,4 +1,9 @@
-"""Gene, cell and spot filters on sparse expression."""
+"""Gene, cell and spot filters on sparse expression.
+
+The keys to keep are stored before they meet the expression again: their file
+size tells Spark whether to broadcast them, so the expression is shuffled for
+the filter only when the keys are too many for that.
+"""
 
 from __future__ import annotations
 
@@ -6,6 +11,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from spotweave.session import stored
+
+
+def _keep(expr: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:
+    return expr.join(stored(keep.select(*keys), "keys"), keys, "left_semi")
+
 
 def split_prefix(expr: DataFrame, prefix: str = "MT-", gene: str = "gene") -> tuple[DataFrame, DataFrame]:
     """(other genes, genes with the prefix); both sides are kept."""
@@ -57,7 +68,7 @@ def filter_gex(
         (F.col("n_nonzero") / F.col("n_cells") >= nonzero_percentage)
         & (F.col("nonzero_mean") >= mean_expression_threshold)
     )
-    return expr.join(keep, [*within, "gene"], "left_semi")
+    return _keep(expr, keep, [*within, "gene"])
 
 
 def filter_genes3(
@@ -73,7 +84,7 @@ def filter_genes3(
         (F.col("n_nonzero") > F.col("n_cells") * cell_percentage_cutoff2)
         | ((F.col("n_nonzero") > cell_count_cutoff) & (F.col("nonzero_mean") > nonz_mean_cutoff))
     )
-    return expr.join(keep, [*within, "gene"], "left_semi")
+    return _keep(expr, keep, [*within, "gene"])
 
 
 def filter_min(
@@ -82,15 +93,15 @@ def filter_min(
     """Cells with enough genes, then genes in enough of the cells left."""
     within = list(within)
     cells = expr.groupBy(*within, "spot").count().where(F.col("count") >= min_genes)
-    left = expr.join(cells, [*within, "spot"], "left_semi")
+    left = _keep(expr, cells, [*within, "spot"])
     genes = left.groupBy(*within, "gene").count().where(F.col("count") >= min_cells)
-    return left.join(genes, [*within, "gene"], "left_semi")
+    return _keep(left, genes, [*within, "gene"])
 
 
 def filter_min_counts(expr: DataFrame, min_counts: float = 100, by: Sequence[str] = ("sample", "spot")) -> DataFrame:
     """Spots whose total count reaches the minimum."""
     keep = expr.groupBy(*by).agg(F.sum("value").alias("_s")).where(F.col("_s") >= min_counts)
-    return expr.join(keep, list(by), "left_semi")
+    return _keep(expr, keep, list(by))
 
 
 def data_checks(facts: DataFrame, by: Sequence[str] = ("sample",), value: str = "value") -> DataFrame:

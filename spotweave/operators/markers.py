@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotweave.functions.scalar import safe_ratio
 from spotweave.operators.joins import grid
+from spotweave.session import stored
 
 
 def rank_markers(expr: DataFrame, labels: DataFrame, top: int = 100, cell: Sequence[str] = ("spot",)) -> DataFrame:
@@ -77,6 +78,7 @@ def scale_genes(
     z0 = F.coalesce(safe_ratio(-F.col("mean"), sd), F.lit(0.0))
     if cap is not None:
         z, z0 = F.least(z, F.lit(float(cap))), F.least(z0, F.lit(float(cap)))
-    return expr.join(gene_moments(expr, n_cells, within), [*within, "gene"]).select(
+    moments = stored(gene_moments(expr, n_cells, within), "moments")
+    return expr.join(moments, [*within, "gene"]).select(
         *within, "spot", "gene", z.alias("value"), z0.alias("zero_value")
     )

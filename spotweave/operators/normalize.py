@@ -30,7 +30,7 @@ def normalize_total(
 ) -> DataFrame:
     """Scale each spot to ``target_sum``, or to the median total of its sample."""
     within = list(within)
-    totals = expr.groupBy(*within, "spot").agg(F.sum("value").alias("_total"))
+    totals = stored(expr.groupBy(*within, "spot").agg(F.sum("value").alias("_total")), "totals")
     if target_sum is None:
         seen = totals.where(F.col("_total") > 0)
         median = exact_quantiles(seen, within, "_total", [0.5], ["_target"])

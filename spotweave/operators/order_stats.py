@@ -132,10 +132,12 @@ def first_by_hash(
 ) -> DataFrame:
     """Rows with the smallest seeded hashes, ``quota`` per group.
 
-    The hash range is cut into 2**bits equal slots. Slot counts tell which
-    slots are taken whole; only the slot at the border is ranked, so neither a
-    hot group nor a whole-table sample is ever sorted in one task.
-    ``quota`` is a number, or a table of ``keys`` plus ``quota``.
+    The hash range is cut into 2**bits equal slots. Slot counts give the one
+    slot per group where the quota is reached: slots before it are taken
+    whole, and only its rows are ranked, so neither a hot group nor a sample of
+    a whole table is ever sorted in one task. The borders, one row per group,
+    are stored, so Spark knows that they are small. ``quota`` is a number, or
+    a table of ``keys`` plus ``quota``.
     """
     keys = list(keys)
     hashed = df.withColumn("_h", F.xxhash64(*order, F.lit(seed))).withColumn(
@@ -146,14 +148,23 @@ def first_by_hash(
         slots = slots.withColumn("quota", F.lit(quota).cast("bigint"))
     else:
         slots = slots.join(quota, keys)
-    run = W.partitionBy(*keys).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    open_slots = (
+    # at most 2**bits rows per group
+    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
+    run = group.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
+    borders = stored(
         slots.withColumn("_left", F.col("quota") - F.coalesce(F.sum("_in_slot").over(run), F.lit(0)))
         .where(F.col("_left") > 0)
-        .select(*keys, "_slot", "_left", (F.col("_in_slot") <= F.col("_left")).alias("_whole"))
+        .groupBy(*keys)
+        .agg(F.max("_slot").alias("_border"), F.min("_left").alias("_left")),
+        "borders",
     )
-    joined = hashed.join(open_slots, [*keys, "_slot"])
-    whole = joined.where("_whole")
+    if keys:
+        open_ = hashed.join(borders, keys)
+    else:
+        open_ = hashed.withColumns({c: borders.select(c).scalar() for c in ("_border", "_left")})
+    open_ = open_.where(F.col("_slot") <= F.col("_border"))
     rank = F.row_number().over(W.partitionBy(*keys, "_slot").orderBy("_h", *order))
-    border = joined.where(~F.col("_whole")).withColumn("_r", rank).where(F.col("_r") <= F.col("_left")).drop("_r")
-    return whole.unionByName(border).drop("_h", "_slot", "_left", "_whole")
+    border = open_.where(F.col("_slot") == F.col("_border")).withColumn("_r", rank)
+    whole = open_.where(F.col("_slot") < F.col("_border"))
+    taken = border.where(F.col("_r") <= F.col("_left")).drop("_r")
+    return whole.unionByName(taken).drop("_h", "_slot", "_left", "_border")

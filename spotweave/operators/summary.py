@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from spotweave.functions.scalar import mean_sd_label, safe_ratio
 from spotweave.operators.order_stats import exact_quantiles
+from spotweave.session import stored
 from spotweave.tables import nan_to_null
 
 
@@ -56,7 +57,7 @@ def zscore(rows: DataFrame, value: str, by: Sequence[str] = (), out: str = "z")
     """Centre and scale by the sample deviation, over all rows or per group."""
     stats = rows.groupBy(*by).agg(F.avg(value).alias("_mean"), F.stddev_samp(value).alias("_sd"))
     if by:
-        joined = rows.join(stats, list(by))
+        joined = rows.join(stored(stats, "stats"), list(by))
     else:
         joined = rows.withColumns({c: stats.select(c).scalar() for c in ("_mean", "_sd")})
     return joined.withColumn(out, safe_ratio(F.col(value) - F.col("_mean"), F.col("_sd"))).drop("_mean", "_sd")
@@ -102,6 +103,7 @@ def box_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
             "_hi": F.col("q3") + 1.5 * (F.col("q3") - F.col("q1")),
         }
     )
+    q = stored(q, "quartiles")
     v = F.col(value)
     inside = (v >= F.col("_lo")) & (v <= F.col("_hi"))
     spread = (

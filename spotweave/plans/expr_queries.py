@@ -9,6 +9,7 @@ from spotweave.operators import deconv, filters, joins, layer_metrics as lm, mar
 from spotweave.plans import inputs as inp
 from spotweave.plans.prop_queries import rounded
 from spotweave.plans.registry import query
+from spotweave.session import stored
 from spotweave.sources.text import marker_table
 
 EXPR = inp.with_sql(inp.EXPR_SQL)
@@ -64,7 +65,7 @@ GENE_STATS = inp.with_sql(inp.EXPR_SQL, inp.SPOTS_SQL, SIZES_SQL) + """, stats A
     + "SELECT sample, spot, gene, value FROM expr JOIN stats USING (sample, gene) WHERE n_nonzero / n >= 0.05 AND m >= 24.1",
 )
 def filter_gex(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.filter_gex(inp.expr(spark, sf), 0.05, 24.1, cells=inp.spots(spark, sf))
+    return filters.filter_gex(inp.expr_table(spark, sf), 0.05, 24.1, cells=inp.spots(spark, sf))
 
 
 @query(
@@ -74,7 +75,7 @@ def filter_gex(spark: SparkSession, sf: str) -> DataFrame:
 WHERE n_nonzero > n * 0.08 OR (n_nonzero > 5 AND m > 26.12)""",
 )
 def filter_genes3(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.filter_genes3(inp.expr(spark, sf), 5, 0.08, 26.12, cells=inp.spots(spark, sf))
+    return filters.filter_genes3(inp.expr_table(spark, sf), 5, 0.08, 26.12, cells=inp.spots(spark, sf))
 
 
 @query(
@@ -86,7 +87,7 @@ genes AS (SELECT sample, gene FROM remaining GROUP BY 1, 2 HAVING count(*) >= 3)
 SELECT sample, spot, gene, value FROM remaining JOIN genes USING (sample, gene)""",
 )
 def filter_min(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.filter_min(inp.expr(spark, sf), 100, 3)
+    return filters.filter_min(inp.expr_table(spark, sf), 100, 3)
 
 
 @query(
@@ -96,7 +97,7 @@ def filter_min(spark: SparkSession, sf: str) -> DataFrame:
 QUALIFY sum(value) OVER (PARTITION BY sample, spot) >= 3000""",
 )
 def filter_min_counts(spark: SparkSession, sf: str) -> DataFrame:
-    return filters.filter_min_counts(inp.expr(spark, sf), 3000)
+    return filters.filter_min_counts(inp.expr_table(spark, sf), 3000)
 
 
 @query(
@@ -139,7 +140,7 @@ def data_checks(spark: SparkSession, sf: str) -> DataFrame:
 FROM expr""",
 )
 def normalize_total(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(normalize.normalize_total(inp.expr(spark, sf)), "value", digits=6).select(
+    return rounded(normalize.normalize_total(inp.expr_table(spark, sf)), "value", digits=6).select(
         "sample", "spot", "gene", "value"
     )
 
@@ -153,7 +154,7 @@ SELECT sample, spot, gene, round(ln(1 + value * target / total), 6) AS value
 FROM expr JOIN totals USING (sample, spot) JOIN target USING (sample)""",
 )
 def normalize_median(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(normalize.normalize_total(inp.expr(spark, sf), None), "value", digits=6).select(
+    return rounded(normalize.normalize_total(inp.expr_table(spark, sf), None), "value", digits=6).select(
         "sample", "spot", "gene", "value"
     )
 
@@ -170,7 +171,7 @@ CLR_SQL = inp.with_sql(inp.PROTEIN_SQL, inp.SPOTS_SQL, DENSE_SQL)
 
 
 def clr(spark: SparkSession, sf: str) -> DataFrame:
-    return normalize.antibody_clr(inp.protein(spark, sf), inp.spots(spark, sf), inp.proteins(spark, sf))
+    return normalize.antibody_clr(inp.protein_table(spark, sf), inp.spots(spark, sf), inp.proteins(spark, sf))
 
 
 @query("antibody_clr", CLR_SQL + "SELECT sample, spot, protein, round(value, 6) AS value FROM clr")
@@ -217,7 +218,7 @@ def marker_table_query(spark: SparkSession, sf: str) -> DataFrame:
 
 def global_props(spark: SparkSession, sf: str) -> DataFrame:
     marker = marker_table(spark, inp.profile(), 2)
-    parts = normalize.clr_parts(inp.protein(spark, sf), inp.spots(spark, sf), inp.proteins(spark, sf))
+    parts = normalize.clr_parts(inp.protein_table(spark, sf), inp.spots(spark, sf), inp.proteins(spark, sf))
     return deconv.marker_props_sparse(parts, marker, inp.TYPES)
 
 
@@ -297,7 +298,7 @@ def refine_props(spark: SparkSession, sf: str) -> DataFrame:
 def _expr_props(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(expression, truth proportions, the same wide)."""
     prop = inp.truth(inp.counts(spark, sf))
-    return inp.expr(spark, sf), prop, deconv.to_wide(prop, inp.TYPES)
+    return inp.expr_table(spark, sf), prop, deconv.to_wide(prop, inp.TYPES)
 
 
 BASE_SQL = inp.with_sql(inp.CELLS_SQL, inp.TRUTH_SQL, inp.EXPR_SQL)
@@ -489,7 +490,8 @@ SELECT sample, spot, gene, value FROM expr WHERE gene IN (SELECT gene FROM best)
 )
 def mark_subset(spark: SparkSession, sf: str) -> DataFrame:
     """Expression of the union of the best markers."""
-    return joins.mark_subset(inp.expr(spark, sf), markers.marker_union(ranked_markers(spark, sf)))
+    chosen = stored(markers.marker_union(ranked_markers(spark, sf)), "markers")
+    return joins.mark_subset(inp.expr(spark, sf), chosen)
 
 
 MOMENT_SQL = inp.with_sql(inp.EXPR_SQL, inp.SPOTS_SQL, SIZES_SQL) + """, moments AS (
@@ -524,7 +526,7 @@ def variable_features(spark: SparkSession, sf: str) -> DataFrame:
 FROM expr JOIN moments USING (sample, gene)""",
 )
 def scale_genes(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(markers.scale_genes(inp.expr(spark, sf), _sizes(spark, sf)), "value", "zero_value", digits=6)
+    return rounded(markers.scale_genes(inp.expr_table(spark, sf), _sizes(spark, sf)), "value", "zero_value", digits=6)
 
 
 @query("model_scores")
@@ -534,7 +536,7 @@ def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     from spotweave.model import SpotModel
     from spotweave.operators.reshape import union_methods
 
-    model = SpotModel(inp.expr(spark, sf), inp.protein(spark, sf), inp.spots(spark, sf))
+    model = SpotModel(inp.expr(spark, sf), inp.protein_table(spark, sf), inp.spots(spark, sf))
     model.load_profile(inp.profile())
     model.preprocess_antibody(proteins=inp.proteins(spark, sf))
     rough, fine = model.run_proportions(inp.RADIUS, 1.0, 0.7, 0.2, n_markers=2)

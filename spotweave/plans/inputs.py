@@ -59,6 +59,11 @@ def expr(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def expr_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same, stored: for queries that pass over it more than once."""
+    return stored(expr(spark, sf), "expr")
+
+
 EXPR_SQL = """expr AS (
   SELECT l_orderkey % 5 AS sample, l_suppkey AS spot, l_partkey AS gene, sum(l_quantity) AS value
   FROM lineitem GROUP BY 1, 2, 3)"""
@@ -74,6 +79,10 @@ def protein(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def protein_table(spark: SparkSession, sf: str) -> DataFrame:
+    return stored(protein(spark, sf), "protein")
+
+
 PROTEIN_SQL = """protein AS (
   SELECT l_orderkey % 5 AS sample, l_suppkey AS spot, p_brand AS protein, sum(l_quantity) AS value
   FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2, 3)"""
