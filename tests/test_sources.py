@@ -118,11 +118,11 @@ def test_sweep_params(spark):
 
 
 def test_scan_rows_nan_and_proportions(spark, tmp_path):
-    (tmp_path / "Prop_metrics_tangram_map_2.csv").write_text("JSD,corr\nNaN,0.5\nNA,1\n")
+    (tmp_path / "Prop_metrics_other_map_2.csv").write_text("JSD,corr\nNaN,0.5\nNA,1\n")
     rows = row_files.scan_rows(
         spark, str(tmp_path / "*.csv"), "JSD double, corr double", {"replicate": r"(?<=_map_)(\d+)", "method": r"metrics_(\w+?)_map"}
     ).collect()
-    assert [tuple(r) for r in rows] == [(None, 0.5, "2", "tangram"), (None, 1.0, "2", "tangram")]
+    assert [tuple(r) for r in rows] == [(None, 0.5, "2", "other"), (None, 1.0, "2", "other")]
     wide = spark.createDataFrame([("s1", 0.2, 0.8, 1.0, 2.0)], "spot string, b double, a double, spot_x double, spot_y double")
     assert sorted(map(tuple, row_files.proportions_long(wide, ["spot"]).collect())) == [("s1", "a", 0.8), ("s1", "b", 0.2)]
 
