@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotweave.operators import joins, layer_metrics as lm, prop_metrics as pm
 from spotweave.session import stored
+from spotweave.sources.matrix import scan_layers, scan_wide
 
 RUN = ("method", "sample")
 
@@ -62,3 +63,63 @@ def benchmark_layers(
         "layer_scores",
     )
     return by_type, lm.layer_summary(by_type, group)
+
+
+def benchmark_layer_files(
+    spark: SparkSession,
+    truth_path: str | Sequence[str],
+    pred_path: str | Sequence[str],
+    truth_sample: str,
+    pred_sample: str,
+    normalize: str = "range",
+    fields: dict[str, str] | None = None,
+    index_label: str = "",
+) -> tuple[DataFrame, DataFrame]:
+    """(per type, averages and medians) of ``<type>_GT.csv`` against ``<type>_layer.csv`` files.
+
+    All samples of both globs in one job; the sample patterns cut the
+    replicate out of the paths. ``fields`` are further run columns of the
+    predictions, such as the method. Types or samples on one side only are
+    skipped, and so are types without a shared gene or spot.
+    """
+    truth, t_genes, t_spots = scan_layers(spark, truth_path, truth_sample, "_GT", index_label=index_label)
+    pred, p_genes, p_spots = scan_layers(spark, pred_path, pred_sample, "_layer", fields=fields, index_label=index_label)
+    group = ["sample", *(fields or {})]
+    layer = [*group, "cell_type"]
+    shared = ["sample", "cell_type"]
+    # the truth is the same for all runs of a sample: give it their columns
+    runs = stored(p_genes.select(*layer).distinct(), "runs")
+    truth, t_genes, t_spots = (df.join(runs, shared) for df in (truth, t_genes, t_spots))
+    genes, spots, sizes = shared_sizes(t_genes, t_spots, p_genes, p_spots, layer)
+    genes, spots = stored(genes, "shared_genes"), stored(spots, "shared_spots")
+    return benchmark_layers(truth, pred, genes, spots, sizes, group, normalize)
+
+
+def read_proportions(
+    spark: SparkSession, path: str | Sequence[str], fields: dict[str, str], index_label: str = ""
+) -> DataFrame:
+    """Long proportions of wide files, zeros kept, coordinates dropped."""
+    long = scan_wide(spark, path, "spot", "cell_type", fields, index_label, keep_zero=True)
+    return long.where(~F.col("cell_type").isin("spot_x", "spot_y")).withColumnRenamed("value", "p")
+
+
+def benchmark_proportion_files(
+    spark: SparkSession,
+    truth_path: str | Sequence[str],
+    pred_path: str | Sequence[str],
+    truth_sample: str,
+    pred_fields: dict[str, str],
+    zero_rule_on: str = "truth",
+    strict: bool = True,
+    index_label: str = "",
+    pred_index_label: str = "",
+) -> DataFrame:
+    """Scores of all prediction files against the truth file of their sample.
+
+    ``pred_fields`` must give ``sample``; more columns name the run.
+    """
+    truth = read_proportions(spark, truth_path, {"sample": truth_sample}, index_label)
+    pred = read_proportions(spark, pred_path, pred_fields, pred_index_label)
+    known = pred.join(truth.select("sample").distinct(), "sample", "left_semi")
+    wanted = truth.join(pred.select("sample").distinct(), "sample", "left_semi")
+    return benchmark_proportions(wanted, known, list(pred_fields), zero_rule_on, strict)

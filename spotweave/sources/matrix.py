@@ -6,10 +6,17 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from spotweave.functions.scalar import canonical_type
+
+
+def file_path() -> Column:
+    """Path of the file behind a row, with spaces and other signs as they are on disk."""
+    return F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+
 
 def path_field(pattern: str, group: int = 1) -> Column:
     """Field cut out of the file path by a regular expression; NULL without a match."""
-    return F.nullif(F.regexp_extract(F.col("_metadata.file_path"), pattern, group), F.lit(""))
+    return F.nullif(F.regexp_extract(file_path(), pattern, group), F.lit(""))
 
 
 def _first_cell(sep: str) -> Column:
@@ -36,7 +43,8 @@ def scan_wide(
     The first line of each file, known by its first cell ``index_label``,
     names the columns. Lines meet the header of their own file and are zipped
     with it before they are spread out, so the join carries one row per line
-    instead of one per cell, and zeros are never produced. ``fields`` maps
+    instead of one per cell, and zeros are never produced. Missing cells (empty
+    or NaN) stay as NULL rows, so that checks can count them. ``fields`` maps
     column names to patterns on the file path.
     """
     fields = fields or {}
@@ -56,10 +64,10 @@ def scan_wide(
     pairs = F.zip_with(
         "_names",
         "_values",
-        lambda n, v: F.struct(n.alias("name"), F.nullif(v, F.lit("")).cast("double").alias("value")),
+        lambda n, v: F.struct(n.alias("name"), F.nullif(v.try_cast("double"), F.lit(float("nan"))).alias("value")),
     )
     if not keep_zero:
-        pairs = F.filter(pairs, lambda c: c["value"] != 0)
+        pairs = F.filter(pairs, lambda c: c["value"].isNull() | (c["value"] != 0))
     return (
         body.join(header, "_file")
         .select(*fields, row_name, F.explode(pairs).alias("_c"))
@@ -89,6 +97,34 @@ def wide_keys(
     return rows, cols
 
 
+def scan_layers(
+    spark: SparkSession,
+    path: str | Sequence[str],
+    sample_pattern: str,
+    suffix: str = "_layer",
+    row_name: str = "spot",
+    col_name: str = "gene",
+    fields: dict[str, str] | None = None,
+    index_label: str = "",
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(layers, gene keys, spot keys) of files named ``<cell type><suffix>.csv``.
+
+    Cell types get one spelling, so ``Cancer Epithelial_GT.csv`` meets
+    ``Cancer_Epithelial_layer_pass1.csv``. The key tables hold the headers, with
+    all-zero genes and spots, per sample and cell type.
+    """
+    named = {
+        "sample": sample_pattern,
+        "cell_type": rf"([^/]+?){suffix}(?:_pass\d+)?\.csv",
+        **(fields or {}),
+    }
+    layers = scan_wide(spark, path, row_name, col_name, named, index_label)
+    rows, cols = wide_keys(spark, path, row_name, col_name, named, index_label)
+    spell = {"cell_type": canonical_type(F.col("cell_type"))}
+    keys = {row_name: rows.withColumns(spell), col_name: cols.withColumns(spell)}
+    return layers.withColumns(spell), keys["gene"], keys["spot"]
+
+
 def write_wide(
     facts: DataFrame,
     path: str,

@@ -35,7 +35,8 @@ def test_scan_wide_missing_and_quotes(spark, tmp_path):
     (tmp_path / "m.csv").write_text('"","a b","c"\n"g1",1.5,\n"g2",NaN,2\n')
     rows = matrix.scan_wide(spark, str(tmp_path / "m.csv")).collect()
     got = {(r.gene, r.spot): r.value for r in rows}
-    assert got[("g1", "a b")] == 1.5 and got[("g2", "c")] == 2 and ("g1", "c") not in got
+    assert got == {("g1", "a b"): 1.5, ("g1", "c"): None, ("g2", "a b"): None, ("g2", "c"): 2.0}
+    assert filters.data_checks(matrix.scan_wide(spark, str(tmp_path / "m.csv")), []).first().n_null == 2
 
 
 def test_write_wide_round_trip(spark, tmp_path):
