@@ -72,8 +72,12 @@ def _ranked_quantiles(finite: DataFrame, keys: list[str], probs: Sequence[float]
     finite = finite if keys else finite.withColumn("_all", F.lit(0))
 
     at = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_MARGIN, _MARGIN)})
-    cuts = finite.groupBy(*ids).agg(
-        F.percentile_approx("_v", at, _ACCURACY).alias("_cuts"), F.sum("_n").alias("_total")
+    # one row per group; stored, so that a hot group is not shuffled to meet it
+    cuts = stored(
+        finite.groupBy(*ids).agg(
+            F.percentile_approx("_v", at, _ACCURACY).alias("_cuts"), F.sum("_n").alias("_total")
+        ),
+        "cuts",
     )
     interval = sum(((F.col("_v") >= F.col("_cuts")[i]).cast("int") for i in range(len(at))), F.lit(0))
     placed = finite.join(cuts, ids).withColumn("_bin", interval).drop("_cuts")
@@ -89,10 +93,11 @@ def _ranked_quantiles(finite: DataFrame, keys: list[str], probs: Sequence[float]
 
     bins = placed.groupBy(*ids, "_bin").agg(F.sum("_n").alias("_in_bin"), F.max("_total").alias("_total"))
     before = W.partitionBy(*ids).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    wanted = (
+    wanted = stored(
         bins.withColumn("_offset", F.coalesce(F.sum("_in_bin").over(before), F.lit(0)))
         .where(holds(F.col("_offset"), F.col("_in_bin")))
-        .select(*ids, "_bin", "_offset")
+        .select(*ids, "_bin", "_offset"),
+        "intervals",
     )
     inside = W.partitionBy(*ids, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     located = (

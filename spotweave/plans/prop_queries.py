@@ -9,6 +9,7 @@ from spotweave.operators.normalize import normalize_rows
 from spotweave.operators.spatial import append_props, dominant_type, natural_order, spatial_wide
 from spotweave.plans import inputs as inp
 from spotweave.plans.registry import query
+from spotweave.session import stored
 
 GROUP = ("method", "sample")
 
@@ -159,8 +160,8 @@ def align_shared(spark: SparkSession, sf: str) -> DataFrame:
     """Expression on the genes and spots shared with the restricted cells."""
     rows = inp.cells(spark, sf)
     other = rows.where("restricted")
-    genes = joins.align_shared(rows, other, "gene", ["sample"])
-    spots = joins.align_shared(rows, other, "spot", ["sample"])
+    genes = stored(joins.align_shared(rows, other, "gene", ["sample"]), "genes")
+    spots = stored(joins.align_shared(rows, other, "spot", ["sample"]), "spots")
     facts = rows.groupBy("sample", "spot", "gene").agg(F.sum("qty").alias("value"))
     return joins.restrict(facts, genes, spots)
 

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spotweave.functions.scalar import canonical_type
+from spotweave.session import stored
 
 
 def file_path() -> Column:
@@ -43,7 +44,8 @@ def scan_wide(
     The first line of each file, known by its first cell ``index_label``,
     names the columns. Lines meet the header of their own file and are zipped
     with it before they are spread out, so the join carries one row per line
-    instead of one per cell, and zeros are never produced. Missing cells (empty
+    instead of one per cell, and zeros are never produced. Headers are stored
+    first: while they are small the data lines are not shuffled. Missing cells (empty
     or NaN) stay as NULL rows, so that checks can count them. ``fields`` maps
     column names to patterns on the file path.
     """
@@ -55,8 +57,11 @@ def scan_wide(
         _first_cell(sep).alias(row_name),
     )
     # the first cell alone tells headers from data, before any line is split
-    header = lines.where(F.col(row_name) == index_label).select(
-        "_file", F.slice(_split_line(sep), 2, 1 << 30).alias("_names")
+    header = stored(
+        lines.where(F.col(row_name) == index_label).select(
+            "_file", F.slice(_split_line(sep), 2, 1 << 30).alias("_names")
+        ),
+        "headers",
     )
     body = lines.where((F.col(row_name) != index_label) & (F.col(row_name) != "")).select(
         "_file", *fields, row_name, F.slice(_split_line(sep), 2, 1 << 30).alias("_values")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from spotweave.operators.sampling import uniform_sample
+from spotweave.session import stored
 
 
 def _lines(spark: SparkSession, path: str) -> DataFrame:
@@ -56,11 +57,16 @@ def scan_triplets(
     Values pass through 32-bit floats. ``sample_cells`` keeps that many
     random cells (test mode).
     """
-    genes = numbered_lines(spark, f"{folder}/genes.tsv").select(
-        F.col("line").alias("_gene"), F.split("value", "\t")[0].alias("gene")
+    # stored: the matrix is shuffled by gene or cell only if the names are too many to broadcast
+    genes = stored(
+        numbered_lines(spark, f"{folder}/genes.tsv").select(
+            F.col("line").alias("_gene"), F.split("value", "\t")[0].alias("gene")
+        ),
+        "genes",
     )
-    cells = numbered_lines(spark, f"{folder}/barcodes.tsv").select(
-        F.col("line").alias("_cell"), F.col("value").alias("cell")
+    cells = stored(
+        numbered_lines(spark, f"{folder}/barcodes.tsv").select(F.col("line").alias("_cell"), F.col("value").alias("cell")),
+        "barcodes",
     )
     meta = (
         spark.read.option("header", True)
@@ -75,7 +81,7 @@ def scan_triplets(
         )
     )
     if sample_cells is not None:
-        cells = uniform_sample(cells, sample_cells, ["cell"], seed)
+        cells = stored(uniform_sample(cells, sample_cells, ["cell"], seed), "sampled_cells")
     expr = (
         _entries(spark, f"{folder}/matrix.mtx").join(cells, "_cell").join(genes, "_gene").select("cell", "gene", "value")
     )
