@@ -14,7 +14,7 @@ from operator import add
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.operators.normalize import ClrParts
-from spotweave.operators.spatial import AT, hot_cells, neighbor_sums
+from spotweave.operators.spatial import AT, hot_cells, neighbor_sums, placed
 from spotweave.session import stored
 
 SPOT = ("sample", "spot")
@@ -137,9 +137,7 @@ def refine_step(
 
 def start_state(global_props: DataFrame, spots: DataFrame, params: dict | Sequence[dict], k: int) -> DataFrame:
     """State before the first step; a list of parameter points adds ``run_id``."""
-    state = global_props.join(spots.select(*SPOT, *AT), list(SPOT)).withColumns(
-        {f"e_{i}": F.col(_p(i)) for i in range(k)}
-    )
+    state = placed(global_props, spots).withColumns({f"e_{i}": F.col(_p(i)) for i in range(k)})
     if isinstance(params, dict):
         return state.withColumns({c: F.lit(float(params[c])) for c in ("lam", "alpha", "cap")})
     points = F.array(
@@ -242,6 +240,7 @@ def _split(expr_pm: DataFrame, types: Sequence[str]) -> DataFrame:
 
 
 def _with_props(expr: DataFrame, props: DataFrame, k: int) -> DataFrame:
+    """Expression with the shares of its spot; a spot without shares has no parts."""
     return expr.select("sample", "spot", "gene", "value").join(
         props.select(*SPOT, *[_p(i) for i in range(k)]), list(SPOT)
     )
@@ -270,10 +269,9 @@ def expr_pass1_local(
     """
     k = len(types)
     cols = [_p(i) for i in range(k)]
-    place = spots.select(*SPOT, *AT)
-    placed = props.select(*SPOT, *cols).join(place, list(SPOT))
-    hot = hot_cells(place, radius)
-    weighted = neighbor_sums(placed, placed, radius, cols, hot=hot, prefix="w_")
+    at = placed(props.select(*SPOT, *cols), spots)
+    hot = hot_cells(spots, radius)
+    weighted = neighbor_sums(at, at, radius, cols, hot=hot, prefix="w_")
     targets = expr.select("sample", "spot", "gene", "value").join(weighted.drop("w_n"), list(SPOT))
     products = targets.select(
         "sample", "gene", *AT, *[(F.col("value") * F.col(c)).alias(f"x_{i}") for i, c in enumerate(cols)]

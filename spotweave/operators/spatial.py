@@ -11,6 +11,15 @@ from spotweave.operators.joins import attach_coords
 AT = ("spot_x", "spot_y")
 
 
+def placed(rows: DataFrame, spots: DataFrame, by: Sequence[str] = ("sample", "spot")) -> DataFrame:
+    """Rows with the coordinates of their spot; raises when one has none."""
+    out = rows.join(spots.select(*by, *AT), list(by), "left")
+    lost = out.where(F.col(AT[0]).isNull() | F.col(AT[1]).isNull()).select(*by).limit(3).collect()
+    if lost:
+        raise ValueError(f"spots without coordinates, e.g. {[tuple(r) for r in lost]}")
+    return out
+
+
 def _side(radius: float) -> float:
     return 2.0 * float(radius)
 

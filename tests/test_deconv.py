@@ -99,6 +99,11 @@ def test_refine_equals_numpy(spark, spots, slide, evidence):
     assert np.allclose(got, p, atol=1e-12) and np.allclose(got.sum(1), 1)
 
 
+def test_spots_need_coordinates(spark, spots, evidence):
+    with pytest.raises(ValueError):
+        deconv.refine_props(wide_props(spark, evidence), spots.where("spot < 50"), TYPES, 2.5)
+
+
 def test_sweep_equals_single_runs(spark, spots, evidence):
     points = [
         {"run_id": 0, "lam": 0.001, "alpha": 0.7, "cap": 0.2},
