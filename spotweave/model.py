@@ -95,6 +95,18 @@ class SpotModel:
         )
         return deconv.to_long(self.global_props, self.types), deconv.to_long(self.fine_props, self.types)
 
+    def run_sweep(self, points: list[dict], radius: float = 4.0, tolerance: float = 1e-4, max_iterations: int = 20) -> DataFrame:
+        """Fine-tuned proportions for many parameter points in one job, long with ``run_id``.
+
+        ``points`` come from ``sweep_points(lam=..., alpha=..., cap=...)``.
+        """
+        if self.global_props is None:
+            raise RuntimeError("run_proportions comes first")
+        wide = deconv.refine_props(
+            self.global_props, self.spots, self.types, radius, points, tolerance, max_iterations
+        )
+        return deconv.to_long(wide, self.types, ("run_id", "sample", "spot"))
+
     def _props(self) -> DataFrame:
         if self.fine_props is None:
             raise RuntimeError("run_proportions comes first")

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from spotweave.sources.matrix import path_field
+from spotweave.tables import MARKER
 
 
 def dict_text(text: Column) -> Column:
@@ -71,4 +72,4 @@ def marker_table(spark: SparkSession, profile: dict[str, dict[str, list[str]]],
         for tier, proteins in tiers.items()
         for pos, protein in enumerate(proteins[:n])
     ]
-    return spark.createDataFrame(rows, "cell_type string, tier string, pos int, protein string")
+    return spark.createDataFrame(rows, MARKER)

@@ -1,4 +1,12 @@
-"""Long sparse schemas shared by all operators, and NaN handling.
+"""Helpers for the long sparse tables shared by all operators.
+
+* expr: sample, spot, gene, value (zeros absent)
+* protein: sample, spot, protein, value
+* spots: sample, spot, spot_x, spot_y (every spot)
+* cell index: sample, cell, cell_type, spot
+* prop: method, sample, spot, cell_type, p
+* layers: method, sample, cell_type, spot, gene, value
+* metrics: method, sample, cell_type, metric, value
 
 Keys (``sample``, ``spot``, ``gene``, ...) may have any hashable type: text
 ids from files or integer ids from a warehouse. Integer ids make shuffles
@@ -7,22 +15,11 @@ smaller, so adapters keep them where they exist.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, functions as F, types as T
 
-EXPR = "sample string, spot string, gene string, value double"
-PROTEIN = "sample string, spot string, protein string, value double"
-SPOT = "sample string, spot string, spot_x double, spot_y double"
-CELL_INDEX = "sample string, cell string, cell_type string, spot string"
 MARKER = "cell_type string, tier string, pos int, protein string"
-PROP = "sample string, method string, spot string, cell_type string, p double"
-LAYER = "sample string, method string, cell_type string, spot string, gene string, value double"
-METRIC = (
-    "pattern string, reference string, method string, sample string, "
-    "cell_type string, metric string, value double"
-)
-RUNTIME = "method string, replicate int, seconds double"
 
 
 def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:
@@ -32,18 +29,6 @@ def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
     return df.withColumns({c: F.when(~F.isnan(c), F.col(c)) for c in chosen})
 
 
-def drop_zeros(df: DataFrame, value: str = "value") -> DataFrame:
-    return df.where(F.col(value) != 0)
-
-
-def on(keys: Sequence[str], left: str = "l", right: str = "r") -> Column:
-    """Equality of all keys between two aliased sides."""
-    cond = F.lit(True)
-    for k in keys:
-        cond = cond & (F.col(f"{left}.{k}") == F.col(f"{right}.{k}"))
-    return cond
-
-
 def few_values(df: DataFrame, column: str, bound: int = 2000) -> list | None:
     """Distinct values in order, or ``None`` when there are more than ``bound``.
 

@@ -1,12 +1,12 @@
 """Neighbourhoods and deconvolution against brute force in numpy."""
 
 import numpy as np
-import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from spotweave.model import SpotModel
 from spotweave.operators import deconv, normalize, spatial
+from spotweave.operators.sampling import sweep_points
 from spotweave.sources.text import marker_table
 
 TYPES = ["t0", "t1", "t2"]
@@ -214,6 +214,10 @@ def test_model_run_and_resume(spark, spots, tissue, tmp_path):
     model.preprocess_antibody()
     rough, fine = model.run_proportions(2.5, 0.001, 0.7, 0.2, max_iterations=2)
     assert rough.count() == fine.count() == 180
+    sweep = model.run_sweep(sweep_points(lam=[0.001, 0.1], alpha=[0.7], cap=[0.2]), 2.5, max_iterations=2)
+    assert sweep.count() == 360
+    same = sweep.where("run_id = 0").join(fine.withColumnRenamed("p", "q"), ["sample", "spot", "cell_type"])
+    assert same.agg(F.max(F.abs(F.col("p") - F.col("q")))).first()[0] < 1e-12
     wide = model.append_proportions().toPandas()
     assert len(wide) == 60 and np.allclose(wide[TYPES].sum(axis=1), 1)
     out = model.run_expression_pass1(output_dir=str(tmp_path / "stage"))

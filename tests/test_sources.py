@@ -225,5 +225,24 @@ def test_tool_outputs(spark):
     assert {r.p for r in tool_outputs.mapping_props(rows.where("spot = 'b'")).collect()} == {0.0}
 
 
+def test_mapping_layers_and_labels(spark):
+    expr = spark.createDataFrame([("0", "a", "g1", 2.0)], "sample string, spot string, gene string, value double")
+    w = spark.createDataFrame(
+        [("0", "a", "T", 3.0), ("0", "a", "U", 0.0), ("0", "a", "max", 9.0)],
+        "sample string, spot string, cell_type string, p double",
+    )
+    kept = tool_outputs.label_scores(w, ["T", "U"])
+    got = [tuple(r) for r in tool_outputs.mapping_layers(expr, kept).collect()]
+    assert kept.count() == 2 and got == [("0", "T", "a", "G1", 6.0)]
+
+
+def test_incomplete_metrics(spark):
+    rows = spark.createDataFrame(
+        [("x", 1.0, math.nan, 1.0), ("y", 1.0, 1.0, 1.0), ("z", None, 1.0, 1.0)],
+        "cell_type string, rmse double, nrmse double, mae double",
+    )
+    assert {r.cell_type for r in filters.incomplete_metrics(rows).collect()} == {"x", "z"}
+
+
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
