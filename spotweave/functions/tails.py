@@ -7,12 +7,15 @@ Arrow-batched UDFs; all sums over data are made by Spark before.
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F, types as T
 
-_ERF = np.vectorize(math.erf, otypes=[float])
+# workers get these helpers with the task and need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _beta_fraction(a: float, b: float, x: float) -> float:
@@ -57,8 +60,9 @@ def f_tail(f: float, df1: float, df2: float) -> float:
 _NODES, _WEIGHTS = np.polynomial.legendre.leggauss(96)
 
 
-def _normal_cdf(z):
-    return 0.5 * (1.0 + _ERF(z / math.sqrt(2.0)))
+def _normal_cdf(z: np.ndarray) -> np.ndarray:
+    erf = np.fromiter((math.erf(v) for v in (z / math.sqrt(2.0)).ravel()), float, z.size)
+    return 0.5 * (1.0 + erf.reshape(z.shape))
 
 
 _Z = 8.5 * _NODES

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, functions as F
 
 from spotweave.functions.scalar import mean_sd_label, safe_ratio
@@ -13,6 +15,9 @@ from spotweave.operators.order_stats import exact_quantiles
 from spotweave.session import stored
 from spotweave.tables import nan_to_null
 
+# workers get the resampling helper with the task and need not have the package installed
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def improvement(first: DataFrame, second: DataFrame, keys: Sequence[str], value: str = "value") -> DataFrame:
     """Percent by which ``second`` lowers the metric of ``first``."""
