@@ -26,6 +26,10 @@ ORDER = 5
 SHARD_ENTRIES = 2_000_000
 #: Share of the trusted documents of a language that the threshold keeps.
 QUANTILE = 0.995
+#: One in so many trusted documents sets the thresholds; the others train the model.
+HELD_OUT = 4
+#: The last length class holds all longer texts.
+LAST_CLASS = 3
 #: Before the first character of a text.
 PAD = "\x02"
 #: Resolution of the exact histogram of log perplexities.
@@ -120,10 +124,10 @@ def _discounts(level: DataFrame) -> DataFrame:
     """lang, d1, d2, d3: modified Kneser-Ney discounts from counts of counts; common values where those are too few."""
     c = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)]
     counted = level.groupBy("lang").agg(*c)
-    y = F.col("c1") / (F.col("c1") + 2 * F.col("c2"))
+    y = F.try_divide(F.col("c1"), F.col("c1") + 2 * F.col("c2"))
 
     def one(k: int, common: float) -> Column:
-        d = k - (k + 1) * y * F.col(f"c{k + 1}") / F.col(f"c{k}")
+        d = k - (k + 1) * y * F.try_divide(F.col(f"c{k + 1}"), F.col(f"c{k}"))
         return F.when((F.col(f"c{k}") > 0) & (d > 0) & (d < k), d).otherwise(common).alias(f"d{k}")
 
     return counted.select("lang", one(1, 0.5), one(2, 1.0), one(3, 1.5))
@@ -257,18 +261,42 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str]
     return current, name
 
 
-def thresholds(scored: DataFrame, trusted_ids: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, cut: the log perplexity that a share ``quantile`` of the language's trusted documents doesn't exceed.
+def length_class(characters: Column) -> Column:
+    """0, 1, 2, ...: a class for every factor of four in length, from 128 characters on; short texts vary more."""
+    return F.greatest(F.lit(0), F.floor((F.log2(characters + 1.0) - 5) / 2)).cast("int")
 
-    ``scored``: doc_id, lang, log_perplexity. From an exact histogram whose
-    number of bins doesn't depend on the number of documents.
+
+def _cuts(bins: DataFrame, keys: list[str], quantile: float) -> DataFrame:
+    """keys, cut (null if too few documents), top, mid: bins of the quantile, the maximum and the median."""
+    each = Window.partitionBy(*keys)
+    rows = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
+    rows = rows.select(*keys, "bin", F.sum("n").over(each.orderBy("bin")).alias("up_to"), F.sum("n").over(each).alias("all_n"))
+    # this order statistic is not exceeded by a new document with probability ``quantile``
+    wanted = F.ceil((F.col("all_n") + 1) * quantile)
+    return rows.groupBy(*keys).agg(
+        F.min(F.when(F.col("up_to") >= wanted, F.col("bin"))).alias("cut"),
+        F.max("bin").alias("top"),
+        F.min(F.when(2 * F.col("up_to") >= F.col("all_n"), F.col("bin"))).alias("mid"),
+    )
+
+
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, class, cut: the log perplexity above which a document of the language and length class is rejected.
+
+    ``scored``: lang, class, log_perplexity of trusted documents that the model
+    wasn't trained on. The cut is their ``quantile``, from an exact histogram whose
+    number of bins doesn't depend on the number of documents. A class with too
+    few documents for it takes the cut of the language; a language with too few,
+    its maximum and as much again as that lies above the median.
     """
-    own = scored.where("log_perplexity IS NOT NULL").join(trusted_ids, "doc_id", "left_semi")
-    bins = own.groupBy("lang", F.ceil(F.col("log_perplexity") * BINS_PER_NAT).alias("bin")).agg(F.count("*").alias("n"))
-    up = Window.partitionBy("lang").orderBy("bin")
-    share = F.sum("n").over(up) / F.sum("n").over(Window.partitionBy("lang"))
-    reached = bins.withColumn("share", share).where(F.col("share") >= quantile)
-    return reached.groupBy("lang").agg((F.min("bin") / BINS_PER_NAT).alias("cut"))
+    bins = scored.where("log_perplexity IS NOT NULL").groupBy("lang", "class", F.ceil(F.col("log_perplexity") * BINS_PER_NAT).alias("bin"))
+    bins = stored(bins.agg(F.count("*").alias("n")), "bins")
+    by_lang = _cuts(bins, ["lang"], quantile).select("lang", F.coalesce("cut", 2 * F.col("top") - F.col("mid")).alias("lang_cut"))
+    every_class = F.explode(F.sequence(F.lit(0), F.lit(LAST_CLASS))).alias("class")
+    by_class = _cuts(bins, ["lang", "class"], quantile).select("lang", "class", "cut")
+    return by_lang.select("lang", "lang_cut", every_class).join(by_class, ["lang", "class"], "left").select(
+        "lang", "class", (F.coalesce("cut", "lang_cut") / BINS_PER_NAT).alias("cut")
+    )
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -279,18 +307,22 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
 def _fit(docs: DataFrame, labels: DataFrame, order: int, quantile: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(model, scored documents, thresholds)."""
     ids = trusted_ids(labels)
-    model = train(docs.select("doc_id", "lang", "text").join(ids, "doc_id", "left_semi"), order)
-    rows, name = score(docs.select("doc_id", "lang", "text"), model, order, ["doc_id", "lang"])
-    scored = stored(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.col(name).alias("log_perplexity")), "scored")
-    return model, scored, stored(thresholds(scored, ids, quantile), "thresholds")
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
+    texts = docs.select("doc_id", "lang", "text")
+    model = train(texts.where(~apart).join(ids, "doc_id", "left_semi"), order)
+    sized = texts.withColumn("class", F.least(length_class(F.length("text")), F.lit(LAST_CLASS)))
+    rows, name = score(sized, model, order, ["doc_id", "lang", "class"])
+    scored = stored(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "class", F.col(name).alias("log_perplexity")), "scored")
+    return model, scored, stored(thresholds(scored.where(apart).join(ids, "doc_id", "left_semi"), quantile), "thresholds")
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for each row of ``docs`` (doc_id, lang, text, ...).
 
     ``labels``: doc_id, quality; the documents with quality 1 are the trusted
-    text, all of it. kept: the perplexity per character doesn't exceed the
-    language's threshold.
+    text: a quarter by the hash of the id sets the thresholds, the model is
+    trained on all others. kept: the perplexity per character doesn't exceed the
+    threshold of the language and length class.
 
     A text without characters and a language without trusted text have no
     perplexity and are kept: there is nothing to judge them by. A null lang counts
@@ -299,8 +331,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     nothing. No rows: no rows.
     """
     _, scored, cuts = _fit(docs, labels, order, quantile)
-    # a row for each language
-    joined = scored.join(F.broadcast(cuts), "lang", "left")
+    joined = scored.join(F.broadcast(cuts), ["lang", "class"], "left")  # some rows for each language
     return joined.select(
         "doc_id",
         "lang",
@@ -314,8 +345,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
     """Rows of ``docs`` that ``classify`` keeps, with all their columns."""
     model, _, cuts = _fit(docs, labels, order, quantile)
     rows, name = score(docs, model, order)
-    lang, cut = free_name(docs, "cut_lang"), free_name(docs, "cut_value")
-    cuts = cuts.select(F.col("lang").alias(lang), F.col("cut").alias(cut))
-    joined = rows.join(F.broadcast(cuts), F.coalesce(rows["lang"], F.lit("")) == F.col(lang), "left")
+    lang, size, cut = (free_name(docs, c) for c in ("cut_lang", "cut_class", "cut_value"))
+    cuts = cuts.select(F.col("lang").alias(lang), F.col("class").alias(size), F.col("cut").alias(cut))
+    own = F.least(length_class(F.length(rows["text"])), F.lit(LAST_CLASS))
+    joined = rows.join(F.broadcast(cuts), (F.coalesce(rows["lang"], F.lit("")) == F.col(lang)) & (own == F.col(size)), "left")
     good = joined.where(F.coalesce(F.col(name) <= F.col(cut), F.lit(True)))
     return good.select(*(F.col(f"`{c}`") for c in docs.columns))
