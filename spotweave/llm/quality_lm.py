@@ -178,22 +178,41 @@ def _shard_of(shards: int) -> Column:
     return F.when(F.length(context) >= 2, (31 * F.ascii(a) + F.ascii(b)) % shards).otherwise(-1)
 
 
+def keyed(model: DataFrame) -> DataFrame:
+    """lang, kind, key, value: the model with a 64-bit key in place of each gram."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = batch.column("gram").to_pylist()
+            lengths = np.fromiter(map(len, grams), np.int64, len(grams))
+            keys = np.zeros(len(grams), np.uint64)
+            for k in np.unique(lengths[lengths > 0]).tolist():
+                own = np.flatnonzero(lengths == k)
+                codes = np.frombuffer("".join(grams[i] for i in own).encode("utf-32-le"), "<u4").astype(np.uint64)
+                keys[own] = _keys(codes, np.arange(k - 1, len(codes), k), k)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("lang"), batch.column("kind"), pa.array(keys.view(np.int64)), batch.column("value")],
+                names=["lang", "kind", "key", "value"],
+            )
+
+    return model.select("lang", "kind", "gram", F.col("value").cast("float").alias("value")).mapInArrow(
+        task, "lang string, kind string, key long, value float"
+    )
+
+
 def _shard_tables(rows: DataFrame) -> dict[str, tuple[Table, Table, float]]:
     """For each language the tables of probabilities and weights, and the value of an unseen character."""
-    got = rows.select("lang", "kind", "gram", "value").toPandas()
+    got = keyed(rows).toArrow()
+    lang, kind = (got.column(c).combine_chunks().dictionary_encode() for c in ("lang", "kind"))
+    langs, kinds = lang.dictionary.to_pylist(), kind.dictionary.to_pylist()
+    lang, kind = lang.indices.to_numpy(), kind.indices.to_numpy()
+    keys, values = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
     out = {}
-    for lang, part in got.groupby("lang"):
-        tables = []
-        for kind in "pg":
-            own = part[part["kind"] == kind]
-            keys, values = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
-            for k, same in own.groupby(own["gram"].str.len()):
-                codes = np.frombuffer("".join(same["gram"]).encode("utf-32-le"), "<u4").astype(np.uint64)
-                keys.append(_keys(codes, np.arange(k - 1, len(codes), k), int(k)))
-                values.append(same["value"].to_numpy(np.float32))
-            tables.append(Table(np.concatenate(keys), np.concatenate(values)))
-        unseen = part.loc[part["kind"] == "u", "value"]
-        out[lang] = (*tables, float(unseen.iloc[0]))
+    for i, name in enumerate(langs):
+        own = {k: (lang == i) & (kind == j) for j, k in enumerate(kinds)}
+        none = np.zeros(len(keys), bool)
+        tables = [Table(keys[m], values[m]) for m in (own.get("p", none), own.get("g", none))]
+        out[name] = (*tables, float(values[own["u"]][0]))
     return out
 
 
