@@ -53,7 +53,7 @@ def _positions(lengths: np.ndarray, order: int) -> np.ndarray:
 
 def _keys(codes: np.ndarray, last: np.ndarray, order: int) -> np.ndarray:
     """64-bit keys of the n-grams of ``order`` characters that end at ``last``; never 0."""
-    h = np.full(len(last), order, np.uint64)
+    h = np.full(len(last), order, np.uint64) * _SPREAD  # far from any code point, so orders do not meet
     for j in range(order - 1, -1, -1):
         h = (h ^ codes[last - j]) * _MIX
         h ^= h >> np.uint64(29)
@@ -120,17 +120,24 @@ def ngram_counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return seen.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(level: DataFrame) -> DataFrame:
-    """lang, d1, d2, d3: modified Kneser-Ney discounts from counts of counts; common values where those are too few."""
-    c = [F.sum(F.when(F.col("n") == k, 1).otherwise(0)).cast("double").alias(f"c{k}") for k in (1, 2, 3, 4)]
-    counted = level.groupBy("lang").agg(*c)
+def _levels(counts: DataFrame, order: int) -> DataFrame:
+    """lang, gram, n for all orders: counts of the highest, below it the number of different characters seen before the gram."""
+    longer = counts.select("lang", F.explode(F.array(*(F.substring("gram", 1 + order - k, k) for k in range(2, order + 1)))).alias("longer"))
+    lower = longer.distinct().groupBy("lang", F.expr("substring(longer, 2)").alias("gram")).agg(F.count("*").alias("n"))
+    return counts.union(lower)
+
+
+def _discounts(levels: DataFrame) -> DataFrame:
+    """lang, k, d1, d2, d3: modified Kneser-Ney discounts from counts of counts; common values where those are too few."""
+    c = [F.sum(F.when(F.col("n") == i, 1).otherwise(0)).cast("double").alias(f"c{i}") for i in (1, 2, 3, 4)]
+    counted = levels.groupBy("lang", F.length("gram").alias("k")).agg(*c)
     y = F.try_divide(F.col("c1"), F.col("c1") + 2 * F.col("c2"))
 
-    def one(k: int, common: float) -> Column:
-        d = k - (k + 1) * y * F.try_divide(F.col(f"c{k + 1}"), F.col(f"c{k}"))
-        return F.when((F.col(f"c{k}") > 0) & (d > 0) & (d < k), d).otherwise(common).alias(f"d{k}")
+    def one(i: int, common: float) -> Column:
+        d = i - (i + 1) * y * F.try_divide(F.col(f"c{i + 1}"), F.col(f"c{i}"))
+        return F.when((F.col(f"c{i}") > 0) & (d > 0) & (d < i), d).otherwise(common).alias(f"d{i}")
 
-    return counted.select("lang", one(1, 0.5), one(2, 1.0), one(3, 1.5))
+    return counted.select("lang", "k", one(1, 0.5), one(2, 1.0), one(3, 1.5))
 
 
 def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
@@ -141,33 +148,39 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     as a context, leaves to the lower order; kind 'u' (gram empty): log
     probability of a character never seen.
     """
-    level = stored(ngram_counts(trusted, order), "counts")
-    levels = {order: level}
-    for k in range(order - 1, 0, -1):
-        level = level.groupBy("lang", F.substring("gram", 2, k).alias("gram")).agg(F.count("*").alias("n"))
-        levels[k] = level
-    out, lower = [], None
+    levels = stored(_levels(stored(ngram_counts(trusted, order), "counts"), order), "levels")
+    joined = levels.withColumn("k", F.length("gram")).join(F.broadcast(_discounts(levels)), ["lang", "k"])  # a row for each language and order
+    context = F.expr("left(gram, k - 1)")
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    freed = joined.select("lang", "k", "gram", context.alias("context"), "n", d.alias("d"))
+    # as many rows for a context as there are characters
+    same = Window.partitionBy("lang", "k", "context")
+    total = F.sum("n").over(same)
+    parts = freed.select(
+        "lang",
+        "k",
+        "gram",
+        "context",
+        ((F.col("n") - F.col("d")) / total).alias("seen"),
+        (F.sum("d").over(same) / total).alias("weight"),
+        F.count("*").over(same).alias("types"),
+    )
+    parts = stored(parts, "parts")
+    # the weights of contexts: every gram of a context has the same
+    weights = parts.groupBy("lang", "k", "context").agg(F.first("weight").alias("weight"), F.first("types").alias("types"))
+    unseen = F.when(F.col("k") == 1, F.log(F.col("weight") / (F.col("types") + 1))).otherwise(F.log("weight"))
+    model = weights.select("lang", F.when(F.col("k") == 1, "u").otherwise("g").alias("kind"), F.col("context").alias("gram"), unseen.alias("value"))
+    lower = None
     for k in range(1, order + 1):
-        level = levels[k].join(F.broadcast(_discounts(levels[k])), "lang")  # a row for each language
-        level = level.withColumn("d", F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3")))
-        level = level.withColumn("context", F.substring("gram", 1, k - 1) if k > 1 else F.lit(""))
-        contexts = level.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"), F.count("*").alias("types"))
-        weight = F.col("freed") / F.col("total")
-        seen = level.join(contexts, ["lang", "context"])
+        own = parts.where(F.col("k") == k)
         if lower is None:
-            below = 1 / (F.col("types") + 1)
-            out.append(contexts.select("lang", F.lit("u").alias("kind"), F.lit("").alias("gram"), F.log(weight * below).alias("value")))
+            p = own.select("lang", "gram", (F.col("seen") + F.col("weight") / (F.col("types") + 1)).alias("p"))
         else:
-            seen = seen.withColumn("suffix", F.substring("gram", 2, k - 1)).join(
-                lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("p_low")), ["lang", "suffix"]
-            )
-            below = F.col("p_low")
-            out.append(contexts.select("lang", F.lit("g").alias("kind"), F.col("context").alias("gram"), F.log(weight).alias("value")))
-        lower = stored(seen.select("lang", "gram", ((F.col("n") - F.col("d")) / F.col("total") + weight * below).alias("p")), f"order{k}")
-        out.append(lower.select("lang", F.lit("p").alias("kind"), "gram", F.log("p").alias("value")))
-    model = out[0]
-    for part in out[1:]:
-        model = model.union(part)
+            below = lower.select("lang", F.col("gram").alias("suffix"), F.col("p").alias("below"))
+            own = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, ["lang", "suffix"])
+            p = own.select("lang", "gram", (F.col("seen") + F.col("weight") * F.col("below")).alias("p"))
+        lower = stored(p, f"order{k}")
+        model = model.union(lower.select("lang", F.lit("p").alias("kind"), "gram", F.log("p").alias("value")))
     return stored(model, "model")
 
 
@@ -200,20 +213,26 @@ def keyed(model: DataFrame) -> DataFrame:
     )
 
 
-def _shard_tables(rows: DataFrame) -> dict[str, tuple[Table, Table, float]]:
-    """For each language the tables of probabilities and weights, and the value of an unseen character."""
-    got = keyed(rows).toArrow()
-    lang, kind = (got.column(c).combine_chunks().dictionary_encode() for c in ("lang", "kind"))
-    langs, kinds = lang.dictionary.to_pylist(), kind.dictionary.to_pylist()
-    lang, kind = lang.indices.to_numpy(), kind.indices.to_numpy()
-    keys, values = got.column("key").to_numpy().view(np.uint64), got.column("value").to_numpy()
-    out = {}
-    for i, name in enumerate(langs):
-        own = {k: (lang == i) & (kind == j) for j, k in enumerate(kinds)}
-        none = np.zeros(len(keys), bool)
-        tables = [Table(keys[m], values[m]) for m in (own.get("p", none), own.get("g", none))]
-        out[name] = (*tables, float(values[own["u"]][0]))
-    return out
+class Shard:
+    """Model rows of a shard; a worker makes the tables once and keeps them for its later tasks."""
+
+    def __init__(self, rows: pa.Table):
+        lang, kind = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "kind"))
+        self.langs, self.kinds = lang.dictionary.to_pylist(), kind.dictionary.to_pylist()
+        self.lang, self.kind = (x.indices.to_numpy().astype(np.int32) for x in (lang, kind))
+        self.keys, self.values = rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()
+        self.made: dict[str, tuple[Table, Table, float]] | None = None
+
+    def tables(self) -> dict[str, tuple[Table, Table, float]]:
+        """For each language the tables of probabilities and weights, and the value of an unseen character."""
+        if self.made is None:
+            self.made = {}
+            for i, name in enumerate(self.langs):
+                own = {k: (self.lang == i) & (self.kind == j) for j, k in enumerate(self.kinds)}
+                none = np.zeros(len(self.keys), bool)
+                p, g = (Table(self.keys[m], self.values[m]) for m in (own.get("p", none), own.get("g", none)))
+                self.made[name] = (p, g, float(self.values[own["u"]][0]))
+        return self.made
 
 
 def _log_probs(codes: np.ndarray, last: np.ndarray, tables: tuple[Table, Table, float], order: int) -> np.ndarray:
@@ -246,12 +265,12 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str]
     current = docs.withColumns({f"{name}_sum": F.lit(0.0)})
     for s in range(shards):
         held = _shard_of(shards)
-        tables = spark.sparkContext.broadcast(_shard_tables(model.where((held == s) | (held == -1))))
+        tables = spark.sparkContext.broadcast(Shard(keyed(model.where((held == s) | (held == -1))).toArrow()))
         sum_name, final = f"{name}_sum", s == shards - 1
         columns = (keep if final else docs.columns) + [name if final else sum_name]
 
         def task(batches, s=s, tables=tables, columns=columns, sum_name=sum_name, final=final):
-            known = tables.value
+            known = tables.value.tables()
             for batch in batches:
                 for part in slices(batch, "text"):
                     langs = [v or "" for v in part.column("lang").to_pylist()]
@@ -328,7 +347,8 @@ def _fit(docs: DataFrame, labels: DataFrame, order: int, quantile: float) -> tup
     ids = trusted_ids(labels)
     apart = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
     texts = docs.select("doc_id", "lang", "text")
-    model = train(texts.where(~apart).join(ids, "doc_id", "left_semi"), order)
+    # the same plan at every size: labels grow with the corpus, so they are never broadcast
+    model = train(texts.where(~apart).join(ids.hint("merge"), "doc_id", "left_semi"), order)
     sized = texts.withColumn("class", F.least(length_class(F.length("text")), F.lit(LAST_CLASS)))
     rows, name = score(sized, model, order, ["doc_id", "lang", "class"])
     scored = stored(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "class", F.col(name).alias("log_perplexity")), "scored")
