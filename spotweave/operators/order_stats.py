@@ -1,11 +1,10 @@
-"""Exact quantiles of groups of any size.
-
-The built-in ``percentile`` keeps every distinct value of a group in one task,
-which fails once a group holds a third of a large table. It is used only
-after counting the distinct values. Beyond that size a mergeable sketch
-proposes cut points; counts per interval are exact, so the interval that holds
-a wanted rank is known exactly, and just that narrow interval is sorted. A
-poor sketch costs time, never correctness.
+"""Exact quantiles of groups of any size, one way for all.
+
+Values are counted per group, then dealt to ranges of (group, value), so a group
+that holds a third of the table is spread over many tasks. The weight of each
+range, summed over the ranges before it, gives the rank at which a range begins;
+within a range the running sum gives the rank of each value. No task holds more
+than a range.
 """
 
 from __future__ import annotations
@@ -16,11 +15,6 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotweave.session import stored
 
-# distinct values, over all groups, that one aggregation may hold in memory
-_IN_MEMORY = 2_000_000
-_MARGIN = 0.001
-_ACCURACY = 20000
-
 
 def exact_quantiles(
     df: DataFrame,
@@ -30,7 +24,6 @@ def exact_quantiles(
     names: Sequence[str],
     weight: str | None = None,
     nan_result: bool = False,
-    in_memory: int = _IN_MEMORY,
 ) -> DataFrame:
     """Quantiles by linear interpolation (numpy's default), one row per group.
 
@@ -38,8 +31,7 @@ def exact_quantiles(
     ``nan_result``, where one NaN makes the quantiles of its group NaN.
     ``weight`` is a column of repeat counts, e.g. to add implicit zeros.
     Groups with no usable value are absent, except NaN groups under
-    ``nan_result``. Values are counted and stored at once; up to ``in_memory``
-    distinct ones take the built-in aggregate.
+    ``nan_result``.
     """
     keys = list(keys)
     repeat = F.count(F.lit(1)) if weight is None else F.sum(weight)
@@ -51,11 +43,7 @@ def exact_quantiles(
         "counted",
     )
     finite = counted.where(~F.isnan("_v"))
-    if counted.count() <= in_memory:
-        got = finite.groupBy(*keys).agg(F.percentile("_v", [float(p) for p in probs], F.col("_n")).alias("_q"))
-        out = got.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
-    else:
-        out = _ranked_quantiles(finite, keys, probs, names)
+    out = _ranked_quantiles(finite, keys, probs, names)
     if not keys:
         return out
     if nan_result:
@@ -67,21 +55,20 @@ def exact_quantiles(
 
 
 def _ranked_quantiles(finite: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]) -> DataFrame:
-    """Quantiles of counted values by exact ranks within narrow intervals."""
+    """Quantiles of counted values by exact ranks within ranges."""
     ids = keys or ["_all"]
     finite = finite if keys else finite.withColumn("_all", F.lit(0))
-
-    at = sorted({min(1.0, max(0.0, p + d)) for p in probs for d in (-_MARGIN, _MARGIN)})
-    # one row per group; stored, so that a hot group is not shuffled to meet it
-    cuts = stored(
-        finite.groupBy(*ids).agg(
-            F.percentile_approx("_v", at, _ACCURACY).alias("_cuts"), F.sum("_n").alias("_total")
-        ),
-        "cuts",
+    ranged = stored(finite.repartitionByRange(*ids, "_v").withColumn("_range", F.spark_partition_id()), "ranges")
+    # one row for each group and range
+    weights = ranged.groupBy(*ids, "_range").agg(F.sum("_n").alias("_in_range"))
+    all_of = W.partitionBy(*ids)
+    before = all_of.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    starts = weights.select(
+        *ids,
+        "_range",
+        F.coalesce(F.sum("_in_range").over(before), F.lit(0)).alias("_offset"),
+        F.sum("_in_range").over(all_of).alias("_total"),
     )
-    interval = sum(((F.col("_v") >= F.col("_cuts")[i]).cast("int") for i in range(len(at))), F.lit(0))
-    placed = finite.join(cuts, ids).withColumn("_bin", interval).drop("_cuts")
-
     positions = [F.lit(float(p)) * (F.col("_total") - 1) for p in probs]
     ranks = [r for pos in positions for r in (F.floor(pos), F.ceil(pos))]
 
@@ -91,17 +78,9 @@ def _ranked_quantiles(finite: DataFrame, keys: list[str], probs: Sequence[float]
             hit = hit | ((r >= start) & (r < start + count))
         return hit
 
-    bins = placed.groupBy(*ids, "_bin").agg(F.sum("_n").alias("_in_bin"), F.max("_total").alias("_total"))
-    before = W.partitionBy(*ids).orderBy("_bin").rowsBetween(W.unboundedPreceding, -1)
-    wanted = stored(
-        bins.withColumn("_offset", F.coalesce(F.sum("_in_bin").over(before), F.lit(0)))
-        .where(holds(F.col("_offset"), F.col("_in_bin")))
-        .select(*ids, "_bin", "_offset"),
-        "intervals",
-    )
-    inside = W.partitionBy(*ids, "_bin").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    inside = W.partitionBy(*ids, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
     located = (
-        placed.join(wanted, [*ids, "_bin"])
+        ranged.join(starts, [*ids, "_range"])
         .withColumn("_start", F.col("_offset") + F.coalesce(F.sum("_n").over(inside), F.lit(0)))
         .where(holds(F.col("_start"), F.col("_n")))
     )
@@ -120,7 +99,9 @@ def _ranked_quantiles(finite: DataFrame, keys: list[str], probs: Sequence[float]
     out = found.select(
         *ids,
         *[
-            (F.col(f"_lo{i}") + F.col(f"_f{i}") * (F.col(f"_hi{i}") - F.col(f"_lo{i}"))).alias(n)
+            F.when(F.col(f"_lo{i}") == F.col(f"_hi{i}"), F.col(f"_lo{i}"))
+            .otherwise((1 - F.col(f"_f{i}")) * F.col(f"_lo{i}") + F.col(f"_f{i}") * F.col(f"_hi{i}"))
+            .alias(n)
             for i, n in enumerate(names)
         ],
     )

@@ -166,8 +166,7 @@ def test_layer_summary_nan_rules(spark):
     assert strict["Average NRMSE"] == 3 and strict["Median MAE"] == 4 and loose["Average RMSE"] == 3
 
 
-@pytest.mark.parametrize("in_memory", [0, 10**6])
-def test_exact_quantiles(spark, in_memory):
+def test_exact_quantiles(spark):
     rng = np.random.default_rng(8)
     groups = {
         "normal": rng.normal(size=20001),
@@ -180,23 +179,22 @@ def test_exact_quantiles(spark, in_memory):
     df = spark.createDataFrame(pdf).repartition(7)
     probs = [0.0, 0.25, 0.5, 0.9, 1.0]
     names = [f"q{i}" for i in range(5)]
-    out = order_stats.exact_quantiles(df, ["g"], "v", probs, names, in_memory=in_memory)
+    out = order_stats.exact_quantiles(df, ["g"], "v", probs, names)
     for r in out.collect():
         assert [r[n] for n in names] == pytest.approx(list(np.quantile(groups[r.g], probs)), rel=1e-12)
-    whole = order_stats.exact_quantiles(df, [], "v", probs, names, in_memory=in_memory).first()
+    whole = order_stats.exact_quantiles(df, [], "v", probs, names).first()
     assert list(whole) == pytest.approx(list(np.quantile(pdf.v, probs)), rel=1e-12)
 
 
-@pytest.mark.parametrize("in_memory", [0, 10**6])
-def test_weighted_quantiles_and_nan(spark, in_memory):
+def test_weighted_quantiles_and_nan(spark):
     df = spark.createDataFrame(
         [("a", 0.0, 7), ("a", 3.0, 2), ("a", 9.0, 1), ("b", math.nan, 1), ("b", 2.0, 1)], "g string, v double, n long"
     )
-    plain = order_stats.exact_quantiles(df, ["g"], "v", [0.5, 0.75], ["m", "q"], weight="n", in_memory=in_memory)
+    plain = order_stats.exact_quantiles(df, ["g"], "v", [0.5, 0.75], ["m", "q"], weight="n")
     got = {r.g: (r.m, r.q) for r in plain.collect()}
     assert got["a"] == pytest.approx(tuple(np.quantile([0] * 7 + [3] * 2 + [9], [0.5, 0.75]))) and got["b"] == (2, 2)
     nan = order_stats.exact_quantiles(
-        df, ["g"], "v", [0.5], ["m"], weight="n", nan_result=True, in_memory=in_memory
+        df, ["g"], "v", [0.5], ["m"], weight="n", nan_result=True
     )
     got = {r.g: r.m for r in nan.collect()}
     assert got["a"] == 0 and math.isnan(got["b"])
