@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.session import stored
 
@@ -39,6 +39,11 @@ def prefix_totals(
     )
 
 
+def _nonzero() -> Column:
+    """Expressed: neither zero nor missing nor NaN."""
+    return (F.col("value") != 0) & ~F.isnan(F.col("value").cast("double"))
+
+
 def gene_stats(expr: DataFrame, within: Sequence[str] = ("sample",), cells: DataFrame | None = None) -> DataFrame:
     """Per gene: cells with a nonzero value, mean over them, and all cells.
 
@@ -46,10 +51,11 @@ def gene_stats(expr: DataFrame, within: Sequence[str] = ("sample",), cells: Data
     any expression are counted.
     """
     within = list(within)
+    nonzero = _nonzero()
     rows = (expr if cells is None else cells).groupBy(*within, "spot").agg(F.lit(1).alias("_one"))
     total = rows.groupBy(*within).agg(F.sum("_one").alias("n_cells"))
     stats = expr.groupBy(*within, "gene").agg(
-        F.count(F.lit(1)).alias("n_nonzero"), F.avg("value").alias("nonzero_mean")
+        F.count_if(nonzero).alias("n_nonzero"), F.avg(F.when(nonzero, F.col("value"))).alias("nonzero_mean")
     )
     if within:
         return stats.join(total, within)
@@ -92,9 +98,9 @@ def filter_min(
 ) -> DataFrame:
     """Cells with enough genes, then genes in enough of the cells left."""
     within = list(within)
-    cells = expr.groupBy(*within, "spot").count().where(F.col("count") >= min_genes)
+    cells = expr.where(_nonzero()).groupBy(*within, "spot").count().where(F.col("count") >= min_genes)
     left = _keep(expr, cells, [*within, "spot"])
-    genes = left.groupBy(*within, "gene").count().where(F.col("count") >= min_cells)
+    genes = left.where(_nonzero()).groupBy(*within, "gene").count().where(F.col("count") >= min_cells)
     return _keep(left, genes, [*within, "gene"])
 
 

@@ -74,14 +74,14 @@ def grid(rows: DataFrame, cols: DataFrame, column: str, spread: int = 64) -> Dat
     """Every row with every value of ``column``.
 
     A short column list becomes an array literal and no join is needed. A
-    long one is spread over ``spread`` copies and met by an equality join, so
+    long one, with the same rows, is spread over ``spread`` copies and met by an equality join, so
     the work is split evenly.
     """
     values = few_values(cols, column)
     if values is not None:
         kind = cols.schema[column].dataType
         return rows.withColumn(column, F.explode(F.array(*[F.lit(v).cast(kind) for v in values])))
-    copies = cols.select(column).distinct().withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
+    copies = cols.select(column).where(F.col(column).isNotNull()).distinct().withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(spread - 1))))
     slot = F.pmod(F.xxhash64(*rows.columns), F.lit(spread)).cast("int")
     return rows.withColumn("_copy", slot).join(copies, "_copy").drop("_copy")
 

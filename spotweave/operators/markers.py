@@ -4,18 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spotweave.functions.scalar import safe_ratio
 from spotweave.operators.joins import grid
 from spotweave.session import stored
 
 
+def _variance(squares: Column, n: Column, mean: Column) -> Column:
+    """Sample variance; what rounding of the two sums can leave of a constant is zero, too few cells give NULL."""
+    left = squares - n * mean * mean
+    return F.when(n > 1, F.when(left > 1e-12 * squares, left).otherwise(0.0) / F.nullif(n - 1, F.lit(0)))
+
+
 def rank_markers(expr: DataFrame, labels: DataFrame, top: int = 100, cell: Sequence[str] = ("spot",)) -> DataFrame:
     """Welch t of each type against all other cells, best ``top`` genes per type.
 
     ``labels`` gives one ``cell_type`` per cell. Implicit zeros enter by the
-    cell counts. Moments stay at one row per (type, gene).
+    cell counts. Moments stay at one row per (type, gene). A gene without spread
+    in either group has no t and comes last.
     """
     v = F.col("value")
     sizes = labels.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n1"))
@@ -30,9 +37,10 @@ def rank_markers(expr: DataFrame, labels: DataFrame, top: int = 100, cell: Seque
     rows = every.join(sizes, "cell_type").withColumn("n2", all_cells.scalar() - F.col("n1"))
     s2, ss2 = F.col("s") - F.col("s1"), F.col("ss") - F.col("ss1")
     m1, m2 = F.col("s1") / F.col("n1"), s2 / F.col("n2")
-    var1 = (F.col("ss1") - F.col("n1") * m1 * m1) / (F.col("n1") - 1)
-    var2 = (ss2 - F.col("n2") * m2 * m2) / (F.col("n2") - 1)
+    var1 = _variance(F.col("ss1"), F.col("n1"), m1)
+    var2 = _variance(ss2, F.col("n2"), m2)
     t = safe_ratio(m1 - m2, F.sqrt(var1 / F.col("n1") + var2 / F.col("n2")))
+    t = F.when(~F.isnan(t) & (F.abs(t) != float("inf")), t)
     best = W.partitionBy("cell_type").orderBy(F.col("t").desc_nulls_last(), F.col("gene"))
     return (
         rows.select("cell_type", "gene", m1.alias("mean_in"), m2.alias("mean_out"), t.alias("t"))
@@ -52,8 +60,8 @@ def gene_moments(expr: DataFrame, n_cells: DataFrame, within: Sequence[str] = ("
     sums = expr.groupBy(*within, "gene").agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"))
     m = sums.join(n_cells, list(within))
     mean = F.col("_s") / F.col("n_cells")
-    var = (F.col("_ss") - F.col("n_cells") * mean * mean) / (F.col("n_cells") - 1)
-    return m.select(*within, "gene", mean.alias("mean"), F.greatest(var, F.lit(0.0)).alias("variance"))
+    var = _variance(F.col("_ss"), F.col("n_cells"), mean)
+    return m.select(*within, "gene", mean.alias("mean"), var.alias("variance"))
 
 
 def variable_features(

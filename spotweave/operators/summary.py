@@ -85,6 +85,7 @@ def count_ratio(part: DataFrame, whole: DataFrame, by: Sequence[str] = ("cell_ty
 
 def describe(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Count, mean, sample deviation, minimum, quartiles and maximum."""
+    rows = nan_to_null(rows, [value])
     keys = list(keys)
     basic = rows.groupBy(*keys).agg(
         F.count(value).alias("n"),
@@ -101,6 +102,7 @@ def describe(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def box_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     """Whiskers within 1.5 interquartile ranges, quartiles, mean and outlier count."""
+    rows = nan_to_null(rows, [value])
     keys = list(keys)
     q = exact_quantiles(rows, keys, value, [0.25, 0.5, 0.75], ["q1", "median", "q3"]).withColumns(
         {
@@ -126,6 +128,7 @@ def box_stats(rows: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
 
 def metric_domain(rows: DataFrame, keys: Sequence[str] = ("metric",), value: str = "value") -> DataFrame:
     """Minimum, median and maximum per metric: the anchors of a colour scale."""
+    rows = nan_to_null(rows, [value])
     ends = rows.groupBy(*keys).agg(F.min(value).alias("min"), F.max(value).alias("max"))
     return ends.join(exact_quantiles(rows, keys, value, [0.5], ["median"]), list(keys))
 

@@ -35,8 +35,10 @@ def shared_dir(spark: SparkSession) -> str:
     if base is None:
         if not sc.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        base = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("spark.checkpoint.dir", base)
+        # the setting cannot be changed in a running session; Spark keeps the folder in use
+        if sc.getCheckpointDir() is None:
+            sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        return sc.getCheckpointDir().removeprefix("file:").rstrip("/")
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(base)
     return base.rstrip("/")

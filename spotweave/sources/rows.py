@@ -20,15 +20,15 @@ def scan_rows(
     """One scan over all files with a fixed schema; NaN text becomes NULL.
 
     ``fields`` maps new columns to patterns on the file path, e.g.
-    ``{"replicate": r"_map_(\\d+)\\.csv"}``. Column order in the files must
-    follow the schema.
+    ``{"replicate": r"_map_(\\d+)\\.csv"}``. A file whose header doesn't name the
+    schema's columns in their order is refused.
     """
     raw = (
         spark.read.schema(schema)
         .option("header", header)
         .option("nanValue", "NaN")
         .option("nullValue", "NA")
-        .option("enforceSchema", True)
+        .option("enforceSchema", not header)
         .csv(path)
     )
     extra = [path_field(p).alias(n) for n, p in (fields or {}).items()]

@@ -77,5 +77,7 @@ def run_stage(
             .parquet(rows)
         )
         runs.write.mode("overwrite" if rerun else "append").parquet(marks)
+    elif _read_or_none(spark, marks) is None:
+        return result
     # the known schema keeps keys like "00" text when they come back from folder names
     return spark.read.schema(result.schema).parquet(rows).join(spark.read.parquet(marks), list(keys), "left_semi")

@@ -30,7 +30,7 @@ def nan_to_null(df: DataFrame, columns: Iterable[str] | None = None) -> DataFram
 
 
 def few_values(df: DataFrame, column: str, bound: int = 2000) -> list | None:
-    """Distinct values in order, or ``None`` when there are more than ``bound``.
+    """Distinct values in order, without NULL, or ``None`` when there are more than ``bound``.
 
     At most ``bound + 1`` values reach the driver.
     """
