@@ -11,10 +11,16 @@ from spotweave.operators.joins import grid
 from spotweave.session import stored
 
 
-def _variance(squares: Column, n: Column, mean: Column) -> Column:
-    """Sample variance; what rounding of the two sums can leave of a constant is zero, too few cells give NULL."""
-    left = squares - n * mean * mean
-    return F.when(n > 1, F.when(left > 1e-12 * squares, left).otherwise(0.0) / F.nullif(n - 1, F.lit(0)))
+def _with_zeros(n_cells: Column) -> tuple[Column, Column]:
+    """(mean, squares about it) over ``n_cells`` cells, from n, m and m2 of the nonzero ones: the two groups merged."""
+    n, m = F.col("n"), F.col("m")
+    return n * m / n_cells, F.col("m2") + n * (n_cells - n) / n_cells * m * m
+
+
+def _nonzero_moments() -> list[Column]:
+    """n, m, m2: number, mean and squares about the mean of the values; Spark merges them without cancellation."""
+    v = F.col("value")
+    return [F.count(v).alias("n"), F.avg(v).alias("m"), (F.var_pop(v) * F.count(v)).alias("m2")]
 
 
 def rank_markers(expr: DataFrame, labels: DataFrame, top: int = 100, cell: Sequence[str] = ("spot",)) -> DataFrame:
@@ -24,21 +30,30 @@ def rank_markers(expr: DataFrame, labels: DataFrame, top: int = 100, cell: Seque
     cell counts. Moments stay at one row per (type, gene). A gene without spread
     in either group has no t and comes last.
     """
-    v = F.col("value")
     sizes = labels.groupBy("cell_type").agg(F.count(F.lit(1)).alias("n1"))
-    all_cells = sizes.agg(F.sum("n1"))
     own = (
         expr.join(labels.select(*cell, "cell_type"), list(cell))
         .groupBy("cell_type", "gene")
-        .agg(F.sum(v).alias("s1"), F.sum(v * v).alias("ss1"))
+        .agg(*_nonzero_moments())
+    )
+    every = grid(own.select("gene").distinct(), sizes, "cell_type").join(own, ["cell_type", "gene"], "left")
+    every = every.fillna(0, ["n"]).fillna(0.0, ["m", "m2"]).join(sizes, "cell_type")
+    mean, squares = _with_zeros(F.col("n1"))
+    # one entry for each cell type
+    types = F.collect_list(F.struct("cell_type", "n1", "mean", "squares")).over(W.partitionBy("gene"))
+    rows = every.select("cell_type", "gene", "n1", mean.alias("mean"), squares.alias("squares")).withColumn("_all", types)
+    rows = rows.withColumn("_rest", F.filter("_all", lambda o: o["cell_type"] != F.col("cell_type"))).drop("_all")
+
+    def over_rest(term) -> Column:
+        return F.aggregate("_rest", F.lit(0.0), lambda acc, o: acc + term(o))
+
+    rows = rows.withColumn("n2", over_rest(lambda o: o["n1"])).withColumn(
+        "mean2", F.try_divide(over_rest(lambda o: o["n1"] * o["mean"]), F.col("n2"))
     )
-    total = own.groupBy("gene").agg(F.sum("s1").alias("s"), F.sum("ss1").alias("ss"))
-    every = grid(total, sizes, "cell_type").join(own, ["cell_type", "gene"], "left").fillna(0.0, ["s1", "ss1"])
-    rows = every.join(sizes, "cell_type").withColumn("n2", all_cells.scalar() - F.col("n1"))
-    s2, ss2 = F.col("s") - F.col("s1"), F.col("ss") - F.col("ss1")
-    m1, m2 = F.col("s1") / F.col("n1"), s2 / F.col("n2")
-    var1 = _variance(F.col("ss1"), F.col("n1"), m1)
-    var2 = _variance(ss2, F.col("n2"), m2)
+    apart = over_rest(lambda o: o["squares"] + o["n1"] * (o["mean"] - F.col("mean2")) * (o["mean"] - F.col("mean2")))
+    m1, m2 = F.col("mean"), F.col("mean2")
+    var1 = F.try_divide("squares", F.col("n1") - 1)
+    var2 = F.try_divide(apart, F.col("n2") - 1)
     t = safe_ratio(m1 - m2, F.sqrt(var1 / F.col("n1") + var2 / F.col("n2")))
     t = F.when(~F.isnan(t) & (F.abs(t) != float("inf")), t)
     best = W.partitionBy("cell_type").orderBy(F.col("t").desc_nulls_last(), F.col("gene"))
@@ -56,11 +71,9 @@ def marker_union(ranked: DataFrame) -> DataFrame:
 
 def gene_moments(expr: DataFrame, n_cells: DataFrame, within: Sequence[str] = ("sample",)) -> DataFrame:
     """Mean and sample variance of each gene over all cells, zeros included."""
-    v = F.col("value")
-    sums = expr.groupBy(*within, "gene").agg(F.sum(v).alias("_s"), F.sum(v * v).alias("_ss"))
-    m = sums.join(n_cells, list(within))
-    mean = F.col("_s") / F.col("n_cells")
-    var = _variance(F.col("_ss"), F.col("n_cells"), mean)
+    m = expr.groupBy(*within, "gene").agg(*_nonzero_moments()).join(n_cells, list(within))
+    mean, squares = _with_zeros(F.col("n_cells"))
+    var = F.try_divide(squares, F.col("n_cells") - 1)
     return m.select(*within, "gene", mean.alias("mean"), var.alias("variance"))
 
 
