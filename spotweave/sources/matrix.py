@@ -25,10 +25,19 @@ def _first_cell(sep: str) -> Column:
 
 
 def _split_line(sep: str) -> Column:
-    plain = F.split(F.col("value"), sep if sep != "\t" else "\\t")
+    plain = F.split(F.col("value"), "\\Q" + sep + "\\E")
     return F.transform(plain, lambda c: F.trim(F.translate(c, '"', "")))
 
 
+def _header_lines(lines: DataFrame, keys: Sequence[str], index_label: str, sep: str) -> DataFrame:
+    """_file, keys, _line, _names: the first line of each file; a file that begins otherwise than with the label is refused."""
+    start = lines.where("_start = 0").withColumn("_at", F.monotonically_increasing_id())
+    first = start.groupBy("_file", *keys).agg(F.min_by("value", "_at").alias("value"))
+    wrong = F.raise_error(F.concat(F.lit("no header in "), F.col("_file")))
+    checked = first.withColumn("value", F.when(_first_cell(sep) == index_label, F.col("value")).otherwise(wrong))
+    return checked.select("_file", *keys, F.col("value").alias("_line"), F.slice(_split_line(sep), 2, 1 << 30).alias("_names"))
+
+
 def scan_wide(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -41,10 +50,11 @@ def scan_wide(
 ) -> DataFrame:
     """Long rows ``fields.., row_name, col_name, value`` of wide matrix files.
 
-    The first line of each file, known by its first cell ``index_label``,
-    names the columns. Lines meet the header of their own file and are zipped
-    with it before they are spread out, so the join carries one row per line
-    instead of one per cell, and zeros are never produced. Headers are stored
+    The first line of each file names the columns and must begin with
+    ``index_label``; a later line may begin likewise and is data. A line of another
+    width than its header is an error. Lines meet the header of their own file
+    and are zipped with it before they are spread out, so the join carries one row
+    per line instead of one per cell, and zeros are never produced. Headers are stored
     first: while they are small the data lines are not shuffled. Missing cells (empty
     or NaN) stay as NULL rows, so that checks can count them. ``fields`` maps
     column names to patterns on the file path.
@@ -52,30 +62,28 @@ def scan_wide(
     fields = fields or {}
     lines = spark.read.text(path).select(
         F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
         *[path_field(p).alias(n) for n, p in fields.items()],
         "value",
-        _first_cell(sep).alias(row_name),
     )
-    # the first cell alone tells headers from data, before any line is split
-    header = stored(
-        lines.where(F.col(row_name) == index_label).select(
-            "_file", F.slice(_split_line(sep), 2, 1 << 30).alias("_names")
-        ),
-        "headers",
-    )
-    body = lines.where((F.col(row_name) != index_label) & (F.col(row_name) != "")).select(
-        "_file", *fields, row_name, F.slice(_split_line(sep), 2, 1 << 30).alias("_values")
+    header = stored(_header_lines(lines, [], index_label, sep), "headers")
+    body = (
+        lines.where(F.trim("value") != "")
+        .join(header, "_file")
+        .where(F.col("value") != F.col("_line"))
+        .select(*fields, _first_cell(sep).alias(row_name), "_names", F.slice(_split_line(sep), 2, 1 << 30).alias("_values"))
     )
+    widths = F.concat(F.lit("line of another width than its header: "), F.col(row_name))
+    values = F.when(F.size("_values") == F.size("_names"), F.col("_values")).otherwise(F.raise_error(widths))
     pairs = F.zip_with(
         "_names",
-        "_values",
+        values,
         lambda n, v: F.struct(n.alias("name"), F.nullif(v.try_cast("double"), F.lit(float("nan"))).alias("value")),
     )
     if not keep_zero:
         pairs = F.filter(pairs, lambda c: c["value"].isNull() | (c["value"] != 0))
     return (
-        body.join(header, "_file")
-        .select(*fields, row_name, F.explode(pairs).alias("_c"))
+        body.select(*fields, row_name, F.explode(pairs).alias("_c"))
         .select(*fields, row_name, F.col("_c.name").alias(col_name), F.col("_c.value").alias("value"))
     )
 
@@ -91,14 +99,16 @@ def wide_keys(
 ) -> tuple[DataFrame, DataFrame]:
     """Dense key tables (rows, columns) of wide files, zeros included."""
     fields = fields or {}
-    lines = spark.read.text(path).select(*[path_field(p).alias(n) for n, p in fields.items()], "value")
-    first = _first_cell(sep)
-    rows = lines.where((first != index_label) & (first != "")).select(*fields, first.alias(row_name)).distinct()
-    cols = (
-        lines.where(first == index_label)
-        .select(*fields, F.explode(F.slice(_split_line(sep), 2, 1 << 30)).alias(col_name))
-        .distinct()
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_start"),
+        *[path_field(p).alias(n) for n, p in fields.items()],
+        "value",
     )
+    header = stored(_header_lines(lines, list(fields), index_label, sep), "headers")
+    data = lines.where(F.trim("value") != "").join(header.select("_file", "_line"), "_file").where(F.col("value") != F.col("_line"))
+    rows = data.select(*fields, _first_cell(sep).alias(row_name)).distinct()
+    cols = header.select(*fields, F.explode("_names").alias(col_name)).distinct()
     return rows, cols
 
 

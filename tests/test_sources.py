@@ -246,3 +246,16 @@ def test_incomplete_metrics(spark):
 
 def test_shared_dir_comes_from_the_session(spark):
     assert shared_dir(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+
+
+def test_wide_row_named_as_the_label(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("gene|s1|s2\ngene|1|0\nB|0|2\n")
+    rows = matrix.scan_wide(spark, str(tmp_path / "a.csv"), index_label="gene", sep="|").collect()
+    assert sorted((r.gene, r.spot, r.value) for r in rows) == [("B", "s2", 2.0), ("gene", "s1", 1.0)]
+
+
+@pytest.mark.parametrize("text, message", [("gene,s1\nA,1,2\n", "another width"), ("A,1\nB,2\n", "no header")])
+def test_wide_refuses_files_it_would_mislabel(spark, tmp_path, text, message):
+    (tmp_path / "a.csv").write_text(text)
+    with pytest.raises(Exception, match=message):
+        matrix.scan_wide(spark, str(tmp_path / "a.csv"), index_label="gene").collect()
