@@ -79,13 +79,15 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
         plain["doc_id"].eqNullSafe(drop["id_"]) & (plain["t0_in"] == drop["t0_"]) & (plain["t1_in"] == drop["t1_"]),
         "left",
     )
-    lines = lines_of(F.col("text"))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("drop_"))
-    return both.select(
+    # a column of its own: inside a lambda an expression is computed again for each element
+    split = both.select(*kept_columns, "drop_", lines_of(F.col("text")).alias("lines_"))
+    lines, drop_ = F.col("lines_"), F.col("drop_")
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop_)
+    return split.select(
         *kept_columns,
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size("drop_"), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(F.col("drop_").isNull(), F.coalesce("text", F.lit("")))
+        F.coalesce(F.size(drop_), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(drop_.isNull(), F.coalesce("text", F.lit("")))
         .otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
         .alias("kept_text"),
     )
