@@ -3,14 +3,17 @@
 Lines are exploded with their position, hashed, counted by distinct document
 and dropped over a threshold; what stays is put together by position. Only
 hashes and positions are shuffled for the count. A line found in a third of all
-documents is counted before the shuffle, and Spark splits its part of the join
-that marks positions.
+documents is counted before the shuffle. The lines in excess are stored before
+they meet all lines again: few of them go to all tasks, and where they are too
+many for that Spark splits the part of a hot one.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotweave.session import stored
+
 #: The characters stripped from both ends of a line.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -66,6 +69,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     no rows.
     """
     found, common = common_lines(docs, min_chars, min_docs)
+    # stored: Spark knows how many they are, and can split a hot line that meets them
+    common = stored(common, "common_lines")
     marked = found.join(common, ["k0", "k1"]).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
     drop = (
         marked.groupBy("doc_id", "t0", "t1")
