@@ -11,6 +11,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotweave.session import stored
+
 SEED = "mix-1"
 #: 52 bits of a hash: exact in a double.
 _HEX = 13
@@ -39,6 +41,8 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None = None, total: f
         weighed = size.join(t, F.col("source").eqNullSafe(F.col("t_source")), "left").select(
             "source", "size", F.coalesce("weight", F.lit(0.0)).alias("weight")
         )
+    # stored: one pass over the texts for sums and rates, and Spark knows that a row for each source is little
+    weighed = stored(weighed, "source_sizes")
     live = (F.col("weight") > 0) & (F.col("size") > 0)
     sums = weighed.agg(F.sum(F.when(live, F.col("size"))).alias("size"), F.sum(F.when(live, F.col("weight"))).alias("weight")).first()
     scale = total * (sums["size"] or 0.0) / (sums["weight"] or 1.0)
@@ -97,4 +101,5 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     copies = drawn.select(*columns, F.explode(F.sequence(F.lit(0), F.col("copies_") - 1)).alias("copy"))
     ordered = copies.withColumn("order_key", uniform(seed + "/order", F.col("doc_id"), F.col("copy")))
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartitionByRange(n, "order_key").sortWithinPartitions("order_key")
+    # the keys are uniform in [0, 1), so their ranges are known without a pass that samples them
+    return ordered.repartitionById(n, F.floor(F.col("order_key") * n).cast("int")).sortWithinPartitions("order_key")
