@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spotweave.llm import components, mixing, quality_lm, simhash, topk_search, url_filter
+from spotweave.llm import components, mixing, near_copies, quality_lm, simhash, topk_search, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, copy int"
 SYLLABLES = {"en": "the of and ing er tion".split(), "de": "der und ung ich sch ß".split()}
@@ -113,6 +113,43 @@ def test_near_duplicates(spark):
     assert simhash.drop_near_duplicates(frame.limit(0)).count() == 0
 
 
+def edited_rows():
+    """Originals, each with exact and edited copies on both sides of the similarity; a crowd of close copies of one text."""
+    rng = np.random.default_rng(8)
+    texts = ["", None, "one two", "One  two", "a b c d e f g h", "a b c d e f g h i"]
+    for i, (n, edits) in enumerate([(60, 1), (120, 2), (200, 5), (300, 4), (500, 30), (900, 12)]):
+        base = prose(500 + i, n).split()
+        texts += [" ".join(base), " ".join(base).upper()]
+        for _ in range(60 if n == 300 else 8):
+            copy = list(base)
+            for at in rng.choice(n, rng.integers(1, edits + 1), replace=False):
+                copy[at] = f"edit{rng.integers(10**9)}"
+            texts.append(" ".join(copy))
+    return [(1000 - i, t) for i, t in enumerate(texts)]
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+@pytest.mark.parametrize("rounds", [0, 4])
+def test_near_copies_are_linked_at_jaccard(spark, rounds, monkeypatch):
+    monkeypatch.setattr(near_copies, "LEADER_ROUNDS", max(rounds, 1))
+    monkeypatch.setattr(near_copies, "PAIRS_PER_ROW", 0 if rounds else 10**9)
+    rows = edited_rows()
+    words = [(t or "").lower().split() for _, t in rows]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in words]
+    close = [(i, j) for i in range(len(rows)) for j in range(i + 1, len(rows)) if jaccard(sets[i], sets[j]) >= 0.8]
+    groups = groups_of(range(len(rows)), close)
+    want = {min(rows[i][0] for i in groups if groups[i] == g) for g in set(groups.values())}
+    frame = spark.createDataFrame([(i, t, "en", "s", 1, "clash", 1) for i, t in rows], DOCS)
+    stage = dict(corpus_pipeline.STAGES)["near-duplicates"]
+    kept = stage(spark, frame, "")
+    assert kept.columns == frame.columns
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
+    assert stage(spark, frame.limit(0), "").count() == 0
+
+
 def test_poisson_counts(spark):
     for rate in (0.0, 0.3, 1.0, 7.5, 900.0):
         got = spark.range(1).select(mixing.cumulative(F.lit(rate)).alias("c")).first().c
