@@ -16,6 +16,8 @@ from spotweave.session import stored
 SEED = "mix-1"
 #: 52 bits of a hash: exact in a double.
 _HEX = 13
+#: Copies of a document that leave one row at most.
+CHUNK = 1024
 
 
 def uniform(seed: str, *parts: Column) -> Column:
@@ -58,6 +60,7 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None = None, total: f
 def cumulative(rate: Column) -> Column:
     """Array of P(X <= k), k = 0, 1, ..., until the rest is below the step of the uniform numbers.
 
+    Not used to draw: copying grows with the square of the rate (see ``poisson_count``).
     Terms are made from logarithms, so large rates don't underflow. The length
     follows from the rate: past rate + 12 sqrt(rate) + 30 the tail is below 2^-60.
     """
@@ -73,17 +76,41 @@ def cumulative(rate: Column) -> Column:
     return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
 
 
+def poisson_count(rate: Column, u: Column) -> Column:
+    """The smallest k with P(X <= k) > ``u``, for a Poisson variable of mean ``rate``; 0 for a rate of 0.
+
+    Terms are summed one after another and no array of them is held. Beyond 12
+    deviations on either side less than 2^-60 is left, so a large rate costs a
+    number of terms like its root. The first term is in Loader's form, which
+    doesn't cancel.
+    """
+    from_zero = rate < 400
+    first = F.when(from_zero, F.lit(0)).otherwise(F.floor(rate - 12 * F.sqrt(rate))).cast("long")
+    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("long")
+    k = F.greatest(first, F.lit(1)).cast("double")
+    d = (k - rate) / rate
+    stirling = 1 / (12 * k) - 1 / (360 * k * k * k)
+    tail = F.exp(-rate * ((1 + d) * F.log1p(d) - d) - stirling) / F.sqrt(2 * F.pi() * k)
+    start = F.struct(F.when(from_zero, F.exp(-rate)).otherwise(tail).alias("p"), F.lit(0.0).alias("sum"), first.alias("count"))
+
+    def step(acc: Column, k: Column) -> Column:
+        total = acc["sum"] + acc["p"]
+        return F.struct(
+            (acc["p"] * rate / (k + 1)).alias("p"), total.alias("sum"), (acc["count"] + F.when(total <= u, 1).otherwise(0)).alias("count")
+        )
+
+    return F.when(rate > 0, F.aggregate(F.sequence(first, last), start, step, lambda acc: acc["count"])).otherwise(F.lit(0).cast("long"))
+
+
 def draw_counts(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     """``docs`` with copies_: how often each row is taken."""
-    table = rates.select(F.col("source").alias("r_source"), cumulative(F.col("rate")).alias("cdf_"))
-    u = uniform(seed, F.col("doc_id"))
+    table = rates.select(F.col("source").alias("r_source"), F.col("rate").alias("rate_"))
     # a row for each source, so Spark sends it to all tasks when it is small and splits hot sources when not
     joined = docs.join(table, F.col("source").eqNullSafe(F.col("r_source")), "left")
-    passed = F.size(F.filter("cdf_", lambda p: p <= F.col("u_")))
     return (
-        joined.withColumn("u_", u)
-        .withColumn("copies_", F.coalesce(F.when(F.col("cdf_").isNotNull(), passed), F.lit(0)))
-        .drop("u_", "cdf_", "r_source")
+        joined.withColumn("u_", uniform(seed, F.col("doc_id")))
+        .withColumn("copies_", F.coalesce(poisson_count(F.col("rate_"), F.col("u_")), F.lit(0)))
+        .drop("u_", "rate_", "r_source")
     )
 
 
@@ -97,9 +124,18 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     No rows: no rows.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "order_key")]
-    drawn = draw_counts(docs, rates, seed).where(F.col("copies_") > 0)
-    copies = drawn.select(*columns, F.explode(F.sequence(F.lit(0), F.col("copies_") - 1)).alias("copy"))
-    ordered = copies.withColumn("order_key", uniform(seed + "/order", F.col("doc_id"), F.col("copy")))
+    drawn = draw_counts(docs, rates, seed)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    few = drawn.where((F.col("copies_") > 0) & (F.col("copies_") <= CHUNK))
+    # a document with very many copies is dealt out in chunks first, so they don't all leave one task
+    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies_") - 1) / CHUNK)))
+    many = drawn.where(F.col("copies_") > CHUNK).select(*columns, "copies_", chunk.alias("chunk_"))
+    many = many.repartition(n, "doc_id", "chunk_")
+    begin = F.col("chunk_") * CHUNK
+    copies = few.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies_") - 1)).alias("copy")).union(
+        many.select(*columns, F.explode(F.sequence(begin, F.least(begin + CHUNK, F.col("copies_")) - 1)).alias("copy"))
+    )
+    copies = copies.withColumn("copy", F.col("copy").cast("int"))
+    ordered = copies.withColumn("order_key", uniform(seed + "/order", F.col("doc_id"), F.col("copy")))
     # the keys are uniform in [0, 1), so their ranges are known without a pass that samples them
     return ordered.repartitionById(n, F.floor(F.col("order_key") * n).cast("int")).sortWithinPartitions("order_key")

@@ -161,6 +161,35 @@ def test_poisson_counts(spark):
         assert 1 - got[-1] < 1e-9
 
 
+@pytest.mark.parametrize("rate", [0.0, 0.3, 1.0, 7.5, 399.0, 401.0, 900.0, 250000.0, 1.5e7])
+def test_poisson_counts_of_any_rate(spark, rate):
+    us = [0.0, 1e-9, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 2.0**-52]
+    frame = spark.createDataFrame([(u, rate) for u in us], "u double, rate double").repartition(4)
+    got = {r.u: r.k for r in frame.select("u", mixing.poisson_count(F.col("rate"), F.col("u")).alias("k")).collect()}
+    first = max(0, math.floor(rate - 15 * math.sqrt(rate)))
+    k = np.arange(first, math.ceil(rate + 15 * math.sqrt(rate) + 40))
+    if rate > 1e5:  # the middle of a wide distribution, by the expansion of Cornish and Fisher
+        from statistics import NormalDist
+
+        for u in us[2:-1]:
+            z = NormalDist().inv_cdf(u)
+            assert abs(got[u] - (rate + math.sqrt(rate) * z + (z * z - 1) / 6)) < 2
+        assert math.floor(rate - 12 * math.sqrt(rate)) <= got[us[0]] <= got[us[1]] <= got[us[2]] and got[us[-2]] < got[us[-1]] < k[-1]
+        return
+    below = np.cumsum([math.exp(i * math.log(rate) - rate - math.lgamma(i + 1)) if rate else 1.0 for i in k.tolist()])
+    for u in us[1:-1]:
+        assert got[u] == first + np.count_nonzero(below <= u)
+    assert got[us[-2]] <= got[us[-1]] <= k[-1]
+
+
+def test_mixing_of_a_small_source(spark):
+    rows = [(1, "x", "en", None, 1, None, 0)] + [(2 + i, "y" * 30000, "en", "big", 1, None, 0) for i in range(10)]
+    frame = spark.createDataFrame(rows, DOCS)
+    got = mixing.mix(frame, mixing.repetition_rates(frame)).where("doc_id = 1").agg(F.count("*").alias("n"), F.countDistinct("copy").alias("d"), F.max("copy").alias("m"))
+    n, d, m = got.first()
+    assert n == d == m + 1 and abs(n - 150000.5) < 6 * math.sqrt(150000)
+
+
 def test_mixing(spark):
     rows = [(i, "x" * (1 + i % 7), "en", "big" if i % 3 else "small", 1, None, 9) for i in range(6000)]
     rows += [(6000 + i, "null source", "en", None, 1, None, 9) for i in range(300)]
