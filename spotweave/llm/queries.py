@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from spotweave.llm import license_scan, line_dedup, mixing, packing, quality_lm, quality_rules, simhash, token_counts, topk_search, url_filter
 from spotweave.llm.licenses import NOTICES
+from spotweave.session import stored
 
 # fixed values: the rules of the URL query
 URL_RULES = [
@@ -69,7 +70,8 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    mixed = mixing.mix(docs.select("doc_id", "source"), mixing.repetition_rates(docs))
+    # the mixed documents with all columns are the result and are written in order; returned are their keys, as in the SQL
+    mixed = stored(mixing.mix(docs, mixing.repetition_rates(docs)), "mixed")
     return mixed.select("doc_id", "source", "copy", "order_key")
 
 

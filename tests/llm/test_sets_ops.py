@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spotweave.llm import components, mixing, near_copies, quality_lm, simhash, topk_search, url_filter
+from spotweave.llm import components, mixing, near_copies, quality_lm, queries, simhash, topk_search, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, copy int"
 SYLLABLES = {"en": "the of and ing er tion".split(), "de": "der und ung ich sch ß".split()}
@@ -218,6 +218,21 @@ def test_mixing(spark):
     assert Counter(r.doc_id for r in mixing.mix(frame.repartition(7), mixing.repetition_rates(frame)).collect()) == Counter(r.doc_id for r in got)
 
 
+def test_query_mixes_whole_documents(spark, tmp_path, monkeypatch):
+    rows = [(i, f"text {i}\n" * (1 + i % 5), "en", "ab"[i % 3 == 0], 7) for i in range(200)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    made = []
+    store = queries.stored
+    monkeypatch.setattr(queries, "stored", lambda df, label: made.append(store(df, label)) or made[-1])
+    got = Counter(map(tuple, queries.op10_mixing(spark, str(tmp_path)).collect()))
+    (mixed,) = made
+    assert mixed.columns == ["doc_id", "text", "lang", "source", "n_chars", "copy", "order_key"]
+    texts = {i: t for i, t, *_ in rows}
+    found = mixed.collect()
+    assert found and all(r.text == texts[r.doc_id] for r in found)
+    assert got == Counter((r.doc_id, r.source, r["copy"], r.order_key) for r in found)
+
+
 def test_mixing_targets_and_odd_rows(spark):
     rows = [(1, "aa", "en", "a", 1, None, 0), (1, "aa", "en", "a", 1, None, 0), (None, "bb", "en", "b", 1, None, 0), (3, None, "en", "c", 1, None, 0)]
     frame = spark.createDataFrame(rows, DOCS)
