@@ -2,7 +2,7 @@
 
 The units are characters, with white space as one blank: the number of different
 n-grams then follows from the languages, and hardly from the size of the corpus.
-There is one model for each language. Counts, continuation counts, discounts and
+There is one model for each language and fold. Counts, continuation counts, discounts and
 interpolated probabilities are joins and aggregations in Spark. The model is cut
 into shards by the context's last two characters, so all orders of a position
 lie in one shard; each shard has a bounded size and is joined to the documents
@@ -26,8 +26,8 @@ ORDER = 5
 SHARD_ENTRIES = 2_000_000
 #: Share of the trusted documents of a language that the threshold keeps.
 QUANTILE = 0.995
-#: One in so many trusted documents sets the thresholds; the others train the model.
-HELD_OUT = 4
+#: Parts of the documents; each is judged by models of the trusted text of the other parts.
+FOLDS = 2
 #: The last length class holds all longer texts.
 LAST_CLASS = 3
 #: Before the first character of a text.
@@ -252,11 +252,11 @@ def _log_probs(codes: np.ndarray, last: np.ndarray, tables: tuple[Table, Table,
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str] | None = None, shard_entries: int = SHARD_ENTRIES) -> tuple[DataFrame, str]:
+def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str] | None = None, by: str = "lang", shard_entries: int = SHARD_ENTRIES) -> tuple[DataFrame, str]:
     """(``docs`` with its columns ``keep`` and one more, that column's name): log perplexity per character.
 
     Null for a text without characters, and for a language that the model doesn't
-    know. ``docs`` has text and lang; a null lang is a language of its own.
+    know. ``docs`` has text and ``by``, the language; a null one is a language of its own.
     """
     spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
@@ -273,7 +273,7 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str]
             known = tables.value.tables()
             for batch in batches:
                 for part in slices(batch, "text"):
-                    langs = [v or "" for v in part.column("lang").to_pylist()]
+                    langs = [v or "" for v in part.column(by).to_pylist()]
                     texts, total = part.column("text").to_pylist(), part.column(sum_name).to_numpy().copy()
                     n = np.zeros(len(texts), np.int64)
                     for lang in set(langs) & known.keys():
@@ -305,33 +305,32 @@ def length_class(characters: Column) -> Column:
 
 
 def _cuts(bins: DataFrame, keys: list[str], quantile: float) -> DataFrame:
-    """keys, cut (null if too few documents), top, mid: bins of the quantile, the maximum and the median."""
+    """keys, all_n, cut: number of documents and their quantile in bins, interpolated between two order statistics."""
     each = Window.partitionBy(*keys)
     rows = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
     rows = rows.select(*keys, "bin", F.sum("n").over(each.orderBy("bin")).alias("up_to"), F.sum("n").over(each).alias("all_n"))
-    # this order statistic is not exceeded by a new document with probability ``quantile``
-    wanted = F.ceil((F.col("all_n") + 1) * quantile)
-    return rows.groupBy(*keys).agg(
-        F.min(F.when(F.col("up_to") >= wanted, F.col("bin"))).alias("cut"),
-        F.max("bin").alias("top"),
-        F.min(F.when(2 * F.col("up_to") >= F.col("all_n"), F.col("bin"))).alias("mid"),
-    )
+    at = (F.col("all_n") - 1) * F.lit(quantile)
+    below, above = (F.min(F.when(F.col("up_to") > f(at), F.col("bin"))) for f in (F.floor, F.ceil))
+    share = F.first(at - F.floor(at))
+    return rows.groupBy(*keys).agg(F.first("all_n").alias("all_n"), (below + (above - below) * share).alias("cut"))
 
 
 def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
     """lang, class, cut: the log perplexity above which a document of the language and length class is rejected.
 
-    ``scored``: lang, class, log_perplexity of trusted documents that the model
-    wasn't trained on. The cut is their ``quantile``, from an exact histogram whose
-    number of bins doesn't depend on the number of documents. A class with too
-    few documents for it takes the cut of the language; a language with too few,
-    its maximum and as much again as that lies above the median.
+    ``scored``: lang, class, log_perplexity of trusted documents, each by a model
+    that wasn't trained on it. The cut is their interpolated ``quantile``, at any
+    number of documents, so it never exceeds their maximum; it is taken from an
+    exact histogram whose number of bins doesn't depend on the number of
+    documents. A class whose rejected share 1 - ``quantile`` is less than one
+    document has no such share to tell and takes the cut of the language.
     """
     bins = scored.where("log_perplexity IS NOT NULL").groupBy("lang", "class", F.ceil(F.col("log_perplexity") * BINS_PER_NAT).alias("bin"))
     bins = stored(bins.agg(F.count("*").alias("n")), "bins")
-    by_lang = _cuts(bins, ["lang"], quantile).select("lang", F.coalesce("cut", 2 * F.col("top") - F.col("mid")).alias("lang_cut"))
+    by_lang = _cuts(bins, ["lang"], quantile).select("lang", F.col("cut").alias("lang_cut"))
     every_class = F.explode(F.sequence(F.lit(0), F.lit(LAST_CLASS))).alias("class")
-    by_class = _cuts(bins, ["lang", "class"], quantile).select("lang", "class", "cut")
+    enough = F.col("all_n") >= F.ceil((F.col("all_n") + 1) * quantile)
+    by_class = _cuts(bins, ["lang", "class"], quantile).where(enough).select("lang", "class", "cut")
     return by_lang.select("lang", "lang_cut", every_class).join(by_class, ["lang", "class"], "left").select(
         "lang", "class", (F.coalesce("cut", "lang_cut") / BINS_PER_NAT).alias("cut")
     )
@@ -342,26 +341,39 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
+def _model_name(fold: Column) -> Column:
+    return F.concat(F.coalesce("lang", F.lit("")), F.lit("\x1f"), fold.cast("string"))
+
+
+def _with_fold(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` with ``name``: the model, one for each language and fold, that judges the document; folds are by the hash of doc_id."""
+    return docs.withColumn(name, _model_name(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))))
+
+
 def _fit(docs: DataFrame, labels: DataFrame, order: int, quantile: float) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(model, scored documents, thresholds)."""
+    """(models of all languages and folds, scored documents, thresholds)."""
     ids = trusted_ids(labels)
-    apart = F.pmod(F.xxhash64("doc_id", F.lit("held out")), F.lit(HELD_OUT)) == 0
-    texts = docs.select("doc_id", "lang", "text")
+    texts = _with_fold(docs.select("doc_id", "lang", "text"), "model")
     # the same plan at every size: labels grow with the corpus, so they are never broadcast
-    model = train(texts.where(~apart).join(ids.hint("merge"), "doc_id", "left_semi"), order)
+    trusted = texts.join(ids.hint("merge"), "doc_id", "left_semi")
+    # the model of a fold is trained on the trusted documents outside it
+    models = F.explode(F.array(*(_model_name(F.lit(i)) for i in range(FOLDS)))).alias("for_model")
+    model = train(trusted.select("model", "text", models).where("for_model <> model").select(F.col("for_model").alias("lang"), "text"), order)
     sized = texts.withColumn("class", F.least(length_class(F.length("text")), F.lit(LAST_CLASS)))
-    rows, name = score(sized, model, order, ["doc_id", "lang", "class"])
+    rows, name = score(sized, model, order, ["doc_id", "lang", "class"], by="model")
     scored = stored(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "class", F.col(name).alias("log_perplexity")), "scored")
-    return model, scored, stored(thresholds(scored.where(apart).join(ids, "doc_id", "left_semi"), quantile), "thresholds")
+    return model, scored, stored(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """doc_id, lang, perplexity, threshold, kept for each row of ``docs`` (doc_id, lang, text, ...).
 
     ``labels``: doc_id, quality; the documents with quality 1 are the trusted
-    text: a quarter by the hash of the id sets the thresholds, the model is
-    trained on all others. kept: the perplexity per character doesn't exceed the
-    threshold of the language and length class.
+    text. The documents are dealt in two folds by the hash of the id, and each is
+    scored by a model of the trusted text of the other fold, so all trusted
+    documents set the thresholds and none is scored by a model that read it.
+    kept: the perplexity per character doesn't exceed the threshold of the
+    language and length class.
 
     A text without characters and a language without trusted text have no
     perplexity and are kept: there is nothing to judge them by. A null lang counts
@@ -383,7 +395,8 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
 def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:
     """Rows of ``docs`` that ``classify`` keeps, with all their columns."""
     model, _, cuts = _fit(docs, labels, order, quantile)
-    rows, name = score(docs, model, order)
+    by = free_name(docs, "model")
+    rows, name = score(_with_fold(docs, by), model, order, docs.columns, by)
     lang, size, cut = (free_name(docs, c) for c in ("cut_lang", "cut_class", "cut_value"))
     cuts = cuts.select(F.col("lang").alias(lang), F.col("class").alias(size), F.col("cut").alias(cut))
     own = F.least(length_class(F.length(rows["text"])), F.lit(LAST_CLASS))

@@ -401,6 +401,17 @@ def test_classifier_on_held_out_documents(spark):
     assert {r.kept for r in quality_lm.classify(docs.limit(5), labels.limit(0)).collect()} == {True}
 
 
+@pytest.mark.parametrize("n", [1, 2, 40, 198, 1000])
+def test_thresholds_have_one_rule(spark, n):
+    x = np.random.default_rng(n).gamma(3, 0.3, n)
+    x[0] = 9.0  # an odd text among the trusted
+    frame = spark.createDataFrame([("en", int(i % 2), float(v)) for i, v in enumerate(x)], "lang string, class int, log_perplexity double")
+    cuts = {r["class"]: r.cut for r in quality_lm.thresholds(frame).collect()}
+    bins = np.ceil(x * 1000)
+    want = {c: np.quantile(bins[c::2] if n >= 400 and c < 2 else bins, 0.995) / 1000 for c in range(4)}
+    assert cuts == pytest.approx(want) and all(c <= bins.max() / 1000 for c in cuts.values())
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(i, prose(i, 80) + "\n" + "a line that many of the documents share, forty characters", "en", f"s{i % 3}", 1) for i in range(60)]
     rows += [(100 + i, prose(1, 80), "en", "s0", 1) for i in range(20)] + [(200, None, None, None, None), (201, "", "en", None, 0), (None, "no id", "en", "s1", 5), (1, prose(1, 80), "en", "s1", 1)]
