@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
-from spotweave.llm import license_scan, line_dedup, mixing, packing, quality_lm, quality_rules, simhash, token_counts, topk_search, url_filter
+from spotweave.llm import (
+    license_scan, line_dedup, mixing, packing, pair_search, quality_lm, quality_rules, simhash, token_counts, topk_search, url_filter,
+)
 from spotweave.llm.licenses import NOTICES
 from spotweave.session import stored
 
@@ -75,6 +77,10 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "order_key")
 
 
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return pair_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -83,7 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_rules, op3_packing, op4_token_counts, op5_line_dedup, op6_quality_classifier,
-        op7_url_filter, op8_topk_search, op9_simhash, op10_mixing, pipeline,
+        op7_url_filter, op8_topk_search, op9_simhash, op10_mixing, op12_lexical_search, pipeline,
     )
 }
 
@@ -144,6 +150,24 @@ SELECT doc_id, source, copy,
        ('0x' || substr(md5('{mixing.SEED}/order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 13))::BIGINT
          / 4503599627370496.0 AS order_key
 FROM e""",
+    "op12_lexical_search": rf"""
+WITH t AS (
+  SELECT d.row, d.doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS row, doc_id, text FROM documents) d),
+i AS (
+  SELECT item_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS times FROM i GROUP BY ALL),
+l AS (SELECT row, doc_id, count(*) AS n FROM t GROUP BY ALL),
+a AS (SELECT count(*) AS docs, sum(n)::BIGINT AS total FROM l),
+m AS (SELECT row, doc_id, 75 + (25 * n * docs) // total AS m FROM l, a),
+f AS (SELECT row, term, count(*) AS tf FROM t WHERE term IN (SELECT term FROM q) GROUP BY ALL),
+w AS (
+  SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM f, a GROUP BY term, docs),
+s AS (
+  SELECT item_id, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 12 * m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN m USING (row) GROUP BY item_id, row, doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM s WHERE score > 0)
+SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 20""",
 }
 if corpus_pipeline.ORACLE_SQL is not None:
     SQL["pipeline"] = corpus_pipeline.ORACLE_SQL
