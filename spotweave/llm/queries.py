@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import corpus_pipeline
 from spotweave.llm import (
-    license_scan, line_dedup, mixing, packing, pair_search, quality_lm, quality_rules, simhash, token_counts, topk_search, url_filter,
+    divergence, license_scan, line_dedup, mixing, packing, pair_search, quality_lm, quality_rules, simhash,
+    token_counts, topk_search, url_filter,
 )
 from spotweave.llm.licenses import NOTICES
 from spotweave.session import stored
@@ -77,6 +78,10 @@ def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     return mixed.select("doc_id", "source", "copy", "order_key")
 
 
+def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    return divergence.audit(table(spark, sf, "documents"))
+
+
 def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return pair_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
@@ -89,7 +94,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_license_scan, op2_quality_rules, op3_packing, op4_token_counts, op5_line_dedup, op6_quality_classifier,
-        op7_url_filter, op8_topk_search, op9_simhash, op10_mixing, op12_lexical_search, pipeline,
+        op7_url_filter, op8_topk_search, op9_simhash, op10_mixing, op11_source_divergence, op12_lexical_search,
+        pipeline,
     )
 }
 
@@ -150,6 +156,34 @@ SELECT doc_id, source, copy,
        ('0x' || substr(md5('{mixing.SEED}/order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 13))::BIGINT
          / 4503599627370496.0 AS order_key
 FROM e""",
+    "op11_source_divergence": rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, {_LOWER.format("text")} AS text FROM documents),
+t AS (
+  SELECT row, lang, source, unnest(regexp_extract_all(coalesce(text, ''), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS (SELECT lang, term, count(*) AS c FROM t GROUP BY ALL HAVING count(DISTINCT row) >= 3),
+v AS (SELECT lang, count(*) AS v, sum(c) AS n FROM k GROUP BY lang),
+u AS (SELECT lang, source, term, count(*) AS c FROM t SEMI JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, sum(c) AS n FROM u GROUP BY ALL),
+g AS (
+  SELECT lang, source, coalesce(n.n, 0) AS n, coalesce(v.v, 0) AS v, v.n AS lang_n
+  FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) LEFT JOIN v USING (lang)),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(u.c, 0) AS c,
+         1 + (1000000000::HUGEINT * (coalesce(u.c, 0) + 1)) // (g.n + g.v)::HUGEINT AS p,
+         1 + (1000000000::HUGEINT * (k.c + 1)) // (g.lang_n + g.v)::HUGEINT AS q
+  FROM g JOIN k ON g.lang = k.lang LEFT JOIN u ON u.lang = g.lang AND u.source = g.source AND u.term = k.term),
+x AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+y AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(x.value, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN x ON x.lang = a.lang AND x.source = a.source AND x.item = b.source
+  UNION ALL
+  SELECT lang, source, 'term', term, ((p - q) * (p - q) // q)::BIGINT FROM p WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM y)
+SELECT lang, source, part, item, value, rank FROM r WHERE part = 'pair' OR rank <= 200""",
     "op12_lexical_search": rf"""
 WITH t AS (
   SELECT d.row, d.doc_id, unnest(regexp_extract_all({_LOWER.format("text")}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
