@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 import corpus_pipeline
 from spotweave.llm import (
     divergence, license_scan, line_dedup, mixing, packing, pair_search, quality_lm, quality_rules, simhash,
-    token_counts, topk_search, url_filter,
+    token_counts, topk_search, toxic_spans, url_filter,
 )
 from spotweave.llm.licenses import NOTICES
 from spotweave.session import stored
@@ -86,6 +86,20 @@ def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
     return pair_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
 
 
+def op13_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    scored = toxic_spans.score_documents(docs, toxic_spans.fit_model(docs, table(spark, sf, "labels")))
+    places = F.transform("spans", lambda s: F.concat_ws("-", s["begin"].cast("string"), s["end"].cast("string")))
+    return scored.select(
+        "doc_id",
+        toxic_spans.held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+        F.size("spans").alias("n_spans"),
+        F.array_join(places, " ").alias("spans"),
+    )
+
+
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
 
@@ -95,7 +109,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_license_scan, op2_quality_rules, op3_packing, op4_token_counts, op5_line_dedup, op6_quality_classifier,
         op7_url_filter, op8_topk_search, op9_simhash, op10_mixing, op11_source_divergence, op12_lexical_search,
-        pipeline,
+        op13_toxicity, pipeline,
     )
 }
 
