@@ -8,14 +8,15 @@ and all arithmetic stays in generated code without exploding rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from spotweave.operators.normalize import ClrParts
-from spotweave.operators.spatial import AT, hot_cells, neighbor_sums, placed
-from spotweave.session import stored
+from spotweave.operators.spatial import AT, WORK, cell_plan, in_range, neighbor_sums, placed, sources_at, targets_at
+from spotweave.session import Bucketed, dealt_by_some_keys, stored
 
 SPOT = ("sample", "spot")
 
@@ -100,56 +101,72 @@ def marker_props_sparse(parts: ClrParts, marker: DataFrame, types: Sequence[str]
     return _even_share(rows.select(*by, *signal), k, by)
 
 
-def refine_step(
-    state: DataFrame,
-    radius: float,
-    k: int,
-    run_keys: Sequence[str] = ("sample",),
-    hot: DataFrame | None = None,
-) -> DataFrame:
-    """One smoothing step of the proportions.
+@dataclass
+class _Point:
+    """A parameter point of a run: its settings, and how it ended."""
 
-    ``state``: run keys, spot, coordinates, evidence ``e_i``, current ``p_i``
-    and the parameters ``lam``, ``alpha``, ``cap`` as columns, so that one job
-    can carry many parameter points. Adds ``delta``, the largest change.
-    """
-    current = state.drop("delta")
-    joined = neighbor_sums(current, current, radius, [_p(i) for i in range(k)], run_keys, hot=hot, prefix="s_")
-    pull = F.col("lam") * (1 - F.col("alpha"))
+    run_id: int
+    lam: float
+    alpha: float
+    cap: float
+    steps: int = 0
+    settled: bool = False
+
+
+def _literal(values: Sequence[float]) -> Column:
+    return F.array(*[F.lit(v) for v in values])
+
+
+def _moved(points: Sequence[_Point], live: Sequence[int], k: int) -> Column:
+    """New ``p`` (an array of shares for each point) from ``e``, ``p``, and sums ``s`` of the live points over ``s_n`` rows in range."""
+    pulls = [q.lam * (1 - q.alpha) for q in points]
+    pull, cap = _literal(pulls), _literal([q.cap for q in points])
+    threshold = _literal([q.lam * q.alpha / (k * (1 + u)) for q, u in zip(points, pulls)])
+    slot = F.array(*[F.lit(live.index(j) if j in live else -1) for j in range(len(points))])
     others = F.col("s_n") - 1
-    threshold = F.col("lam") * F.col("alpha") / (k * (1 + pull))
-    moved = []
-    for i in range(k):
-        p, e = F.col(_p(i)), F.col(f"e_{i}")
-        mean = F.when(others > 0, (F.col(f"s_{_p(i)}") - p) / others).otherwise(e)
-        z = F.greatest((e + pull * mean) / (1 + pull) - threshold, F.lit(0.0))
-        step = F.least(F.greatest(z - p, -F.col("cap")), F.col("cap"))
-        moved.append(F.greatest(p + step, F.lit(0.0)).alias(f"z_{i}"))
-    keep = [c for c in state.columns if c not in {_p(i) for i in range(k)} | {"delta"}]
-    stepped = joined.select(*keep, *[_p(i) for i in range(k)], *moved)
-    fresh = _share([F.col(f"z_{i}") for i in range(k)], [F.col(_p(i)) for i in range(k)])
-    new = stepped.select(
-        *keep, *[F.col(_p(i)).alias(f"o_{i}") for i in range(k)], *[c.alias(_p(i)) for i, c in enumerate(fresh)]
-    )
-    gap = F.greatest(*[F.abs(F.col(_p(i)) - F.col(f"o_{i}")) for i in range(k)], F.lit(0.0))
-    return new.withColumn("delta", gap).drop(*[f"o_{i}" for i in range(k)])
 
+    def point(own: Column, j: Column) -> Column:
+        def one(p: Column, i: Column) -> Column:
+            e = F.get("e", i)
+            mean = F.when(others > 0, (F.get("s", F.get(slot, j) * k + i) - p) / others).otherwise(e)
+            z = F.greatest((e + F.get(pull, j) * mean) / (1 + F.get(pull, j)) - F.get(threshold, j), F.lit(0.0))
+            return F.greatest(p + F.least(F.greatest(z - p, -F.get(cap, j)), F.get(cap, j)), F.lit(0.0))
 
-def start_state(global_props: DataFrame, spots: DataFrame, params: dict | Sequence[dict], k: int) -> DataFrame:
-    """State before the first step; a list of parameter points adds ``run_id``."""
-    state = placed(global_props, spots).withColumns({f"e_{i}": F.col(_p(i)) for i in range(k)})
-    if isinstance(params, dict):
-        return state.withColumns({c: F.lit(float(params[c])) for c in ("lam", "alpha", "cap")})
-    points = F.array(
-        *[
-            F.struct(
-                F.lit(int(q["run_id"])).alias("run_id"),
-                *[F.lit(float(q[c])).alias(c) for c in ("lam", "alpha", "cap")],
-            )
-            for q in params
-        ]
+        def scaled(y: Column) -> Column:
+            total = F.aggregate(y, F.lit(0.0), lambda a, b: a + b)
+            return F.when(total > 0, F.transform(y, lambda v: v / total)).otherwise(own)
+
+        return F.when(F.get(slot, j) >= 0, F.get(F.transform(F.array(F.transform(own, one)), scaled), F.lit(0))).otherwise(own)
+
+    return F.transform("p", point)
+
+
+def _refine_step(state: DataFrame, plan: DataFrame, on: Sequence[str], radius: float, points: Sequence[_Point], k: int) -> DataFrame:
+    """One smoothing step of all points that haven't settled; adds ``delta``, the largest change for each point.
+
+    The spots wait where they were placed before the first step; only the
+    sources move, once for all points, summed by position before.
+    """
+    live = [j for j, q in enumerate(points) if not q.settled]
+    width = len(live) * k
+    shares = [F.get(F.get("p", F.lit(j)), F.lit(i)) for j in live for i in range(k)]
+    piles = state.groupBy(*on, F.col(AT[0]).alias("near_x"), F.col(AT[1]).alias("near_y")).agg(
+        F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(f"q_{m}") for m, c in enumerate(shares)]
+    )
+    piles = piles.select("sample", "near_x", "near_y", "n", F.array(*[f"q_{m}" for m in range(width)]).alias("q"))
+    # merge joins also for little data: the files are dealt by these keys, so the spots don't move
+    waiting = state.select(*on, "spot", *AT).hint("merge")
+    pairs = in_range(waiting, sources_at(piles, radius, plan), on, radius)
+    sums = pairs.groupBy(*on, "spot").agg(
+        F.sum("n").alias("s_n"), *[F.sum(F.get("q", F.lit(m))).alias(f"s_{m}") for m in range(width)]
+    )
+    sums = sums.select(*on, "spot", "s_n", F.array(*[f"s_{m}" for m in range(width)]).alias("s"))
+    both = state.hint("merge").join(sums, [*on, "spot"]).withColumn("fresh", _moved(points, live, k))
+    gap = F.transform(
+        F.arrays_zip(F.col("p").alias("a"), F.col("fresh").alias("b")),
+        lambda x: F.array_max(F.zip_with(x["a"], x["b"], lambda a, b: F.abs(a - b))),
     )
-    return state.select("*", F.inline(points))
+    return both.select(*on, "spot", *AT, "e", F.col("fresh").alias("p"), gap.alias("delta"))
 
 
 def refine_props(
@@ -160,37 +177,56 @@ def refine_props(
     params: dict | Sequence[dict] | None = None,
     tolerance: float = 1e-4,
     max_iterations: int = 20,
+    work: int = WORK,
 ) -> DataFrame:
     """Spatially fine-tuned proportions (wide), for one or many parameter points.
 
-    Each step reads the state twice, so it is written to the shared folder
-    after the step: plans stay short and lost executors cost one step. The largest change decides whether to stop. Parameter points
-    that have settled are set aside, so each one ends at the same state as in a
-    run of its own.
+    Also ``steps``, the steps made, and ``converged``, whether the last one changed
+    nothing by ``tolerance`` or more. A list of points (``run_id``, ``lam``,
+    ``alpha``, ``cap``) adds ``run_id``; a single one (a dict) doesn't.
+
+    Spots are placed on the grid once, in a stored table that is dealt to files by
+    grid cell; the shares of all points are an array in the row of their spot. So a step is one job over
+    cells that stay where they are: distances are found once for all points,
+    and the largest changes are noted while the new state is written. The state before is then deleted. A point
+    that has settled keeps its state and moves no more, so it ends as in a run of its own.
     """
-    params = params or {"lam": 0.001, "alpha": 0.7, "cap": 0.2}
+    single = params is None or isinstance(params, dict)
+    given = [params or {"lam": 0.001, "alpha": 0.7, "cap": 0.2}] if single else params
+    points = [_Point(int(q.get("run_id", 0)), *(float(q[c]) for c in ("lam", "alpha", "cap"))) for q in given]
     k = len(types)
-    keys = ["sample"] if isinstance(params, dict) else ["run_id", "sample"]
-    hot = hot_cells(spots, radius)
-    hot = None if hot is None else stored(hot, "hot_cells")
-    live = stored(start_state(global_props, spots, params, k), "state")
-    columns = [*keys, "spot", *[_p(i) for i in range(k)]]
-    done: list[DataFrame] = []
-    for _ in range(max_iterations):
-        live = stored(refine_step(live, radius, k, keys, hot), "state")
-        if isinstance(params, dict):
-            if live.agg(F.max("delta")).first()[0] < tolerance:
-                break
-            continue
-        # parameter points are a driver-side list, so their ids are few
-        gaps = {r["run_id"]: r["d"] for r in live.groupBy("run_id").agg(F.max("delta").alias("d")).collect()}
-        settled = [i for i, d in gaps.items() if d < tolerance]
-        if settled:
-            done.append(live.where(F.col("run_id").isin(settled)).select(*columns))
-            live = live.where(~F.col("run_id").isin(settled))
-        if len(settled) == len(gaps):
-            return reduce(DataFrame.unionByName, done)
-    return reduce(DataFrame.unionByName, [*done, live.select(*columns)])
+    rows = placed(global_props, spots)
+    plan = cell_plan(rows, rows, radius, work=work)
+    waiting, on = targets_at(rows, radius, plan, ["sample", "spot"])
+    start = F.array(*[_p(i) for i in range(k)])
+    columns = [*on, "spot", *AT, start.alias("e"), F.array_repeat(start, len(points)).alias("p")]
+    state = Bucketed(waiting.select(*columns), "state", on)
+    for step in range(1, max_iterations + 1):
+        seen = Observation()
+        gaps = [F.max(F.get("delta", F.lit(j))).alias(f"gap_{j}") for j in range(len(points))]
+        moved = _refine_step(state.rows, plan, on, radius, points, k).observe(seen, *gaps).drop("delta")
+        before = state
+        with dealt_by_some_keys(moved.sparkSession):
+            state = Bucketed(moved, "state", on)
+        before.delete()
+        for j, q in enumerate(points):
+            if not q.settled:
+                q.steps, q.settled = step, (seen.get[f"gap_{j}"] or 0.0) < tolerance
+        if all(q.settled for q in points):
+            break
+    runs = F.array(
+        *[
+            F.struct(
+                F.lit(q.run_id).alias("run_id"),
+                *[F.get(F.get("p", F.lit(j)), F.lit(i)).alias(_p(i)) for i in range(k)],
+                F.lit(q.steps).alias("steps"),
+                F.lit(q.settled).alias("converged"),
+            )
+            for j, q in enumerate(points)
+        ]
+    )
+    out = state.plain().select(*SPOT, F.inline(runs))
+    return out.drop("run_id") if single else out
 
 
 def weighted_layers(expr: DataFrame, prop: DataFrame) -> DataFrame:
@@ -270,14 +306,14 @@ def expr_pass1_local(
     k = len(types)
     cols = [_p(i) for i in range(k)]
     at = placed(props.select(*SPOT, *cols), spots)
-    hot = hot_cells(spots, radius)
-    weighted = neighbor_sums(at, at, radius, cols, hot=hot, prefix="w_")
+    plan = cell_plan(at, at, radius)
+    weighted = neighbor_sums(at, at, radius, cols, plan, prefix="w_")
     targets = expr.select("sample", "spot", "gene", "value").join(weighted.drop("w_n"), list(SPOT))
     products = targets.select(
         "sample", "gene", *AT, *[(F.col("value") * F.col(c)).alias(f"x_{i}") for i, c in enumerate(cols)]
     )
     sums = neighbor_sums(
-        targets, products, radius, [f"x_{i}" for i in range(k)], ["sample", "gene"], hot=hot, prefix="n_"
+        targets, products, radius, [f"x_{i}" for i in range(k)], plan, ["sample", "gene"], prefix="n_"
     )
     local = [
         F.when(F.col(f"w_{c}") > 0, F.col(f"n_x_{i}") / F.col(f"w_{c}")).otherwise(0.0).alias(f"m_{i}")

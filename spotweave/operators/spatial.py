@@ -4,11 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.operators.joins import attach_coords
+from spotweave.session import stored
 
 AT = ("spot_x", "spot_y")
+#: Pairs of a target and a source that meet under one key, about.
+WORK = 1 << 20
+#: Targets of a part at least: a source is copied to no more parts than a 64th of the pairs it makes.
+LEAST = 64
+#: How often a grid cell is halved at most.
+DEEPEST = 5
 
 
 def placed(rows: DataFrame, spots: DataFrame, by: Sequence[str] = ("sample", "spot")) -> DataFrame:
@@ -33,59 +40,95 @@ def _reach(df: DataFrame, radius: float) -> DataFrame:
     """Each row in every grid cell that its circle may touch: about four."""
 
     def cells(c: str):
-        # a little wider than the radius, so that rounding never loses a neighbour
-        margin = F.lit(radius * (1 + 1e-9)) + F.abs(F.col(c)) * 1e-15
-        low, high = (F.floor((F.col(c) + m) / _side(radius)) for m in (-margin, margin))
+        low, high = (F.floor((F.col(c) + m) / _side(radius)) for m in (-_margin(c, radius), _margin(c, radius)))
         return F.explode(F.sequence(low, high))
 
     return df.withColumn("_cx", cells(AT[0])).withColumn("_cy", cells(AT[1]))
 
 
-def hot_cells(
-    spots: DataFrame, radius: float, within: Sequence[str] = ("sample",), limit: int = 50_000
-) -> DataFrame | None:
-    """Grid cells with more than ``limit`` spots, and the parts to split them into."""
-    hot = (
-        _home(spots, radius)
-        .groupBy(*within, "_cx", "_cy")
-        .agg(F.ceil(F.count(F.lit(1)) / limit).cast("int").alias("_parts"))
-        .where(F.col("_parts") > 1)
-    )
-    return None if hot.isEmpty() else hot
+def _fine(value: Column, cell: str, level: Column, radius: float) -> Column:
+    """Number of the part of a grid cell, halved ``level`` times, that holds a coordinate; never falls as it grows."""
+    parts = F.pow(F.lit(2.0), level)
+    at = F.floor((value - F.col(cell) * _side(radius)) * parts / _side(radius))
+    return F.least(F.greatest(at, F.lit(0).cast("bigint")), parts.cast("bigint") - 1)
 
 
-def _near(
-    targets: DataFrame,
-    sources: DataFrame,
-    radius: float,
-    keys: Sequence[str],
-    hot: DataFrame | None,
-    spread: Sequence[str],
-) -> tuple[DataFrame, list[str]]:
-    """Targets ``spot_x, spot_y`` joined with sources ``near_x, near_y`` in range.
+def _margin(c: str, radius: float) -> Column:
+    # a little wider than the radius, so that rounding never loses a neighbour
+    return F.lit(radius * (1 + 1e-9)) + F.abs(F.col(c)) * 1e-15
+
 
-    An equality join on grid cells twice the radius wide, then the distance.
-    Targets stay in their own cell, sources go to the cells around them.
-    Targets of hot cells are split by the hash of ``spread`` into parts, each
-    of which meets all sources of the cell. Also returns the join keys.
+def _with_quarters(rows: DataFrame, level: Column, radius: float) -> DataFrame:
+    """Sources of a grid cell in every quarter ``_sub`` of it that their circle may touch."""
+    for c, cell, out in (*zip(AT, ("_cx", "_cy"), ("_sx", "_sy")),):
+        low, high = (_fine(F.col(c) + m, cell, level, radius) for m in (-_margin(c, radius), _margin(c, radius)))
+        rows = rows.withColumn(out, F.explode(F.sequence(low, high)))
+    return rows.withColumn("_sub", F.col("_sx") * (1 << DEEPEST) + F.col("_sy")).drop("_sx", "_sy")
+
+
+def _quarter(level: Column, radius: float) -> Column:
+    return _fine(F.col(AT[0]), "_cx", level, radius) * (1 << DEEPEST) + _fine(F.col(AT[1]), "_cy", level, radius)
+
+
+def cell_plan(
+    targets: DataFrame, sources: DataFrame, radius: float, within: Sequence[str] = ("sample",), work: int = WORK, piled: bool = True
+) -> DataFrame:
+    """How dense grid cells are split: a quadtree by the product of targets and sources, then parts of targets.
+
+    A cell with more than ``work`` pairs of a target and a source in reach is
+    quartered until the pairs of a quarter would be about ``work`` if its spots lay evenly
+    (``_level``). Quarters that are still denser get parts (``_parts``: quarter to number), by the
+    hash of the target, of ``LEAST`` targets or more. Sources go only to the
+    quarters in their reach, so quartering also leaves out pairs. Cells without a row are not
+    split. ``piled``: sources are summed by position before they meet targets.
     """
-    a = _home(targets, radius)
-    b = _reach(sources.withColumnsRenamed({"near_x": AT[0], "near_y": AT[1]}), radius)
-    on = [*keys, "_cx", "_cy"]
-    if hot is not None:
-        at = [c for c in hot.columns if c != "_parts"]
-        parts = F.coalesce(F.col("_parts"), F.lit(1))
-        a = a.join(hot, at, "left").withColumn("_part", F.pmod(F.xxhash64(*spread), parts)).drop("_parts")
-        b = b.join(hot, at, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_parts")
-        b = b.withColumn("_part", F.col("_part").cast("bigint"))
-        on.append("_part")
-    b = b.withColumnsRenamed({AT[0]: "near_x", AT[1]: "near_y"})
+    at = [*within, "_cx", "_cy"]
+    home = _home(targets.select(*within, *AT), radius)
+    reach = sources.select(*within, *AT)
+    reach = _reach(reach.distinct() if piled else reach, radius)
+    pairs = F.col("_t") * F.col("_s").cast("double") / work
+    sizes = home.groupBy(*at).agg(F.count(F.lit(1)).alias("_t")).join(reach.groupBy(*at).agg(F.count(F.lit(1)).alias("_s")), at)
+    level = F.least(F.ceil(F.log2(pairs) / 2), F.lit(DEEPEST)).cast("int").alias("_level")
+    dense = stored(sizes.where(pairs > 1).select(*at, level), "dense_cells")
+    level = F.col("_level")
+    held = home.join(dense, at).groupBy(*at, _quarter(level, radius).alias("_sub")).agg(F.count(F.lit(1)).alias("_t"))
+    met = _with_quarters(reach.join(dense, at), level, radius).groupBy(*at, "_sub").agg(F.count(F.lit(1)).alias("_s"))
+    parts = F.least(F.ceil(pairs), F.ceil(F.col("_t") / LEAST)).cast("int")
+    split = held.join(met, [*at, "_sub"]).withColumn("_n", parts).where(F.col("_n") > 1)
+    # at most 4^DEEPEST quarters for a cell
+    maps = split.groupBy(*at).agg(F.map_from_entries(F.collect_list(F.struct("_sub", "_n"))).alias("_parts"))
+    return stored(dense.join(maps, at, "left"), "cell_plan")
+
+
+def targets_at(
+    targets: DataFrame, radius: float, plan: DataFrame, spread: Sequence[str], keys: Sequence[str] = ("sample",)
+) -> tuple[DataFrame, list[str]]:
+    """Targets with the one place ``_cx, _cy, _sub, _part`` where they wait for sources, and the columns to join on."""
+    at = [c for c in plan.columns if c not in ("_level", "_parts")]
+    rows = _home(targets, radius).join(plan, at, "left")
+    rows = rows.withColumn("_sub", _quarter(F.coalesce("_level", F.lit(0)), radius))
+    parts = F.coalesce(F.try_element_at("_parts", F.col("_sub")), F.lit(1))
+    return rows.withColumn("_part", F.pmod(F.xxhash64(*spread), parts)).drop("_level", "_parts"), [*keys, "_cx", "_cy", "_sub", "_part"]
+
+
+def sources_at(sources: DataFrame, radius: float, plan: DataFrame) -> DataFrame:
+    """Sources ``near_x, near_y`` at every place where targets in their reach may wait."""
+    at = [c for c in plan.columns if c not in ("_level", "_parts")]
+    rows = _reach(sources.withColumnsRenamed({"near_x": AT[0], "near_y": AT[1]}), radius).join(plan, at, "left")
+    rows = _with_quarters(rows, F.coalesce("_level", F.lit(0)), radius)
+    parts = F.coalesce(F.try_element_at("_parts", F.col("_sub")), F.lit(1)).cast("bigint")
+    rows = rows.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), parts - 1)))
+    return rows.drop("_level", "_parts").withColumnsRenamed({AT[0]: "near_x", AT[1]: "near_y"})
+
+
+def in_range(placed_targets: DataFrame, placed_sources: DataFrame, on: Sequence[str], radius: float) -> DataFrame:
+    """Targets and sources that wait at the same place and are within ``radius``; ``_d2`` is the square of their distance."""
     dx, dy = F.col(AT[0]) - F.col("near_x"), F.col(AT[1]) - F.col("near_y")
-    joined = a.join(b, on).withColumn("_d2", dx * dx + dy * dy)
-    return joined.where(F.col("_d2") <= float(radius) ** 2), on
+    joined = placed_targets.join(placed_sources, list(on)).withColumn("_d2", dx * dx + dy * dy)
+    return joined.where(F.col("_d2") <= float(radius) ** 2)
 
 
-def radius_neighbors(spots: DataFrame, radius: float, within: Sequence[str] = ("sample",)) -> DataFrame:
+def radius_neighbors(spots: DataFrame, radius: float, within: Sequence[str] = ("sample",), work: int = WORK) -> DataFrame:
     """Pairs of different spots within ``radius``; the output is these pairs.
 
     For sums or means over neighbours use ``neighbor_sums``, which lists no
@@ -93,7 +136,9 @@ def radius_neighbors(spots: DataFrame, radius: float, within: Sequence[str] = ("
     """
     s = spots.select(*within, "spot", *AT)
     other = s.withColumnsRenamed({"spot": "neighbor", AT[0]: "near_x", AT[1]: "near_y"})
-    pairs, _ = _near(s, other, radius, within, hot_cells(s, radius, within), ["spot"])
+    plan = cell_plan(s, s, radius, within, work, piled=False)
+    waiting, on = targets_at(s, radius, plan, ["spot"], within)
+    pairs = in_range(waiting, sources_at(other, radius, plan), on, radius)
     return pairs.where(F.col("spot") != F.col("neighbor")).select(
         *within, "spot", "neighbor", F.sqrt("_d2").alias("distance")
     )
@@ -104,9 +149,9 @@ def neighbor_sums(
     sources: DataFrame,
     radius: float,
     columns: Sequence[str],
+    plan: DataFrame,
     keys: Sequence[str] = ("sample",),
     row: Sequence[str] = ("spot",),
-    hot: DataFrame | None = None,
     prefix: str = "near_",
 ) -> DataFrame:
     """Targets with sums of source ``columns`` over all sources within ``radius``.
@@ -114,7 +159,7 @@ def neighbor_sums(
     Sources are summed by position (and ``keys``) first: a pile of copies on one
     position is one row, so sums stay linear in the rows. ``row`` names, with
     ``keys``, one target. ``<prefix>n`` counts source rows; a target is its own
-    neighbour. A target never leaves its grid cell, so its sums need no shuffle
+    neighbour. A target never leaves its place of the ``plan``, so its sums need no shuffle
     after the join. Targets without any source in range are dropped.
     """
     keys = list(keys)
@@ -122,7 +167,8 @@ def neighbor_sums(
         sources.groupBy(*keys, F.col(AT[0]).alias("near_x"), F.col(AT[1]).alias("near_y"))
         .agg(F.count(F.lit(1)).alias(f"{prefix}n"), *[F.sum(c).alias(f"{prefix}{c}") for c in columns])
     )
-    pairs, on = _near(targets, piles, radius, keys, hot, [*keys, *row])
+    waiting, on = targets_at(targets, radius, plan, [*keys, *row], keys)
+    pairs = in_range(waiting, sources_at(piles, radius, plan), on, radius)
     carried = [c for c in targets.columns if c not in {*keys, *row}]
     return (
         pairs.groupBy(*on, *row)
@@ -131,14 +177,14 @@ def neighbor_sums(
             F.sum(f"{prefix}n").alias(f"{prefix}n"),
             *[F.sum(f"{prefix}{c}").alias(f"{prefix}{c}") for c in columns],
         )
-        .drop("_cx", "_cy", "_part")
+        .drop("_cx", "_cy", "_sub", "_part")
     )
 
 
-def neighbor_counts(spots: DataFrame, radius: float, within: Sequence[str] = ("sample",)) -> DataFrame:
+def neighbor_counts(spots: DataFrame, radius: float, within: Sequence[str] = ("sample",), work: int = WORK) -> DataFrame:
     """Number of other spots within ``radius`` of each spot."""
     s = spots.select(*within, "spot", *AT)
-    sums = neighbor_sums(s, s, radius, [], within, hot=hot_cells(s, radius, within))
+    sums = neighbor_sums(s, s, radius, [], cell_plan(s, s, radius, within, work), within)
     return sums.select(*within, "spot", (F.col("near_n") - 1).alias("n_neighbors"))
 
 

@@ -251,48 +251,100 @@ def neighbor_counts(spark: SparkSession, sf: str) -> DataFrame:
     return spatial.neighbor_counts(inp.spots(spark, sf), inp.RADIUS)
 
 
+SKEWED_SQL = """skewed AS (
+  SELECT c_custkey AS spot, (c_custkey % 97)::DOUBLE AS weight,
+         (c_custkey * 7919 % 1000) / CASE WHEN c_custkey % 2 = 0 THEN 500.0::DOUBLE ELSE 5.0 END AS spot_x,
+         (c_custkey * 104729 % 1000) / CASE WHEN c_custkey % 2 = 0 THEN 500.0::DOUBLE ELSE 5.0 END AS spot_y
+  FROM customer)"""
+SKEWED_RADIUS = 1.0
+
+
+@query(
+    "radius_skewed",
+    inp.with_sql(SKEWED_SQL)
+    + f"""SELECT a.spot, count(*) - 1 AS n_neighbors, sum(b.weight) - any_value(a.weight) AS weight
+FROM skewed a JOIN skewed b ON b.spot_y BETWEEN a.spot_y - {SKEWED_RADIUS} AND a.spot_y + {SKEWED_RADIUS}
+WHERE (a.spot_x - b.spot_x) ** 2 + (a.spot_y - b.spot_y) ** 2 <= {SKEWED_RADIUS**2} GROUP BY 1""",
+)
+def radius_skewed(spark: SparkSession, sf: str) -> DataFrame:
+    """Neighbours and the sum of their weights where half of all spots lie in one grid cell."""
+    key = F.col("c_custkey")
+    size = F.when(key % 2 == 0, 500.0).otherwise(5.0)
+    spots = inp.table(spark, sf, "customer").select(
+        F.lit(0).alias("sample"), key.alias("spot"), (key % 97).cast("double").alias("weight"),
+        (key * 7919 % 1000 / size).alias("spot_x"), (key * 104729 % 1000 / size).alias("spot_y"),
+    )
+    plan = spatial.cell_plan(spots, spots, SKEWED_RADIUS, work=1 << 16)
+    sums = spatial.neighbor_sums(spots, spots, SKEWED_RADIUS, ["weight"], plan)
+    return sums.select("spot", (F.col("near_n") - 1).alias("n_neighbors"), (F.col("near_weight") - F.col("weight")).alias("weight"))
+
+
 LAM, ALPHA, CAP = 1.0, 0.7, 0.2
-PULL = LAM * (1 - ALPHA)
-THRESHOLD = LAM * ALPHA / (K * (1 + PULL))
-STEP_SQL = f"""near AS (
+TOLERANCE, ROUNDS = 1e-4, 20
+NEAR_SQL = f"""near AS MATERIALIZED (
   SELECT a.sample, a.spot, b.spot AS neighbor FROM spots a JOIN spots b ON a.sample = b.sample AND a.spot <> b.spot
    AND b.spot_y BETWEEN a.spot_y - {inp.RADIUS} AND a.spot_y + {inp.RADIUS}
-  WHERE (a.spot_x - b.spot_x) ** 2 + (a.spot_y - b.spot_y) ** 2 <= {inp.RADIUS**2}),
-around AS (
-  SELECT near.sample, near.spot, m.cell_type, avg(m.p) AS n
-  FROM near JOIN markers_p m ON near.sample = m.sample AND near.neighbor = m.spot GROUP BY 1, 2, 3),
-pulled AS (
-  SELECT sample, spot, cell_type, p, greatest((p + {PULL} * coalesce(n, p)) / {1 + PULL} - {THRESHOLD}, 0) AS z
-  FROM markers_p LEFT JOIN around USING (sample, spot, cell_type)),
-moved AS (
-  SELECT *, greatest(p + least(greatest(z - p, -{CAP}), {CAP}), 0) AS y FROM pulled),
-stepped AS (
-  SELECT sample, spot, cell_type, CASE WHEN sum(y) OVER w > 0 THEN y / sum(y) OVER w ELSE p END AS p
-  FROM moved WINDOW w AS (PARTITION BY sample, spot))"""
+  WHERE (a.spot_x - b.spot_x) ** 2 + (a.spot_y - b.spot_y) ** 2 <= {inp.RADIUS**2})"""
+
+
+def refine_sql(points: list[dict], rounds: int) -> str:
+    """Rounds of the smoothing for all points; a point whose largest change was below the tolerance stays as it is."""
+    runs = ", ".join(f"({q['run_id']}, {q['lam']}, {q['alpha']}, {q['cap']})" for q in points)
+    out = f"""{NEAR_SQL},
+runs(run_id, lam, alpha, cap) AS (VALUES {runs}),
+start AS MATERIALIZED (SELECT * FROM markers_p),
+p0 AS MATERIALIZED (
+  SELECT run_id, lam * (1 - alpha) AS pull, lam * alpha / ({K} * (1 + lam * (1 - alpha))) AS least, cap::DOUBLE AS cap,
+         sample, spot, cell_type, p AS e, p, 0 AS steps, false AS settled
+  FROM start, (SELECT run_id, lam::DOUBLE AS lam, alpha::DOUBLE AS alpha, cap FROM runs))"""
+    for r in range(rounds):
+        out += f""",
+around{r} AS (
+  SELECT run_id, near.sample, near.spot, cell_type, avg(p) AS n
+  FROM near JOIN p{r} m ON near.sample = m.sample AND near.neighbor = m.spot WHERE NOT settled GROUP BY ALL),
+moved{r} AS (
+  SELECT p{r}.*, greatest(p + least(greatest(
+           greatest((e + pull * coalesce(n, e)) / (1 + pull) - least, 0) - p, -cap), cap), 0) AS y
+  FROM p{r} LEFT JOIN around{r} USING (run_id, sample, spot, cell_type)),
+fresh{r} AS MATERIALIZED (
+  SELECT * EXCLUDE y, CASE WHEN NOT settled AND sum(y) OVER w > 0 THEN y / sum(y) OVER w ELSE p END AS q
+  FROM moved{r} WINDOW w AS (PARTITION BY run_id, sample, spot)),
+p{r + 1} AS MATERIALIZED (
+  SELECT run_id, pull, least, cap, sample, spot, cell_type, e, q AS p, CASE WHEN settled THEN steps ELSE {r + 1} END AS steps,
+         settled OR max(abs(q - p)) OVER (PARTITION BY run_id) < {TOLERANCE} AS settled
+  FROM fresh{r})"""
+    return out
+
+
+def _sweep() -> list[dict]:
+    from spotweave.operators.sampling import sweep_points
+
+    return sweep_points(lam=[0.001, 1.0], alpha=[0.1, 0.7], cap=[0.1, 0.2, 0.4])
 
 
 @query(
     "refine_step",
-    GLOBAL_SQL.rstrip() + ",\n" + STEP_SQL + "\nSELECT sample, spot, cell_type, round(p, 6) AS p FROM stepped",
+    GLOBAL_SQL.rstrip() + ",\n" + refine_sql([{"run_id": 0, "lam": LAM, "alpha": ALPHA, "cap": CAP}], 1)
+    + "\nSELECT sample, spot, cell_type, round(p, 6) AS p FROM p1",
 )
 def refine_step(spark: SparkSession, sf: str) -> DataFrame:
     """One smoothing step from the global proportions."""
-    spots = inp.spots(spark, sf)
-    state = deconv.start_state(
-        global_props(spark, sf), spots, {"lam": LAM, "alpha": ALPHA, "cap": CAP}, K
-    )
-    stepped = deconv.refine_step(state, inp.RADIUS, K)
-    return rounded(deconv.to_long(stepped, inp.TYPES), "p", digits=6)
+    point = {"lam": LAM, "alpha": ALPHA, "cap": CAP}
+    fine = deconv.refine_props(global_props(spark, sf), inp.spots(spark, sf), inp.TYPES, inp.RADIUS, point, max_iterations=1)
+    return rounded(deconv.to_long(fine, inp.TYPES), "p", digits=6)
 
 
-@query("refine_props")
+@query(
+    "refine_props",
+    GLOBAL_SQL.rstrip() + ",\n" + refine_sql(_sweep(), ROUNDS)
+    + f"\nSELECT run_id, sample, spot, cell_type, steps, settled AS converged, round(p, 6) AS p FROM p{ROUNDS}",
+)
 def refine_props(spark: SparkSession, sf: str) -> DataFrame:
-    """Iterated to convergence, all twelve parameter points in one job."""
-    from spotweave.operators.sampling import sweep_points
-
-    points = sweep_points(lam=[0.001, 1.0], alpha=[0.1, 0.7], cap=[0.1, 0.2, 0.4])
-    fine = deconv.refine_props(global_props(spark, sf), inp.spots(spark, sf), inp.TYPES, inp.RADIUS, points)
-    return rounded(deconv.to_long(fine, inp.TYPES, ("run_id", "sample", "spot")), "p", digits=6)
+    """Iterated until each of twelve parameter points has converged, all in one run."""
+    start, spots = global_props(spark, sf), inp.spots(spark, sf)
+    fine = deconv.refine_props(start, spots, inp.TYPES, inp.RADIUS, _sweep(), TOLERANCE, ROUNDS)
+    by = ("run_id", "sample", "spot", "steps", "converged")
+    return rounded(deconv.to_long(fine, inp.TYPES, by), "p", digits=6)
 
 
 def _expr_props(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:

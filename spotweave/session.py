@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,11 +55,15 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{label}"
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(conf).delete(at, True)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application stored, once no result of it is in use."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    root = jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
-    root.getFileSystem(conf).delete(root, True)
+    _delete(spark, scratch_root(spark))
 
 
 def stored(df: DataFrame, label: str) -> DataFrame:
@@ -69,3 +75,40 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Bucketed:
+    """A stored result dealt to files by the hash of ``keys``.
+
+    A join or grouping on these keys reads the files as they are, without a
+    shuffle. There are as many files as shuffle partitions.
+    """
+
+    def __init__(self, df: DataFrame, label: str, keys: list[str]):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.path, self.name = scratch_path(self.spark, label), f"spotweave_{uuid.uuid4().hex}"
+        n = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        # dealt out before the write, so that each task writes one file; no shuffle where they are already
+        df.repartition(n, *keys).write.bucketBy(n, *keys).option("path", self.path).saveAsTable(self.name)
+        self.rows = self.spark.table(self.name)
+
+    def plain(self) -> DataFrame:
+        """The rows as an ordinary stored result; the catalog forgets the table."""
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+    def delete(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+        _delete(self.spark, self.path)
+
+
+@contextmanager
+def dealt_by_some_keys(spark: SparkSession) -> Iterator[None]:
+    """Joins run inside leave rows where they are if both sides are dealt by some of the join keys."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

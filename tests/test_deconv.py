@@ -45,16 +45,42 @@ def test_radius_neighbors(spots, slide, radius):
     assert [counts[i] for i in range(60)] == m.sum(1).tolist()
 
 
-@pytest.mark.parametrize("radius", [2.5])
-def test_hot_cells_are_split_exactly(spots, slide, radius):
-    m = near(slide, radius)
-    hot = spatial.hot_cells(spots, radius, limit=7)
-    assert hot is not None and hot.agg(F.max("_parts")).first()[0] >= 3
-    out = spatial.neighbor_sums(spots, spots.withColumn("v", F.col("spot") * 1.0), radius, ["v"], hot=hot).collect()
+@pytest.mark.parametrize("work", [1, 20, 100])
+def test_dense_cells_are_split_exactly(spots, slide, monkeypatch, work):
+    monkeypatch.setattr(spatial, "LEAST", 3)
+    m = near(slide, 2.5)
+    plan = spatial.cell_plan(spots, spots, 2.5, work=work)
+    assert plan.agg(F.max("_level")).first()[0] >= 1
+    if work == 1:  # a third of the spots on one position can't be quartered, so they are in parts
+        assert max(max(r._parts.values()) for r in plan.where("_parts IS NOT NULL").collect()) >= 3
+    out = spatial.neighbor_sums(spots, spots.withColumn("v", F.col("spot") * 1.0), 2.5, ["v"], plan).collect()
     got = {r.spot: (r.near_n, r.near_v) for r in out}
     full = m + np.eye(60, dtype=bool)
     assert [got[i][0] for i in range(60)] == full.sum(1).tolist()
     assert [got[i][1] for i in range(60)] == (full @ np.arange(60.0)).tolist()
+    pairs = {(r.spot, r.neighbor) for r in spatial.radius_neighbors(spots, 2.5, work=work).collect()}
+    assert pairs == set(zip(*map(lambda a: a.tolist(), np.nonzero(m))))
+
+
+def test_dense_cell_loads_no_task(spark):
+    """Half of all spots in one cell: pairs by task, as dealt by the join keys, are within 3 times the median."""
+    rng = np.random.default_rng(1)
+    n = 6000
+    xy = np.concatenate([rng.random((n // 2, 2)) * 2, rng.random((n // 2, 2)) * 60])
+    spots = spark.createDataFrame([("s", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "sample string, spot int, spot_x double, spot_y double")
+    near_spots = spots.withColumnsRenamed({"spot_x": "near_x", "spot_y": "near_y"})
+
+    def loads(work):
+        plan = spatial.cell_plan(spots, spots, 1.0, work=work)
+        a, on = spatial.targets_at(spots, 1.0, plan, ["spot"])
+        b = spatial.sources_at(near_spots, 1.0, plan)
+        size = a.groupBy(*on).agg(F.count("*").alias("t")).join(b.groupBy(*on).agg(F.count("*").alias("s")), on)
+        task = F.pmod(F.hash(*on), F.lit(8))
+        return sorted(r.w for r in size.groupBy(task.alias("task")).agg(F.sum(F.col("t") * F.col("s")).alias("w")).collect())
+
+    even, one = loads(4000), loads(1 << 40)
+    assert len(even) == 8 and even[-1] <= 3 * even[4]
+    assert one[-1] > 8 * one[4] and sum(even) < sum(one)
 
 
 def step(e, p, m, lam, alpha, cap):
@@ -99,6 +125,28 @@ def test_refine_equals_numpy(spark, spots, slide, evidence):
     assert np.allclose(got, p, atol=1e-12) and np.allclose(got.sum(1), 1)
 
 
+@pytest.mark.parametrize("work", [1, spatial.WORK])
+def test_refine_reports_and_keeps_little(spark, spots, evidence, work):
+    from pathlib import Path
+
+    from spotweave.session import scratch_root
+
+    points = [{"run_id": 7, "lam": 0.0, "alpha": 0.0, "cap": 1.0}, {"run_id": 3, "lam": 1.0, "alpha": 0.1, "cap": 0.02}]
+    jobs = {}
+    for steps in (1, 6):
+        before = set(Path(scratch_root(spark)).rglob("state"))
+        spark.sparkContext.setJobGroup(f"refine{work}-{steps}", "refine")
+        fine = deconv.refine_props(wide_props(spark, evidence), spots, TYPES, 2.5, points, max_iterations=steps, work=work)
+        spark.sparkContext.setJobGroup("other", "other")
+        jobs[steps] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"refine{work}-{steps}"))
+    ends = {(r.run_id, r.steps, r.converged) for r in fine.select("run_id", "steps", "converged").distinct().collect()}
+    assert ends == {(7, 1, True), (3, 6, False)}
+    assert len(set(Path(scratch_root(spark)).rglob("state")) - before) == 1
+    # a step is a job that moves the sources, one for the small plan of cells, and the write
+    assert jobs[6] - jobs[1] <= 3 * 5
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("spotweave_")]
+
+
 def test_spots_need_coordinates(spark, spots, evidence):
     with pytest.raises(ValueError):
         deconv.refine_props(wide_props(spark, evidence), spots.where("spot < 50"), TYPES, 2.5)
@@ -113,6 +161,7 @@ def test_sweep_equals_single_runs(spark, spots, evidence):
     both = deconv.refine_props(start, spots, TYPES, 2.5, points, max_iterations=4)
     for q in points:
         alone = deconv.refine_props(start, spots, TYPES, 2.5, q, max_iterations=4)
+        assert "run_id" not in alone.columns
         assert np.allclose(to_matrix(both.where(F.col("run_id") == q["run_id"])), to_matrix(alone), atol=1e-12)
 
 
