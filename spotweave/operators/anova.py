@@ -1,7 +1,8 @@
 """Analysis of variance and pairwise comparison of methods.
 
-Spark reduces the data to one row per method (or method and block); only such
-rows meet Python, for the tails of the distributions.
+Spark reduces the data to one row per method (or method and block). Blocks may be
+many: they are eliminated by grouped sums, and only a system of methods by
+methods is solved in a task.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from spotweave.functions.scalar import safe_ratio, significance
-from spotweave.functions.tails import f_tail_udf, range_tail_udf
+from spotweave.functions.tails import f_tail, range_tail
+from spotweave.session import stored
 from spotweave.tables import nan_to_null
 
 
@@ -48,7 +50,7 @@ def anova_oneway(
     )
     f = safe_ratio(F.col("ss_method") / F.col("df_method"), F.col("ss_error") / F.col("df_error"))
     out = table.withColumn("f", f)
-    return out.withColumn("p", f_tail_udf("f", "df_method", "df_error")) if p_value else out
+    return out.withColumn("p", f_tail(F.col("f"), F.col("df_method"), F.col("df_error"))) if p_value else out
 
 
 def anova_block(
@@ -62,47 +64,62 @@ def anova_block(
 ) -> DataFrame:
     """Two-way additive analysis, method first, replicate as block.
 
-    The (method, block) table of one metric is as large as the design, not
-    the data. Its additive fit is a weighted least squares on cell means,
-    right for unbalanced designs as well. Fewer than ``min_methods`` methods
-    give NULL.
+    Sequential sums of squares, right for unbalanced and disconnected designs as
+    well. The blocks are eliminated by sums: with ``n`` and ``t`` the count and
+    (centred) total of a method in a block, methods a and b meet in
+    ``sum over blocks n_a n_b / n`` and the right-hand side of a is
+    ``t_a - sum over blocks n_a t / n``. So no design matrix is built, and the system that a
+    task solves for each of ``keys`` has as many rows as methods. Fewer than
+    ``min_methods`` methods give NULL.
     """
-    keys = list(keys)
-    cells = group_moments(rows, [*keys, method, block], value)
-    fields = ", ".join([f"`{k}` {cells.schema[k].dataType.simpleString()}," for k in keys])
-    schema = f"{fields} df_method bigint, df_block bigint, df_error bigint, ss_method double, ss_block double, ss_error double"
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, a_names = pd.factorize(pdf[method])
-        b, b_names = pd.factorize(pdf[block])
-        n, y = pdf["n"].to_numpy(float), pdf["mean"].to_numpy(float)
-        root = np.sqrt(n)
-        base = np.ones((len(pdf), 1))
-        by_method = np.hstack([base, np.eye(len(a_names))[a][:, 1:]])
-        both = np.hstack([by_method, np.eye(len(b_names))[b][:, 1:]])
-
-        def residual(design):
-            coef, _, rank, _ = np.linalg.lstsq(design * root[:, None], y * root, rcond=None)
-            return float((n * (y - design @ coef) ** 2).sum()), int(rank)
-
-        r0, _ = residual(base)
-        r1, k1 = residual(by_method)
-        r2, k2 = residual(both)
-        row = {k: [pdf[k].iloc[0]] for k in keys}
-        row |= {
-            "df_method": [k1 - 1],
-            "df_block": [k2 - k1],
-            "df_error": [int(n.sum()) - k2],
-            "ss_method": [r0 - r1],
-            "ss_block": [r1 - r2],
-            "ss_error": [r2 + float(pdf["css"].sum())],
+    # a constant key, so that joins have a key also without ``keys``
+    given, keys = list(keys), [*keys, "_all"]
+    rows = rows.withColumn("_all", F.lit(0))
+    cells = stored(group_moments(rows, [*keys, method, block], value), "cells")
+    grand = cells.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_grand"))
+    n, y = F.col("n").cast("double"), F.col("mean") - F.col("_grand")
+    centred = cells.join(grand, keys).select(*keys, F.col(method).alias("_a"), F.col(block).alias("_b"), n.alias("n"), (n * y).alias("t"), (n * y * y).alias("yy"), "css")
+    blocks = centred.groupBy(*keys, "_b").agg(F.sum("n").alias("block_n"), F.sum("t").alias("block_t"))
+    share = stored(centred.join(blocks, [*keys, "_b"]), "cells_by_block")
+    methods = share.groupBy(*keys, "_a").agg(
+        F.sum("n").alias("n"),
+        F.sum("t").alias("t"),
+        F.sum(F.col("t") - F.col("n") * F.col("block_t") / F.col("block_n")).alias("right"),
+        F.sum("yy").alias("yy"),
+        F.sum("css").alias("css"),
+    )
+    per_block = blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("blocks"), F.sum(F.col("block_t") * F.col("block_t") / F.col("block_n")).alias("block_ss"))
+    other = share.select(*keys, "_b", F.col("_a").alias("_c"), F.col("n").alias("n_c"))
+    met = share.join(other, [*keys, "_b"]).groupBy(*keys, "_a", "_c").agg(F.sum(F.col("n") * F.col("n_c") / F.col("block_n")).alias("met"))
+    system = met.join(methods, [*keys, "_a"]).join(per_block, keys)
+    fields = ", ".join([f"`{k}` {cells.schema[k].dataType.simpleString()}" for k in keys])
+    schema = f"{fields}, df_method bigint, df_block bigint, df_error bigint, ss_method double, ss_block double, ss_error double"
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf.drop_duplicates("_a")
+        place = pd.Series(range(len(one)), index=one["_a"])
+        matrix = np.diag(one["n"].to_numpy(float))
+        np.subtract.at(matrix, (place[pdf["_a"]].to_numpy(), place[pdf["_c"]].to_numpy()), pdf["met"].to_numpy(float))
+        values, vectors = np.linalg.eigh(matrix)
+        held = values > 1e-9 * one["n"].max()  # one zero for each connected part of the design
+        turned = vectors[:, held].T @ one["right"].to_numpy(float)
+        by_method = float((one["t"] ** 2 / one["n"]).sum())
+        both = float(pdf["block_ss"].iloc[0]) + float((turned**2 / values[held]).sum())
+        rank = int(pdf["blocks"].iloc[0]) + int(held.sum())
+        row = {k: [pdf[k].iloc[0]] for k in keys} | {
+            "df_method": [len(one) - 1],
+            "df_block": [rank - len(one)],
+            "df_error": [round(one["n"].sum()) - rank],
+            "ss_method": [by_method],
+            "ss_block": [both - by_method],
+            "ss_error": [max(0.0, float(one["yy"].sum()) - both) + float(one["css"].sum())],
         }
         return pd.DataFrame(row)
 
-    table = cells.groupBy(*keys).applyInPandas(fit, schema)
+    table = system.groupBy(*keys).applyInPandas(solve, schema).drop("_all")
     f = safe_ratio(F.col("ss_method") / F.col("df_method"), F.col("ss_error") / F.col("df_error"))
-    out = table.withColumn("f", F.when(F.col("df_method") >= min_methods - 1, f))
-    return out.withColumn("p", f_tail_udf("f", "df_method", "df_error")) if p_value else out
+    out = table.withColumn("f", F.when(F.col("df_method") >= min_methods - 1, f)).select(*given, *table.columns[len(given):], "f")
+    return out.withColumn("p", f_tail(F.col("f"), F.col("df_method"), F.col("df_error"))) if p_value else out
 
 
 def tukey_pairs(
@@ -122,10 +139,11 @@ def tukey_pairs(
     ``ss_error`` and ``df_error`` per ``keys`` from another model (the block
     design); by default they come from the one-way table.
     """
-    keys = list(keys)
-    m = group_moments(rows, [*keys, method], value)
-    table = anova_oneway(rows, method, value, keys, p_value=False) if errors is None else errors
-    error = table.select(*keys, "ss_error", "df_error")
+    # a constant key, so that joins have a key also without ``keys``
+    given, keys = list(keys), [*keys, "_all"]
+    m = stored(group_moments(rows.withColumn("_all", F.lit(0)), [*keys, method], value), "method_means")
+    table = anova_oneway(rows, method, value, given, p_value=False) if errors is None else errors
+    error = table.select(*given, F.lit(0).alias("_all"), "ss_error", "df_error")
     ranked = m.select(*keys, F.col(method).alias("group1"), F.col("mean").alias("mean1"), F.col("n").alias("n1"))
     other = m.select(*keys, F.col(method).alias("group2"), F.col("mean").alias("mean2"), F.col("n").alias("n2"))
     if focal is not None:
@@ -135,19 +153,14 @@ def tukey_pairs(
     else:
         meets = F.col("group1") < F.col("group2")
     k = m.groupBy(*keys).agg(F.count(F.lit(1)).alias("k"))
-    if keys:
-        pairs = ranked.join(other, keys).where(meets).join(error, keys).join(k, keys)
-    else:
-        pairs = ranked.join(other, meets).withColumns(
-            {"ss_error": error.select("ss_error").scalar(), "df_error": error.select("df_error").scalar(), "k": k.scalar()}
-        )
+    pairs = ranked.join(other, keys).where(meets).join(error, keys).join(k, keys)
     mse = F.col("ss_error") / F.col("df_error")
     diff = F.col("mean2") - F.col("mean1")
     se = F.sqrt(mse / 2 * (1 / F.col("n1") + 1 / F.col("n2")))
     out = pairs.select(
-        *keys, "group1", "group2", diff.alias("diff"), safe_ratio(F.abs(diff), se).alias("q"), "k", "df_error"
+        *given, "group1", "group2", diff.alias("diff"), safe_ratio(F.abs(diff), se).alias("q"), "k", "df_error"
     )
     if not p_value:
         return out
-    out = out.withColumn("p_adj", range_tail_udf("q", "k", "df_error"))
+    out = out.withColumn("p_adj", range_tail(F.col("q"), F.col("k"), F.col("df_error")))
     return out.withColumn("signif", significance(F.col("p_adj"), right, include_lowest))

@@ -133,35 +133,30 @@ def metric_domain(rows: DataFrame, keys: Sequence[str] = ("metric",), value: str
     return ends.join(exact_quantiles(rows, keys, value, [0.5], ["median"]), list(keys))
 
 
-def _poisson_weights(h: np.ndarray, n: np.ndarray, resamples: int) -> np.ndarray:
-    """Poisson(n) draws, one row per value, fixed by the hash of the value.
+#: Copies of a value that are drawn together; more copies are the sum of several such draws.
+PART = 16
+#: Groups whose sums a task holds at once.
+HELD_GROUPS = 500
 
-    Uniforms come from a counter-based mixer, so the draws do not depend on
-    how Spark splits the rows. Up to n = 30 by the inverse distribution
-    function, above by its normal limit.
-    """
+
+def _uniforms(h: np.ndarray, resamples: int) -> np.ndarray:
+    """A number in (0, 1) for each hash and resample, by a counter-based mixer (splitmix64) that knows no order of rows."""
     with np.errstate(over="ignore"):
-        x = h.astype(np.uint64)[:, None] + (
-            np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        )[None, :]
+        x = h.astype(np.uint64)[:, None] + (np.arange(1, resamples + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))[None, :]
         x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
         x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
         x = x ^ (x >> np.uint64(31))
-    u = ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) / float(1 << 53)
+
+
+def _poisson(rates: np.ndarray, u: np.ndarray) -> np.ndarray:
+    """Poisson draws of the rates 1 to ``PART`` by inversion: the number of k whose distribution function is at most ``u``."""
     out = np.empty(u.shape)
-    for rate in np.unique(n[n <= 30]):
+    for rate in np.unique(rates):
         ks = np.arange(0, 120)
-        log_pmf = ks * np.log(rate) - rate - np.concatenate([[0.0], np.cumsum(np.log(ks[1:]))])
-        pick = n == rate
-        out[pick] = np.searchsorted(np.cumsum(np.exp(log_pmf)), u[pick])
-    big = n > 30
-    if big.any():
-        # two uniforms from the halves of one draw give a normal deviate
-        first = ((x[big] >> np.uint64(32)).astype(np.float64) + 0.5) / float(1 << 32)
-        second = (x[big] & np.uint64(0xFFFFFFFF)).astype(np.float64) / float(1 << 32)
-        z = np.sqrt(-2.0 * np.log(first)) * np.cos(2.0 * np.pi * second)
-        rate = n[big].astype(np.float64)[:, None]
-        out[big] = np.maximum(0.0, np.rint(rate + np.sqrt(rate) * z))
+        log_p = ks * np.log(rate) - rate - np.concatenate([[0.0], np.cumsum(np.log(ks[1:]))])
+        pick = rates == rate
+        out[pick] = np.searchsorted(np.cumsum(np.exp(log_p)), u[pick], side="right")
     return out
 
 
@@ -170,9 +165,11 @@ def bootstrap_ci(
 ) -> DataFrame:
     """Percentile bootstrap interval of the mean by Poisson weights.
 
-    Equal values are merged first, as Poisson weights of copies add up to one
-    Poisson weight. Tasks emit only ``resamples`` partial sums per group and
-    batch.
+    Equal values are merged first: the weights of n copies add up to a Poisson
+    number of rate n. It is drawn as the sum of independent parts of rate ``PART``
+    and one of the rest, each by inversion of its distribution, so every count of
+    copies is drawn in the same, exact way. A part's draws are fixed by the MD5
+    of seed, keys, value and part. Sums of all parts of a task leave it as one row for each group.
     """
     keys = list(keys)
     merged = (
@@ -180,26 +177,46 @@ def bootstrap_ci(
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
-        .withColumn("_h", F.xxhash64(*keys, "_v", F.lit(seed)))
+    )
+    merged = stored(merged, "merged_values")
+    last = F.floor((F.col("_n") - 1) / PART)
+    parts = merged.withColumn("_part", F.explode(F.sequence(F.lit(0).cast("bigint"), last)))
+    name = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in [*keys, "_v", "_part"]))
+    parts = parts.select(
+        *keys,
+        "_v",
+        F.least(F.lit(PART), F.col("_n") - PART * F.col("_part")).alias("_n"),
+        # 60 bits: exact in a bigint
+        F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("bigint").alias("_h"),
     )
     fields = [f"`{k}` {merged.schema[k].dataType.simpleString()}" for k in keys]
     schema = ", ".join([*fields, "_sw array<double>", "_sx array<double>"])
 
     def partial(batches):
+        held: dict[tuple, list[np.ndarray]] = {}
+
+        def rows_of() -> pd.DataFrame:
+            return pd.DataFrame([(*key, *sums) for key, sums in held.items()], columns=[*keys, "_sw", "_sx"])
+
         for pdf in batches:
             for start in range(0, len(pdf), 2000):
                 part = pdf.iloc[start : start + 2000].reset_index(drop=True)
-                w = _poisson_weights(part["_h"].to_numpy(), part["_n"].to_numpy(), resamples)
+                w = _poisson(part["_n"].to_numpy(), _uniforms(part["_h"].to_numpy(), resamples))
                 v = part["_v"].to_numpy()
-                groups = part.groupby(keys, sort=False).indices if keys else {(): np.arange(len(part))}
-                out = []
+                groups = part.groupby(keys, sort=False, dropna=False).indices if keys else {(): np.arange(len(part))}
                 for key, idx in groups.items():
                     key = key if isinstance(key, tuple) else (key,)
-                    out.append((*key, w[idx].sum(axis=0), v[idx] @ w[idx]))
-                yield pd.DataFrame(out, columns=[*keys, "_sw", "_sx"])
+                    sums = held.setdefault(key, [np.zeros(resamples), np.zeros(resamples)])
+                    sums[0] += w[idx].sum(axis=0)
+                    sums[1] += v[idx] @ w[idx]
+                if len(held) > HELD_GROUPS:
+                    yield rows_of()
+                    held.clear()
+        if held:
+            yield rows_of()
 
     sums = (
-        merged.mapInPandas(partial, schema)
+        parts.mapInPandas(partial, schema)
         .select(*keys, F.posexplode(F.arrays_zip("_sw", "_sx")).alias("_b", "_s"))
         .groupBy(*keys, "_b")
         .agg(F.sum("_s._sw").alias("_sw"), F.sum("_s._sx").alias("_sx"))

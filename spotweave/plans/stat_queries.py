@@ -201,14 +201,65 @@ def anova_oneway(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("anova_pvalues")
+def f_tail_sql(f: str, df1: str, df2: str) -> str:
+    """P(F > f) by the midpoint rule, after the substitution t = exp(-u / a) in the beta integral."""
+    a, b = f"({df2} / 2.0)", f"({df1} / 2.0)"
+    return f"""CASE WHEN {f} <= 0 THEN 1.0 ELSE exp(lgamma({a} + {b}) - lgamma({a}) - lgamma({b})) / {a} * list_sum(list_transform(
+  range(20000), lambda i: 0.002 * exp(-({a} * ln(1 + {df1} * {f} / {df2}) + (i + 0.5) * 0.002))
+    * pow(1 - exp(-({a} * ln(1 + {df1} * {f} / {df2}) + (i + 0.5) * 0.002) / {a}), {b} - 1))) END"""
+
+
+@query(
+    "anova_pvalues",
+    f"""WITH long AS (
+  SELECT l_returnflag AS method, unnest(['l_quantity', 'l_extendedprice', 'l_discount']) AS metric,
+         unnest([l_quantity, l_extendedprice, l_discount]) AS value FROM lineitem),
+m AS (SELECT metric, method, count(*) AS n, avg(value) AS mean, var_pop(value) * count(*) AS css FROM long GROUP BY 1, 2),
+g AS (SELECT metric, avg(value) AS grand FROM long GROUP BY 1),
+a AS (
+  SELECT metric, count(*) - 1 AS df_method, (sum(n) - count(*))::BIGINT AS df_error, sum(n * (mean - grand) ** 2) AS ss_method,
+         sum(css) AS ss_error FROM m JOIN g USING (metric) GROUP BY 1),
+t AS (SELECT *, ss_method / df_method / (ss_error / df_error) AS f FROM a)
+SELECT metric, df_method, df_error, round(f, 6) AS f, round({f_tail_sql("f", "df_method", "df_error")}, 5) AS p FROM t""",
+)
 def anova_pvalues(spark: SparkSession, sf: str) -> DataFrame:
     """F tests of three line-item measures between return flags, with p."""
     rows = inp.table(spark, sf, "lineitem").select(
         F.col("l_returnflag").alias("method"), "l_quantity", "l_extendedprice", "l_discount"
     )
     long = reshape.metric_unpivot(rows, ["method"], ["l_quantity", "l_extendedprice", "l_discount"])
-    return anova.anova_oneway(long, keys=["metric"])
+    out = anova.anova_oneway(long, keys=["metric"])
+    return out.select("metric", "df_method", "df_error", F.round("f", 6).alias("f"), F.round("p", 5).alias("p"))
+
+
+@query(
+    "anova_block_keys",
+    f"""WITH r AS (SELECT l_linenumber AS line, l_returnflag AS method, l_suppkey AS block, l_quantity AS y FROM lineitem),
+g AS (SELECT line, avg(y) AS g, var_pop(y) * count(*) AS yy, count(*) AS n_all FROM r GROUP BY 1),
+e AS (
+  SELECT line, block, count(*) AS n, sum(y - g) AS t, count(*) FILTER (method = 'A') AS na, count(*) FILTER (method = 'R') AS nr,
+         coalesce(sum(y - g) FILTER (method = 'A'), 0) AS ta, coalesce(sum(y - g) FILTER (method = 'R'), 0) AS tr
+  FROM r JOIN g USING (line) GROUP BY 1, 2),
+m AS (SELECT line, sum(t * t / n) AS by_method FROM (SELECT line, method, sum(y - g) AS t, count(*) AS n FROM r JOIN g USING (line) GROUP BY 1, 2) GROUP BY 1),
+q AS (
+  SELECT line, sum(na - na * na / n) AS caa, -sum(na * nr / n) AS car, sum(nr - nr * nr / n) AS crr, sum(ta - na * t / n) AS qa,
+         sum(tr - nr * t / n) AS qr, sum(t * t / n) AS by_block, count(*) AS blocks FROM e GROUP BY 1),
+s AS (
+  SELECT line, 2::BIGINT AS df_method, blocks - 1 AS df_block, n_all - blocks - 2 AS df_error, by_method AS ss_method,
+         by_block + (crr * qa * qa - 2 * car * qa * qr + caa * qr * qr) / (caa * crr - car * car) AS fitted, yy
+  FROM q JOIN m USING (line) JOIN g USING (line)),
+t AS (SELECT *, fitted - ss_method AS ss_block, yy - fitted AS ss_error, ss_method / 2 / ((yy - fitted) / df_error) AS f FROM s)
+SELECT line, df_method, df_block, df_error, round(ss_method, 4) AS ss_method, round(ss_block, 4) AS ss_block,
+       round(ss_error, 4) AS ss_error, round(f, 6) AS f, round({f_tail_sql("f", "df_method", "df_error")}, 5) AS p FROM t""",
+)
+def anova_block_keys(spark: SparkSession, sf: str) -> DataFrame:
+    """Quantity by return flag with suppliers as blocks, for each line number: unbalanced designs with many blocks."""
+    rows = inp.table(spark, sf, "lineitem").select(
+        F.col("l_linenumber").alias("line"), F.col("l_returnflag").alias("method"), F.col("l_suppkey").alias("block"), F.col("l_quantity").alias("value")
+    )
+    out = anova.anova_block(rows, block="block", keys=["line"])
+    digits = {"ss_method": 4, "ss_block": 4, "ss_error": 4, "f": 6, "p": 5}
+    return out.withColumns({c: F.round(c, d) for c, d in digits.items()})
 
 
 BLOCK_SQL = (
@@ -251,12 +302,50 @@ def tukey_pairs(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(anova.tukey_pairs(events(spark, sf), p_value=False), "diff", "q", digits=6)
 
 
-@query("tukey_pvalues")
+# fixed values: rational approximation of the normal distribution function (Hart 1968, no. 5666), highest power first
+_UPPER_SQL = [3.52624965998911e-2, 0.700383064443688, 6.37396220353165, 33.912866078383, 112.079291497871, 221.213596169931, 220.206867912376]
+_LOWER_SQL = [8.83883476483184e-2, 1.75566716318264, 16.064177579207, 86.7807322029461, 296.564248779674, 637.333633378831, 793.826512519948, 440.413735824752]
+
+
+def cdf_sql(z: str) -> str:
+    """Normal distribution function of a column ``z``."""
+
+    def horner(values: list[float]) -> str:
+        out = repr(values[0])
+        for v in values[1:]:
+            out = f"({out} * abs({z}) + {v!r})"
+        return out
+
+    half = f"CASE WHEN abs({z}) < 7.07 THEN exp(-0.5 * {z} * {z}) * {horner(_UPPER_SQL)} / {horner(_LOWER_SQL)} ELSE 0 END"
+    return f"(CASE WHEN {z} > 0 THEN 1 - ({half}) ELSE {half} END)"
+
+
+@query(
+    "tukey_pvalues",
+    BLOCK_SQL.rstrip()
+    + f""", e AS (SELECT method, avg(y) AS mean, count(*) AS n FROM c GROUP BY 1),
+pairs AS (
+  SELECT x.method AS group1, o.method AS group2, o.mean - x.mean AS diff,
+         abs(o.mean - x.mean) / sqrt(ss_error / df_error / 2 * (1 / x.n + 1 / o.n)) AS q, (SELECT count(*) FROM e) AS k, df_error
+  FROM e x JOIN e o ON x.method = 'purchase' AND o.method <> 'purchase', t),
+nodes AS (SELECT -8.5 + (i + 0.5) * 17.0 / 800 AS z FROM range(800) r(i)),
+phi AS (SELECT z, exp(-0.5 * z * z) / sqrt(2 * pi()) * 17.0 / 800 AS phi, {cdf_sql("z")} AS cdf FROM nodes),
+scale AS (
+  SELECT group1, group2, q, k, s, exp((df_error - 1) * ln(s) - 0.5 * df_error * (s - 1) * (s + 1)) AS p
+  FROM (SELECT *, (i + 0.5) * (1 + 9 / sqrt(2 * df_error)) / 800 AS s FROM pairs, range(800) r(i))),
+gaps AS (SELECT group1, group2, k, s, p, phi, cdf, z - q * s AS x FROM scale, phi),
+inside AS (SELECT group1, group2, s, any_value(p) AS p, any_value(k) * sum(phi * pow(greatest(cdf - {cdf_sql("x")}, 0), k - 1)) AS below FROM gaps GROUP BY 1, 2, 3),
+tails AS (SELECT group1, group2, 1 - sum(p * below) / sum(p) AS p_adj FROM inside GROUP BY 1, 2)
+SELECT group1, group2, round(diff, 6) AS diff, round(q, 6) AS q, k, df_error, round(p_adj, 5) AS p_adj,
+       CASE WHEN p_adj <= 0.001 THEN '***' WHEN p_adj <= 0.01 THEN '**' WHEN p_adj <= 0.05 THEN '*' ELSE 'ns' END AS signif
+FROM pairs JOIN tails USING (group1, group2)""",
+)
 def tukey_pvalues(spark: SparkSession, sf: str) -> DataFrame:
     """Comparisons of one method with the others in the block design, with p and stars."""
     rows = _collapsed_events(spark, sf)
     errors = anova.anova_block(rows, block="replicate", p_value=False)
-    return anova.tukey_pairs(rows, focal="purchase", errors=errors)
+    out = anova.tukey_pairs(rows, focal="purchase", errors=errors)
+    return rounded(out, "diff", "q", digits=6).withColumn("p_adj", F.round("p_adj", 5))
 
 
 @query(
@@ -322,9 +411,43 @@ def box_stats(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("bootstrap_ci")
+RESAMPLES = 50
+
+
+def _mixed_sql(x: str) -> str:
+    """The mixer of the draws on unsigned 64-bit numbers held in 128 bits."""
+    wide = 1 << 64
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        # the 128-bit product wraps by halves: low half times factor, and high half times factor modulo 2^32
+        y = f"xor({x}, {x} // {1 << shift}::UHUGEINT)"
+        x = f"(({y} % 4294967296 * {factor}::UHUGEINT + ({y} // 4294967296 * {factor}::UHUGEINT) % 4294967296 * 4294967296) % {wide}::UHUGEINT)"
+    return f"xor({x}, {x} // {1 << 31}::UHUGEINT)"
+
+
+@query(
+    "bootstrap_ci",
+    EVENTS_SQL.rstrip()
+    + f""", merged AS (SELECT method, value AS v, count(*) AS n FROM ev WHERE value IS NOT NULL GROUP BY 1, 2),
+parts AS (
+  SELECT method, v, least(16, n - 16 * part) AS n,
+         ('0x' || substr(md5('1:' || method || ':' || v || ':' || part), 1, 15))::BIGINT AS h
+  FROM (SELECT *, unnest(range(0, (n - 1) // 16 + 1)) AS part FROM merged)),
+start AS (
+  SELECT method, v, n, b, (h::UHUGEINT + (b::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT) % {1 << 64}::UHUGEINT) % {1 << 64}::UHUGEINT AS x
+  FROM parts, range(1, {RESAMPLES + 1}) r(b)),
+drawn AS (SELECT method, v, n, b, (({_mixed_sql("x")} // 2048)::DOUBLE + 0.5) / 9007199254740992.0 AS u FROM start),
+cdf AS (
+  SELECT n, k, sum(exp(k * ln(n) - n - lgamma(k + 1))) OVER (PARTITION BY n ORDER BY k) AS below
+  FROM range(1, 17) a(n), range(0, 120) c(k)),
+lists AS (SELECT n, list(below ORDER BY k) AS below FROM cdf GROUP BY n),
+weights AS (SELECT method, v, b, len(list_filter(below, lambda c: c <= u)) AS w FROM drawn JOIN lists USING (n)),
+means AS (SELECT method, b, sum(w * v) / sum(w) AS mean FROM weights GROUP BY 1, 2 HAVING sum(w) > 0),
+ends AS (SELECT method, quantile_cont(mean, 0.025) AS ci_low, quantile_cont(mean, 0.975) AS ci_high FROM means GROUP BY 1)
+SELECT method, round(mean, 6) AS mean, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high
+FROM (SELECT method, avg(value) AS mean FROM ev GROUP BY 1) JOIN ends USING (method)""",
+)
 def bootstrap_ci(spark: SparkSession, sf: str) -> DataFrame:
-    return summary.bootstrap_ci(events(spark, sf), ["method"], "value")
+    return rounded(summary.bootstrap_ci(events(spark, sf), ["method"], "value", RESAMPLES), "mean", "ci_low", "ci_high", digits=6)
 
 
 @query(
