@@ -26,7 +26,10 @@ def _p(i: int) -> str:
 
 
 def to_wide(prop: DataFrame, types: Sequence[str], by: Sequence[str] = SPOT) -> DataFrame:
-    """One row per spot, columns ``p_0 .. p_{K-1}`` in the order of ``types``."""
+    """One row per spot, columns ``p_0 .. p_{K-1}`` in the order of ``types``; a share of another type is an error."""
+    wrong = F.raise_error(F.concat(F.lit("cell type not in the profile: "), F.coalesce(F.col("cell_type").cast("string"), F.lit("null"))))
+    known = F.col("cell_type").isin(list(types)) | (F.coalesce(F.col("p"), F.lit(0.0)) == 0)
+    prop = prop.withColumn("p", F.when(F.coalesce(known, F.lit(False)), F.col("p")).otherwise(wrong.cast("double")))
     return prop.groupBy(*by).agg(
         *[F.sum(F.when(F.col("cell_type") == t, F.col("p")).otherwise(0.0)).alias(_p(i)) for i, t in enumerate(types)]
     )
@@ -264,9 +267,11 @@ def _parts(k: int) -> list[Column]:
     return [F.col("value") * s for s in shares]
 
 
-def _split(expr_pm: DataFrame, types: Sequence[str]) -> DataFrame:
-    """One row per (spot, gene, type) with its part of the value."""
+def _split(expr_pm: DataFrame, types: Sequence[str], ledger: Observation | None = None) -> DataFrame:
+    """One row per (spot, gene, type) with its part of the value; ``ledger`` notes the values and the parts on their way."""
     parts = _parts(len(types))
+    if ledger is not None:
+        expr_pm = expr_pm.observe(ledger, F.sum("value").alias("input"), F.sum(_total(parts)).alias("output"))
     rows = F.array(*[F.struct(F.lit(t).alias("cell_type"), p.alias("value")) for t, p in zip(types, parts)])
     return (
         expr_pm.select("sample", "spot", "gene", F.inline(rows))
@@ -276,13 +281,28 @@ def _split(expr_pm: DataFrame, types: Sequence[str]) -> DataFrame:
 
 
 def _with_props(expr: DataFrame, props: DataFrame, k: int) -> DataFrame:
-    """Expression with the shares of its spot; a spot without shares has no parts."""
-    return expr.select("sample", "spot", "gene", "value").join(
-        props.select(*SPOT, *[_p(i) for i in range(k)]), list(SPOT)
+    """Expression with the shares of its spot; expression of a spot without shares is an error, as it would be lost."""
+    met = expr.select("sample", "spot", "gene", "value").join(
+        props.select(*SPOT, *[_p(i) for i in range(k)]), list(SPOT), "left"
     )
+    lost = F.raise_error(F.concat_ws(" ", F.lit("expression of a spot with no shares:"), F.col("sample").cast("string"), F.col("spot").cast("string")))
+    return met.withColumns({_p(i): F.coalesce(F.col(_p(i)), lost.cast("double")) for i in range(k)})
 
 
-def expr_pass1(expr: DataFrame, props: DataFrame, types: Sequence[str]) -> DataFrame:
+def mass_ledger(expr: DataFrame, layers: DataFrame) -> DataFrame:
+    """sample, input, output, lost: sums of the expression and of its parts, in one grouping.
+
+    Parts add up to the whole unless a spot has no shares above 0. For one pass alone, give the
+    expression pass an ``Observation`` instead: it notes both sums while the pass is written.
+    """
+    both = expr.select("sample", F.col("value").alias("input"), F.lit(0.0).alias("output")).unionByName(
+        layers.select("sample", F.lit(0.0).alias("input"), F.col("value").alias("output"))
+    )
+    sums = both.groupBy("sample").agg(F.sum("input").alias("input"), F.sum("output").alias("output"))
+    return sums.withColumn("lost", F.col("input") - F.col("output"))
+
+
+def expr_pass1(expr: DataFrame, props: DataFrame, types: Sequence[str], ledger: Observation | None = None) -> DataFrame:
     """Expression per type with one profile per (sample, type).
 
     ``props`` is wide. Rows stay one per nonzero until the final split. The
@@ -292,7 +312,7 @@ def expr_pass1(expr: DataFrame, props: DataFrame, types: Sequence[str]) -> DataF
     k = len(types)
     with_p = _with_props(expr, props, k)
     own = stored(profiles(with_p, props, k), "profiles")
-    return _split(with_p.join(own, ["sample", "gene"]), types)
+    return _split(with_p.join(own, ["sample", "gene"]), types, ledger)
 
 
 def expr_pass1_local(
@@ -308,7 +328,10 @@ def expr_pass1_local(
     at = placed(props.select(*SPOT, *cols), spots)
     plan = cell_plan(at, at, radius)
     weighted = neighbor_sums(at, at, radius, cols, plan, prefix="w_")
-    targets = expr.select("sample", "spot", "gene", "value").join(weighted.drop("w_n"), list(SPOT))
+    around = [f"w_{c}" for c in cols]
+    targets = expr.select("sample", "spot", "gene", "value").join(weighted.drop("w_n"), list(SPOT), "left")
+    lost = F.raise_error(F.concat_ws(" ", F.lit("expression of a spot with no shares:"), F.col("sample").cast("string"), F.col("spot").cast("string")))
+    targets = targets.withColumns({c: F.coalesce(F.col(c), lost.cast("double")) for c in [*cols, *around]})
     products = targets.select(
         "sample", "gene", *AT, *[(F.col("value") * F.col(c)).alias(f"x_{i}") for i, c in enumerate(cols)]
     )
@@ -353,6 +376,7 @@ def expr_pass2(
     types: Sequence[str],
     prior_weight: float = 0.5,
     prior: DataFrame | None = None,
+    ledger: Observation | None = None,
 ) -> DataFrame:
     """Pass 1 with profiles mixed with the prior: ``(1 - w) * profile + w * prior``.
 
@@ -381,4 +405,4 @@ def expr_pass2(
             for i in range(k)
         ],
     )
-    return _split(with_p.join(stored(mixed, "mixed_profiles"), ["sample", "gene"]), types)
+    return _split(with_p.join(stored(mixed, "mixed_profiles"), ["sample", "gene"]), types, ledger)

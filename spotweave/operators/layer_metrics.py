@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.functions.scalar import safe_ratio
 from spotweave.tables import nan_to_null
@@ -16,6 +16,49 @@ from spotweave.tables import nan_to_null
 ID = ("method", "sample")
 
 
+def _state(t: Column, q: Column, there: Column) -> Column:
+    """What the scores are made of, over the cells that are ``there``; ``t`` and ``q`` are NULL where a side has no row."""
+    a, b = (F.when(there, F.coalesce(c, F.lit(0.0))) for c in (t, q))
+    return F.struct(
+        F.sum((a - b) * (a - b)).alias("_dd"),
+        F.sum(F.abs(a - b)).alias("_d"),
+        F.sum(a).alias("_t"),
+        F.max(a).alias("_max"),
+        F.min(a).alias("_min"),
+        F.count(a).alias("_seen"),
+        F.count(t).alias("_true"),
+        F.count(q).alias("_predicted"),
+    )
+
+
+def _sums(truth: DataFrame, pred: DataFrame, layer: Sequence[str]) -> DataFrame:
+    """States by layer for a truth that has all columns of the layers."""
+    cells = [*layer, "spot", "gene"]
+    none = F.lit(None).cast("double")
+    t = truth.select(*cells, F.log1p("value").alias("t"), none.alias("q"))
+    q = pred.select(*cells, none.alias("t"), F.log1p("value").alias("q"))
+    pairs = t.unionByName(q).groupBy(*cells).agg(F.sum("t").alias("t"), F.sum("q").alias("q"))
+    return pairs.groupBy(*layer).agg(_state(F.col("t"), F.col("q"), F.lit(True)).alias("_s")).select(*layer, "_s.*")
+
+
+def _sums_of_methods(truth: DataFrame, pred: DataFrame, shared: Sequence[str], layer: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    """States by layer, the truth being the same for all methods.
+
+    One grouping by cell holds the truth and a column for each method, so a
+    truth row is moved once, whatever the number of methods. Methods are few and named by the caller.
+    """
+    cells = [*shared, "spot", "gene"]
+    none = F.lit(None).cast("double")
+    number = F.array_position(F.array(*[F.lit(m) for m in methods]), F.col("method")).cast("int")
+    t = truth.select(*cells, F.lit(0).alias("_m"), F.log1p("value").alias("v"))
+    q = pred.select(*cells, number.alias("_m"), F.log1p("value").alias("v")).where("_m > 0")
+    side = [F.sum(F.when(F.col("_m") == i, F.col("v")).otherwise(none)).alias(f"v{i}") for i in range(len(methods) + 1)]
+    pairs = t.unionByName(q).groupBy(*cells).agg(*side)
+    states = [_state(F.col("v0"), F.col(f"v{i + 1}"), F.col("v0").isNotNull() | F.col(f"v{i + 1}").isNotNull()).alias(f"_s{i}") for i in range(len(methods))]
+    rows = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"_s{i}").alias("_s")) for i, m in enumerate(methods)])
+    return pairs.groupBy(*shared).agg(*states).select(*shared, F.inline(rows)).select(*layer, "_s.*")
+
+
 def layer_metrics(
     truth: DataFrame,
     pred: DataFrame,
@@ -30,43 +73,20 @@ def layer_metrics(
     and ``n_spots`` plus any of the group columns or ``cell_type``. Both fact
     tables must already be restricted to the shared keys. Types without truth
     or without predictions are skipped. ``normalize`` is "range" or "mean" of
-    the truth. Naming the ``methods`` saves a pass over the predictions to
-    learn which truth rows each of them needs.
+    the truth. With the ``methods`` named, and a truth without that column, all
+    methods are scored in one grouping and the truth is moved once.
     """
     if normalize not in ("range", "mean"):
         raise ValueError("normalize must be 'range' or 'mean'")
     group = list(group)
     layer = [*group, "cell_type"]
     shared = [c for c in layer if c in truth.columns]
-    cells = [*layer, "spot", "gene"]
-    if len(shared) == len(layer):
-        repeated = truth
-    elif methods is not None and set(layer) - set(shared) == {"method"}:
-        repeated = truth.withColumn("method", F.explode(F.array(*[F.lit(m) for m in methods])))
+    if methods is not None and set(layer) - set(shared) == {"method"}:
+        sums = _sums_of_methods(truth, pred, shared, layer, list(methods))
     else:
-        repeated = truth.join(pred.select(*layer).distinct(), shared)
-    t = repeated.select(*cells, F.log1p("value").alias("t"), F.lit(0.0).alias("q"), F.lit(1).alias("_side"))
-    q = pred.select(*cells, F.lit(0.0).alias("t"), F.log1p("value").alias("q"), F.lit(2).alias("_side"))
-    pairs = (
-        t.unionByName(q)
-        .groupBy(*cells)
-        .agg(F.sum("t").alias("t"), F.sum("q").alias("q"), F.min("_side").alias("_lo"), F.max("_side").alias("_hi"))
-    )
-    d = F.col("t") - F.col("q")
-    sums = (
-        pairs.groupBy(*layer)
-        .agg(
-            F.sum(d * d).alias("_dd"),
-            F.sum(F.abs(d)).alias("_d"),
-            F.sum("t").alias("_t"),
-            F.max("t").alias("_max"),
-            F.min("t").alias("_min"),
-            F.count(F.lit(1)).alias("_seen"),
-            F.min("_lo").alias("_lo"),
-            F.max("_hi").alias("_hi"),
-        )
-        .where((F.col("_lo") == 1) & (F.col("_hi") == 2))
-    )
+        repeated = truth if len(shared) == len(layer) else truth.join(pred.select(*layer).distinct(), shared)
+        sums = _sums(repeated, pred, layer)
+    sums = sums.where((F.col("_true") > 0) & (F.col("_predicted") > 0))
     by = [c for c in layer if c in sizes.columns]
     size = F.col("n_genes").cast("double") * F.col("n_spots")
     s = (sums.join(sizes, by) if by else sums.withColumns(

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spotweave.functions.scalar import safe_ratio
 from spotweave.operators.joins import complete
@@ -132,16 +132,22 @@ def antibody_clr(
     within = list(within)
     spot = [*within, "spot"]
     parts = clr_parts(protein, spots, proteins, lower, upper, within)
-    # one list per spot, no longer than the antibody panel
-    seen = parts.facts.groupBy(*spot).agg(F.collect_list(F.struct("protein", "a")).alias("_seen"))
-    panel = parts.base.groupBy(*within).agg(F.collect_list(F.struct("protein", F.col("b").alias("a"))).alias("_panel"))
-    rows = parts.centre.join(seen, spot, "left").join(panel, within)
-    names = F.coalesce(F.col("_seen.protein"), F.array().cast("array<string>"))
-    rest = F.filter("_panel", lambda p: ~F.array_contains(F.col("_names"), p["protein"]))
-    every = F.concat(F.coalesce(F.col("_seen"), F.slice("_panel", 1, 0)), F.col("_rest"))
+    # proteins are numbered once in their sample; one list of places per spot, no longer than the antibody panel
+    listed = parts.base.groupBy(*within).agg(F.array_sort(F.collect_list(F.struct("protein", "b"))).alias("_panel"))
+    panel = stored(listed, "panels")
+    number = panel.select(*within, F.posexplode("_panel").alias("_pos", "_entry")).select(*within, "_pos", F.col("_entry.protein").alias("protein"))
+    placed = parts.facts.join(number, [*within, "protein"]).groupBy(*spot).agg(F.array_sort(F.collect_list(F.struct("_pos", "a"))).alias("_seen"))
+    rows = parts.centre.join(placed, spot, "left").join(panel, within)
+    rows = rows.withColumns({"_seen": F.coalesce("_seen", F.array().cast("array<struct<_pos:int,a:double>>")), "_zero": F.col("_panel.b"), "_names": F.col("_panel.protein")})
+
+    def piece(entry: Column, i: Column) -> Column:
+        """Constants of the zeros since the entry before, then the entry."""
+        begin = F.when(i == 0, F.lit(0)).otherwise(F.get("_seen", i - 1)["_pos"] + 1)
+        return F.concat(F.slice("_zero", begin + 1, entry["_pos"] - begin), F.array(entry["a"]))
+
+    last = F.coalesce(F.get("_seen", F.size("_seen") - 1)["_pos"] + 1, F.lit(0))
+    values = F.concat(F.flatten(F.transform("_seen", piece)), F.slice("_zero", last + 1, F.size("_zero") - last))
     return (
-        rows.withColumn("_names", names)
-        .withColumn("_rest", rest)
-        .select(*spot, "centre", F.inline(every))
+        rows.select(*spot, "centre", F.inline(F.arrays_zip(F.col("_names").alias("protein"), values.alias("a"))))
         .select(*spot, "protein", (F.col("a") - F.col("centre")).alias("value"))
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from spotweave.session import stored
 
@@ -108,49 +108,63 @@ def _ranked_quantiles(finite: DataFrame, keys: list[str], probs: Sequence[float]
     return out if keys else out.drop("_all")
 
 
+#: Bits of a digit, digits of a hash, and rows of a slot that are ranked at once.
+DIGIT, DIGITS, RANKED = 15, 4, 4096
+
+
+def seeded_hash(order: Sequence[str], seed: int) -> Column:
+    """60 bits of the MD5 of the seed and the columns, as a bigint."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in order))
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
+
+
 def first_by_hash(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
     quota: DataFrame | int,
     seed: int,
-    bits: int = 16,
+    ranked: int = RANKED,
 ) -> DataFrame:
-    """Rows with the smallest seeded hashes, ``quota`` per group.
-
-    The hash range is cut into 2**bits equal slots. Slot counts give the one
-    slot per group where the quota is reached: slots before it are taken
-    whole, and only its rows are ranked, so neither a hot group nor a sample of
-    a whole table is ever sorted in one task. The borders, one row per group,
-    are stored, so Spark knows that they are small. ``quota`` is a number, or
-    a table of ``keys`` plus ``quota``.
+    """Rows with the smallest seeded hashes, ``quota`` per group; a group with fewer rows is an error.
+
+    A radix selection. The hashes are read in digits: the rows of a group are
+    counted by their first digit, and the slot is found in which the quota is reached. Slots before it
+    are taken whole; in it the next digit decides in the same way, until the
+    slot has ``ranked`` rows at most, which are ranked. So neither a hot group nor a
+    sample of a whole table is ever sorted in one task. The borders, one row per
+    group, are stored, so Spark knows that they are small. ``quota`` is a number, or a table
+    of ``keys`` plus ``quota``; groups without a quota give no rows.
     """
-    keys = list(keys)
-    hashed = df.withColumn("_h", F.xxhash64(*order, F.lit(seed))).withColumn(
-        "_slot", F.shiftrightunsigned("_h", 64 - bits).cast("int")
-    )
-    slots = hashed.groupBy(*keys, "_slot").agg(F.count(F.lit(1)).alias("_in_slot"))
+    # a constant key, so that joins have a key also without ``keys``
+    groups = [*keys, "_all"]
+    hashed = df.withColumns({"_all": F.lit(0), "_h": seeded_hash(order, seed)})
+    wanted = hashed.groupBy(*groups).agg(F.count(F.lit(1)).alias("_held"))
     if isinstance(quota, int):
-        slots = slots.withColumn("quota", F.lit(quota).cast("bigint"))
-    else:
-        slots = slots.join(quota, keys)
-    # at most 2**bits rows per group
-    group = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))
-    run = group.orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)
-    borders = stored(
-        slots.withColumn("_left", F.col("quota") - F.coalesce(F.sum("_in_slot").over(run), F.lit(0)))
-        .where(F.col("_left") > 0)
-        .groupBy(*keys)
-        .agg(F.max("_slot").alias("_border"), F.min("_left").alias("_left")),
-        "borders",
-    )
-    if keys:
-        open_ = hashed.join(borders, keys)
+        wanted = wanted.withColumn("_left", F.lit(quota).cast("bigint"))
     else:
-        open_ = hashed.withColumns({c: borders.select(c).scalar() for c in ("_border", "_left")})
-    open_ = open_.where(F.col("_slot") <= F.col("_border"))
-    rank = F.row_number().over(W.partitionBy(*keys, "_slot").orderBy("_h", *order))
-    border = open_.where(F.col("_slot") == F.col("_border")).withColumn("_r", rank)
-    whole = open_.where(F.col("_slot") < F.col("_border"))
-    taken = border.where(F.col("_r") <= F.col("_left")).drop("_r")
-    return whole.unionByName(taken).drop("_h", "_slot", "_left", "_border")
+        wanted = wanted.join(quota.withColumnRenamed("quota", "_left"), list(keys))
+    # the number of rows with a hash below ``_low`` that are taken whole, and what is left to take in the slot that begins there
+    borders = stored(wanted.withColumn("_low", F.lit(0).cast("bigint")).select(*groups, "_low", "_left", "_held"), "borders")
+    short = borders.where(F.col("_held") < F.col("_left")).limit(3).collect()
+    if short or (isinstance(quota, int) and quota > 0 and borders.isEmpty()):
+        raise ValueError(f"more rows are asked for than there are, e.g. {[r.asDict() for r in short]}")
+    for digit in range(DIGITS):
+        rest = DIGIT * (DIGITS - 1 - digit)  # bits of the digits that follow
+        open_ = hashed.join(borders.where("_left > 0"), groups)
+        inside = open_.where((F.col("_h") >= F.col("_low")) & (F.shiftright(F.col("_h") - F.col("_low"), rest + DIGIT) == 0))
+        slot = F.shiftright(F.col("_h") - F.col("_low"), rest)
+        # at most 2**DIGIT rows per group
+        counts = inside.groupBy(*groups, "_low", "_left", slot.alias("_slot")).agg(F.count(F.lit(1)).alias("_n"))
+        run = F.coalesce(F.sum("_n").over(W.partitionBy(*groups).orderBy("_slot").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        reached = counts.withColumn("_before", run).where((F.col("_before") < F.col("_left")) & (F.col("_before") + F.col("_n") >= F.col("_left")))
+        next_low = F.col("_low") + F.shiftleft(F.col("_slot"), rest)
+        borders = stored(reached.select(*groups, next_low.alias("_low"), (F.col("_left") - F.col("_before")).alias("_left"), F.col("_n").alias("_held")), "borders")
+        if (borders.agg(F.max("_held")).first()[0] or 0) <= ranked:
+            break
+    met = hashed.join(borders, groups)
+    whole = met.where(F.col("_h") < F.col("_low"))
+    slot_rows = met.where((F.col("_h") >= F.col("_low")) & (F.shiftright(F.col("_h") - F.col("_low"), rest) == 0))
+    rank = F.row_number().over(W.partitionBy(*groups).orderBy("_h", *order))
+    taken = slot_rows.withColumn("_r", rank).where(F.col("_r") <= F.col("_left")).drop("_r")
+    return whole.unionByName(taken).select(*(F.col(f"`{c}`") for c in df.columns))

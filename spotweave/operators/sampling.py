@@ -43,12 +43,12 @@ def quotas(cells: DataFrame, total: int, by: str = "cell_type") -> DataFrame:
 def stratified_sample(
     cells: DataFrame, total: int = 12000, by: str = "cell_type", cell: Sequence[str] = ("cell",), seed: int = 412
 ) -> DataFrame:
-    """Sample without replacement with the type shares of the whole table."""
-    return first_by_hash(cells, [by], cell, quotas(cells, total, by).select(by, "quota"), seed).drop("quota")
+    """Sample without replacement with the type shares of the whole table; asking for more cells than there are is an error."""
+    return first_by_hash(cells, [by], cell, quotas(cells, total, by).select(by, "quota"), seed)
 
 
 def uniform_sample(rows: DataFrame, n: int, cell: Sequence[str] = ("cell",), seed: int = 412) -> DataFrame:
-    """``n`` rows without replacement."""
+    """``n`` rows without replacement; asking for more rows than there are is an error."""
     return first_by_hash(rows, [], cell, n, seed)
 
 

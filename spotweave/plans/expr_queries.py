@@ -418,6 +418,22 @@ def expr_pass2(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(deconv.expr_pass2(expr, wide, inp.TYPES, 0.5), "value", digits=6)
 
 
+@query(
+    "expr_ledger",
+    BASE_SQL.rstrip()
+    + ",\n"
+    + PASS1_SQL
+    + """, i AS (SELECT sample, sum(value) AS input FROM expr GROUP BY 1),
+o AS (SELECT sample, sum(value) AS output FROM pass1 GROUP BY 1)
+SELECT sample, round(input, 3) AS input, round(output, 3) AS output, round(abs(input - output), 3) AS lost FROM i JOIN o USING (sample)""",
+)
+def expr_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Expression that goes into the first pass and comes out of it, by sample."""
+    expr, _, wide = _expr_props(spark, sf)
+    sums = deconv.mass_ledger(expr, deconv.expr_pass1(expr, wide, inp.TYPES))
+    return rounded(sums.withColumn("lost", F.abs("lost")), "input", "output", "lost", digits=3)
+
+
 @query(
     "expr_pass1_local",
     inp.with_sql(inp.CELLS_SQL, inp.TRUTH_SQL, inp.EXPR_SQL, inp.SPOTS_SQL)

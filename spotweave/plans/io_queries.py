@@ -213,6 +213,21 @@ def layer_sink(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(layers.schema).parquet(path)
 
 
+@query(
+    "wide_layer_sink",
+    inp.with_sql(inp.CELLS_SQL, inp.LAYERS_SQL)
+    + """SELECT CAST(sample AS VARCHAR) AS sample, replace(cell_type, ' ', '_') AS cell_type, CAST(spot AS VARCHAR) AS spot,
+       CAST(gene AS VARCHAR) AS gene, value FROM layers_truth WHERE value <> 0""",
+)
+def wide_layer_sink(spark: SparkSession, sf: str) -> DataFrame:
+    """Spot x gene files for each sample and cell type, all parts as columns, written and scanned again."""
+    path = scratch_path(spark, "wide_layers")
+    genes = [r[0] for r in inp.table(spark, sf, "part").select("p_partkey").orderBy("p_partkey").collect()]
+    sinks.write_wide_layers(inp.layers_truth(inp.cells(spark, sf)), path, genes)
+    fields = {"sample": r"/sample=(\d+)/", "cell_type": r"/cell_type=([^/]+)/"}
+    return matrix.scan_wide(spark, path + "/*/*/*.csv", "spot", "gene", fields, "spot")
+
+
 @query(
     "metric_sink",
     inp.METRIC_LONG_SQL + "SELECT method, sample, metric, round(value, 8) AS value FROM metric_rows",

@@ -520,12 +520,27 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-@query("stratified_rows")
+CELLS_SQL = """cells AS (
+  SELECT o_orderkey AS cell, CASE WHEN o_orderstatus = 'P' THEN o_orderpriority ELSE o_orderstatus END AS cell_type,
+         ('0x' || substr(md5('412:' || o_orderkey), 1, 15))::BIGINT AS h FROM orders)"""
+
+
+@query(
+    "stratified_rows",
+    QUOTA_SQL.rstrip()
+    + ",\n"
+    + CELLS_SQL
+    + """, drawn AS (
+  SELECT cells.*, row_number() OVER (PARTITION BY cell_type ORDER BY h, cell) AS r,
+         quota + CASE WHEN gap > 0 AND top = 1 THEN gap WHEN gap < 0 AND low = 1 THEN gap ELSE 0 END AS quota
+  FROM cells JOIN g USING (cell_type))
+SELECT cell, cell_type FROM drawn WHERE r <= quota""",
+)
 def stratified_rows(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stratified_sample(sample_cells(spark, sf), 1200)
 
 
-@query("uniform_sample")
+@query("uniform_sample", f"WITH {CELLS_SQL} SELECT cell, cell_type FROM cells ORDER BY h, cell LIMIT 1000")
 def uniform_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.uniform_sample(sample_cells(spark, sf), 1000)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -140,6 +141,42 @@ def scan_layers(
     return layers.withColumns(spell), keys["gene"], keys["spot"]
 
 
+def _quoted(name: Column) -> Column:
+    """A name as a CSV cell: quoted where it holds a comma, a quote or a line break."""
+    plain = F.coalesce(name.cast("string"), F.lit(""))
+    return F.when(plain.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(plain)
+
+
+def wide_lines(
+    facts: DataFrame, columns: Sequence[str], partitions: Sequence[str], row_name: str, col_name: str
+) -> DataFrame:
+    """Partitions and ``line``: one line of text for each row, with the ``columns`` in order and 0.0 for gaps.
+
+    Columns are numbered once; a row gathers its nonzero cells in order of their
+    numbers, and the line is joined from these and the runs of zeros between them.
+    So the work for a row follows its nonzero cells, not the columns, and no column has an
+    aggregate of its own. Cells of other columns are left out, their rows aren't.
+    """
+    spark, by = facts.sparkSession, [*partitions, row_name]
+    numbers = spark.createDataFrame([(str(c), i) for i, c in enumerate(columns)], "_name string, _pos int")
+    cells = facts.groupBy(*by, F.col(col_name).cast("string").alias("_name")).agg(F.sum("value").alias("_v"))
+    placed = cells.join(numbers, "_name", "left")
+    # a row has at most as many cells as there are columns
+    kept = F.when(F.col("_pos").isNotNull() & F.col("_v").isNotNull() & (F.col("_v") != 0), F.struct("_pos", "_v"))
+    rows = placed.groupBy(*by).agg(F.array_sort(F.collect_list(kept)).alias("_cells"))
+
+    def zeros(n: Column) -> Column:
+        return F.repeat(F.lit(",0.0"), n)
+
+    def cell(c: Column, i: Column) -> Column:
+        before = F.when(i == 0, F.lit(-1)).otherwise(F.get("_cells", i - 1)["_pos"])
+        return F.concat(zeros(c["_pos"] - before - 1), F.lit(","), c["_v"].cast("double").cast("string"))
+
+    last = F.coalesce(F.get("_cells", F.size("_cells") - 1)["_pos"], F.lit(-1))
+    line = F.concat(_quoted(F.col(row_name)), F.array_join(F.transform("_cells", cell), ""), zeros(F.lit(len(columns) - 1) - last))
+    return rows.select(*partitions, line.alias("line"))
+
+
 def write_wide(
     facts: DataFrame,
     path: str,
@@ -149,8 +186,16 @@ def write_wide(
     col_name: str = "gene",
     index_label: str = "index",
 ) -> None:
-    """Wide CSV files per partition; ``columns`` fixes names and order, gaps become 0."""
-    wide = facts.groupBy(*partitions, row_name).pivot(col_name, list(columns)).agg(F.sum("value"))
-    wide = wide.fillna(0.0, list(columns)).withColumnRenamed(row_name, index_label)
-    writer = wide.write.mode("overwrite").option("header", True)
+    """Wide CSV files per partition; ``columns`` fixes names and order, gaps become 0.
+
+    The names are one line of text, the header of every file, so they are few
+    enough for the driver by nature.
+    """
+    lines = wide_lines(facts, columns, partitions, row_name, col_name)
+    names = [str(c) for c in (index_label, *columns)]
+    header = ",".join('"' + n.replace('"', '""') + '"' if re.search('[",\r\n]', n) else n for n in names)
+    # the lines are complete: a separator and a quote that no line has keep the writer from changing them
+    writer = lines.toDF(*partitions, header).write.mode("overwrite").options(
+        header=True, sep="\u0001", quote="", ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False
+    )
     (writer.partitionBy(*partitions) if partitions else writer).csv(path)

@@ -2,7 +2,7 @@
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from spotweave.model import SpotModel
 from spotweave.operators import deconv, normalize, spatial
@@ -246,6 +246,42 @@ def test_clr_and_marker_props(spark):
     assert np.allclose(sparse, props)
 
 
+def test_clr_of_a_large_panel(spark):
+    """2000 proteins, a spot with none of them, one with the first and the last, one sample without spots of its own values."""
+    rng = np.random.default_rng(3)
+    names = [f"P{j:04d}" for j in range(2000)]
+    x = np.where(rng.random((12, 2000)) < 0.02, rng.integers(1, 50, (12, 2000)), 0).astype(float)
+    x[0], x[1] = 0, 0
+    x[1, [0, -1]] = 4
+    protein = spark.createDataFrame([("s", i, names[j], float(v)) for (i, j), v in np.ndenumerate(x) if v], "sample string, spot int, protein string, value double")
+    spots = spark.createDataFrame([("s", i) for i in range(12)], "sample string, spot int")
+    clr = normalize.antibody_clr(protein, spots, spark.createDataFrame([(n,) for n in names], "protein string"), 0.0, 1.0)
+    got = np.full(x.shape, np.nan)
+    for r in clr.collect():
+        got[r.spot, int(r.protein[1:])] = r.value
+    logged = np.log1p(x)
+    assert np.allclose(got, logged - logged.mean(1, keepdims=True), atol=1e-9)
+
+
+def test_lost_mass_and_unknown_types_raise(spark, tissue):
+    x, p, expr = tissue
+    props = wide_props(spark, p)
+    some = props.where("spot <> 5")
+    for split in (deconv.expr_pass1, deconv.expr_pass2):
+        with pytest.raises(Exception, match="no shares"):
+            split(expr, some, TYPES).count()
+    long = deconv.to_long(props, TYPES)
+    with pytest.raises(Exception, match="not in the profile"):
+        deconv.to_wide(long, TYPES[:2]).collect()
+    ledger = deconv.mass_ledger(expr, deconv.expr_pass1(expr, props, TYPES)).first()
+    assert (ledger.input, ledger.output) == pytest.approx((x.sum(), x.sum())) and ledger.lost == pytest.approx(0, abs=1e-9)
+    none = props.withColumns({c: F.when(F.col("spot") == 5, 0.0).otherwise(F.col(c)) for c in ("p_0", "p_1", "p_2")})
+    seen = Observation()
+    deconv.expr_pass1(expr, none, TYPES, seen).write.format("noop").mode("overwrite").save()
+    assert seen.get["input"] == pytest.approx(x.sum()) and seen.get["output"] == pytest.approx(x.sum() - x[5].sum())
+    assert deconv.mass_ledger(expr, deconv.expr_pass1(expr, none, TYPES)).first().lost == pytest.approx(x[5].sum())
+
+
 def test_model_run_and_resume(spark, spots, tissue, tmp_path):
     x, p, expr = tissue
     rng = np.random.default_rng(1)
