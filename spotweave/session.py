@@ -50,9 +50,34 @@ def scratch_root(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/spotweave-{spark.sparkContext.applicationId}"
 
 
+#: By application: the folder in use for a group of steps, and the last one of each group.
+_active: dict[str, str] = {}
+_last: dict[tuple[str, str], str] = {}
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
     """A fresh path in the shared folder of this application, never reused."""
-    return f"{scratch_root(spark)}/{uuid.uuid4().hex}/{label}"
+    group = _active.get(spark.sparkContext.applicationId)
+    return f"{group or scratch_root(spark)}/{uuid.uuid4().hex}/{label}"
+
+
+@contextmanager
+def scratch_group(spark: SparkSession, name: str) -> Iterator[None]:
+    """What is stored inside goes to a folder of its own, which is deleted when the group begins again.
+
+    For steps of which each is written before the next begins.
+    """
+    app = spark.sparkContext.applicationId
+    if (app, name) in _last:
+        _delete(spark, _last.pop((app, name)))
+    before = _active.pop(app, None)
+    _last[app, name] = _active[app] = f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+    try:
+        yield
+    finally:
+        _active.pop(app)
+        if before is not None:
+            _active[app] = before
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -74,7 +99,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._stored_at = path
+    return out
+
+
+def forget(*results: DataFrame) -> None:
+    """Delete stored results that nothing reads any more."""
+    for df in results:
+        _delete(df.sparkSession, df._stored_at)
 
 
 class Bucketed:
