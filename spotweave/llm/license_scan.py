@@ -64,7 +64,8 @@ def _band_keys(shingles: np.ndarray, widths: list[int]) -> dict[int, np.ndarray]
                 want = w - SHINGLE + 1
                 while covered < want:
                     step = min(covered, want - covered)
-                    low, covered = np.minimum(low[: len(low) - step], low[step:]), covered + step
+                    rest = max(0, len(low) - step)  # a slice of few words has no window so wide
+                    low, covered = np.minimum(low[:rest], low[step:]), covered + step
                 n = out[w].shape[1]
                 out[w][band] = (out[w][band] ^ low[:n]) * _A + np.uint64(band)
     return out

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotweave.llm.batches import free_name
 from spotweave.session import stored
 
 #: The characters stripped from both ends of a line.
@@ -72,27 +73,26 @@ def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN
     # stored: Spark knows how many they are, and can split a hot line that meets them
     common = stored(common, "common_lines")
     marked = found.join(common, ["k0", "k1"]).where(F.col("doc_id").isNull() | (F.col("doc_id") != F.col("keeper")))
+    positions, key, a, b, c, d, split_lines = (
+        free_name(docs, n) for n in ("drop_positions", "drop_id", "drop_t0", "drop_t1", "text_t0", "text_t1", "split_lines")
+    )
     drop = (
         marked.groupBy("doc_id", "t0", "t1")
-        .agg(F.collect_set("pos").alias("drop_"))
-        .select(F.col("doc_id").alias("id_"), F.col("t0").alias("t0_"), F.col("t1").alias("t1_"), "drop_")
+        .agg(F.collect_set("pos").alias(positions))
+        .select(F.col("doc_id").alias(key), F.col("t0").alias(a), F.col("t1").alias(b), positions)
     )
     kept_columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("n_lines", "n_dropped", "kept_text")]
-    plain = docs.select(*kept_columns, *_hashes(F.coalesce("text", F.lit("")), "t0_in", "t1_in"))
-    both = plain.join(
-        drop,
-        plain["doc_id"].eqNullSafe(drop["id_"]) & (plain["t0_in"] == drop["t0_"]) & (plain["t1_in"] == drop["t1_"]),
-        "left",
-    )
+    plain = docs.select(*kept_columns, *_hashes(F.coalesce("text", F.lit("")), c, d))
+    both = plain.join(drop, plain["doc_id"].eqNullSafe(F.col(key)) & (F.col(c) == F.col(a)) & (F.col(d) == F.col(b)), "left")
     # a column of its own: inside a lambda an expression is computed again for each element
-    split = both.select(*kept_columns, "drop_", lines_of(F.col("text")).alias("lines_"))
-    lines, drop_ = F.col("lines_"), F.col("drop_")
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), drop_)
+    split = both.select(*kept_columns, positions, lines_of(F.col("text")).alias(split_lines))
+    lines, gone = F.col(split_lines), F.col(positions)
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
     return split.select(
         *kept_columns,
         F.size(lines).cast("long").alias("n_lines"),
-        F.coalesce(F.size(drop_), F.lit(0)).cast("long").alias("n_dropped"),
-        F.when(drop_.isNull(), F.coalesce("text", F.lit("")))
+        F.coalesce(F.size(gone), F.lit(0)).cast("long").alias("n_dropped"),
+        F.when(gone.isNull(), F.coalesce("text", F.lit("")))
         .otherwise(F.array_join(F.transform(stay, lambda i: F.get(lines, i)), "\n"))
         .alias("kept_text"),
     )

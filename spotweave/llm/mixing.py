@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotweave.llm.batches import free_name
 from spotweave.session import stored
 
 SEED = "mix-1"
@@ -57,25 +58,6 @@ def repetition_rates(docs: DataFrame, targets: DataFrame | None = None, total: f
     )
 
 
-def cumulative(rate: Column) -> Column:
-    """Array of P(X <= k), k = 0, 1, ..., until the rest is below the step of the uniform numbers.
-
-    Not used to draw: copying grows with the square of the rate (see ``poisson_count``).
-    Terms are made from logarithms, so large rates don't underflow. The length
-    follows from the rate: past rate + 12 sqrt(rate) + 30 the tail is below 2^-60.
-    """
-    last = F.ceil(rate + 12 * F.sqrt(rate) + 30).cast("int")
-    start = F.struct(F.lit(0.0).alias("log_fact"), F.lit(0.0).alias("sum"), F.array().cast("array<double>").alias("all"))
-
-    def step(acc: Column, k: Column) -> Column:
-        log_fact = acc["log_fact"] + F.when(k > 0, F.log(k.cast("double"))).otherwise(0.0)
-        p = F.exp(F.when(k > 0, k * F.log(rate)).otherwise(0.0) - rate - log_fact)
-        return F.struct(log_fact.alias("log_fact"), (acc["sum"] + p).alias("sum"), F.concat(acc["all"], F.array(acc["sum"] + p)).alias("all"))
-
-    table = F.aggregate(F.sequence(F.lit(0), last), start, step, lambda acc: acc["all"])
-    return F.when(rate > 0, table).otherwise(F.array(F.lit(1.0)))
-
-
 def poisson_count(rate: Column, u: Column) -> Column:
     """The smallest k with P(X <= k) > ``u``, for a Poisson variable of mean ``rate``; 0 for a rate of 0.
 
@@ -102,16 +84,14 @@ def poisson_count(rate: Column, u: Column) -> Column:
     return F.when(rate > 0, F.aggregate(F.sequence(first, last), start, step, lambda acc: acc["count"])).otherwise(F.lit(0).cast("long"))
 
 
-def draw_counts(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
-    """``docs`` with copies_: how often each row is taken."""
-    table = rates.select(F.col("source").alias("r_source"), F.col("rate").alias("rate_"))
+def draw_counts(docs: DataFrame, rates: DataFrame, seed: str = SEED, name: str = "copies") -> DataFrame:
+    """``docs`` with ``name``: how often each row is taken."""
+    key, rate, u = (free_name(docs, c) for c in ("rate_source", "rate", "uniform"))
+    table = rates.select(F.col("source").alias(key), F.col("rate").alias(rate))
     # a row for each source, so Spark sends it to all tasks when it is small and splits hot sources when not
-    joined = docs.join(table, F.col("source").eqNullSafe(F.col("r_source")), "left")
-    return (
-        joined.withColumn("u_", uniform(seed, F.col("doc_id")))
-        .withColumn("copies_", F.coalesce(poisson_count(F.col("rate_"), F.col("u_")), F.lit(0)))
-        .drop("u_", "rate_", "r_source")
-    )
+    joined = docs.join(table, docs["source"].eqNullSafe(F.col(key)), "left").withColumn(u, uniform(seed, docs["doc_id"]))
+    count = F.coalesce(poisson_count(F.col(rate), F.col(u)), F.lit(0))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), count.alias(name))
 
 
 def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
@@ -124,18 +104,20 @@ def mix(docs: DataFrame, rates: DataFrame, seed: str = SEED) -> DataFrame:
     No rows: no rows.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in ("copy", "order_key")]
-    drawn = draw_counts(docs, rates, seed)
+    name, chunk = free_name(docs, "copies"), free_name(docs, "chunk")
+    copies = F.col(name)
+    drawn = draw_counts(docs, rates, seed, name)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    few = drawn.where((F.col("copies_") > 0) & (F.col("copies_") <= CHUNK))
+    few = drawn.where((copies > 0) & (copies <= CHUNK))
     # a document with very many copies is dealt out in chunks first, so they don't all leave one task
-    chunk = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies_") - 1) / CHUNK)))
-    many = drawn.where(F.col("copies_") > CHUNK).select(*columns, "copies_", chunk.alias("chunk_"))
-    many = many.repartition(n, "doc_id", "chunk_")
-    begin = F.col("chunk_") * CHUNK
-    copies = few.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies_") - 1)).alias("copy")).union(
-        many.select(*columns, F.explode(F.sequence(begin, F.least(begin + CHUNK, F.col("copies_")) - 1)).alias("copy"))
+    chunks = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((copies - 1) / CHUNK)))
+    many = drawn.where(copies > CHUNK).select(*columns, name, chunks.alias(chunk))
+    many = many.repartition(n, "doc_id", chunk)
+    begin = F.col(chunk) * CHUNK
+    taken = few.select(*columns, F.explode(F.sequence(F.lit(0).cast("long"), copies - 1)).alias("copy")).union(
+        many.select(*columns, F.explode(F.sequence(begin, F.least(begin + CHUNK, copies) - 1)).alias("copy"))
     )
-    copies = copies.withColumn("copy", F.col("copy").cast("int"))
-    ordered = copies.withColumn("order_key", uniform(seed + "/order", F.col("doc_id"), F.col("copy")))
+    taken = taken.withColumn("copy", F.col("copy").cast("int"))
+    ordered = taken.withColumn("order_key", uniform(seed + "/order", F.col("doc_id"), F.col("copy")))
     # the keys are uniform in [0, 1), so their ranges are known without a pass that samples them
     return ordered.repartitionById(n, F.floor(F.col("order_key") * n).cast("int")).sortWithinPartitions("order_key")

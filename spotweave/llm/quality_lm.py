@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spotweave.llm.batches import free_name, slices
-from spotweave.session import stored
+from spotweave.session import forget, stored
 
 ORDER = 5
 #: Entries of a model shard that tasks hold at once, on average.
@@ -28,12 +28,10 @@ SHARD_ENTRIES = 2_000_000
 QUANTILE = 0.995
 #: Parts of the documents; each is judged by models of the trusted text of the other parts.
 FOLDS = 2
-#: The last length class holds all longer texts.
-LAST_CLASS = 3
 #: Before the first character of a text.
 PAD = "\x02"
-#: Resolution of the exact histogram of log perplexities.
-BINS_PER_NAT = 1000
+#: Resolution of the exact histogram of deviations.
+BINS = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -148,8 +146,11 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
     as a context, leaves to the lower order; kind 'u' (gram empty): log
     probability of a character never seen.
     """
-    levels = stored(_levels(stored(ngram_counts(trusted, order), "counts"), order), "levels")
-    joined = levels.withColumn("k", F.length("gram")).join(F.broadcast(_discounts(levels)), ["lang", "k"])  # a row for each language and order
+    counts = stored(ngram_counts(trusted, order), "counts")
+    levels = stored(_levels(counts, order), "levels")
+    forget(counts)
+    # a row for each language and order, stored so that Spark knows its size
+    joined = levels.withColumn("k", F.length("gram")).join(stored(_discounts(levels), "discounts"), ["lang", "k"])
     context = F.expr("left(gram, k - 1)")
     d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
     freed = joined.select("lang", "k", "gram", context.alias("context"), "n", d.alias("d"))
@@ -166,11 +167,12 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
         F.count("*").over(same).alias("types"),
     )
     parts = stored(parts, "parts")
+    forget(levels)
     # the weights of contexts: every gram of a context has the same
     weights = parts.groupBy("lang", "k", "context").agg(F.first("weight").alias("weight"), F.first("types").alias("types"))
     unseen = F.when(F.col("k") == 1, F.log(F.col("weight") / (F.col("types") + 1))).otherwise(F.log("weight"))
     model = weights.select("lang", F.when(F.col("k") == 1, "u").otherwise("g").alias("kind"), F.col("context").alias("gram"), unseen.alias("value"))
-    lower = None
+    lower, orders = None, []
     for k in range(1, order + 1):
         own = parts.where(F.col("k") == k)
         if lower is None:
@@ -180,8 +182,11 @@ def train(trusted: DataFrame, order: int = ORDER) -> DataFrame:
             own = own.withColumn("suffix", F.expr("substring(gram, 2)")).join(below, ["lang", "suffix"])
             p = own.select("lang", "gram", (F.col("seen") + F.col("weight") * F.col("below")).alias("p"))
         lower = stored(p, f"order{k}")
+        orders.append(lower)
         model = model.union(lower.select("lang", F.lit("p").alias("kind"), "gram", F.log("p").alias("value")))
-    return stored(model, "model")
+    model = stored(model, "model")
+    forget(parts, *orders)
+    return model
 
 
 def _shard_of(shards: int) -> Column:
@@ -262,14 +267,15 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str]
     keep = docs.columns if keep is None else keep
     name = free_name(docs, "log_perplexity")
     shards = max(1, math.ceil(model.count() / shard_entries))
-    current = docs.withColumns({f"{name}_sum": F.lit(0.0)})
+    sum_name = free_name(docs, f"{name}_sum")
+    current = docs.withColumns({sum_name: F.lit(0.0)})
     for s in range(shards):
         held = _shard_of(shards)
         tables = spark.sparkContext.broadcast(Shard(keyed(model.where((held == s) | (held == -1))).toArrow()))
-        sum_name, final = f"{name}_sum", s == shards - 1
+        final = s == shards - 1
         columns = (keep if final else docs.columns) + [name if final else sum_name]
 
-        def task(batches, s=s, tables=tables, columns=columns, sum_name=sum_name, final=final):
+        def task(batches, s=s, tables=tables, columns=columns, final=final):
             known = tables.value.tables()
             for batch in batches:
                 for part in slices(batch, "text"):
@@ -299,41 +305,48 @@ def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str]
     return current, name
 
 
-def length_class(characters: Column) -> Column:
-    """0, 1, 2, ...: a class for every factor of four in length, from 128 characters on; short texts vary more."""
-    return F.greatest(F.lit(0), F.floor((F.log2(characters + 1.0) - 5) / 2)).cast("int")
+def _spread(n: Column) -> Column:
+    """Standard deviation of the log perplexity of a text of ``n`` characters, by the language's ``a`` and ``b``."""
+    return F.sqrt(F.col("a") + F.col("b") / F.greatest(n, F.lit(1)))
 
 
-def _cuts(bins: DataFrame, keys: list[str], quantile: float) -> DataFrame:
-    """keys, all_n, cut: number of documents and their quantile in bins, interpolated between two order statistics."""
-    each = Window.partitionBy(*keys)
-    rows = bins.groupBy(*keys, "bin").agg(F.sum("n").alias("n"))
-    rows = rows.select(*keys, "bin", F.sum("n").over(each.orderBy("bin")).alias("up_to"), F.sum("n").over(each).alias("all_n"))
+def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
+    """lang, mean, a, b, cut: a document of n characters is rejected above ``mean + cut * sqrt(a + b / n)``.
+
+    ``scored``: lang, n, log_perplexity of trusted documents, each by a model
+    that wasn't trained on it. Short texts vary more: the variance about the language's mean
+    is fitted as ``a + b / n`` by least squares over its trusted documents. The
+    cut is the interpolated ``quantile`` of their deviations in units of that
+    spread, so it never exceeds their maximum. One rule for each language at any number of documents,
+    from sums and an exact histogram, whose number of bins doesn't depend on it.
+    """
+    known = scored.where("log_perplexity IS NOT NULL")
+    y, x = F.col("log_perplexity"), 1 / F.greatest(F.col("n"), F.lit(1))
+    sums = known.groupBy("lang").agg(
+        F.avg(y).alias("mean"), F.avg(x).alias("x"), F.avg(x * x).alias("xx"), F.avg(y * y).alias("yy"), F.avg(x * y).alias("xy"), F.avg(x * y * y).alias("xyy")
+    )
+    mean = F.col("mean")
+    var = F.greatest(F.col("yy") - mean * mean, F.lit(0.0))
+    cross = F.col("xyy") - 2 * mean * F.col("xy") + mean * mean * F.col("x") - F.col("x") * var
+    slope = F.greatest(F.coalesce(F.try_divide(cross, F.col("xx") - F.col("x") * F.col("x")), F.lit(0.0)), F.lit(0.0))
+    # some part of the variance is left to texts of any length, and none is without any
+    floor = F.greatest(var - slope * F.col("x"), 0.05 * var, F.lit(1e-6))
+    spread = stored(sums.select("lang", "mean", floor.alias("a"), slope.alias("b")), "spread")
+    z = (F.col("log_perplexity") - F.col("mean")) / _spread(F.col("n"))
+    bins = known.join(spread, "lang").groupBy("lang", F.ceil(z * BINS).alias("bin")).agg(F.count("*").alias("n"))
+    bins = stored(bins, "bins")
+    each = Window.partitionBy("lang")
+    rows = bins.select("lang", "bin", F.sum("n").over(each.orderBy("bin")).alias("up_to"), F.sum("n").over(each).alias("all_n"))
     at = (F.col("all_n") - 1) * F.lit(quantile)
     below, above = (F.min(F.when(F.col("up_to") > f(at), F.col("bin"))) for f in (F.floor, F.ceil))
     share = F.first(at - F.floor(at))
-    return rows.groupBy(*keys).agg(F.first("all_n").alias("all_n"), (below + (above - below) * share).alias("cut"))
+    cuts = rows.groupBy("lang").agg(((below + (above - below) * share) / BINS).alias("cut"))
+    return spread.join(cuts, "lang")
 
 
-def thresholds(scored: DataFrame, quantile: float = QUANTILE) -> DataFrame:
-    """lang, class, cut: the log perplexity above which a document of the language and length class is rejected.
-
-    ``scored``: lang, class, log_perplexity of trusted documents, each by a model
-    that wasn't trained on it. The cut is their interpolated ``quantile``, at any
-    number of documents, so it never exceeds their maximum; it is taken from an
-    exact histogram whose number of bins doesn't depend on the number of
-    documents. A class whose rejected share 1 - ``quantile`` is less than one
-    document has no such share to tell and takes the cut of the language.
-    """
-    bins = scored.where("log_perplexity IS NOT NULL").groupBy("lang", "class", F.ceil(F.col("log_perplexity") * BINS_PER_NAT).alias("bin"))
-    bins = stored(bins.agg(F.count("*").alias("n")), "bins")
-    by_lang = _cuts(bins, ["lang"], quantile).select("lang", F.col("cut").alias("lang_cut"))
-    every_class = F.explode(F.sequence(F.lit(0), F.lit(LAST_CLASS))).alias("class")
-    enough = F.col("all_n") >= F.ceil((F.col("all_n") + 1) * quantile)
-    by_class = _cuts(bins, ["lang", "class"], quantile).where(enough).select("lang", "class", "cut")
-    return by_lang.select("lang", "lang_cut", every_class).join(by_class, ["lang", "class"], "left").select(
-        "lang", "class", (F.coalesce("cut", "lang_cut") / BINS_PER_NAT).alias("cut")
-    )
+def _limit() -> Column:
+    """The log perplexity above which a document of ``n`` characters is rejected."""
+    return F.col("mean") + F.col("cut") * _spread(F.col("n"))
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -359,9 +372,9 @@ def _fit(docs: DataFrame, labels: DataFrame, order: int, quantile: float) -> tup
     # the model of a fold is trained on the trusted documents outside it
     models = F.explode(F.array(*(_model_name(F.lit(i)) for i in range(FOLDS)))).alias("for_model")
     model = train(trusted.select("model", "text", models).where("for_model <> model").select(F.col("for_model").alias("lang"), "text"), order)
-    sized = texts.withColumn("class", F.least(length_class(F.length("text")), F.lit(LAST_CLASS)))
-    rows, name = score(sized, model, order, ["doc_id", "lang", "class"], by="model")
-    scored = stored(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "class", F.col(name).alias("log_perplexity")), "scored")
+    sized = texts.withColumn("n", F.length("text").cast("long"))
+    rows, name = score(sized, model, order, ["doc_id", "lang", "n"], by="model")
+    scored = stored(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n", F.col(name).alias("log_perplexity")), "scored")
     return model, scored, stored(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
 
 
@@ -373,7 +386,7 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     scored by a model of the trusted text of the other fold, so all trusted
     documents set the thresholds and none is scored by a model that read it.
     kept: the perplexity per character doesn't exceed the threshold of the
-    language and length class.
+    language for a text of this length.
 
     A text without characters and a language without trusted text have no
     perplexity and are kept: there is nothing to judge them by. A null lang counts
@@ -382,13 +395,13 @@ def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: f
     nothing. No rows: no rows.
     """
     _, scored, cuts = _fit(docs, labels, order, quantile)
-    joined = scored.join(F.broadcast(cuts), ["lang", "class"], "left")  # some rows for each language
+    joined = scored.join(cuts, "lang", "left")  # stored: a row for each language
     return joined.select(
         "doc_id",
         "lang",
         F.exp("log_perplexity").alias("perplexity"),
-        F.exp("cut").alias("threshold"),
-        F.coalesce(F.col("log_perplexity") <= F.col("cut"), F.lit(True)).alias("kept"),
+        F.exp(_limit()).alias("threshold"),
+        F.coalesce(F.col("log_perplexity") <= _limit(), F.lit(True)).alias("kept"),
     )
 
 
@@ -397,9 +410,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile:
     model, _, cuts = _fit(docs, labels, order, quantile)
     by = free_name(docs, "model")
     rows, name = score(_with_fold(docs, by), model, order, docs.columns, by)
-    lang, size, cut = (free_name(docs, c) for c in ("cut_lang", "cut_class", "cut_value"))
-    cuts = cuts.select(F.col("lang").alias(lang), F.col("class").alias(size), F.col("cut").alias(cut))
-    own = F.least(length_class(F.length(rows["text"])), F.lit(LAST_CLASS))
-    joined = rows.join(F.broadcast(cuts), (F.coalesce(rows["lang"], F.lit("")) == F.col(lang)) & (own == F.col(size)), "left")
-    good = joined.where(F.coalesce(F.col(name) <= F.col(cut), F.lit(True)))
+    lang, limit = free_name(docs, "cut_lang"), free_name(docs, "cut_rule")
+    rule = F.struct("mean", "a", "b", "cut").alias(limit)
+    joined = rows.join(cuts.select(F.col("lang").alias(lang), rule), F.coalesce(rows["lang"], F.lit("")) == F.col(lang), "left")
+    r, n = F.col(limit), F.greatest(F.length(rows["text"]), F.lit(1))
+    good = joined.where(F.coalesce(F.col(name) <= r["mean"] + r["cut"] * F.sqrt(r["a"] + r["b"] / n), F.lit(True)))
     return good.select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -17,7 +17,8 @@ from spotweave.session import stored
 #: What separates words, and the characters that count as symbols.
 BLANK = r"[\x20\x09-\x0D]+"
 SYMBOL = r"[#*$%&|<>]"
-PLAIN_WORD = r"(?<![^\x20\x09-\x0D])[(\"']?\p{L}+(?:['’-]\p{L}+)*[\"')]?[.,;:!?]?(?![^\x20\x09-\x0D])"
+# possessive, as no part of a word is ever given back: matching takes no stack for long words of many parts
+PLAIN_WORD = r"(?<![^\x20\x09-\x0D])[(\"']?\p{L}++(?:['’-]\p{L}++)*+[\"')]?[.,;:!?]?(?![^\x20\x09-\x0D])"
 SENTENCE_END = r"[.!?][\"')]?[\x20\x09-\x0D]*(?:\n|$)"
 MIN_WORDS = 50
 ROUNDS = 30

@@ -9,7 +9,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spotweave.llm import components, mixing, near_copies, quality_lm, queries, simhash, topk_search, url_filter
+from spotweave.llm import components, line_dedup, mixing, near_copies, quality_lm, queries, simhash, topk_search, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, copy int"
 SYLLABLES = {"en": "the of and ing er tion".split(), "de": "der und ung ich sch ß".split()}
@@ -150,17 +150,6 @@ def test_near_copies_are_linked_at_jaccard(spark, rounds, monkeypatch):
     assert stage(spark, frame.limit(0), "").count() == 0
 
 
-def test_poisson_counts(spark):
-    for rate in (0.0, 0.3, 1.0, 7.5, 900.0):
-        got = spark.range(1).select(mixing.cumulative(F.lit(rate)).alias("c")).first().c
-        total, want = 0.0, []
-        for k in range(len(got)):
-            total += math.exp((k * math.log(rate) if k else 0.0) - rate - math.lgamma(k + 1)) if rate else 1.0
-            want.append(total)
-        assert got == pytest.approx(want, abs=1e-9)
-        assert 1 - got[-1] < 1e-9
-
-
 @pytest.mark.parametrize("rate", [0.0, 0.3, 1.0, 7.5, 399.0, 401.0, 900.0, 250000.0, 1.5e7])
 def test_poisson_counts_of_any_rate(spark, rate):
     us = [0.0, 1e-9, 0.01, 0.3, 0.5, 0.77, 0.999, 1 - 2.0**-52]
@@ -403,13 +392,20 @@ def test_classifier_on_held_out_documents(spark):
 
 @pytest.mark.parametrize("n", [1, 2, 40, 198, 1000])
 def test_thresholds_have_one_rule(spark, n):
-    x = np.random.default_rng(n).gamma(3, 0.3, n)
-    x[0] = 9.0  # an odd text among the trusted
-    frame = spark.createDataFrame([("en", int(i % 2), float(v)) for i, v in enumerate(x)], "lang string, class int, log_perplexity double")
-    cuts = {r["class"]: r.cut for r in quality_lm.thresholds(frame).collect()}
-    bins = np.ceil(x * 1000)
-    want = {c: np.quantile(bins[c::2] if n >= 400 and c < 2 else bins, 0.995) / 1000 for c in range(4)}
-    assert cuts == pytest.approx(want) and all(c <= bins.max() / 1000 for c in cuts.values())
+    """A quantile of the language in units of the fitted spread, at any number of documents."""
+    rng = np.random.default_rng(n)
+    size = rng.integers(20, 5000, n)
+    y = 2 + rng.normal(0, 1, n) * np.sqrt(0.01 + 30 / size)
+    y[0] = 9.0  # an odd text among the trusted
+    frame = spark.createDataFrame([("en", int(k), float(v)) for k, v in zip(size, y)] + [("en", 5, None)], "lang string, n long, log_perplexity double")
+    got = quality_lm.thresholds(frame).first()
+    x, var = 1 / size, y.var()
+    e = (y - y.mean()) ** 2
+    b = max(0.0, (np.mean(x * e) - x.mean() * e.mean()) / x.var()) if n > 1 and x.var() > 0 else 0.0
+    a = max(var - b * x.mean(), 0.05 * var, 1e-6)
+    assert (got["mean"], got.a, got.b) == pytest.approx((y.mean(), a, b), rel=1e-6, abs=1e-9)
+    z = np.ceil((y - got["mean"]) / np.sqrt(got.a + got.b / size) * quality_lm.BINS)
+    assert got.cut == pytest.approx(np.quantile(z, 0.995) / quality_lm.BINS, abs=0.0011) and got.cut <= z.max() / quality_lm.BINS
 
 
 def test_pipeline_on_odd_rows(spark, tmp_path):
@@ -431,3 +427,22 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
             assert docs.groupBy("doc_id").count().where("count > 1 AND doc_id IS NOT NULL").count() == 0
     assert docs.count() > 0
     assert corpus_pipeline.run(spark, str(tmp_path)).groupBy().sum("length").first() == docs.groupBy().sum("length").first()
+
+
+CLASHES = (
+    "u_ rate_ r_source copies_ chunk_ copies chunk rate uniform rate_source drop_ id_ t0_ t0_in lines_ drop_id drop_positions split_lines "
+    "text_t0 text_t1 log_perplexity log_perplexity_sum model cut_lang cut_rule n_in text_in node_in bands_in row_in id_key id_null rank_in"
+).split()
+
+
+def test_temporary_names_may_be_columns(spark):
+    """Every name that an operator of the pipeline uses for itself, or used to, as a column of the documents: they pass unchanged."""
+    rows = [(i, prose(i, 60), "en", f"s{i % 2}", *[f"{c}{i}" for c in CLASHES]) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in CLASHES))
+    labels = spark.createDataFrame([(i, 1) for i in range(20)], "doc_id long, quality int")
+    values = {r.doc_id: tuple(r[c] for c in CLASHES) for r in docs.collect()}
+    for out in (
+        mixing.mix(docs, mixing.repetition_rates(docs)), line_dedup.dedup_lines(docs), quality_lm.keep_good(docs, labels), near_copies.drop_near_copies(docs),
+    ):
+        found = out.collect()
+        assert found and all(tuple(r[c] for c in CLASHES) == values[r.doc_id] for r in found)

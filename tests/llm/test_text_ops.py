@@ -265,3 +265,25 @@ def test_kept_hash(spark):
     frame = spark.createDataFrame([(1, "é\nx")], "doc_id long, text string")
     got = line_dedup.dedup_lines(frame).select(F.sha2("kept_text", 256)).first()[0]
     assert got == hashlib.sha256("é\nx".encode()).hexdigest()
+
+
+def test_slices_of_few_words(spark):
+    """License scan of one text of any small number of words alone in its slice."""
+    templates = spark.createDataFrame(list(NOTICES.items()), "template string, text string")
+    shard_of = [("t", license_scan.words_of(v)) for v in NOTICES.values()]
+    shard = license_scan._Shard(shard_of)
+    for n in range(101):
+        words = license_scan._hash_words([f"w{i}" for i in range(n)])
+        assert license_scan._candidates(shard, words) == set()
+    for n in (1, 10, 50, 57):
+        docs = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(n)))], "doc_id long, text string")
+        assert license_scan.scan(docs, templates).count() == 0
+
+
+def test_long_words_of_many_parts(spark):
+    text = "a-" * 200_000 + "b" + " It's a well-known rock-'n'-roll song."
+    docs = spark.createDataFrame([(1, text), (2, "don't stop-it o'clock. (it's) 'a-b' x-- -y")], "doc_id long, text string")
+    got = {r.doc_id: r for r in quality_rules.judge(docs).collect()}
+    assert got[1].n_words == 6 and got[2].n_words == 7
+    plain = docs.where("doc_id = 2").select(F.regexp_count("text", F.lit(quality_rules.PLAIN_WORD)).alias("n")).first().n
+    assert plain == 5
