@@ -6,7 +6,7 @@ from importlib import import_module
 
 from spotweave.plans.registry import QUERIES, SQL
 
-MODULES = ("prop_queries", "expr_queries", "stat_queries", "io_queries")
+MODULES = ("prop_queries", "expr_queries", "stat_queries", "io_queries", "file_queries")
 
 
 def load():

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from spotweave.functions import scalar
 from spotweave.operators import deconv, filters, joins, layer_metrics as lm, markers, normalize, spatial
 from spotweave.plans import inputs as inp
-from spotweave.plans.prop_queries import rounded
+from spotweave.plans.prop_queries import SCORED_SQL, rounded, scored_rows
 from spotweave.plans.registry import query
 from spotweave.session import stored
 from spotweave.sources.text import marker_table
@@ -291,12 +291,12 @@ def refine_sql(points: list[dict], rounds: int) -> str:
     """Rounds of the smoothing for all points; a point whose largest change was below the tolerance stays as it is."""
     runs = ", ".join(f"({q['run_id']}, {q['lam']}, {q['alpha']}, {q['cap']})" for q in points)
     out = f"""{NEAR_SQL},
-runs(run_id, lam, alpha, cap) AS (VALUES {runs}),
+sweep(run_id, lam, alpha, cap) AS (VALUES {runs}),
 start AS MATERIALIZED (SELECT * FROM markers_p),
 p0 AS MATERIALIZED (
   SELECT run_id, lam * (1 - alpha) AS pull, lam * alpha / ({K} * (1 + lam * (1 - alpha))) AS least, cap::DOUBLE AS cap,
          sample, spot, cell_type, p AS e, p, 0 AS steps, false AS settled
-  FROM start, (SELECT run_id, lam::DOUBLE AS lam, alpha::DOUBLE AS alpha, cap FROM runs))"""
+  FROM start, (SELECT run_id, lam::DOUBLE AS lam, alpha::DOUBLE AS alpha, cap FROM sweep))"""
     for r in range(rounds):
         out += f""",
 around{r} AS (
@@ -597,7 +597,27 @@ def scale_genes(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(markers.scale_genes(inp.expr_table(spark, sf), _sizes(spark, sf)), "value", "zero_value", digits=6)
 
 
-@query("model_scores")
+SCORES_OF_RUN_SQL = (
+    GLOBAL_SQL.rstrip()
+    + ",\n"
+    + refine_sql([{"run_id": 0, "lam": LAM, "alpha": ALPHA, "cap": CAP}], ROUNDS)
+    + ",\n"
+    + ",\n".join((inp.CELLS_SQL, inp.TRUTH_SQL))
+    + f""",
+pred AS (
+  SELECT 'global' AS method, sample, spot, cell_type, p FROM start
+  UNION ALL SELECT 'finetuned', sample, spot, cell_type, p FROM p{ROUNDS}),
+"""
+    + ",\n".join((inp.PAIRS_SQL, inp.JSD_SQL, inp.METRICS_SQL))
+    + """,
+by_type AS (
+  SELECT method, sample, cell_type, sqrt(sum((pairs.t - pairs.q) ** 2) / any_value(n_spots)) AS rmse, sum(abs(pairs.t - pairs.q)) / any_value(n_spots) AS mae
+  FROM pairs JOIN sized USING (method, sample) GROUP BY ALL)
+"""
+)
+
+
+@query("model_scores", SCORES_OF_RUN_SQL + SCORED_SQL.format("sample"))
 def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     """Whole run of the model: global and fine-tuned proportions scored against the truth."""
     from spotweave.benchmark import benchmark_proportions
@@ -607,5 +627,6 @@ def model_scores(spark: SparkSession, sf: str) -> DataFrame:
     model = SpotModel(inp.expr(spark, sf), inp.protein_table(spark, sf), inp.spots(spark, sf))
     model.load_profile(inp.profile())
     model.preprocess_antibody(proteins=inp.proteins(spark, sf))
-    rough, fine = model.run_proportions(inp.RADIUS, 1.0, 0.7, 0.2, n_markers=2)
-    return benchmark_proportions(inp.truth(inp.counts(spark, sf)), union_methods({"global": rough, "finetuned": fine}))
+    rough, fine = model.run_proportions(inp.RADIUS, LAM, ALPHA, CAP, TOLERANCE, ROUNDS, n_markers=2)
+    scores = benchmark_proportions(inp.truth(inp.counts(spark, sf)), union_methods({"global": rough, "finetuned": fine}))
+    return scored_rows(scores)

@@ -18,6 +18,19 @@ def rounded(df: DataFrame, *cols: str, digits: int = 8) -> DataFrame:
     return df.withColumns({c: F.round(c, digits) for c in cols})
 
 
+SCORED_SQL = """SELECT method, {} AS sample, cell_type, round(rmse, 8) AS rmse, round(mae, 8) AS mae, round(jsd, 8) AS jsd,
+       round(sum_rmse, 8) AS sum_rmse, round(sum_mae, 8) AS sum_mae, round(corr, 8) AS corr
+FROM by_type JOIN metrics USING (method, sample)"""
+
+
+def scored_rows(scores: DataFrame) -> DataFrame:
+    """A row for each run and cell type, with the run's figures, from the maps of a proportion benchmark."""
+    run = ("method", "sample", "jsd", "sum_rmse", "sum_mae", "corr", "mae")
+    rows = scores.select(*run, F.explode("rmse").alias("cell_type", "_rmse")).withColumn("_mae", F.col("mae")[F.col("cell_type")])
+    rows = rows.drop("mae").withColumnsRenamed({"_rmse": "rmse", "_mae": "mae"})
+    return rounded(rows, "rmse", "mae", "jsd", "sum_rmse", "sum_mae", "corr")
+
+
 def _pairs(spark: SparkSession, sf: str) -> DataFrame:
     rows = inp.counts(spark, sf)
     return pm.pair_rows(inp.truth(rows), inp.predictions(rows))
