@@ -73,9 +73,9 @@ def op9_simhash(spark: SparkSession, sf: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf: str) -> DataFrame:
     docs = table(spark, sf, "documents")
-    # the mixed documents with all columns are the result and are written in order; returned are their keys, as in the SQL
+    # the mixed documents with all columns are the result and are written in order; a checksum stands for the texts, as in the SQL
     mixed = stored(mixing.mix(docs, mixing.repetition_rates(docs)), "mixed")
-    return mixed.select("doc_id", "source", "copy", "order_key")
+    return mixed.select("doc_id", "source", "copy", "order_key", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 def op11_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
@@ -161,12 +161,12 @@ c AS (
   SELECT source, k, sum(exp(k * ln(rate) - rate - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS below
   FROM (SELECT source, rate, unnest(range(0, ceil(rate + 12 * sqrt(rate) + 30)::BIGINT + 1)) AS k FROM r)),
 u AS (
-  SELECT doc_id, source,
+  SELECT doc_id, source, md5(text) AS text_md5,
          ('0x' || substr(md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null')), 1, 13))::BIGINT / 4503599627370496.0 AS u
   FROM documents),
-n AS (SELECT doc_id, u.source, count(*) AS copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND below <= u GROUP BY ALL),
-e AS (SELECT doc_id, source, unnest(range(0, copies))::INTEGER AS copy FROM n)
-SELECT doc_id, source, copy,
+n AS (SELECT doc_id, u.source, text_md5, count(*) AS copies FROM u JOIN c ON u.source IS NOT DISTINCT FROM c.source AND below <= u GROUP BY ALL),
+e AS (SELECT doc_id, source, text_md5, unnest(range(0, copies))::INTEGER AS copy FROM n)
+SELECT doc_id, source, copy, text_md5,
        ('0x' || substr(md5('{mixing.SEED}/order:' || coalesce(doc_id::VARCHAR, 'null') || ':' || copy), 1, 13))::BIGINT
          / 4503599627370496.0 AS order_key
 FROM e""",

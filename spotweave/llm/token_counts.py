@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from spotweave.llm.batches import map_texts
 from spotweave.llm.tokens import encoder
+from spotweave.session import stored
 
 SLAB = 256
 
@@ -105,4 +106,5 @@ def count_tokens(docs: DataFrame, ranks: str | None = None) -> DataFrame:
     Every row counts, repeated ones too; null and empty texts count with 0
     tokens; other columns are not read.
     """
-    return suffix_sums(length_histogram(token_lengths(docs, ranks)))
+    # stored: it is read twice, and encoding is what costs
+    return suffix_sums(stored(length_histogram(token_lengths(docs, ranks)), "histogram"))

@@ -287,3 +287,25 @@ def test_long_words_of_many_parts(spark):
     assert got[1].n_words == 6 and got[2].n_words == 7
     plain = docs.where("doc_id = 2").select(F.regexp_count("text", F.lit(quality_rules.PLAIN_WORD)).alias("n")).first().n
     assert plain == 5
+
+
+@pytest.mark.parametrize("copies", [2, 4, 8])
+def test_copies_back_to_back(spark, copies):
+    templates = spark.createDataFrame(list(NOTICES.items()), "template string, text string")
+    names = sorted(NOTICES)
+    docs = spark.createDataFrame([(i, prose(i, 13) + " " + " ".join([NOTICES[n]] * copies) + " " + prose(i, 20)) for i, n in enumerate(names)], "doc_id long, text string")
+    got = Counter((r.doc_id, r.template) for r in license_scan.scan(docs, templates).collect())
+    assert all(got[i, n] == copies for i, n in enumerate(names)), got
+
+
+def test_words_inserted_in_a_notice(spark):
+    templates = spark.createDataFrame(list(NOTICES.items()), "template string, text string")
+    long_ones = [n for n in sorted(NOTICES) if len(NOTICES[n].split()) >= 50]
+    assert long_ones
+    rows = []
+    for i, n in enumerate(long_ones):
+        words = NOTICES[n].split()
+        rows.append((i, prose(i, 30) + " " + " ".join(words[: len(words) // 2]) + " " + prose(i + 9, 50) + " " + " ".join(words[len(words) // 2 :]) + " " + prose(i, 30)))
+    got = {(r.doc_id, r.template): r for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), templates).collect()}
+    for i, n in enumerate(long_ones):
+        assert got[i, n].containment >= 0.9 and got[i, n].n_words >= len(NOTICES[n].split()) + 50
