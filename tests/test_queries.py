@@ -12,7 +12,9 @@ SF = "/root/testdata/sf0.001"
 NAMES = [
     "prop_metrics", "jsd_quantiles", "complete_prop", "gt_layers", "filter_gex", "antibody_clr", "refine_step",
     "expr_pass1", "layer_metrics", "rank_markers", "anova_block", "tukey_pairs", "box_stats", "stratified_sample",
-    "scan_wide", "scan_triplets", "layer_sink", "resume_pending",
+    "scan_wide", "scan_triplets", "layer_sink", "resume_pending", "radius_skewed", "refine_props", "expr_ledger",
+    "anova_block_keys", "anova_pvalues", "tukey_pvalues", "bootstrap_ci", "stratified_rows", "uniform_sample",
+    "wide_layer_sink", "layer_file_metrics", "prop_file_metrics", "assemble_folders", "sweep_files",
 ]
 
 
@@ -30,6 +32,8 @@ def tables():
 
 def test_registry():
     assert set(entry.oracle_sql()) <= set(entry.queries())
+    # every query on the reference's own operators has its SQL
+    assert {n for n in entry.queries() if not n.startswith("op") and n != "pipeline"} <= set(entry.oracle_sql())
     assert len(entry.queries()) >= 70
 
 
