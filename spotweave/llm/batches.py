@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 #: Bytes of text that a task works on at once; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
@@ -32,6 +32,11 @@ def free_name(df: DataFrame, wanted: str) -> str:
     return wanted
 
 
+def hashed_share(rows: int, wanted: int, *columns: Column) -> Column:
+    """True for about ``wanted`` of so many rows, by the hash of the columns; equal rows have the same answer."""
+    return F.pmod(F.xxhash64(*columns, F.lit("sample")), F.lit(1 << 30)) <= int((1 << 30) * min(1.0, wanted / max(1, rows)))
+
+
 def map_texts(
     df: DataFrame, column: str, added: str, work: Callable[[list[str | None]], list[pa.Array]], keep: list[str] | None = None
 ) -> DataFrame:

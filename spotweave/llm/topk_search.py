@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from spotweave.llm.batches import hashed_share
 from spotweave.session import stored
 
 K = 5
@@ -50,7 +51,9 @@ def _matrix(column: pa.ChunkedArray, dim: int) -> np.ndarray:
 
 def rotation(vectors: DataFrame, dim: int, rows: int = FIT_ROWS) -> np.ndarray:
     """Orthogonal matrix whose leading columns hold most of the length of a bounded sample of the vectors."""
-    sample = vectors.select("v").orderBy(F.xxhash64("vec_id", F.lit(1)), "vec_id").limit(rows).toArrow()
+    # a share known from the number of vectors, so the sample doesn't grow with them; repeated rows are one
+    chosen = hashed_share(vectors.count(), rows, F.col("vec_id"))
+    sample = vectors.where(chosen).select("vec_id", "v").distinct().toArrow()
     m = _matrix(sample.column("v"), dim)
     return np.linalg.svd(m, full_matrices=True)[2].T if len(m) >= dim else np.eye(dim)
 

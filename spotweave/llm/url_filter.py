@@ -18,6 +18,8 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from spotweave.llm.batches import hashed_share
+
 #: Between host and path, between a key and what only spreads equal keys, and past any other character.
 SEP, SPREAD, LAST = "\x01", "\x00", "\U0010ffff"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -48,6 +50,7 @@ def rule_table(rules: DataFrame) -> DataFrame:
         (F.length("host") + F.length("path")).alias("size"),
         F.concat("host", "path").alias("rule"),
         "verdict",
+        F.size(F.split("host", r"\.")).alias("labels"),
     )
 
 
@@ -82,16 +85,21 @@ def match_rules(pages: DataFrame, rules: DataFrame) -> DataFrame:
     host, path = url_parts(F.col("url"))
     urls = pages.select("page_id", "url").where(F.col("url").contains("://"))
     parts = urls.select("page_id", "url", F.split(host, r"\.").alias("labels"), path.alias("path"))
-    suffix = F.explode(F.sequence(F.lit(1), F.size("labels"))).alias("k")
+    ruled = rule_table(rules)
+    # a host is looked up by its suffixes of the lengths that rules have: few, whatever the number of its labels
+    lengths = sorted(r[0] for r in ruled.select("labels").distinct().collect())
+    there = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda k: k <= F.size("labels"))
+    suffix = F.explode(there).alias("k")
     leveled = parts.select("page_id", "url", "labels", "path", suffix)
     tail = F.slice("labels", F.size("labels") - F.col("k") + 1, F.col("k"))
     spread = F.concat(F.lit(SPREAD), F.hex(F.xxhash64("page_id", "url")))
     keys = leveled.select("page_id", "url", F.concat(_key(tail, F.col("path")), spread).alias("key"))
-    ruled = rule_table(rules)
 
     spark = pages.sparkSession
     ranges = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    drawn = sorted(r[0] for r in keys.select("key").orderBy(F.xxhash64("key"), "key").limit(SAMPLE).collect())
+    # a share known from the number of pages, so the sample doesn't grow with them; repeated rows are one key
+    chosen = hashed_share(pages.count(), SAMPLE, F.col("page_id"), F.col("url"))
+    drawn = sorted(r[0] for r in keys.where(chosen).select("key").distinct().collect())
     cuts = sorted({drawn[i * len(drawn) // ranges] for i in range(1, ranges)}) if drawn else []
 
     @F.pandas_udf("int")
