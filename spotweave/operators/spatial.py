@@ -19,12 +19,10 @@ DEEPEST = 5
 
 
 def placed(rows: DataFrame, spots: DataFrame, by: Sequence[str] = ("sample", "spot")) -> DataFrame:
-    """Rows with the coordinates of their spot; raises when one has none."""
+    """Rows with the coordinates of their spot; a row whose spot has none is an error where it is used."""
     out = rows.join(spots.select(*by, *AT), list(by), "left")
-    lost = out.where(F.col(AT[0]).isNull() | F.col(AT[1]).isNull()).select(*by).limit(3).collect()
-    if lost:
-        raise ValueError(f"spots without coordinates, e.g. {[tuple(r) for r in lost]}")
-    return out
+    lost = F.raise_error(F.concat_ws(" ", F.lit("spot without coordinates:"), *(F.col(c).cast("string") for c in by)))
+    return out.withColumns({c: F.coalesce(F.col(c).cast("double"), lost.cast("double")) for c in AT})
 
 
 def _side(radius: float) -> float:

@@ -148,7 +148,7 @@ def test_refine_reports_and_keeps_little(spark, spots, evidence, work):
 
 
 def test_spots_need_coordinates(spark, spots, evidence):
-    with pytest.raises(ValueError):
+    with pytest.raises(Exception, match="spot without coordinates: s 5"):
         deconv.refine_props(wide_props(spark, evidence), spots.where("spot < 50"), TYPES, 2.5)
 
 
