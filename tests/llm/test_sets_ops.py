@@ -1,5 +1,6 @@
 """SimHash groups, mixing, URL rules, top-k search, the language model and the pipeline against plain Python versions."""
 
+import hashlib
 import math
 from collections import Counter, defaultdict
 
@@ -219,7 +220,7 @@ def test_query_mixes_whole_documents(spark, tmp_path, monkeypatch):
     texts = {i: t for i, t, *_ in rows}
     found = mixed.collect()
     assert found and all(r.text == texts[r.doc_id] for r in found)
-    assert got == Counter((r.doc_id, r.source, r["copy"], r.order_key) for r in found)
+    assert got == Counter((r.doc_id, r.source, r["copy"], r.order_key, hashlib.md5(r.text.encode()).hexdigest()) for r in found)
 
 
 def test_mixing_targets_and_odd_rows(spark):
