@@ -161,8 +161,7 @@ def assemble_folders(spark: SparkSession, sf: str) -> DataFrame:
     base = scratch_path(spark, "replicates")
     expr = inp.expr_table(spark, sf).withColumn("value", F.log1p("value"))
     protein, spots, prop = inp.protein_table(spark, sf), inp.spots(spark, sf), inp.truth(inp.counts(spark, sf))
-    # the header of a matrix of genes by spots: names of spots, one line of every file
-    names = [r[0] for r in inp.table(spark, sf, "supplier").select("s_suppkey").orderBy("s_suppkey").collect()]
+    names = inp.table(spark, sf, "supplier").select("s_suppkey")
     for i in range(5):
         here = F.col("sample") == i
         st, cite = f"{base}/ST_sim/Wu_ST_{i}", f"{base}/CITE_sim/Wu_CITE_{i}"

@@ -222,10 +222,9 @@ def layer_sink(spark: SparkSession, sf: str) -> DataFrame:
 def wide_layer_sink(spark: SparkSession, sf: str) -> DataFrame:
     """Spot x gene files for each sample and cell type, all parts as columns, written and scanned again."""
     path = scratch_path(spark, "wide_layers")
-    genes = [r[0] for r in inp.table(spark, sf, "part").select("p_partkey").orderBy("p_partkey").collect()]
-    sinks.write_wide_layers(inp.layers_truth(inp.cells(spark, sf)), path, genes)
+    sinks.write_wide_layers(inp.layers_truth(inp.cells(spark, sf)), path, inp.table(spark, sf, "part").select("p_partkey"))
     fields = {"sample": r"/sample=(\d+)/", "cell_type": r"/cell_type=([^/]+)/"}
-    return matrix.scan_wide(spark, path + "/*/*/*.csv", "spot", "gene", fields, "spot")
+    return matrix.scan_wide(spark, path + "/*/*", "spot", "gene", fields, "spot")
 
 
 @query(

@@ -22,8 +22,8 @@ def write_layers(layers: DataFrame, path: str, upper_genes: bool = False, mode:
     out.hint("rebalance", "sample", "cell_type").write.mode(mode).partitionBy("sample", "cell_type").parquet(path)
 
 
-def write_wide_layers(layers: DataFrame, path: str, genes: Sequence[str]) -> None:
-    """Spot x gene CSV files per (sample, type), for tools that need them."""
+def write_wide_layers(layers: DataFrame, path: str, genes: Sequence[str] | DataFrame) -> None:
+    """Spot x gene CSV files per (sample, type), for tools that need them; many genes are dealt to files with some of them each."""
     from spotweave.sources.matrix import write_wide
 
     named = layers.withColumn("cell_type", underscored(F.col("cell_type")))

@@ -286,3 +286,28 @@ def test_wide_refuses_files_it_would_mislabel(spark, tmp_path, text, message):
     (tmp_path / "a.csv").write_text(text)
     with pytest.raises(Exception, match=message):
         matrix.scan_wide(spark, str(tmp_path / "a.csv"), index_label="gene").collect()
+
+
+@pytest.mark.parametrize("table", [True, False])
+def test_matrix_of_many_columns_grows_with_its_cells(spark, tmp_path, monkeypatch, table):
+    monkeypatch.setattr(matrix, "SHEET_ROWS", 50)
+    rng = np.random.default_rng(3)
+    n, width = 1100, 64
+    cells = {(f"t {i % 2}" if i % 7 else None, int(r), int(g)): float(v) for i, (r, g, v) in enumerate(zip(rng.integers(0, 400, 900), rng.integers(0, n, 900), rng.integers(1, 9, 900)))}
+    cells |= {("t 0", 1000, 0): 0.0, ("t 0", 1001, n + 5): 3.0}  # a row of zeros, and one with a cell of no column alone
+    facts = spark.createDataFrame([(t, r, g, v) for (t, r, g), v in cells.items()], "cell_type string, spot long, gene long, value double")
+    genes = spark.range(n).select(F.col("id").alias("gene")).repartition(5) if table else [str(i) for i in range(n)]
+    path = str(tmp_path / "w")
+    matrix.write_wide(facts, path, genes, ["cell_type"], "spot", "gene", "spot", width)
+    fields = {"cell_type": r"cell_type=([^/]+)/"}
+    back = matrix.scan_wide(spark, path + "/*/part-*", "spot", "gene", fields, "spot")
+    none = "__HIVE_DEFAULT_PARTITION__"
+    want = {(t or none, str(r), str(g)): v for (t, r, g), v in cells.items() if v and g < n}
+    assert {(r.cell_type, r.spot, r.gene): r.value for r in back.collect()} == want and back.count() == len(want)
+    rows, cols = matrix.wide_keys(spark, path + "/*/part-*", "spot", "gene", fields, "spot")
+    assert {(r.cell_type, r.spot) for r in rows.collect()} == {(t or none, str(r)) for t, r, _ in cells}
+    assert cols.count() == 3 * n
+    lines = [v.value for v in spark.read.text(path + "/*/part-*").collect()]
+    # one matrix of all columns has 4 characters at least for each row and column
+    assert max(len(v.split(",")) for v in lines) == width + 1
+    assert sum(map(len, lines)) < 4 * rows.count() * n / 3
