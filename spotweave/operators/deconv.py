@@ -315,6 +315,15 @@ def expr_pass1(expr: DataFrame, props: DataFrame, types: Sequence[str], ledger:
     return _split(with_p.join(own, ["sample", "gene"]), types, ledger)
 
 
+def wide_layers(expr: DataFrame, props: DataFrame, types: Sequence[str]) -> DataFrame:
+    """``weighted`` and ``pass1``, arrays by type, for each (sample, spot, gene): the rows of ``weighted_layers`` and ``expr_pass1``, NULL where they have none."""
+    k = len(types)
+    with_p = _with_props(expr, props, k)
+    met = with_p.join(stored(profiles(with_p, props, k), "profiles"), ["sample", "gene"])
+    weighted = [F.when(F.col(_p(i)) != 0, F.col("value") * F.col(_p(i))) for i in range(k)]
+    return met.select("sample", "spot", "gene", F.array(*weighted).alias("weighted"), F.array(*[F.nullif(v, F.lit(0.0)) for v in _parts(k)]).alias("pass1"))
+
+
 def expr_pass1_local(
     expr: DataFrame, props: DataFrame, spots: DataFrame, types: Sequence[str], radius: float
 ) -> DataFrame:

@@ -54,11 +54,33 @@ def _sums_of_methods(truth: DataFrame, pred: DataFrame, shared: Sequence[str], l
     q = pred.select(*cells, number.alias("_m"), F.log1p("value").alias("v")).where("_m > 0")
     side = [F.sum(F.when(F.col("_m") == i, F.col("v")).otherwise(none)).alias(f"v{i}") for i in range(len(methods) + 1)]
     pairs = t.unionByName(q).groupBy(*cells).agg(*side)
+    return _states(pairs, shared, layer, methods)
+
+
+def _states(pairs: DataFrame, shared: Sequence[str], layer: Sequence[str], methods: Sequence[str]) -> DataFrame:
+    """States by layer of cells with the truth ``v0`` and the methods ``v1``, ``v2``, .."""
     states = [_state(F.col("v0"), F.col(f"v{i + 1}"), F.col("v0").isNotNull() | F.col(f"v{i + 1}").isNotNull()).alias(f"_s{i}") for i in range(len(methods))]
     rows = F.array(*[F.struct(F.lit(m).alias("method"), F.col(f"_s{i}").alias("_s")) for i, m in enumerate(methods)])
     return pairs.groupBy(*shared).agg(*states).select(*shared, F.inline(rows)).select(*layer, "_s.*")
 
 
+def wide_layer_metrics(
+    truth: DataFrame, pred: DataFrame, types: Sequence[str], sizes: DataFrame, methods: Sequence[str], normalize: str = "range"
+) -> DataFrame:
+    """``layer_metrics`` of methods whose predictions ``pred`` hold one row for each (sample, spot, gene).
+
+    Each method is a column of ``pred``, an array by ``types`` with NULL where the long layer would have no row. So
+    a cell of the matrix is moved once for all types and methods; it is spread over the types where it meets the truth.
+    """
+    cells = ["sample", "spot", "gene"]
+    sums = [F.sum(F.when(F.col("cell_type") == t, F.log1p("value"))).alias(f"_t{i}") for i, t in enumerate(types)]
+    met = truth.groupBy(*cells).agg(*sums).join(pred.select(*cells, *methods), cells, "full")
+    sides = [F.struct(F.lit(t).alias("cell_type"), F.col(f"_t{i}").alias("v0"), *[F.log1p(F.get(m, F.lit(i))).alias(f"v{j + 1}") for j, m in enumerate(methods)]) for i, t in enumerate(types)]
+    pairs = met.select("sample", F.inline(F.array(*sides)))
+    layer = [*ID, "cell_type"]
+    return _scores(_states(pairs, ["sample", "cell_type"], layer, methods), sizes, layer, normalize)
+
+
 def layer_metrics(
     truth: DataFrame,
     pred: DataFrame,
@@ -76,8 +98,6 @@ def layer_metrics(
     the truth. With the ``methods`` named, and a truth without that column, all
     methods are scored in one grouping and the truth is moved once.
     """
-    if normalize not in ("range", "mean"):
-        raise ValueError("normalize must be 'range' or 'mean'")
     group = list(group)
     layer = [*group, "cell_type"]
     shared = [c for c in layer if c in truth.columns]
@@ -86,6 +106,13 @@ def layer_metrics(
     else:
         repeated = truth if len(shared) == len(layer) else truth.join(pred.select(*layer).distinct(), shared)
         sums = _sums(repeated, pred, layer)
+    return _scores(sums, sizes, layer, normalize)
+
+
+def _scores(sums: DataFrame, sizes: DataFrame, layer: Sequence[str], normalize: str) -> DataFrame:
+    """The scores of layers with a state."""
+    if normalize not in ("range", "mean"):
+        raise ValueError("normalize must be 'range' or 'mean'")
     sums = sums.where((F.col("_true") > 0) & (F.col("_predicted") > 0))
     by = [c for c in layer if c in sizes.columns]
     size = F.col("n_genes").cast("double") * F.col("n_spots")

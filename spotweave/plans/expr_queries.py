@@ -482,16 +482,12 @@ SCORES_SQL = (
 def scores(spark: SparkSession, sf: str) -> DataFrame:
     """Two layer predictions against the truth on the full gene x spot grid."""
     rows = inp.cells(spark, sf)
-    expr, prop, wide = _expr_props(spark, sf)
-    pred = (
-        deconv.weighted_layers(expr, prop)
-        .withColumn("method", F.lit("weighted"))
-        .unionByName(deconv.expr_pass1(expr, wide, inp.TYPES).withColumn("method", F.lit("pass1")))
-    )
+    expr, _, wide = _expr_props(spark, sf)
     sizes = inp.table(spark, sf, "part").agg(F.count(F.lit(1)).alias("n_genes")).withColumn(
         "n_spots", inp.table(spark, sf, "supplier").agg(F.count(F.lit(1))).scalar()
     )
-    return lm.layer_metrics(inp.layers_truth(rows), pred, sizes, methods=["weighted", "pass1"])
+    pred = deconv.wide_layers(expr, wide, inp.TYPES)
+    return lm.wide_layer_metrics(inp.layers_truth(rows), pred, inp.TYPES, sizes, ["weighted", "pass1"])
 
 
 @query(

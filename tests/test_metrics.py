@@ -228,3 +228,32 @@ def test_match_types(spark):
     names = spark.createDataFrame([("Cancer Epithelial",), ("PVL",)], "cell_type string")
     got = sorted(r[0] for r in joins.match_types(facts, names).collect())
     assert got == ["B-cells", "Cancer Epithelial", "PVL"]
+
+
+def test_wide_layers_are_scored_like_long_ones(spark):
+    """A cell of the matrix is moved once for all types and methods, and the scores are those of long layers."""
+    from spotweave.operators import deconv
+
+    rng = np.random.default_rng(11)
+    types = ["x", "y", "z"]
+    p = rng.random((30, 3)) * (rng.random((30, 3)) < 0.7)
+    p[:, 0] += 0.1
+    cells = [(str(s % 2), f"s{s}", f"g{g}", float(v)) for s in range(30) for g, v in enumerate(rng.poisson(0.5, 20)) if v]
+    expr = spark.createDataFrame(cells, "sample string, spot string, gene string, value double")
+    prop = spark.createDataFrame([(str(s % 2), f"s{s}", t, float(p[s, i])) for s in range(30) for i, t in enumerate(types)], "sample string, spot string, cell_type string, p double")
+    truth = spark.createDataFrame(
+        [(str(s % 2), types[i], f"s{s}", f"g{g}", float(v)) for s in range(40) for i in range(2) for g, v in enumerate(rng.poisson(0.3, 25)) if v],
+        "sample string, cell_type string, spot string, gene string, value double",
+    )
+    sizes = spark.createDataFrame([(25, 40)], "n_genes long, n_spots long")
+    props = deconv.to_wide(prop, types)
+    long_rows = deconv.weighted_layers(expr, prop).withColumn("method", F.lit("weighted")).unionByName(
+        deconv.expr_pass1(expr, props, types).withColumn("method", F.lit("pass1"))
+    )
+    pred = deconv.wide_layers(expr, props, types)
+    assert pred.count() == len(cells)
+    want = {(r.method, r.sample, r.cell_type): r for r in lm.layer_metrics(truth, long_rows, sizes, methods=["weighted", "pass1"]).collect()}
+    got = {(r.method, r.sample, r.cell_type): r for r in lm.wide_layer_metrics(truth, pred, types, sizes, ["weighted", "pass1"]).collect()}
+    assert set(got) == set(want) and len(got) == 8
+    for k, r in got.items():
+        assert r[3:] == pytest.approx(want[k][3:])
