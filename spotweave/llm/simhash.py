@@ -33,7 +33,7 @@ PAIRED = 24
 _CHUNK = 1 << 15
 
 
-def simhash(text: str | None) -> int:
+def simhash(text: str | None, shingle_words: int = SHINGLE_WORDS) -> int:
     """Fingerprint of a text as a signed 64-bit integer: bit j is 1 if over half of the shingles' hashes have it."""
     words = (text or "").encode().lower().split()  # of bytes: A-Z and the six ASCII blanks alone
     if not words:
@@ -41,7 +41,7 @@ def simhash(text: str | None) -> int:
     line = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
-    k = min(SHINGLE_WORDS, len(words))
+    k = min(shingle_words, len(words))
     spans = zip(starts[: len(words) - k + 1].tolist(), ends[k - 1 :].tolist())
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(line[a:b], HASH_SEED) for a, b in spans), np.uint64, len(words) - k + 1)
@@ -101,10 +101,10 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     never the smallest, and a component without any doc_id has null. Repeated rows
     stay, with equal results. Other columns are left out. No rows: no rows.
     """
-    return _with_components(stored(fingerprints(docs), "prints")).select("doc_id", "fp", "component_id")
+    return with_components(stored(fingerprints(docs), "prints")).select("doc_id", "fp", "component_id")
 
 
-def _with_components(prints: DataFrame) -> DataFrame:
+def with_components(prints: DataFrame) -> DataFrame:
     """``prints`` (doc_id, fp) with component (its smallest fingerprint) and component_id."""
     groups = stored(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "groups")
     nodes = components(links(groups.select("fp")))
@@ -132,7 +132,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """
     fp, key, none = (free_name(docs, c) for c in ("fp", "id_key", "id_null"))
     printed = stored(map_texts(docs, "text", f"{fp} long", lambda texts: [pa.array([simhash(t) for t in texts], pa.int64())]), "printed")
-    found = _with_components(stored(printed.select("doc_id", F.col(fp).alias("fp")), "prints"))
+    found = with_components(stored(printed.select("doc_id", F.col(fp).alias("fp")), "prints"))
     first = found.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("kept"))
     ids = [F.coalesce("doc_id", F.lit(0)).alias(key), F.col("doc_id").isNull().alias(none)]
     kept = first.select("kept.*").select(*ids, F.col("fp").alias(fp))

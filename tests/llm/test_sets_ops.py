@@ -488,3 +488,18 @@ def test_prefix_pairs_lose_nothing(spark):
     got = {tuple(sorted((r.a[0], r.b[0]))) for r in found}
     want = {(j, i) for i in range(120) for j in range(i) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert want <= got and len(found) == len(got) and len(got) < 120 * 119 / 4
+
+
+def test_near_copies_go_through_fingerprints(spark):
+    """Without any band, texts that SimHash groups are linked, if their similarity is high enough."""
+    base = prose(91, 600).split()
+    copies = [" ".join([*base[:at], "edited", *base[at + 1 :]]) for at in range(0, 600, 40)]
+    near = [c for c in copies if (simhash.simhash(c, 5) ^ simhash.simhash(" ".join(base), 5)) % 2**64 in {0, *(1 << i for i in range(64)), *((1 << i) | (1 << j) for i in range(64) for j in range(i))}]
+    texts = [" ".join(base), *near[:3], prose(92, 600)]
+    assert len(texts) >= 3
+    prints = [simhash.simhash(t, 5) for t in texts[:-1]]
+    # a fingerprint may be equal by chance: the sets decide
+    rows = [(bytes([i]), i, [], p, t) for i, (p, t) in enumerate(zip([*prints, prints[0]], texts))]
+    frame = spark.createDataFrame(rows, "node binary, row long, bands array<long>, fp long, text string")
+    got = {bytes(r.node): bytes(r.component) for r in near_copies.links(frame.drop("text"), frame.select("row", "text")).collect()}
+    assert got == {bytes([i]): bytes([0]) for i in range(len(texts) - 1)}
