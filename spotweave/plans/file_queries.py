@@ -53,6 +53,13 @@ layer_scores AS (
 )
 
 
+def _by_type(layers: DataFrame, label: str) -> DataFrame:
+    """Layers stored in folders by cell type, so that a filter on it reads that folder alone."""
+    path = scratch_path(layers.sparkSession, label)
+    layers.write.partitionBy("cell_type").parquet(path)
+    return layers.sparkSession.read.schema(layers.schema).parquet(path)
+
+
 def _layer_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     """Scores of two tools: files of truth have spaces in their names and lack the first gene, those of the tools have underscores and lack the last."""
     base = scratch_path(spark, "layer_files")
@@ -66,6 +73,9 @@ def _layer_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
         "weighted": protein.join(prop, ["sample", "spot"]).withColumn("value", F.col("value") * F.col("p")),
         "flat": protein.withColumn("cell_type", types).withColumn("value", F.col("value") / len(inp.TYPES)),
     }
+    # made once, and read by cell type for the five files of each
+    truth = _by_type(truth, "truth_layers")
+    tools = {name: _by_type(layers, f"{name}_layers") for name, layers in tools.items()}
     # a folder for each cell type, as tools write them: five of each
     for t in inp.TYPES:
         matrix.write_wide(truth.where(F.col("cell_type") == t), f"{base}/truth/{t}_GT.csv", inp.BRANDS[1:], ["sample"], index_label="spot")

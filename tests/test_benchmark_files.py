@@ -78,3 +78,14 @@ def test_proportion_files(spark, tmp_path):
     pd.DataFrame(np.ones((1, 3)) / 3, ["spot_99"], types).to_csv(tmp_path / "tool_map_1.csv", index_label="spot")
     with pytest.raises(ValueError):
         benchmark.benchmark_proportion_files(*args, pred_index_label="spot")
+
+
+def test_layers_of_files_are_made_once(spark, monkeypatch):
+    """What is written by cell type comes from stored layers: no join or grouping is repeated for a type."""
+    from spotweave.plans import file_queries
+
+    plans = []
+    monkeypatch.setattr(file_queries.matrix, "write_wide", lambda facts, *a, **k: plans.append(facts._jdf.queryExecution().optimizedPlan().toString()))
+    monkeypatch.setattr(file_queries, "benchmark_layer_files", lambda *a, **k: None)
+    file_queries._layer_files(spark, "/root/testdata/sf0.001")
+    assert len(plans) == 15 and not any("Join" in p or "Aggregate" in p for p in plans)
