@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from spotweave.llm.batches import free_name, slices
@@ -32,6 +33,8 @@ FOLDS = 2
 PAD = "\x02"
 #: Resolution of the exact histogram of deviations.
 BINS = 1000
+#: Bits of the filter of trusted ids that most other texts don't pass: 2 MB, whatever the number of ids.
+FILTER_BITS = 1 << 24
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xD6E8FEB86659FD93)
 
@@ -196,8 +199,10 @@ def _shard_of(shards: int) -> Column:
     return F.when(F.length(context) >= 2, (31 * F.ascii(a) + F.ascii(b)) % shards).otherwise(-1)
 
 
-def keyed(model: DataFrame) -> DataFrame:
-    """lang, kind, key, value: the model with a 64-bit key in place of each gram."""
+def keyed(model: DataFrame, names: list[tuple[str, str]]) -> DataFrame:
+    """name, key, value: the model with the place of its (lang, kind) in ``names`` and a 64-bit key in place of each gram."""
+    number = {v: i for i, v in enumerate(names)}
+    kind, width = (pa.int16(), "short") if len(names) < 1 << 15 else (pa.int32(), "int")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -208,35 +213,29 @@ def keyed(model: DataFrame) -> DataFrame:
                 own = np.flatnonzero(lengths == k)
                 codes = np.frombuffer("".join(grams[i] for i in own).encode("utf-32-le"), "<u4").astype(np.uint64)
                 keys[own] = _keys(codes, np.arange(k - 1, len(codes), k), k)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("kind"), pa.array(keys.view(np.int64)), batch.column("value")],
-                names=["lang", "kind", "key", "value"],
-            )
+            at = [number[v] for v in zip(batch.column("lang").to_pylist(), batch.column("kind").to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(at, kind), pa.array(keys.view(np.int64)), batch.column("value")], names=["name", "key", "value"])
 
-    return model.select("lang", "kind", "gram", F.col("value").cast("float").alias("value")).mapInArrow(
-        task, "lang string, kind string, key long, value float"
-    )
+    return model.select("lang", "kind", "gram", F.col("value").cast("float").alias("value")).mapInArrow(task, f"name {width}, key long, value float")
 
 
 class Shard:
     """Model rows of a shard; a worker makes the tables once and keeps them for its later tasks."""
 
-    def __init__(self, rows: pa.Table):
-        lang, kind = (rows.column(c).combine_chunks().dictionary_encode() for c in ("lang", "kind"))
-        self.langs, self.kinds = lang.dictionary.to_pylist(), kind.dictionary.to_pylist()
-        self.lang, self.kind = (x.indices.to_numpy().astype(np.int32) for x in (lang, kind))
-        self.keys, self.values = rows.column("key").to_numpy().view(np.uint64), rows.column("value").to_numpy()
+    def __init__(self, rows: pa.Table, names: list[tuple[str, str]]):
+        self.names = names
+        self.name, self.keys, self.values = (rows.column(c).to_numpy() for c in ("name", "key", "value"))
         self.made: dict[str, tuple[Table, Table, float]] | None = None
 
     def tables(self) -> dict[str, tuple[Table, Table, float]]:
         """For each language the tables of probabilities and weights, and the value of an unseen character."""
         if self.made is None:
-            self.made = {}
-            for i, name in enumerate(self.langs):
-                own = {k: (self.lang == i) & (self.kind == j) for j, k in enumerate(self.kinds)}
-                none = np.zeros(len(self.keys), bool)
-                p, g = (Table(self.keys[m], self.values[m]) for m in (own.get("p", none), own.get("g", none)))
-                self.made[name] = (p, g, float(self.values[own["u"]][0]))
+            keys, self.made = self.keys.view(np.uint64), {}
+            for lang in {v for v, _ in self.names}:
+                own = {k: self.name == i for i, (v, k) in enumerate(self.names) if v == lang}
+                none = np.zeros(len(keys), bool)
+                p, g = (Table(keys[m], self.values[m]) for m in (own.get("p", none), own.get("g", none)))
+                self.made[lang] = (p, g, float(self.values[own["u"]][0]))
         return self.made
 
 
@@ -257,21 +256,30 @@ def _log_probs(codes: np.ndarray, last: np.ndarray, tables: tuple[Table, Table,
     return out
 
 
-def score(docs: DataFrame, model: DataFrame, order: int = ORDER, keep: list[str] | None = None, by: str = "lang", shard_entries: int = SHARD_ENTRIES) -> tuple[DataFrame, str]:
+def broadcast_shards(model: DataFrame, shard_entries: int = SHARD_ENTRIES) -> list[Broadcast]:
+    """The shards of a model, each in a broadcast of its own; they pass through the driver one by one."""
+    names = sorted((r.lang, r.kind) for r in model.select("lang", "kind").distinct().collect())  # a few for each language and fold
+    shards = max(1, math.ceil(model.count() / shard_entries))
+    held, spark = _shard_of(shards), model.sparkSession
+    return [spark.sparkContext.broadcast(Shard(keyed(model.where((held == s) | (held == -1)), names).toArrow(), names)) for s in range(shards)]
+
+
+def score(
+    docs: DataFrame, model: DataFrame | list[Broadcast], order: int = ORDER, keep: list[str] | None = None, by: str = "lang", shard_entries: int = SHARD_ENTRIES
+) -> tuple[DataFrame, str]:
     """(``docs`` with its columns ``keep`` and one more, that column's name): log perplexity per character.
 
     Null for a text without characters, and for a language that the model doesn't
-    know. ``docs`` has text and ``by``, the language; a null one is a language of its own.
+    know. ``docs`` has text and ``by``, the language; a null one is a language of its own. A model that
+    scores several tables is given as its ``broadcast_shards``.
     """
-    spark = docs.sparkSession
     keep = docs.columns if keep is None else keep
     name = free_name(docs, "log_perplexity")
-    shards = max(1, math.ceil(model.count() / shard_entries))
+    held = model if isinstance(model, list) else broadcast_shards(model, shard_entries)
+    shards = len(held)
     sum_name = free_name(docs, f"{name}_sum")
     current = docs.withColumns({sum_name: F.lit(0.0)})
-    for s in range(shards):
-        held = _shard_of(shards)
-        tables = spark.sparkContext.broadcast(Shard(keyed(model.where((held == s) | (held == -1))).toArrow()))
+    for s, tables in enumerate(held):
         final = s == shards - 1
         columns = (keep if final else docs.columns) + [name if final else sum_name]
 
@@ -354,6 +362,17 @@ def trusted_ids(labels: DataFrame) -> DataFrame:
     return labels.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
 
 
+def _likely(ids: DataFrame, bits: int = FILTER_BITS) -> Column:
+    """True for each of ``ids`` and for few other doc_ids: a bit for the hash of an id, in one value of a fixed size."""
+    words = bits // 64
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    word, bit = F.floor(slot / 64), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    held = ids.groupBy(word.alias("id")).agg(F.bit_or(bit).alias("bits"))
+    every = ids.sparkSession.range(words).join(held, "id", "left").select("id", F.coalesce("bits", F.lit(0).cast("long")).alias("bits"))
+    mask = stored(every.agg(F.array_sort(F.collect_list(F.struct("id", "bits"))).getField("bits").alias("mask")), "id_filter")
+    return F.get(mask.scalar(), word.cast("int")).bitwiseAND(bit) != 0
+
+
 def _model_name(fold: Column) -> Column:
     return F.concat(F.coalesce("lang", F.lit("")), F.lit("\x1f"), fold.cast("string"))
 
@@ -363,19 +382,22 @@ def _with_fold(docs: DataFrame, name: str) -> DataFrame:
     return docs.withColumn(name, _model_name(F.pmod(F.xxhash64("doc_id", F.lit("fold")), F.lit(FOLDS))))
 
 
-def _fit(docs: DataFrame, labels: DataFrame, order: int, quantile: float) -> tuple[DataFrame, DataFrame, DataFrame]:
+def _fit(docs: DataFrame, labels: DataFrame, order: int, quantile: float) -> tuple[list[Broadcast], DataFrame, DataFrame]:
     """(models of all languages and folds, scored documents, thresholds)."""
     ids = trusted_ids(labels)
     texts = _with_fold(docs.select("doc_id", "lang", "text"), "model")
-    # the same plan at every size: labels grow with the corpus, so they are never broadcast
-    trusted = texts.join(ids.hint("merge"), "doc_id", "left_semi")
+    # the same plan at every size: labels grow with the corpus, so they are never broadcast; the filter spares
+    # most other texts the shuffle of the exact join
+    trusted = texts.where(_likely(ids)).join(ids.hint("merge"), "doc_id", "left_semi")
     # the model of a fold is trained on the trusted documents outside it
     models = F.explode(F.array(*(_model_name(F.lit(i)) for i in range(FOLDS)))).alias("for_model")
     model = train(trusted.select("model", "text", models).where("for_model <> model").select(F.col("for_model").alias("lang"), "text"), order)
+    held = broadcast_shards(model)
+    forget(model)
     sized = texts.withColumn("n", F.length("text").cast("long"))
-    rows, name = score(sized, model, order, ["doc_id", "lang", "n"], by="model")
+    rows, name = score(sized, held, order, ["doc_id", "lang", "n"], by="model")
     scored = stored(rows.select("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), "n", F.col(name).alias("log_perplexity")), "scored")
-    return model, scored, stored(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
+    return held, scored, stored(thresholds(scored.join(ids, "doc_id", "left_semi"), quantile), "thresholds")
 
 
 def classify(docs: DataFrame, labels: DataFrame, order: int = ORDER, quantile: float = QUANTILE) -> DataFrame:

@@ -409,6 +409,23 @@ def test_thresholds_have_one_rule(spark, n):
     assert got.cut == pytest.approx(np.quantile(z, 0.995) / quality_lm.BINS, abs=0.0011) and got.cut <= z.max() / quality_lm.BINS
 
 
+def test_id_filter_spares_untrusted_texts(spark):
+    ids = spark.range(0, 3000, 3).withColumnRenamed("id", "doc_id")
+    docs = spark.range(3000).select(F.when(F.col("id") < 2999, F.col("id")).alias("doc_id"))
+    passed = {r.doc_id for r in docs.where(quality_lm._likely(ids, 1 << 14)).collect()}
+    trusted = set(range(0, 3000, 3)) - {2999}
+    assert trusted <= passed and len(passed - trusted) < 300
+    assert docs.where(quality_lm._likely(ids.limit(0), 1 << 14)).count() == 0
+
+
+def test_model_is_taken_to_the_driver_once(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"some plain text number {i % 7} of many", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = docs.select("doc_id", F.lit(1).alias("quality"))
+    taken, broadcast = [], quality_lm.broadcast_shards
+    monkeypatch.setattr(quality_lm, "broadcast_shards", lambda model: taken.append(1) or broadcast(model))
+    assert quality_lm.keep_good(docs, labels).count() > 30 and len(taken) == 1
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     rows = [(i, prose(i, 80) + "\n" + "a line that many of the documents share, forty characters", "en", f"s{i % 3}", 1) for i in range(60)]
     rows += [(100 + i, prose(1, 80), "en", "s0", 1) for i in range(20)] + [(200, None, None, None, None), (201, "", "en", None, 0), (None, "no id", "en", "s1", 5), (1, prose(1, 80), "en", "s1", 1)]
