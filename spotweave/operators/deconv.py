@@ -12,11 +12,11 @@ from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
-from pyspark.sql import Column, DataFrame, Observation, functions as F
+from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
 from spotweave.operators.normalize import ClrParts
 from spotweave.operators.spatial import AT, WORK, cell_plan, in_range, neighbor_sums, placed, sources_at, targets_at
-from spotweave.session import Bucketed, dealt_by_some_keys, stored
+from spotweave.session import Bucketed, dealt, dealt_by_some_keys, stored
 
 SPOT = ("sample", "spot")
 
@@ -240,23 +240,31 @@ def weighted_layers(expr: DataFrame, prop: DataFrame) -> DataFrame:
     )
 
 
-def profiles(expr_p: DataFrame, props: DataFrame, k: int) -> DataFrame:
-    """Weighted mean expression ``m_i`` of each type per (sample, gene), wide.
+def _weights(props: DataFrame, k: int) -> DataFrame:
+    """Sums ``w_i`` of the shares of each type over all spots; stored: a row for each sample."""
+    return stored(props.groupBy("sample").agg(*[F.sum(_p(i)).alias(f"w_{i}") for i in range(k)]), "weights")
 
-    ``expr_p`` is expression with the ``p_i`` of its spot. Zeros count: the
-    divisor is the sum of shares over all spots of the sample.
+
+def _means(rows: DataFrame, values: Sequence[Column], name: str, k: int) -> DataFrame:
+    """``rows`` with the weighted means ``<name>_i`` of ``values`` over all spots, per (sample, gene), from sums ``w_i`` of the shares.
+
+    Zeros count: the divisor is the sum of shares over all spots of the sample.
     """
-    weight = props.groupBy("sample").agg(*[F.sum(_p(i)).alias(f"w_{i}") for i in range(k)])
-    sums = expr_p.groupBy("sample", "gene").agg(
-        *[F.sum(F.col("value") * F.col(_p(i))).alias(f"x_{i}") for i in range(k)]
-    )
-    return sums.join(weight, "sample").select(
-        "sample",
-        "gene",
-        *[F.when(F.col(f"w_{i}") > 0, F.col(f"x_{i}") / F.col(f"w_{i}")).otherwise(0.0).alias(f"m_{i}") for i in range(k)],
+    gene = W.partitionBy("sample", "gene")
+    return rows.withColumns(
+        {f"{name}_{i}": F.when(F.col(f"w_{i}") > 0, F.sum(v * F.col(_p(i))).over(gene) / F.col(f"w_{i}")).otherwise(0.0) for i, v in enumerate(values)}
     )
 
 
+def _with_profiles(expr: DataFrame, props: DataFrame, k: int) -> DataFrame:
+    """Expression with ``p_i`` and ``w_i`` of its spot and sample, and the profile ``m_i`` of each type for its gene.
+
+    The rows of a gene of a sample (one for each spot at most) are brought together once; every later step per gene leaves them there.
+    """
+    rows = dealt(_with_props(expr, props, k), expr.count(), "sample", "gene")
+    return _means(rows.join(_weights(props, k), "sample"), [F.col("value")] * k, "m", k)
+
+
 def _parts(k: int) -> list[Column]:
     """A value shared out by ``p_i * m_i``; the parts sum to the value.
 
@@ -282,9 +290,9 @@ def _split(expr_pm: DataFrame, types: Sequence[str], ledger: Observation | None
 
 def _with_props(expr: DataFrame, props: DataFrame, k: int) -> DataFrame:
     """Expression with the shares of its spot; expression of a spot without shares is an error, as it would be lost."""
-    met = expr.select("sample", "spot", "gene", "value").join(
-        props.select(*SPOT, *[_p(i) for i in range(k)]), list(SPOT), "left"
-    )
+    n = expr.count()
+    own = dealt(props.select(*SPOT, *[_p(i) for i in range(k)]), n, *SPOT)
+    met = dealt(expr.select("sample", "spot", "gene", "value"), n, *SPOT).join(own, list(SPOT), "left")
     lost = F.raise_error(F.concat_ws(" ", F.lit("expression of a spot with no shares:"), F.col("sample").cast("string"), F.col("spot").cast("string")))
     return met.withColumns({_p(i): F.coalesce(F.col(_p(i)), lost.cast("double")) for i in range(k)})
 
@@ -305,21 +313,15 @@ def mass_ledger(expr: DataFrame, layers: DataFrame) -> DataFrame:
 def expr_pass1(expr: DataFrame, props: DataFrame, types: Sequence[str], ledger: Observation | None = None) -> DataFrame:
     """Expression per type with one profile per (sample, type).
 
-    ``props`` is wide. Rows stay one per nonzero until the final split. The
-    profiles are stored first, so that Spark knows their size and shuffles the
-    expression by gene only if they are too large to broadcast.
+    ``props`` is wide. Rows stay one per nonzero until the final split.
     """
-    k = len(types)
-    with_p = _with_props(expr, props, k)
-    own = stored(profiles(with_p, props, k), "profiles")
-    return _split(with_p.join(own, ["sample", "gene"]), types, ledger)
+    return _split(_with_profiles(expr, props, len(types)), types, ledger)
 
 
 def wide_layers(expr: DataFrame, props: DataFrame, types: Sequence[str]) -> DataFrame:
     """``weighted`` and ``pass1``, arrays by type, for each (sample, spot, gene): the rows of ``weighted_layers`` and ``expr_pass1``, NULL where they have none."""
     k = len(types)
-    with_p = _with_props(expr, props, k)
-    met = with_p.join(stored(profiles(with_p, props, k), "profiles"), ["sample", "gene"])
+    met = _with_profiles(expr, props, k)
     weighted = [F.when(F.col(_p(i)) != 0, F.col("value") * F.col(_p(i))) for i in range(k)]
     return met.select("sample", "spot", "gene", F.array(*weighted).alias("weighted"), F.array(*[F.nullif(v, F.lit(0.0)) for v in _parts(k)]).alias("pass1"))
 
@@ -329,29 +331,47 @@ def expr_pass1_local(
 ) -> DataFrame:
     """Pass 1 with profiles from the spots within ``radius`` only, own spot included.
 
-    A profile is needed only for genes found in the spot itself, so rows meet
-    on (grid cell, gene).
+    A profile is needed only for genes found in the spot itself, so the rows of a gene are brought together
+    once. There they are summed by position, listed at the places of the grid in their reach, and met by the targets of that place.
     """
     k = len(types)
     cols = [_p(i) for i in range(k)]
     at = placed(props.select(*SPOT, *cols), spots)
     plan = cell_plan(at, at, radius)
-    weighted = neighbor_sums(at, at, radius, cols, plan, prefix="w_")
-    around = [f"w_{c}" for c in cols]
-    targets = expr.select("sample", "spot", "gene", "value").join(weighted.drop("w_n"), list(SPOT), "left")
+    weighted = stored(neighbor_sums(at, at, radius, cols, plan, prefix="w_").drop("w_n"), "around")
+    around, n = [f"w_{c}" for c in cols], expr.count()
+    targets = dealt(expr.select("sample", "spot", "gene", "value"), n, *SPOT).join(dealt(weighted, n, *SPOT), list(SPOT), "left")
     lost = F.raise_error(F.concat_ws(" ", F.lit("expression of a spot with no shares:"), F.col("sample").cast("string"), F.col("spot").cast("string")))
     targets = targets.withColumns({c: F.coalesce(F.col(c), lost.cast("double")) for c in [*cols, *around]})
-    products = targets.select(
-        "sample", "gene", *AT, *[(F.col("value") * F.col(c)).alias(f"x_{i}") for i, c in enumerate(cols)]
+    # a row is at about four places
+    rows = dealt(targets, 4 * n, "sample", "gene")
+    pile = W.partitionBy("sample", "gene", *AT)
+    rows = rows.withColumn("_first", F.row_number().over(pile.orderBy("spot")) == 1)
+    rows = rows.withColumns({f"x_{i}": F.sum(F.col("value") * F.col(c)).over(pile) for i, c in enumerate(cols)})
+    place = ["_cx", "_cy", "_sub", "_part"]
+    homes, on = targets_at(rows, radius, plan, ["sample", "gene", "spot"], ["sample", "gene"])
+    homes = homes.withColumn("_home", F.struct(*place)).drop(*place).withColumnsRenamed({AT[0]: "near_x", AT[1]: "near_y"})
+    sources = [F.col(c) for c in ("near_x", "near_y", *(f"x_{i}" for i in range(k)))]
+    listed = sources_at(homes, radius, plan).select(
+        *on,
+        *sources,
+        F.when(F.struct(*place) == F.col("_home"), F.struct("spot", "value", *cols, *around)).alias("target"),
+        F.when(F.col("_first"), F.struct(*sources)).alias("source"),
     )
-    sums = neighbor_sums(
-        targets, products, radius, [f"x_{i}" for i in range(k)], plan, ["sample", "gene"], prefix="n_"
-    )
-    local = [
-        F.when(F.col(f"w_{c}") > 0, F.col(f"n_x_{i}") / F.col(f"w_{c}")).otherwise(0.0).alias(f"m_{i}")
-        for i, c in enumerate(cols)
-    ]
-    return _split(sums.select("sample", "spot", "gene", "value", *cols, *local), types)
+    listed = listed.where(F.col("target").isNotNull() | F.col("source").isNotNull())
+    met = listed.withColumn("near", F.collect_list("source").over(W.partitionBy(*on))).where(F.col("target").isNotNull())
+
+    def in_reach(o: Column) -> Column:
+        dx, dy = F.col("near_x") - o["near_x"], F.col("near_y") - o["near_y"]
+        return dx * dx + dy * dy <= float(radius) ** 2
+
+    def total(name: str) -> Column:
+        return F.aggregate("near", F.lit(0.0), lambda a, o: a + o[name])
+
+    met = met.select("sample", "gene", "target.*", F.filter("near", in_reach).alias("near"))
+    sums = [total(f"x_{i}") for i in range(k)]
+    local = [F.when(F.col(w) > 0, sums[i] / F.col(w)).otherwise(0.0).alias(f"m_{i}") for i, w in enumerate(around)]
+    return _split(met.select("sample", "spot", "gene", "value", *cols, *local), types)
 
 
 def expr_prior(layers: DataFrame, prop: DataFrame) -> DataFrame:
@@ -366,17 +386,17 @@ def expr_prior(layers: DataFrame, prop: DataFrame) -> DataFrame:
     )
 
 
-def _wide_prior(expr_pm: DataFrame, props: DataFrame, k: int) -> DataFrame:
-    """The prior as columns ``r_i`` per (sample, gene), without spreading types over rows."""
-    weight = props.groupBy("sample").agg(*[F.sum(_p(i)).alias(f"w_{i}") for i in range(k)])
-    sums = expr_pm.groupBy("sample", "gene").agg(
-        *[F.sum(part * F.col(_p(i))).alias(f"x_{i}") for i, part in enumerate(_parts(k))]
-    )
-    return sums.join(weight, "sample").select(
-        "sample",
-        "gene",
-        *[F.when(F.col(f"w_{i}") > 0, F.col(f"x_{i}") / F.col(f"w_{i}")).otherwise(0.0).alias(f"r_{i}") for i in range(k)],
+def pass1_prior(expr: DataFrame, props: DataFrame, types: Sequence[str]) -> DataFrame:
+    """``expr_prior`` of ``expr_pass1``: types become rows only after the grouping."""
+    k = len(types)
+    parts = _parts(k)
+    sums = _with_profiles(expr, props, k).groupBy("sample", "gene").agg(
+        *[F.any_value(f"w_{i}").alias(f"w_{i}") for i in range(k)],
+        *[F.sum(F.when(part != 0, part * F.col(_p(i)))).alias(f"x_{i}") for i, part in enumerate(parts)],
     )
+    rows = F.array(*[F.struct(F.lit(t).alias("cell_type"), (F.col(f"x_{i}") / F.col(f"w_{i}")).alias("prior")) for i, t in enumerate(types)])
+    # no sum: no spot has a part of this type
+    return sums.select("sample", "gene", F.inline(rows)).where(F.col("prior").isNotNull()).select("sample", "cell_type", "gene", "prior")
 
 
 def expr_pass2(
@@ -393,10 +413,9 @@ def expr_pass2(
     pass 1 is computed here.
     """
     k = len(types)
-    with_p = _with_props(expr, props, k)
-    own = stored(profiles(with_p, props, k), "profiles")
+    own, w = _with_profiles(expr, props, k), float(prior_weight)
     if prior is None:
-        wide = _wide_prior(with_p.join(own, ["sample", "gene"]), props, k)
+        both = _means(own, _parts(k), "r", k)
     else:
         wide = prior.groupBy("sample", "gene").agg(
             *[
@@ -404,14 +423,6 @@ def expr_pass2(
                 for i, t in enumerate(types)
             ]
         )
-    w = float(prior_weight)
-    mixed = own.join(wide, ["sample", "gene"], "left")
-    mixed = mixed.select(
-        "sample",
-        "gene",
-        *[
-            ((1 - w) * F.col(f"m_{i}") + w * F.coalesce(F.col(f"r_{i}"), F.lit(0.0))).alias(f"m_{i}")
-            for i in range(k)
-        ],
-    )
-    return _split(with_p.join(stored(mixed, "mixed_profiles"), ["sample", "gene"]), types, ledger)
+        both = own.join(stored(wide, "prior"), ["sample", "gene"], "left")
+    mixed = [((1 - w) * F.col(f"m_{i}") + w * F.coalesce(F.col(f"r_{i}"), F.lit(0.0))).alias(f"m_{i}") for i in range(k)]
+    return _split(both.select("sample", "spot", "gene", "value", *[_p(i) for i in range(k)], *mixed), types, ledger)

@@ -395,8 +395,8 @@ def expr_pass1(spark: SparkSession, sf: str) -> DataFrame:
     + "\nSELECT sample, cell_type, gene, round(prior, 6) AS prior FROM prior",
 )
 def expr_prior(spark: SparkSession, sf: str) -> DataFrame:
-    expr, prop, wide = _expr_props(spark, sf)
-    return rounded(deconv.expr_prior(deconv.expr_pass1(expr, wide, inp.TYPES), prop), "prior", digits=6)
+    expr, _, wide = _expr_props(spark, sf)
+    return rounded(deconv.pass1_prior(expr, wide, inp.TYPES), "prior", digits=6)
 
 
 @query(

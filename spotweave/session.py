@@ -110,6 +110,19 @@ def forget(*results: DataFrame) -> None:
         _delete(df.sparkSession, df._stored_at)
 
 
+#: Rows that one task sorts or groups at once, about.
+TASK_ROWS = 1 << 20
+
+
+def dealt(df: DataFrame, rows: int, *keys: str, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``df`` dealt by ``keys`` to a task for each ``task_rows`` of ``rows``; left to Spark where the session has as many tasks.
+
+    So the memory of a task doesn't grow with the input. Both sides of a join get the same ``rows``.
+    """
+    n = -(-rows // task_rows)
+    return df if n <= int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) else df.repartition(n, *keys)
+
+
 class Bucketed:
     """A stored result dealt to files by the hash of ``keys``.
 

@@ -1,5 +1,7 @@
 """Neighbourhoods and deconvolution against brute force in numpy."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import Observation, functions as F
@@ -7,6 +9,7 @@ from pyspark.sql import Observation, functions as F
 from spotweave.model import SpotModel
 from spotweave.operators import deconv, normalize, spatial
 from spotweave.operators.sampling import sweep_points
+from spotweave.session import dealt, stored
 from spotweave.sources.text import marker_table
 
 TYPES = ["t0", "t1", "t2"]
@@ -329,3 +332,46 @@ def test_dominant_and_wide(spark):
 def test_natural_order(spark):
     ids = spark.createDataFrame([("spot_10",), ("spot_2",), ("other",), ("spot_1",)], "spot string")
     assert [r.spot for r in spatial.natural_order(ids).collect()] == ["spot_1", "spot_2", "spot_10", "other"]
+
+
+def _shuffles(df):
+    """Shuffles and the tasks they deal to, of the plan before it runs."""
+    return [int(n) for n in re.findall(r"Exchange hashpartitioning\(.*?, (\d+)\), (?:ENSURE|REPARTITION)", df._jdf.queryExecution().executedPlan().toString())]
+
+
+def _small_slide(spark):
+    rng = np.random.default_rng(3)
+    spots = [(s, i, float(i % 4), float(i // 4)) for s in (0, 1) for i in range(24)]
+    spots += [(0, 24 + i, 1.0, 1.0) for i in range(3)]  # a pile
+    expr = [(s, i, g, float(rng.integers(1, 9))) for s, i, *_ in spots for g in range(5) if rng.random() < 0.6]
+    props = [(s, i, p, 1 - p) for (s, i, *_), p in zip(spots, rng.random(len(spots)).tolist())]
+    return (
+        stored(spark.createDataFrame(expr, "sample long, spot long, gene long, value double"), "expr"),
+        spark.createDataFrame(props, "sample long, spot long, p_0 double, p_1 double"),
+        spark.createDataFrame(spots, "sample long, spot long, spot_x double, spot_y double"),
+    )
+
+
+def test_passes_move_expression_once_by_spot_and_once_by_gene(spark):
+    expr, props, spots = _small_slide(spark)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100k")
+    try:
+        assert len(_shuffles(deconv.expr_pass2(expr, stored(props, "props"), ["a", "b"]))) <= 2
+        assert len(_shuffles(deconv.expr_pass1_local(expr, props, spots, ["a", "b"], 1.5))) <= 2
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_prior_of_pass1_without_long_layers(spark):
+    expr, props, _ = _small_slide(spark)
+    props = props.withColumn("p_1", F.when(F.col("sample") == 0, 0.0).otherwise(F.col("p_1")))
+    long = deconv.to_long(props, ["a", "b"], keep_zero=False)
+    want = {(r.sample, r.cell_type, r.gene): r.prior for r in deconv.expr_prior(deconv.expr_pass1(expr, props, ["a", "b"]), long).collect()}
+    got = {(r.sample, r.cell_type, r.gene): r.prior for r in deconv.pass1_prior(expr, props, ["a", "b"]).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_tasks_follow_the_rows(spark):
+    rows = spark.range(1000).withColumn("k", F.col("id") % 100)
+    assert dealt(rows, 1000, "k", task_rows=50).rdd.getNumPartitions() == 20
+    assert dealt(rows, 1000, "k", task_rows=500) is rows  # the session's own number suffices
