@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotweave.operators.composition import spot_prop
-from spotweave.session import stored
+from spotweave.session import dealt, stored
 
 # fixed values: the cell types, antibodies and neighbourhood radius of the derived data
 TYPES = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
@@ -33,6 +33,8 @@ def cells(spark: SparkSession, sf: str) -> DataFrame:
         "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_linenumber", "l_returnflag"
     )
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderpriority")
+    n = li.count()
+    li, orders = dealt(li, n, "l_orderkey"), dealt(orders, n, "o_orderkey")
     return li.join(orders, li.l_orderkey == orders.o_orderkey).select(
         (F.col("l_orderkey") % 5).alias("sample"),
         F.col("l_suppkey").alias("spot"),
@@ -50,9 +52,13 @@ CELLS_SQL = """cells AS (
 
 
 def expr(spark: SparkSession, sf: str) -> DataFrame:
+    li = table(spark, sf, "lineitem").select(
+        (F.col("l_orderkey") % 5).alias("sample"), F.col("l_suppkey").alias("spot"), F.col("l_partkey").alias("gene"), "l_quantity"
+    )
     return (
-        table(spark, sf, "lineitem")
-        .groupBy((F.col("l_orderkey") % 5).alias("sample"), F.col("l_suppkey").alias("spot"), F.col("l_partkey").alias("gene"))
+        # so a grouping by gene needs no further shuffle
+        dealt(li, li.count(), "sample", "gene")
+        .groupBy("sample", "spot", "gene")
         .agg(F.sum("l_quantity").alias("value"))
         # stated here so that every use of the table has the same filters and shares one exchange
         .where(F.col("sample").isNotNull() & F.col("spot").isNotNull() & F.col("gene").isNotNull())
