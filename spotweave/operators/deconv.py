@@ -14,9 +14,10 @@ from operator import add
 
 from pyspark.sql import Column, DataFrame, Observation, Window as W, functions as F
 
+from spotweave.operators.blocks import Blocks, Move, block_plan, smoothed
 from spotweave.operators.normalize import ClrParts
 from spotweave.operators.spatial import AT, WORK, cell_plan, in_range, neighbor_sums, placed, sources_at, targets_at
-from spotweave.session import Bucketed, dealt, dealt_by_some_keys, stored
+from spotweave.session import Bucketed, dealt, dealt_by_some_keys, forget, stored
 
 SPOT = ("sample", "spot")
 
@@ -115,6 +116,10 @@ class _Point:
     steps: int = 0
     settled: bool = False
 
+    def move(self, steps: int, k: int) -> Move:
+        pull = self.lam * (1 - self.alpha)
+        return Move(pull, self.lam * self.alpha / (k * (1 + pull)), self.cap, steps)
+
 
 def _literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(v) for v in values])
@@ -122,9 +127,7 @@ def _literal(values: Sequence[float]) -> Column:
 
 def _moved(points: Sequence[_Point], live: Sequence[int], k: int) -> Column:
     """New ``p`` (an array of shares for each point) from ``e``, ``p``, and sums ``s`` of the live points over ``s_n`` rows in range."""
-    pulls = [q.lam * (1 - q.alpha) for q in points]
-    pull, cap = _literal(pulls), _literal([q.cap for q in points])
-    threshold = _literal([q.lam * q.alpha / (k * (1 + u)) for q, u in zip(points, pulls)])
+    pull, threshold, cap = (_literal(v) for v in list(zip(*(q.move(1, k) for q in points)))[:3])
     slot = F.array(*[F.lit(live.index(j) if j in live else -1) for j in range(len(points))])
     others = F.col("s_n") - 1
 
@@ -188,22 +191,90 @@ def refine_props(
     nothing by ``tolerance`` or more. A list of points (``run_id``, ``lam``,
     ``alpha``, ``cap``) adds ``run_id``; a single one (a dict) doesn't.
 
-    Spots are placed on the grid once, in a stored table that is dealt to files by
-    grid cell; the shares of all points are an array in the row of their spot. So a step is one job over
-    cells that stay where they are: distances are found once for all points,
-    and the largest changes are noted while the new state is written. The state before is then deleted. A point
-    that has settled keeps its state and moves no more, so it ends as in a run of its own.
+    The shares of all points are an array in the row of their spot. Spots are smoothed in blocks, several steps for
+    one shuffle; where they lie too densely for a block to fit a task, a step at a time, by pairs in grid cells.
+    A point that has settled keeps its state and moves no more, so it ends as in a run of its own.
     """
     single = params is None or isinstance(params, dict)
     given = [params or {"lam": 0.001, "alpha": 0.7, "cap": 0.2}] if single else params
     points = [_Point(int(q.get("run_id", 0)), *(float(q[c]) for c in ("lam", "alpha", "cap"))) for q in given]
     k = len(types)
-    rows = placed(global_props, spots)
+    start = F.array(*[_p(i) for i in range(k)])
+    rows = stored(placed(global_props, spots).select(*SPOT, *AT, start.alias("e")), "start")
+    blocks = block_plan(rows, radius, len(points) * k, work)
+    if blocks:
+        done = _refined_in_blocks(rows, blocks, radius, points, k, tolerance, max_iterations)
+    else:
+        done = _refined_by_pairs(rows, radius, points, k, tolerance, max_iterations, work)
+    runs = F.array(
+        *[
+            F.struct(
+                F.lit(q.run_id).alias("run_id"),
+                *[F.get(F.get("p", F.lit(j)), F.lit(i)).alias(_p(i)) for i in range(k)],
+                F.lit(q.steps).alias("steps"),
+                F.lit(q.settled).alias("converged"),
+            )
+            for j, q in enumerate(points)
+        ]
+    )
+    out = done.select(*SPOT, F.inline(runs))
+    return out.drop("run_id") if single else out
+
+
+def _block_round(state: DataFrame, blocks: Blocks, radius: float, moves: dict[int, Move], n: int, k: int) -> tuple[DataFrame, dict[int, list[float]]]:
+    """The state after ``n`` steps or fewer of the points in ``moves``, and the largest change of each of them by step."""
+    live = list(moves)
+    others = [j for j in range(n) if j not in moves]
+    flat = F.flatten(F.array(*[F.get("p", F.lit(j)) for j in live])).alias("p")
+    rest = [F.array(*[F.get("p", F.lit(j)) for j in others]).alias("rest")] if others else []
+    out = smoothed(state.select(*SPOT, *AT, "e", flat, *rest), blocks, radius, k, list(moves.values()))
+    seen = Observation()
+    out = out.observe(seen, *[F.max(F.get("gaps", F.lit(i))).alias(f"gap_{i}") for i in range(blocks.steps * len(live))])
+    p = F.array(*[F.slice("p", live.index(j) * k + 1, k) if j in moves else F.get("rest", F.lit(others.index(j))) for j in range(n)])
+    out = stored(out.select(*SPOT, *AT, "e", p.alias("p")), "state")
+    return out, {j: [seen.get[f"gap_{t * len(live) + i}"] or 0.0 for t in range(blocks.steps)] for i, j in enumerate(live)}
+
+
+def _refined_in_blocks(
+    rows: DataFrame, blocks: Blocks, radius: float, points: Sequence[_Point], k: int, tolerance: float, max_iterations: int
+) -> DataFrame:
+    """``refine_props`` by blocks; a round in which a point settles before its last step is made again with so many steps of it."""
+    state, last, made = rows.withColumn("p", F.array_repeat("e", len(points))), rows, 0
+    while made < max_iterations and not all(q.settled for q in points):
+        n = min(blocks.steps, max_iterations - made)
+        steps = {j: n for j, q in enumerate(points) if not q.settled}
+        ends: dict[int, int] = {}
+        for again in (False, True):
+            moves = {j: points[j].move(ends.get(j, s), k) for j, s in steps.items()}
+            fresh, gaps = _block_round(state, blocks._replace(steps=n), radius, moves, len(points), k)
+            if again:
+                break
+            ends = {j: t for j, g in gaps.items() for t in [next((t for t, v in enumerate(g, 1) if v < tolerance), 0)] if t}
+            if all(t == n for t in ends.values()):
+                break
+            forget(fresh)
+        for j, s in steps.items():
+            points[j].steps, points[j].settled = made + ends.get(j, s), j in ends
+        forget(last)
+        state, last, made = fresh, fresh, made + n
+    return state
+
+
+def _refined_by_pairs(
+    rows: DataFrame, radius: float, points: Sequence[_Point], k: int, tolerance: float, max_iterations: int, work: int
+) -> DataFrame:
+    """``refine_props`` by pairs of a target and a pile of sources.
+
+    Spots are placed on the grid once, in a stored table that is dealt to files by
+    grid cell. So a step is one job over
+    cells that stay where they are: distances are found once for all points,
+    and the largest changes are noted while the new state is written. The state before is then deleted.
+    """
     plan = cell_plan(rows, rows, radius, work=work)
     waiting, on = targets_at(rows, radius, plan, ["sample", "spot"])
-    start = F.array(*[_p(i) for i in range(k)])
-    columns = [*on, "spot", *AT, start.alias("e"), F.array_repeat(start, len(points)).alias("p")]
+    columns = [*on, "spot", *AT, "e", F.array_repeat("e", len(points)).alias("p")]
     state = Bucketed(waiting.select(*columns), "state", on)
+    forget(rows)
     for step in range(1, max_iterations + 1):
         seen = Observation()
         gaps = [F.max(F.get("delta", F.lit(j))).alias(f"gap_{j}") for j in range(len(points))]
@@ -217,19 +288,7 @@ def refine_props(
                 q.steps, q.settled = step, (seen.get[f"gap_{j}"] or 0.0) < tolerance
         if all(q.settled for q in points):
             break
-    runs = F.array(
-        *[
-            F.struct(
-                F.lit(q.run_id).alias("run_id"),
-                *[F.get(F.get("p", F.lit(j)), F.lit(i)).alias(_p(i)) for i in range(k)],
-                F.lit(q.steps).alias("steps"),
-                F.lit(q.settled).alias("converged"),
-            )
-            for j, q in enumerate(points)
-        ]
-    )
-    out = state.plain().select(*SPOT, F.inline(runs))
-    return out.drop("run_id") if single else out
+    return state.plain()
 
 
 def weighted_layers(expr: DataFrame, prop: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import Observation, functions as F
 
 from spotweave.model import SpotModel
-from spotweave.operators import deconv, normalize, spatial
+from spotweave.operators import blocks, deconv, normalize, spatial
 from spotweave.operators.sampling import sweep_points
 from spotweave.session import dealt, stored
 from spotweave.sources.text import marker_table
@@ -168,6 +168,48 @@ def test_sweep_equals_single_runs(spark, spots, evidence):
         assert np.allclose(to_matrix(both.where(F.col("run_id") == q["run_id"])), to_matrix(alone), atol=1e-12)
 
 
+def test_blocks_equal_numpy_with_few_jobs(spark, monkeypatch):
+    """Many small blocks, points that settle within a round, a pile of spots: as numpy over the whole slide, in a few jobs a round."""
+    rng = np.random.default_rng(8)
+    xy = np.vstack([rng.random((390, 2)) * [20, 60], np.full((10, 2), 7.5)]) - [5, 30]
+    spots = spark.createDataFrame([("s", i, float(x), float(y)) for i, (x, y) in enumerate(xy)], "sample string, spot int, spot_x double, spot_y double")
+    e = rng.dirichlet(np.ones(3), 400)
+    start = wide_props(spark, e)
+    monkeypatch.setattr(blocks, "ROWS", 200)
+    plan = blocks.block_plan(spots, 1.0, 6)
+    held = blocks.with_border(spots, plan, 1.0)
+    assert plan.steps > 1 and held.select("_bx", "_by").distinct().count() >= 4
+    assert held.where("_own").count() == 400 < held.count()
+    points = [{"run_id": 0, "lam": 0.5, "alpha": 0.3, "cap": 0.5}, {"run_id": 1, "lam": 1.0, "alpha": 0.1, "cap": 0.02}]
+    jobs = {}
+    for steps in (4, 12):
+        spark.sparkContext.setJobGroup(f"blocks-{steps}", "blocks")
+        fine = deconv.refine_props(start, spots, TYPES, 1.0, points, tolerance=1e-3, max_iterations=steps)
+        spark.sparkContext.setJobGroup("other", "other")
+        jobs[steps] = len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"blocks-{steps}"))
+    # two more rounds of four steps, of which one is made again: a step had three jobs before
+    assert jobs[12] - jobs[4] <= 9
+    m, ends = near(xy, 1.0).astype(float), {}
+    for q in points:
+        p = e
+        for t in range(1, 13):
+            new = step(e, p, m, q["lam"], q["alpha"], q["cap"])
+            gap, p = np.abs(new - p).max(), new
+            if gap < 1e-3:
+                break
+        ends[q["run_id"]] = (t, bool(gap < 1e-3))
+        assert np.allclose(to_matrix(fine.where(F.col("run_id") == q["run_id"])), p, atol=1e-12)
+    assert {r.run_id: (r.steps, r.converged) for r in fine.select("run_id", "steps", "converged").distinct().collect()} == ends
+    assert ends[0][1] and ends[0][0] % plan.steps and not ends[1][1]
+
+
+def test_too_dense_for_blocks(spark):
+    """A pile above the work of a task leaves the run to the pairs of grid cells; an empty run has no blocks either."""
+    spots = spark.createDataFrame([("s", i, 0.0, 0.0) for i in range(300)], "sample string, spot int, spot_x double, spot_y double")
+    assert blocks.block_plan(spots, 1.0, 3) and not blocks.block_plan(spots, 1.0, 3, work=1000)
+    assert not blocks.block_plan(spots.limit(0), 1.0, 3)
+
+
 @pytest.fixture(scope="module")
 def tissue(spark, evidence):
     rng = np.random.default_rng(6)
