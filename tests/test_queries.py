@@ -47,3 +47,11 @@ def test_query_equals_sql(spark, tables, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() == 10
+
+
+def test_model_run_has_few_jobs(spark, tables):
+    """Twenty smoothing steps are a few rounds, not two or three jobs each."""
+    spark.sparkContext.setJobGroup("model-scores", "model_scores")
+    entry.queries()["model_scores"](spark, SF)
+    spark.sparkContext.setJobGroup("other", "other")
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("model-scores")) <= 100
