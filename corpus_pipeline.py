@@ -15,6 +15,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotweave.llm import line_dedup, mixing, near_copies, packing, quality_lm
+from spotweave.llm.batches import bound_batches
 from spotweave.session import scratch_group, scratch_path
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -25,6 +26,7 @@ def stage(fn: Stage) -> Stage:
 
     @wraps(fn)
     def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)  # for the rest of the session: the result is computed after the stage returns
         with scratch_group(spark, "corpus-stage"):
             return fn(spark, docs, sf_dir)
 

@@ -5,12 +5,17 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 #: Bytes of text that a task works on at once; one longer text makes a slice of its own.
 SLICE_BYTES = 4 << 20
 
 
+def bound_batches(spark: SparkSession, most: int = SLICE_BYTES) -> None:
+    """Batches that go to tasks from now on in this session end at ``most`` bytes, not at 10,000 rows of any length or 64 MB alone."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", most)
+
+
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch so that each slice has at most ``most`` bytes in ``column``, or one row."""
     sizes = pa.compute.binary_length(batch.column(column)).fill_null(0).to_pylist()
@@ -48,7 +53,8 @@ def map_texts(
     fields = T._parse_datatype_string(added).fields
     names = keep + [f.name for f in fields]
     schema = T.StructType([df.schema[c] for c in keep] + fields)
-    text = free_name(df, "text_in")
+    # a text that is kept goes to the task once
+    text = column if column in keep else free_name(df, "text_in")
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -56,4 +62,5 @@ def map_texts(
                 made = work(part.column(text).to_pylist())
                 yield pa.RecordBatch.from_arrays([part.column(c) for c in keep] + made, names=names)
 
-    return df.select(*(df[f"`{c}`"] for c in keep), df[f"`{column}`"].alias(text)).mapInArrow(task, schema)
+    sent = [df[f"`{c}`"] for c in keep] + ([] if text == column else [df[f"`{column}`"].alias(text)])
+    return df.select(*sent).mapInArrow(task, schema)

@@ -2,15 +2,17 @@
 
 import hashlib
 import math
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from spotweave.llm import components, line_dedup, mixing, near_copies, quality_lm, queries, simhash, topk_search, url_filter
+from spotweave.llm import batches, components, line_dedup, mixing, near_copies, quality_lm, queries, simhash, topk_search, url_filter
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, fp string, copy int"
 SYLLABLES = {"en": "the of and ing er tion".split(), "de": "der und ung ich sch ß".split()}
@@ -366,6 +368,44 @@ def test_perplexity(spark, shard_entries):
         assert got[text, lang] == (pytest.approx(want, abs=1e-4) if want is not None else None)
 
 
+def test_scoring_holds_few_bytes_and_adds_in_order():
+    rng = np.random.default_rng(4)
+    codes, lengths = quality_lm._codes(["".join(rng.choice(list("abcdefg "), n)) for n in (700_000, 5, 600_000)], 5)
+    last = quality_lm._positions(lengths, 5)
+    row = np.repeat(np.arange(3), lengths)
+    few = np.unique(quality_lm._keys(codes, last[:200_000], 5))
+    tables = (quality_lm.Table(few, rng.normal(size=len(few)).astype(np.float32)), quality_lm.Table(few[:0], np.zeros(0, np.float32)), -9.0)
+    tracemalloc.start()
+    got = quality_lm._summed(np.zeros(3), codes, last, row, tables, 5)
+    most = tracemalloc.get_traced_memory()[1]
+    whole = np.bincount(row, quality_lm._log_probs(codes, last, tables, 5), 3)
+    at_once = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got.tolist() == whole.tolist()  # each bit
+    assert most < 30e6 and 2 * most < at_once
+
+
+def test_stages_send_bounded_batches_and_each_text_once(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], names=["n", "bytes"])
+
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("abcd "), 2000).alias("text")).coalesce(1)
+    try:
+        got = corpus_pipeline.stage(lambda s, d, _: d.mapInArrow(sizes, "n long, bytes long"))(spark, docs, "").collect()
+    finally:
+        spark.conf.set(name, before)
+    assert sum(r.n for r in got) == 3000 and max(r.bytes for r in got) < 5 << 20
+    made = batches.map_texts(docs, "text", "n int", lambda texts: [pa.array([len(t) for t in texts], pa.int32())])
+    assert "text_in" not in made._jdf.queryExecution().toString()
+    assert made.groupBy("n").count().collect() == [(10000, 3000)]
+    aside = batches.map_texts(docs, "text", "n int", lambda texts: [pa.array([len(t) for t in texts], pa.int32())], keep=["doc_id"])
+    assert aside.groupBy("n").count().collect() == [(10000, 3000)] and aside.columns == ["doc_id", "n"]
+
+
 def test_classifier_on_held_out_documents(spark):
     def junk(i):
         return " ".join(w.upper() + "!!" for w in prose(i, 60).split()) if i % 2 else "".join(np.random.default_rng(i).choice(list("qxzjkv"), 300))
