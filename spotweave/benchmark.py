@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from spotweave.operators import joins, layer_metrics as lm, prop_metrics as pm
 from spotweave.session import stored
-from spotweave.sources.matrix import scan_layers, scan_wide
+from spotweave.sources.matrix import scan_layer_lines, scan_wide
 
 RUN = ("method", "sample")
 
@@ -82,17 +82,18 @@ def benchmark_layer_files(
     predictions, such as the method. Types or samples on one side only are
     skipped, and so are types without a shared gene or spot.
     """
-    truth, t_genes, t_spots = scan_layers(spark, truth_path, truth_sample, "_GT", index_label=index_label)
-    pred, p_genes, p_spots = scan_layers(spark, pred_path, pred_sample, "_layer", fields=fields, index_label=index_label)
+    truth, t_genes = scan_layer_lines(spark, truth_path, truth_sample, "_GT", index_label=index_label)
+    pred, p_genes = scan_layer_lines(spark, pred_path, pred_sample, "_layer", fields, index_label)
+    p_genes = stored(p_genes, "genes")
     group = ["sample", *(fields or {})]
     layer = [*group, "cell_type"]
     shared = ["sample", "cell_type"]
     # the truth is the same for all runs of a sample: give it their columns
     runs = stored(p_genes.select(*layer).distinct(), "runs")
-    truth, t_genes, t_spots = (df.join(runs, shared) for df in (truth, t_genes, t_spots))
-    genes, spots, sizes = shared_sizes(t_genes, t_spots, p_genes, p_spots, layer)
-    genes, spots = stored(genes, "shared_genes"), stored(spots, "shared_spots")
-    return benchmark_layers(truth, pred, genes, spots, sizes, group, normalize)
+    truth, t_genes = (df.join(runs, shared) for df in (truth, t_genes))
+    genes = stored(joins.align_shared(t_genes, p_genes, "gene", layer), "shared_genes")
+    by_type = stored(lm.line_metrics(truth, pred, genes, group, normalize), "layer_scores")
+    return by_type, lm.layer_summary(by_type, group)
 
 
 def read_proportions(

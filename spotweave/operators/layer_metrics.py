@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from spotweave.functions.scalar import safe_ratio
+from spotweave.sources.matrix import cell_value
 from spotweave.tables import nan_to_null
 
 ID = ("method", "sample")
@@ -109,6 +110,33 @@ def layer_metrics(
     return _scores(sums, sizes, layer, normalize)
 
 
+def line_metrics(truth: DataFrame, pred: DataFrame, genes: DataFrame, group: Sequence[str] = ID, normalize: str = "range") -> DataFrame:
+    """``layer_metrics`` of lines of ``scan_lines`` by group, cell type and spot, on the shared ``genes`` by layer and the spots on both sides.
+
+    Lines meet by spot with all their cells, which are spread where they met, so no cell is moved alone.
+    Each spot has one cell without a gene, by which spots are counted in the same pass.
+    """
+    layer = [*group, "cell_type"]
+    kind = truth.schema["cells"].dataType
+    sides = [df.select(*layer, "spot", *[(F.col("cells") if i == j else F.lit(None).cast(kind)).alias(f"_{j}") for j in (0, 1)]) for i, df in enumerate((truth, pred))]
+    met = (
+        sides[0].unionByName(sides[1]).groupBy(*layer, "spot")
+        .agg(*[F.collect_list(f"_{j}").alias(f"_{j}") for j in (0, 1)])
+        .where((F.size("_0") > 0) & (F.size("_1") > 0))
+    )
+    spot = F.array(F.lit(None).cast(kind.elementType))
+    both = F.array(*[F.struct(F.lit(j).alias("m"), c.alias("c")) for j, c in ((0, F.flatten("_0")), (1, F.flatten("_1")), (2, spot))])
+    spread = met.select(*layer, "spot", F.explode(both).alias("_s")).select(*layer, "spot", F.col("_s.m").alias("_m"), F.explode("_s.c").alias("_c"))
+    cells = spread.select(*layer, "spot", "_m", F.col("_c._name").alias("gene"), cell_value("_c").alias("_v"))
+    cells = cells.where(F.col("_v").isNull() | (F.col("_v") != 0))
+    pairs = cells.groupBy(*layer, "spot", "gene").agg(*[F.sum(F.when(F.col("_m") == j, F.log1p("_v"))).alias(f"_{j}") for j in (0, 1)])
+    known = pairs.join(genes.select(*layer, "gene", F.lit(True).alias("_shared")), [*layer, "gene"], "left")
+    there = F.col("_shared").isNotNull()
+    state = _state(*[F.when(there, F.col(f"_{j}")) for j in (0, 1)], there)
+    sums = known.groupBy(*layer).agg(state.alias("_s"), F.count_if(F.col("gene").isNull()).alias("n_spots")).select(*layer, "_s.*", "n_spots")
+    return _scores(sums, genes.groupBy(*layer).agg(F.count(F.lit(1)).alias("n_genes")), layer, normalize)
+
+
 def _scores(sums: DataFrame, sizes: DataFrame, layer: Sequence[str], normalize: str) -> DataFrame:
     """The scores of layers with a state."""
     if normalize not in ("range", "mean"):

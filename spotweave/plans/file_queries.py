@@ -13,7 +13,7 @@ from spotweave.operators import reshape, sampling, summary
 from spotweave.plans import inputs as inp
 from spotweave.plans.prop_queries import SCORED_SQL, metrics, rounded, scored_rows
 from spotweave.plans.registry import query
-from spotweave.session import scratch_path
+from spotweave.session import dealt, scratch_path, stored
 from spotweave.sources import matrix, rows as row_files
 from spotweave.sources.assemble import assemble_replicates, assemble_spots
 
@@ -53,11 +53,12 @@ layer_scores AS (
 )
 
 
-def _by_type(layers: DataFrame, label: str) -> DataFrame:
-    """Layers stored in folders by cell type, so that a filter on it reads that folder alone."""
-    path = scratch_path(layers.sparkSession, label)
-    layers.write.partitionBy("cell_type").parquet(path)
-    return layers.sparkSession.read.schema(layers.schema).parquet(path)
+def _by_brand(long: DataFrame, keys: list[str], rows: int) -> DataFrame:
+    """A row for each of the ``keys`` with its quantities by brand; long rows are moved once, before they are summed up in wide ones."""
+    sums = [F.sum(F.when(F.col("gene") == b, F.col("value"))) for b in inp.BRANDS]
+    placed = dealt(long, rows, *keys)
+    placed = long.repartition(*keys) if placed is long else placed
+    return placed.groupBy(*keys).agg(F.array(*sums).alias("value"))
 
 
 def _layer_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
@@ -65,23 +66,30 @@ def _layer_files(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     base = scratch_path(spark, "layer_files")
     cells = inp.cells(spark, sf)
     brand = inp.table(spark, sf, "part").select(F.col("p_partkey").alias("gene"), F.col("p_brand").alias("brand"))
-    truth = cells.join(brand, "gene").groupBy("sample", "cell_type", "spot", F.col("brand").alias("gene")).agg(F.sum("qty").alias("value"))
-    protein = inp.protein_table(spark, sf).withColumnRenamed("protein", "gene")
-    prop = inp.truth(inp.counts(spark, sf))
-    types = F.explode(F.array(*[F.lit(t) for t in inp.TYPES]))
-    tools = {
-        "weighted": protein.join(prop, ["sample", "spot"]).withColumn("value", F.col("value") * F.col("p")),
-        "flat": protein.withColumn("cell_type", types).withColumn("value", F.col("value") / len(inp.TYPES)),
-    }
-    # made once, and read by cell type for the five files of each
-    truth = _by_type(truth, "truth_layers")
-    tools = {name: _by_type(layers, f"{name}_layers") for name, layers in tools.items()}
+    lines = inp.table(spark, sf, "lineitem").count()
+    cells = cells.join(brand, "gene").select("sample", "cell_type", "spot", F.col("brand").alias("gene"), F.col("qty").alias("value"))
+    # a line of a layer is made once, with all its genes, and read by cell type for the five files of each
+    truth_path = scratch_path(spark, "truth_layers")
+    truth = _by_brand(cells, ["sample", "cell_type", "spot"], lines)
+    truth.write.partitionBy("cell_type").parquet(truth_path)
+    truth = spark.read.schema(truth.schema).parquet(truth_path)
+    protein = inp.protein(spark, sf).withColumnRenamed("protein", "gene")
+    shares = [F.sum(F.when(F.col("cell_type") == t, F.col("p"))) for t in inp.TYPES]
+    prop = inp.truth(inp.counts(spark, sf)).groupBy("sample", "spot").agg(F.array(*shares).alias("p"))
+    spots = stored(_by_brand(protein, ["sample", "spot"], lines).join(prop, ["sample", "spot"], "left"), "spot_lines")
+
+    def write(rows: DataFrame, path: str, first: int) -> None:
+        chosen = rows.select("sample", "spot", F.slice("value", first + 1, len(inp.BRANDS) - 1).alias("value"))
+        matrix.write_wide(chosen, path, inp.BRANDS[first:][: len(inp.BRANDS) - 1], ["sample"], "spot", None, "spot")
+
     # a folder for each cell type, as tools write them: five of each
-    for t in inp.TYPES:
-        matrix.write_wide(truth.where(F.col("cell_type") == t), f"{base}/truth/{t}_GT.csv", inp.BRANDS[1:], ["sample"], index_label="spot")
-        for name, layers in tools.items():
-            path = f"{base}/{name}_map/{t.replace(' ', '_')}_layer_pass1.csv"
-            matrix.write_wide(layers.where(F.col("cell_type") == t), path, inp.BRANDS[:-1], ["sample"], index_label="spot")
+    for i, t in enumerate(inp.TYPES):
+        share = F.get("p", F.lit(i))
+        weighted = spots.where(share.isNotNull()).withColumn("value", F.transform("value", lambda v: v * share))
+        flat = spots.withColumn("value", F.transform("value", lambda v: v / len(inp.TYPES)))
+        write(truth.where(F.col("cell_type") == t), f"{base}/truth/{t}_GT.csv", 1)
+        for name, rows in (("weighted", weighted), ("flat", flat)):
+            write(rows, f"{base}/{name}_map/{t.replace(' ', '_')}_layer_pass1.csv", 0)
     return benchmark_layer_files(
         spark, f"{base}/truth/*_GT.csv/*/*.csv", f"{base}/*_map/*.csv/*/*.csv", SAMPLE, SAMPLE,
         fields={"method": r"/([a-z]+)_map/"}, index_label="spot",

@@ -89,3 +89,72 @@ def test_layers_of_files_are_made_once(spark, monkeypatch):
     monkeypatch.setattr(file_queries, "benchmark_layer_files", lambda *a, **k: None)
     file_queries._layer_files(spark, "/root/testdata/sf0.001")
     assert len(plans) == 15 and not any("Join" in p or "Aggregate" in p for p in plans)
+
+
+def test_layers_are_written_as_lines(spark, monkeypatch):
+    """A writer gets one row for a line of a file, not one for each of its cells."""
+    from spotweave.plans import file_queries
+
+    rows = []
+    monkeypatch.setattr(file_queries.matrix, "write_wide", lambda facts, *a, **k: rows.append((facts.count(), facts.select("sample", "spot").distinct().count())))
+    monkeypatch.setattr(file_queries, "benchmark_layer_files", lambda *a, **k: None)
+    file_queries._layer_files(spark, "/root/testdata/sf0.001")
+    assert len(rows) == 15 and all(n == spots > 0 for n, spots in rows)
+
+
+def test_lines_written_as_they_are(spark, tmp_path):
+    from spotweave.sources import matrix
+
+    rows = spark.createDataFrame([("a,b", [1.0, None]), ("c", [0.0, 2.5])], "spot string, value array<double>")
+    matrix.write_wide(rows, str(tmp_path / "w"), ["x", "y,z"], [], "spot", None, "spot")
+    text = sorted(line for f in (tmp_path / "w").glob("*.csv") for line in f.read_text().split("\n"))
+    assert set(text) == {"", 'spot,x,"y,z"', '"a,b",1.0,0.0', "c,0.0,2.5"}
+
+
+def test_layer_files_in_blocks_and_parts(spark, tmp_path):
+    """Rows in several files, odd numbers, missing cells and files read in blocks: the scores of the cells moved one by one."""
+    from pyspark.sql import functions as F
+
+    from spotweave.operators import joins
+    from spotweave.sources import matrix
+
+    rng = np.random.default_rng(21)
+    for name, n in (("T_GT", 0), ("T_layer", 1)):
+        for part in range(2):
+            genes = [f"G{j}" for j in range(6 * part + n, 6 * part + 6)]
+            x = pd.DataFrame(rng.poisson(1.0, (60, len(genes))).astype(float), [f"spot_{i}" for i in range(3 * n, 60 + 3 * n)], genes)
+            x.iloc[4] = 0
+            x.iloc[5, 2] = np.nan
+            text = x.to_csv(index_label="spot").replace(",2.0", ',"2"').replace(",3.0", ",3.00")
+            (tmp_path / f"s_1_{part}").mkdir(exist_ok=True)
+            (tmp_path / f"s_1_{part}" / f"{name}.csv").write_text(text)
+    paths = str(tmp_path / "s_*/*_GT.csv"), str(tmp_path / "s_*/*_layer.csv")
+    t, t_genes, t_spots = matrix.scan_layers(spark, paths[0], r"/s_(\d+)_", "_GT", index_label="spot")
+    p, p_genes, p_spots = matrix.scan_layers(spark, paths[1], r"/s_(\d+)_", "_layer", index_label="spot")
+    genes, spots, sizes = benchmark.shared_sizes(t_genes, t_spots, p_genes, p_spots, ["sample", "cell_type"])
+    want = [tuple(r) for r in benchmark.benchmark_layers(t, p, genes, spots, sizes, ["sample"])[0].collect()]
+    assert len(want) == 1 and t.where(F.col("value").isNull()).count() == 2 and joins.restrict(t, genes, spots).count() > 0
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    for block in (old, "500"):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+        try:
+            got = benchmark.benchmark_layer_files(spark, *paths, r"/s_(\d+)_", r"/s_(\d+)_", index_label="spot")[0].collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+        assert [tuple(r)[:2] for r in got] == [w[:2] for w in want] and tuple(got[0])[2:] == pytest.approx(want[0][2:])
+
+
+def test_cells_of_lines_move_together(spark):
+    """No shuffle of the scores of lines is by gene."""
+    from spotweave.operators import layer_metrics as lm
+
+    lines = spark.createDataFrame(
+        [("m", "0", "T", "s1", [("G", 1.0, None), ("H", 2.0, None)])],
+        "method string, sample string, cell_type string, spot string, cells array<struct<_name string, _value double, _text string>>",
+    )
+    genes = spark.createDataFrame([("m", "0", "T", "G")], "method string, sample string, cell_type string, gene string")
+    scores = lm.line_metrics(lines, lines, genes)
+    plan = scores._jdf.queryExecution().executedPlan().toString()
+    shuffles = [line for line in plan.split("\n") if "Exchange hashpartitioning" in line]
+    assert any("spot#" in s for s in shuffles) and not any("gene#" in s and "spot#" in s for s in shuffles)
+    assert [tuple(r)[3:] for r in scores.collect()] == [(0.0, None, 0.0)]
