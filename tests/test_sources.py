@@ -364,3 +364,17 @@ def test_wide_file_read_in_blocks(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
     assert whole == blocks == (want, len(want), {*frame.index, "last"}, {f"s {i}" for i in range(40)}, 301 * 40)
+
+
+def test_tasks_on_files_need_no_copy_of_the_library(tmp_path):
+    """Executors without the package can load the tasks that cut and make files."""
+    import os
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+
+    work = "import pickle, sys; list(pickle.load(sys.stdin.buffer)(iter([])))"
+    for task in (matrix._cut_lines(["sample"], True, False, ","), matrix._cut_sheets(1, True, "spot", 8)):
+        env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+        subprocess.run([sys.executable, "-c", work], input=cloudpickle.dumps(task), cwd=tmp_path, env=env, check=True)
